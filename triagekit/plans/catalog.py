@@ -83,3 +83,116 @@ def q_search_activity(spark, base):
     from ..operators.similarity import search_activity
     return search_activity(fx.query_vectors_fx(spark, base),
                            _matches(spark, base, threshold=SERVICE_THRESHOLD))
+
+
+# --------------------------------------------------------------- activity
+AS_OF = "2024-01-30"
+ADMINS = ["admin"]
+MASK_SALT = "triagekit-salt"
+
+
+@register("requests_by_user_date")
+def q_requests_by_user_date(spark, base):
+    from ..operators.activity import requests_by_user_date
+    return requests_by_user_date(fx.logs_fx(spark, base))
+
+
+@register("status_counts")
+def q_status_counts(spark, base):
+    from ..operators.activity import status_counts
+    return status_counts(fx.logs_fx(spark, base))
+
+
+@register("endpoint_counts")
+def q_endpoint_counts(spark, base):
+    from ..operators.activity import endpoint_counts
+    return endpoint_counts(fx.logs_fx(spark, base))
+
+
+@register("call_metrics")
+def q_call_metrics(spark, base):
+    from ..operators.activity import call_metrics
+    return call_metrics(fx.logs_fx(spark, base), AS_OF)
+
+
+@register("activity_visible")
+def q_activity_visible(spark, base):
+    from ..operators.activity import visible_activity
+    viewers = fx.users_fx(spark, base).select(F.col("username").alias("viewer"))
+    logs = fx.logs_fx(spark, base).select("id", "username", "api_endpoint", "response_code", "timestamp")
+    return visible_activity(logs, viewers, ADMINS)
+
+
+def _upgrade_outcomes(spark, base):
+    from ..operators.users import update_subscriptions
+    return update_subscriptions(fx.users_fx(spark, base), fx.upgrades_fx(spark, base))
+
+
+@register("activity_append")
+def q_activity_append(spark, base):
+    from ..operators.activity import append_activity
+    up = _upgrade_outcomes(spark, base).join(
+        fx.upgrades_fx(spark, base).select("event_id", "ts"), "event_id")
+    rows = up.select(
+        "username", F.lit("PUT").alias("request_type"),
+        F.lit("update_subscription").alias("api_endpoint"),
+        F.col("response_code").cast("string").alias("response_code"),
+        "description", F.col("ts").alias("timestamp"), F.col("event_id").alias("ordinal"))
+    return append_activity(fx.logs_fx(spark, base), rows)
+
+
+# ------------------------------------------------------------ quota/users
+@register("quota_metering")
+def q_quota_metering(spark, base):
+    from ..operators.quota import meter_calls
+    return meter_calls(fx.metered_events_fx(spark, base, False), fx.users_fx(spark, base),
+                       period="week")
+
+
+@register("quota_topup")
+def q_quota_topup(spark, base):
+    from ..operators.quota import meter_calls
+    return meter_calls(fx.metered_events_fx(spark, base, True), fx.users_fx(spark, base),
+                       period="week")
+
+
+@register("quota_reset")
+def q_quota_reset(spark, base):
+    from ..operators.quota import reset_allowance
+    return reset_allowance(fx.users_fx(spark, base)).select("username", "service", "calls_remaining")
+
+
+@register("remaining_calls")
+def q_remaining_calls(spark, base):
+    from ..operators.quota import low_balance_flag
+    users = fx.users_fx(spark, base).select("username", "calls_remaining")
+    r = fx.active_usernames_fx(spark, base).join(users, "username", "left")
+    return r.select("username", "calls_remaining",
+                    low_balance_flag(F.col("calls_remaining")).alias("balance_flag"))
+
+
+@register("signup_validation")
+def q_signup_validation(spark, base):
+    from ..operators.users import validate_signups
+    v = validate_signups(fx.signups_fx(spark, base))
+    return v.select("ordinal", "username", F.size("errors").cast("bigint").alias("n_errors"),
+                    F.array_join("errors", "; ").alias("errors"))
+
+
+@register("user_signup")
+def q_user_signup(spark, base):
+    from ..operators.users import signup
+    existing = fx.users_fx(spark, base).join(fx.active_usernames_fx(spark, base), "username", "left_semi")
+    out = signup(existing, fx.signups_fx(spark, base), MASK_SALT)
+    return out.select("ordinal", "username", "response_code")
+
+
+@register("user_update")
+def q_user_update(spark, base):
+    return _upgrade_outcomes(spark, base)
+
+
+@register("mask_sensitive")
+def q_mask_sensitive(spark, base):
+    from ..operators.users import mask_sensitive
+    return mask_sensitive(fx.users_fx(spark, base), MASK_SALT).select("username", "password", "service")

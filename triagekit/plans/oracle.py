@@ -60,3 +60,158 @@ SELECT e.vec_id AS query_id, CAST(count(m.query_id) AS BIGINT) AS n_hits,
     ELSE 'No similar issues found' END AS description
 FROM embeddings e LEFT JOIN matches m ON m.query_id = e.vec_id
 GROUP BY e.vec_id"""
+
+# --------------------------------------------------------------- activity
+_LABEL = """CASE response_code WHEN 200 THEN 'Success' WHEN 204 THEN 'No Data Returned'
+  WHEN 404 THEN 'Failure' ELSE CAST(response_code AS VARCHAR) END"""
+
+ORACLE["requests_by_user_date"] = with_(LOGS_FX) + """
+SELECT username, CAST(timestamp AS DATE) AS date, count(*) AS count
+FROM logs_fx GROUP BY 1, 2"""
+
+ORACLE["status_counts"] = with_(LOGS_FX) + f"""
+SELECT status, count(*) AS count FROM (SELECT {_LABEL} AS status FROM logs_fx)
+WHERE status IN ('Success', 'No Data Returned', 'Failure') GROUP BY status"""
+
+ORACLE["endpoint_counts"] = with_(LOGS_FX) + """
+SELECT api_endpoint, count(*) AS count FROM logs_fx GROUP BY api_endpoint"""
+
+ORACLE["call_metrics"] = with_(LOGS_FX) + """,
+c AS (
+  SELECT
+    count(*) FILTER (WHERE CAST(timestamp AS DATE) = DATE '2024-01-30') AS calls_today,
+    count(*) FILTER (WHERE CAST(timestamp AS DATE) = DATE '2024-01-29') AS calls_yesterday,
+    count(*) FILTER (WHERE CAST(timestamp AS DATE) = DATE '2024-01-28') AS calls_day_before,
+    count(*) FILTER (WHERE CAST(timestamp AS DATE) > DATE '2024-01-23'
+                       AND CAST(timestamp AS DATE) <= DATE '2024-01-30') AS calls_last_week
+  FROM logs_fx),
+t AS (SELECT *, floor((40 * calls_last_week + 7) / 14) AS tw10 FROM c)
+SELECT calls_today, calls_yesterday, calls_day_before,
+  calls_today - calls_yesterday AS delta_today,
+  calls_yesterday - calls_day_before AS delta_yesterday,
+  calls_last_week,
+  floor((200 * calls_last_week + 7) / 14) / 100.0 AS avg_last_week,
+  tw10 / 10.0 AS two_week_avg,
+  floor((2 * (70 * tw10 - 100 * calls_last_week) + 7) / 14) / 100.0 AS delta_avg
+FROM t""".replace("WITH logs_fx", "WITH logs_fx", 1)
+
+ORACLE["activity_visible"] = with_(LOGS_FX, USERS_FX) + """
+SELECT l.username AS viewer, l.id, l.username, l.api_endpoint, l.response_code, l.timestamp
+FROM logs_fx l WHERE l.username IN (SELECT username FROM users_fx)
+UNION ALL
+SELECT 'admin' AS viewer, id, username, api_endpoint, response_code, timestamp FROM logs_fx"""
+
+# ------------------------------------------------------------ quota/users
+_ALLOW = """CASE {s} WHEN 'Free - (0$)' THEN 10 WHEN 'Gold - (50$)' THEN 15
+  WHEN 'Platinum - (100$)' THEN 20 END"""
+
+
+def _metering_sql(with_topups: bool) -> str:
+    where = "" if with_topups else "WHERE event_type <> 'purchase'"
+    return with_(USERS_FX) + f""",
+ev AS (
+  SELECT event_id, concat('u', CAST(user_id AS VARCHAR)) AS username, ts,
+    CASE WHEN event_type = 'purchase' THEN 'topup' ELSE 'call' END AS kind
+  FROM events {where}),
+j AS (SELECT ev.*, u.service, u.calls_remaining, {_ALLOW.format(s="u.service")} AS allowance
+      FROM ev LEFT JOIN users_fx u USING (username)),
+k AS (
+  SELECT *, CASE WHEN allowance IS NOT NULL THEN date_trunc('week', ts) END AS period_start,
+    CAST(coalesce(allowance, calls_remaining) AS BIGINT) AS start,
+    CAST(CASE WHEN kind = 'topup' THEN coalesce(allowance, 0) ELSE -1 END AS BIGINT) AS delta
+  FROM j WHERE service IS NOT NULL),
+s AS (SELECT *, CAST(start + sum(delta) OVER w AS BIGINT) AS s_now FROM k
+      WINDOW w AS (PARTITION BY username, period_start ORDER BY ts, event_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT *, least(0, start, min(s_now) OVER w) AS m_now FROM s
+      WINDOW w AS (PARTITION BY username, period_start ORDER BY ts, event_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, coalesce(lag(m_now) OVER (PARTITION BY username, period_start ORDER BY ts, event_id),
+                         least(0, start)) AS m_prev FROM m)
+SELECT event_id, username, kind, period_start,
+  CASE WHEN kind = 'call' AND m_now < m_prev THEN 403 ELSE 200 END AS response_code,
+  CAST(s_now - m_now AS BIGINT) AS balance
+FROM p
+UNION ALL
+SELECT event_id, username, kind, NULL AS period_start, 404 AS response_code, NULL AS balance
+FROM j WHERE service IS NULL"""
+
+
+ORACLE["quota_metering"] = _metering_sql(False)
+ORACLE["quota_topup"] = _metering_sql(True)
+
+ORACLE["quota_reset"] = with_(USERS_FX) + f"""
+SELECT username, service,
+  CAST(coalesce({_ALLOW.format(s="service")}, calls_remaining) AS INTEGER) AS calls_remaining
+FROM users_fx"""
+
+ORACLE["remaining_calls"] = with_(USERS_FX) + """
+SELECT a.username, u.calls_remaining,
+  CASE WHEN u.calls_remaining > 5 THEN 'ok' ELSE 'low' END AS balance_flag
+FROM (SELECT DISTINCT concat('u', CAST(user_id AS VARCHAR)) AS username FROM events) a
+LEFT JOIN users_fx u USING (username)"""
+
+_SIGNUPS_FX = """signups_fx AS (
+  SELECT CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('u', CAST(c_custkey AS VARCHAR)) END AS username,
+    CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE replace(c_name, '#', '') END AS password,
+    CAST(c_custkey * 1000000007 AS VARCHAR) AS credit_card,
+    CASE c_custkey % 3 WHEN 0 THEN 'Free - (0$)' WHEN 1 THEN 'Gold - (50$)'
+      ELSE 'Platinum - (100$)' END AS service,
+    c_custkey AS ordinal
+  FROM customer)"""
+
+_ERRORS = """list_filter([
+    CASE WHEN coalesce(username, '') = '' THEN 'Username is required.' END,
+    CASE WHEN NOT regexp_matches(coalesce(password, ''), '^[a-zA-Z0-9]{8,}$')
+      THEN 'Password must be at least 8 characters long and can only contain alphanumeric characters.' END,
+    CASE WHEN NOT regexp_matches(coalesce(credit_card, ''), '^[0-9]{12}$')
+      THEN 'Credit card number must be 12 digits long and can only contain numeric characters.' END],
+  lambda x: x IS NOT NULL)"""
+
+ORACLE["signup_validation"] = with_(_SIGNUPS_FX) + f"""
+SELECT ordinal, username, CAST(len(e) AS BIGINT) AS n_errors, array_to_string(e, '; ') AS errors
+FROM (SELECT *, {_ERRORS} AS e FROM signups_fx)"""
+
+ORACLE["user_signup"] = with_(USERS_FX, _SIGNUPS_FX) + f""",
+existing AS (
+  SELECT username FROM users_fx
+  WHERE username IN (SELECT concat('u', CAST(user_id AS VARCHAR)) FROM events)),
+f AS (
+  SELECT *, len({_ERRORS}) = 0 AS valid,
+    row_number() OVER (PARTITION BY username ORDER BY ordinal) = 1 AS first
+  FROM signups_fx)
+SELECT ordinal, username,
+  CASE WHEN NOT valid THEN 422
+    WHEN username IN (SELECT username FROM existing) OR NOT first THEN 400 ELSE 201 END AS response_code
+FROM f"""
+
+_UPGRADES = """upgrades AS (
+  SELECT event_id, concat('u', CAST(user_id AS VARCHAR)) AS username, ts,
+    CASE event_id % 3 WHEN 0 THEN 'Free - (0$)' WHEN 1 THEN 'Gold - (50$)'
+      ELSE 'Platinum - (100$)' END AS service
+  FROM events WHERE event_type = 'purchase'),
+upgrade_out AS (
+  SELECT up.event_id, up.username, up.ts,
+    CASE WHEN u.username IS NOT NULL THEN 200 ELSE 404 END AS response_code,
+    CASE WHEN u.username IS NOT NULL THEN up.service END AS service,
+    CASE WHEN u.username IS NOT NULL THEN CAST(u.calls_remaining + sum(coalesce(CASE up.service
+        WHEN 'Free - (0$)' THEN 10 WHEN 'Gold - (50$)' THEN 15 WHEN 'Platinum - (100$)' THEN 20 END, 0))
+      OVER (PARTITION BY up.username ORDER BY up.ts, up.event_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) END AS calls_remaining
+  FROM upgrades up LEFT JOIN users_fx u USING (username)),
+upgrade_desc AS (
+  SELECT *, CASE WHEN response_code = 200 THEN 'Subscription updated: service=' || service
+      || ', calls_remaining=' || CAST(calls_remaining AS VARCHAR) ELSE 'User not found' END AS description
+  FROM upgrade_out)"""
+
+ORACLE["user_update"] = with_(USERS_FX, _UPGRADES) + """
+SELECT event_id, username, response_code, service, calls_remaining, description FROM upgrade_desc"""
+
+ORACLE["activity_append"] = with_(USERS_FX, LOGS_FX, _UPGRADES) + """
+SELECT (SELECT max(id) FROM logs_fx) + row_number() OVER (ORDER BY ts, event_id) AS id,
+  username, 'PUT' AS request_type, 'update_subscription' AS api_endpoint,
+  CAST(response_code AS INTEGER) AS response_code, description, ts AS timestamp
+FROM upgrade_desc"""
+
+ORACLE["mask_sensitive"] = with_(USERS_FX) + """
+SELECT username, sha256(concat('triagekit-salt', password)) AS password, service FROM users_fx"""

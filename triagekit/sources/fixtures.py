@@ -102,3 +102,41 @@ def label_names_fx(spark: SparkSession, base: str) -> DataFrame:
         F.explode(F.array(
             F.concat(F.lit("quality:"), F.col("quality").cast("string")),
             F.concat(F.lit("toxic:"), F.col("toxic").cast("string")))).alias("name"))
+
+
+def signups_fx(spark: SparkSession, base: str) -> DataFrame:
+    """Sign-up form submissions over ``customer`` (one form per customer)."""
+    c = read_table(spark, base, "customer")
+    k = F.col("c_custkey")
+    tier = F.when(k % 3 == 0, TIER_FREE).when(k % 3 == 1, TIER_GOLD).otherwise(TIER_PLATINUM)
+    return c.select(
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("u"), k.cast("string"))).alias("username"),
+        F.when(k % 5 == 0, F.col("c_name")).otherwise(F.regexp_replace("c_name", "#", "")).alias("password"),
+        (k * F.lit(1000000007)).cast("string").alias("credit_card"),
+        tier.alias("service"),
+        k.alias("ordinal"))
+
+
+def metered_events_fx(spark: SparkSession, base: str, with_topups: bool) -> DataFrame:
+    """API calls (every non-purchase event) and, optionally, purchases as top-ups."""
+    e = read_table(spark, base, "events")
+    if not with_topups:
+        e = e.where(F.col("event_type") != "purchase")
+    return e.select(
+        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"),
+        "ts", F.when(F.col("event_type") == "purchase", "topup").otherwise("call").alias("kind"))
+
+
+def upgrades_fx(spark: SparkSession, base: str) -> DataFrame:
+    """Subscription upgrades: each purchase event picks a tier."""
+    e = read_table(spark, base, "events").where(F.col("event_type") == "purchase")
+    m = F.col("event_id") % 3
+    return e.select(
+        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), "ts",
+        F.when(m == 0, TIER_FREE).when(m == 1, TIER_GOLD).otherwise(TIER_PLATINUM).alias("service"))
+
+
+def active_usernames_fx(spark: SparkSession, base: str) -> DataFrame:
+    """Users seen in the activity stream."""
+    return read_table(spark, base, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username")).distinct()
