@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import fixtures as fx
+from ..sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -196,3 +197,136 @@ def q_user_update(spark, base):
 def q_mask_sensitive(spark, base):
     from ..operators.users import mask_sensitive
     return mask_sensitive(fx.users_fx(spark, base), MASK_SALT).select("username", "password", "service")
+
+
+# ------------------------------------------------------------ text, links
+def _pages_text(spark, base):
+    p = read_table(spark, base, "pages")
+    return p.select(
+        "page_id", "url", "html",
+        F.concat(F.lit("see "), F.col("url"), F.lit(" and "), F.col("html"), F.lit(" end")).alias("text"),
+        F.concat(F.lit('<p><img width="3" src="'), F.col("url"), F.lit('"><img alt="no-src">'),
+                 F.lit('<img src="">'), F.lit('<img src="'), F.col("url"),
+                 F.lit('#2" data-x="1" src="second"></p>'), F.col("html")).alias("body"))
+
+
+@register("strip_urls")
+def q_strip_urls(spark, base):
+    from ..functions.text import strip_urls
+    return _pages_text(spark, base).select("page_id", strip_urls("text").alias("text"))
+
+
+@register("rewrite_images")
+def q_rewrite_images(spark, base):
+    from ..functions.text import rewrite_images
+    return _pages_text(spark, base).select("page_id", rewrite_images("body").alias("body"))
+
+
+@register("image_urls")
+def q_image_urls(spark, base):
+    from ..functions.text import image_urls
+    return _pages_text(spark, base).select(
+        "page_id", F.posexplode(image_urls("body")).alias("pos", "image_url")).select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"), "image_url")
+
+
+def _links(spark, base):
+    d = read_table(spark, base, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("link_id"),
+        F.concat(F.lit("https://github.com/"), "source", F.lit("/"), "lang").alias("link"))
+    p = read_table(spark, base, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("link_id"),
+        F.col("url").alias("link"))
+    return d.unionByName(p)
+
+
+@register("repo_link_parse")
+def q_repo_link_parse(spark, base):
+    from ..functions.text import repo_name_from_link, repo_owner_from_link
+    return _links(spark, base).select(
+        "link_id", repo_owner_from_link("link").alias("repo_owner"),
+        repo_name_from_link("link").alias("repo_name"))
+
+
+@register("repo_register")
+def q_repo_register(spark, base):
+    from ..functions.text import repo_name_from_link, repo_owner_from_link
+    from ..operators.upsert import register_repos
+    req = _links(spark, base).select(repo_owner_from_link("link").alias("repo_owner"),
+                                     repo_name_from_link("link").alias("repo_name"))
+    docs = read_table(spark, base, "documents")
+    labelled = docs.join(read_table(spark, base, "labels").select("doc_id"), "doc_id", "left_semi")
+    registry = labelled.select(F.col("source").alias("repo_owner"), F.col("lang").alias("repo_name"))
+    ins, present = register_repos(registry, req)
+    return (ins.withColumn("outcome", F.lit("inserted"))
+            .unionByName(present.withColumn("outcome", F.lit("exists"))))
+
+
+# ----------------------------------------------------------------- issues
+@register("issue_lookup")
+def q_issue_lookup(spark, base):
+    from ..operators.issues import lookup_closed
+    lookups = read_table(spark, base, "labels").select(
+        F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("owner"),
+        F.lit(None).cast("string").alias("repo"))
+    return lookup_closed(fx.issues_fx(spark, base), lookups).select("id", "issue_url", "title")
+
+
+@register("open_issues_page")
+def q_open_issues_page(spark, base):
+    from ..operators.issues import open_issues_page
+    return open_issues_page(fx.issues_fx(spark, base), page=2).withColumn(
+        "rank", F.col("rank").cast("bigint"))
+
+
+@register("repo_pairs")
+def q_repo_pairs(spark, base):
+    from ..operators.issues import repo_pairs
+    return repo_pairs(fx.issues_fx(spark, base))
+
+
+@register("owner_repos")
+def q_owner_repos(spark, base):
+    from ..operators.issues import owner_repos
+    return owner_repos(fx.issues_fx(spark, base)).select(
+        "repo_owner", F.array_join("repos", ", ").alias("repos"))
+
+
+@register("high_water")
+def q_high_water(spark, base):
+    from ..operators.issues import high_water
+    return high_water(fx.issues_fx(spark, base))
+
+
+# ---------------------------------------------------------------- quality
+@register("dq_extract")
+def q_dq_extract(spark, base):
+    from ..operators.quality import dq_extract
+    return dq_extract(fx.issues_fx(spark, base))
+
+
+@register("dq_suite")
+def q_dq_suite(spark, base):
+    from ..operators.quality import dq_extract, run_suite
+    return run_suite(dq_extract(fx.issues_fx(spark, base)))
+
+
+DQ_UNIQUE_COLUMNS = ["ID", "ISSUE_URL", "TITLE", "BODY"]
+
+
+@register("dq_unique")
+def q_dq_unique(spark, base):
+    from ..operators.quality import dq_extract, unique_results
+    return unique_results(dq_extract(fx.issues_fx(spark, base)), DQ_UNIQUE_COLUMNS).select(
+        "column", "success", "element_count", "unexpected_count")
+
+
+@register("dq_not_null")
+def q_dq_not_null(spark, base):
+    """Not-null over the issue columns after the left join to label names."""
+    from ..operators.quality import not_null_results
+    labels = fx.label_names_fx(spark, base).groupBy("issue_id").agg(
+        F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("labels"))
+    t = fx.issues_fx(spark, base).join(labels, F.col("id") == F.col("issue_id"), "left")
+    return not_null_results(t, ["id", "issue_url", "title", "body", "labels"]).select(
+        "column", "success", "element_count", "unexpected_count")

@@ -215,3 +215,119 @@ FROM upgrade_desc"""
 
 ORACLE["mask_sensitive"] = with_(USERS_FX) + """
 SELECT username, sha256(concat('triagekit-salt', password)) AS password, service FROM users_fx"""
+
+# ------------------------------------------------------------ text, links
+_PAGES_TEXT = """pages_text AS (
+  SELECT page_id, url, html, concat('see ', url, ' and ', html, ' end') AS text,
+    concat('<p><img width="3" src="', url, '"><img alt="no-src">', '<img src="">', '<img src="', url,
+           '#2" data-x="1" src="second"></p>', html) AS body
+  FROM pages)"""
+_IMG_TAG = '<img[^>]*?src="([^">]+)"[^>]*>'
+_IMG_SRC = '<img[^>]*?src="([^">]+)"'
+
+ORACLE["strip_urls"] = with_(_PAGES_TEXT) + """
+SELECT page_id, regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g') AS text FROM pages_text"""
+
+ORACLE["rewrite_images"] = with_(_PAGES_TEXT) + f"""
+SELECT page_id, regexp_replace(coalesce(body, ''), '{_IMG_TAG}',
+  '<img src="\\1" style="width:auto;height:auto;max-width:100%;" />', 'g') AS body
+FROM pages_text"""
+
+ORACLE["image_urls"] = with_(_PAGES_TEXT) + f""",
+l AS (SELECT page_id, regexp_extract_all(coalesce(body, ''), '{_IMG_SRC}', 1) AS urls FROM pages_text)
+SELECT page_id, CAST(generate_subscripts(urls, 1) - 1 AS BIGINT) AS pos, unnest(urls) AS image_url
+FROM l"""
+
+_LINKS = """links AS (
+  SELECT concat('d', CAST(doc_id AS VARCHAR)) AS link_id,
+    concat('https://github.com/', source, '/', lang) AS link FROM documents
+  UNION ALL
+  SELECT concat('p', CAST(page_id AS VARCHAR)) AS link_id, url AS link FROM pages),
+parsed AS (
+  SELECT link_id,
+    nullif(regexp_extract(link, '^https://github\\.com/([^/]+)/([^/?#]+)', 1), '') AS repo_owner,
+    nullif(regexp_extract(link, '^https://github\\.com/([^/]+)/([^/?#]+)', 2), '') AS repo_name
+  FROM links)"""
+
+ORACLE["repo_link_parse"] = with_(_LINKS) + "SELECT link_id, repo_owner, repo_name FROM parsed"
+
+ORACLE["repo_register"] = with_(_LINKS) + """,
+req AS (SELECT DISTINCT repo_owner, repo_name FROM parsed
+        WHERE repo_owner IS NOT NULL AND repo_name IS NOT NULL),
+reg AS (SELECT DISTINCT source AS repo_owner, lang AS repo_name FROM documents
+        WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT r.repo_owner, r.repo_name,
+  CASE WHEN g.repo_owner IS NULL THEN 'inserted' ELSE 'exists' END AS outcome
+FROM req r LEFT JOIN reg g ON r.repo_owner = g.repo_owner AND r.repo_name = g.repo_name"""
+
+# ----------------------------------------------------------------- issues
+ORACLE["issue_lookup"] = with_(ISSUES_FX) + """
+SELECT l.doc_id AS id, i.issue_url, i.title
+FROM labels l LEFT JOIN issues_fx i ON i.id = l.doc_id AND i.state = 'closed'"""
+
+ORACLE["open_issues_page"] = with_(ISSUES_FX) + """
+SELECT * FROM (
+  SELECT repo_owner, repo_name, id, title, issue_url,
+    row_number() OVER (PARTITION BY repo_owner, repo_name ORDER BY id DESC) AS rank
+  FROM issues_fx WHERE state = 'open')
+WHERE rank > 10 AND rank <= 20"""
+
+ORACLE["repo_pairs"] = with_(ISSUES_FX) + "SELECT DISTINCT repo_owner, repo_name FROM issues_fx"
+
+ORACLE["owner_repos"] = with_(ISSUES_FX) + """
+SELECT repo_owner, string_agg(repo_name, ', ' ORDER BY repo_name) AS repos
+FROM (SELECT DISTINCT repo_owner, repo_name FROM issues_fx) GROUP BY repo_owner"""
+
+ORACLE["high_water"] = with_(ISSUES_FX) + """
+SELECT repo_owner, repo_name, max(updated_at) AS high_water,
+  strftime(max(updated_at) + INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%SZ') AS since
+FROM issues_fx GROUP BY repo_owner, repo_name"""
+
+# ---------------------------------------------------------------- quality
+_DQ_EXTRACT = """dq AS (
+  SELECT id AS "ID", issue_url AS "ISSUE_URL", repo_owner AS "REPO_OWNER", repo_name AS "REPO_NAME",
+    issue_number AS "ISSUE_NUMBER", created_by AS "CREATED_BY", title AS "TITLE", body AS "BODY",
+    state AS "STATE", updated_at AS "UPDATED_AT"
+  FROM issues_fx)"""
+
+ORACLE["dq_extract"] = with_(ISSUES_FX, _DQ_EXTRACT) + "SELECT * FROM dq"
+
+
+def _unique_sql(table: str, col: str, full: bool) -> str:
+    head = "'expect_column_values_to_be_unique' AS expectation_type, " if full else ""
+    tail = ", NULL::VARCHAR AS observed" if full else ""
+    return f"""SELECT {head}'{col}' AS "column", coalesce(sum(n) FILTER (WHERE n > 1), 0) = 0 AS success,
+  (SELECT count(*) FROM {table}) AS element_count,
+  CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS unexpected_count{tail}
+FROM (SELECT CAST("{col}" AS VARCHAR) AS v, count(*) AS n FROM {table}
+      WHERE "{col}" IS NOT NULL GROUP BY v)"""
+
+
+def _not_null_sql(table: str, col: str, full: bool) -> str:
+    head = "'expect_column_values_to_not_be_null' AS expectation_type, " if full else ""
+    tail = ", NULL::VARCHAR AS observed" if full else ""
+    return f"""SELECT {head}'{col}' AS "column", count(*) FILTER (WHERE "{col}" IS NULL) = 0 AS success,
+  count(*) AS element_count, count(*) FILTER (WHERE "{col}" IS NULL) AS unexpected_count{tail}
+FROM {table}"""
+
+
+_NN_COLS = ["ID", "ISSUE_URL", "REPO_OWNER", "REPO_NAME", "ISSUE_NUMBER", "CREATED_BY",
+            "TITLE", "STATE", "UPDATED_AT"]
+
+ORACLE["dq_suite"] = with_(ISSUES_FX, _DQ_EXTRACT) + "\nUNION ALL\n".join([
+    """SELECT 'expect_table_row_count_to_be_between' AS expectation_type, NULL::VARCHAR AS "column",
+  count(*) BETWEEN 1 AND 10000 AS success, count(*) AS element_count,
+  NULL::BIGINT AS unexpected_count, CAST(count(*) AS VARCHAR) AS observed FROM dq""",
+    """SELECT 'expect_table_columns_to_match_set', NULL, true, NULL, NULL,
+  'BODY, CREATED_BY, ID, ISSUE_NUMBER, ISSUE_URL, REPO_NAME, REPO_OWNER, STATE, TITLE, UPDATED_AT'""",
+] + [_unique_sql("dq", c, True) for c in ["ID", "ISSUE_URL"]]
+  + [_not_null_sql("dq", c, True) for c in _NN_COLS])
+
+ORACLE["dq_unique"] = with_(ISSUES_FX, _DQ_EXTRACT) + "\nUNION ALL\n".join(
+    _unique_sql("dq", c, False) for c in ["ID", "ISSUE_URL", "TITLE", "BODY"])
+
+ORACLE["dq_not_null"] = with_(ISSUES_FX) + """,
+lab AS (SELECT doc_id AS issue_id, 'x' AS labels FROM labels),
+t AS (SELECT i.*, lab.labels FROM issues_fx i LEFT JOIN lab ON i.id = lab.issue_id)
+""" + "\nUNION ALL\n".join(_not_null_sql("t", c, False)
+                           for c in ["id", "issue_url", "title", "body", "labels"])
