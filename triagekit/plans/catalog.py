@@ -330,3 +330,55 @@ def q_dq_not_null(spark, base):
     t = fx.issues_fx(spark, base).join(labels, F.col("id") == F.col("issue_id"), "left")
     return not_null_results(t, ["id", "issue_url", "title", "body", "labels"]).select(
         "column", "success", "element_count", "unexpected_count")
+
+
+# ------------------------------------------------------- tokens, embedding
+EMBED_DIM = 64
+
+
+@register("tokenize")
+def q_tokenize(spark, base):
+    from ..functions.tokens import clean_tokens
+    d = read_table(spark, base, "documents").select("doc_id", clean_tokens(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"),
+                    F.array_join("t", " ").alias("tokens"))
+
+
+@register("vocab_encode")
+def q_vocab_encode(spark, base):
+    from ..operators.embed import build_vocabulary, encode_tokens, token_rows
+    toks = token_rows(read_table(spark, base, "documents"))
+    enc = encode_tokens(toks, build_vocabulary(toks))
+    return enc.select(F.col("id").alias("doc_id"), F.col("pos").cast("bigint").alias("pos"), "token_id")
+
+
+@register("chunk_tokens")
+def q_chunk_tokens(spark, base):
+    from ..operators.embed import chunk_sizes
+    c = chunk_sizes(read_table(spark, base, "documents"))
+    return c.select(F.col("id").alias("doc_id"), F.col("chunk_no").cast("bigint").alias("chunk_no"),
+                    "n_tokens")
+
+
+@register("embed_bag")
+def q_embed_bag(spark, base):
+    from ..operators.embed import chunk_bag_weights
+    w = chunk_bag_weights(read_table(spark, base, "documents"), EMBED_DIM, fixed_point=True)
+    return w.select(F.col("id").alias("doc_id"), F.col("chunk_no").cast("bigint").alias("chunk_no"),
+                    F.col("bucket").cast("bigint").alias("bucket"), "weight")
+
+
+@register("chunk_mean_pool")
+def q_chunk_mean_pool(spark, base):
+    from ..operators.embed import chunk_bag_weights, mean_pool
+    w = chunk_bag_weights(read_table(spark, base, "documents"), EMBED_DIM, fixed_point=True)
+    p = mean_pool(w, fixed_point=True)
+    return p.select(F.col("id").alias("doc_id"), F.col("bucket").cast("bigint").alias("bucket"), "value")
+
+
+@register("issue_embeddings")
+def q_issue_embeddings(spark, base):
+    from ..operators.embed import issue_embeddings
+    e = issue_embeddings(fx.issues_fx(spark, base), EMBED_DIM, id_col="id", text_col="body",
+                         fixed_point=True)
+    return e.select("id", "n_chunks", F.array_join("vector", ",").alias("vector"))

@@ -331,3 +331,51 @@ lab AS (SELECT doc_id AS issue_id, 'x' AS labels FROM labels),
 t AS (SELECT i.*, lab.labels FROM issues_fx i LEFT JOIN lab ON i.id = lab.issue_id)
 """ + "\nUNION ALL\n".join(_not_null_sql("t", c, False)
                            for c in ["id", "issue_url", "title", "body", "labels"])
+
+# ------------------------------------------------------- tokens, embedding
+_TOKS = """toks AS (
+  SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), 'https?://[!$-_a-z]+', '', 'g')),
+    '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N} \\t\\n\\x0B\\f\\r]', 0) AS t
+  FROM documents),
+tok_rows AS (
+  SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS token, len(t) AS n
+  FROM toks)"""
+
+_BAG = """bag AS (
+  SELECT doc_id, pos // 512 AS chunk_no, least(512, n - (pos // 512) * 512) AS n_tokens,
+    CAST(ceil(n / 512.0) AS BIGINT) AS n_chunks,
+    CAST(('0x' || substr(md5(token), 1, 4))::INTEGER % 64 AS BIGINT) AS bucket
+  FROM tok_rows),
+weights AS (
+  SELECT doc_id, chunk_no, n_chunks, bucket, CAST(count(*) * 1000000 // n_tokens AS BIGINT) AS weight
+  FROM bag GROUP BY doc_id, chunk_no, n_tokens, n_chunks, bucket),
+pooled AS (
+  SELECT doc_id, bucket, n_chunks, CAST(sum(weight) // n_chunks AS BIGINT) AS value
+  FROM weights GROUP BY doc_id, bucket, n_chunks)"""
+
+ORACLE["tokenize"] = with_(_TOKS) + """
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens FROM toks"""
+
+ORACLE["vocab_encode"] = with_(_TOKS) + """,
+vocab AS (SELECT token, dense_rank() OVER (ORDER BY token) AS token_id FROM (SELECT DISTINCT token FROM tok_rows))
+SELECT r.doc_id, r.pos, CAST(v.token_id AS BIGINT) AS token_id FROM tok_rows r JOIN vocab v USING (token)"""
+
+ORACLE["chunk_tokens"] = with_(_TOKS) + """,
+c AS (SELECT doc_id, len(t) AS n FROM toks WHERE len(t) > 0)
+SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(least(512, n - chunk_no * 512) AS BIGINT) AS n_tokens
+FROM (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 512.0) AS BIGINT))) AS chunk_no FROM c)"""
+
+ORACLE["embed_bag"] = with_(_TOKS, _BAG) + """
+SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, bucket, weight FROM weights"""
+
+ORACLE["chunk_mean_pool"] = with_(_TOKS, _BAG) + "SELECT doc_id, bucket, value FROM pooled"
+
+ORACLE["issue_embeddings"] = with_(_TOKS, _BAG) + """,
+dims AS (SELECT unnest(range(0, 64)) AS bucket),
+nch AS (SELECT DISTINCT doc_id, n_chunks FROM pooled)
+SELECT d.doc_id AS id, CAST(coalesce(n.n_chunks, 0) AS BIGINT) AS n_chunks,
+  string_agg(CAST(coalesce(p.value, 0) AS VARCHAR), ',' ORDER BY g.bucket) AS vector
+FROM documents d CROSS JOIN dims g
+LEFT JOIN pooled p ON p.doc_id = d.doc_id AND p.bucket = g.bucket
+LEFT JOIN nch n ON n.doc_id = d.doc_id
+GROUP BY d.doc_id, n.n_chunks"""
