@@ -382,3 +382,109 @@ def q_issue_embeddings(spark, base):
     e = issue_embeddings(fx.issues_fx(spark, base), EMBED_DIM, id_col="id", text_col="body",
                          fixed_point=True)
     return e.select("id", "n_chunks", F.array_join("vector", ",").alias("vector"))
+
+
+# ------------------------------------------------------- ingest, comments
+def _flat(spark, base):
+    from ..operators.ingest import flatten_issues
+    return flatten_issues(fx.raw_issues_fx(spark, base))
+
+
+@register("issue_flatten")
+def q_issue_flatten(spark, base):
+    from ..operators.ingest import endpoint_of
+    f = endpoint_of(_flat(spark, base))
+    return f.select("id", "issue_url", "repo_owner", "repo_name", "issue_number", "created_by",
+                    "title", "body", F.size("comments").cast("bigint").alias("n_comments"),
+                    F.size("reactions").cast("bigint").alias("n_reactions"),
+                    "assignees", "labels", "milestone", "state", "updated_at", "endpoint")
+
+
+@register("comments_map")
+def q_comments_map(spark, base):
+    return _flat(spark, base).select("id", F.explode("comments").alias("comment_key", "body"))
+
+
+@register("comments_json")
+def q_comments_json(spark, base):
+    """Comments map encoded as JSON text and decoded back (value round trip)."""
+    j = _flat(spark, base).select("id", F.to_json("comments").alias("comments_json"))
+    back = j.select("id", F.from_json("comments_json", "map<string,string>").alias("m"))
+    return back.select("id", F.explode("m").alias("comment_key", "body"))
+
+
+@register("labels_joined")
+def q_labels_joined(spark, base):
+    return _flat(spark, base).select("id", "labels")
+
+
+@register("open_issues_comments")
+def q_open_issues_comments(spark, base):
+    from ..operators.ingest import attach_children
+    issues = fx.issues_fx(spark, base).where(F.col("state") == "open").select("id", "title")
+    com = fx.comments_fx(spark, base).select("issue_id", F.col("comment_id").alias("id"), "body")
+    kept, _ = attach_children(issues, com)
+    return kept.select("id", "title", F.explode_outer("comments").alias("c")).select(
+        "id", "title", F.col("c.id").alias("comment_id"), F.col("c.body").alias("body"))
+
+
+def _incremental(spark, base):
+    from ..operators.ingest import select_incremental
+    return select_incremental(fx.issues_fx(spark, base), fx.landed_updates_fx(spark, base))
+
+
+@register("ingest_incremental")
+def q_ingest_incremental(spark, base):
+    return _incremental(spark, base).select("id", "turn", "title", "state", "updated_at")
+
+
+@register("issue_upsert")
+def q_issue_upsert(spark, base):
+    from ..operators.upsert import merge_by_key
+    target = fx.issues_fx(spark, base)
+    merged = merge_by_key(target, _incremental(spark, base), ["id"], order=["updated_at", "turn"])
+    return merged.select("id", "title", "state", "updated_at")
+
+
+# ---------------------------------------------------------- vector index
+@register("ivf_assign")
+def q_ivf_assign(spark, base):
+    from ..operators.ivf import assign_cells, label_centroids
+    emb = read_table(spark, base, "embeddings").select(
+        F.col("vec_id").alias("pk"), F.col("embedding").alias("embeddings"), "label")
+    return assign_cells(emb, label_centroids(emb, "label")).select("pk", "cell")
+
+
+def _reembedded_ids(spark, base):
+    c = read_table(spark, base, "conversations").select(F.col("conv_id").alias("id"))
+    return fx.issues_fx(spark, base).join(c, "id", "left_semi")
+
+
+@register("vectors_existing")
+def q_vectors_existing(spark, base):
+    batch = _reembedded_ids(spark, base).select(F.col("id").alias("pk"))
+    return fx.vectors_fx(spark, base).join(batch, "pk", "left_semi").select("pk")
+
+
+@register("vector_upsert")
+def q_vector_upsert(spark, base):
+    from ..operators.embed import issue_embeddings
+    from ..operators.upsert import merge_by_key
+    docs = _reembedded_ids(spark, base)
+    new = issue_embeddings(docs, EMBED_DIM, id_col="id", text_col="body").select(
+        F.col("id").alias("pk"), F.col("vector").cast("array<float>").alias("embeddings"))
+    target = fx.vectors_fx(spark, base)
+    merged = merge_by_key(target.withColumn("origin", F.lit("target")),
+                          new.withColumn("origin", F.lit("batch")), ["pk"])
+    return merged.select("pk", "origin", F.size("embeddings").cast("bigint").alias("dim"))
+
+
+# ---------------------------------------------------------------- prompts
+@register("prompts_rendered")
+def q_prompts_rendered(spark, base):
+    from ..operators.prompts import solution_prompt
+    from ..operators.similarity import unmatched_queries
+    q = fx.query_vectors_fx(spark, base).select("query_id")
+    un = unmatched_queries(q, _matches(spark, base, threshold=SERVICE_THRESHOLD))
+    body = fx.issues_fx(spark, base).select(F.col("id").alias("query_id"), "body")
+    return un.join(body, "query_id").select("query_id", solution_prompt(F.col("body")).alias("prompt"))

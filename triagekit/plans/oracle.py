@@ -379,3 +379,79 @@ FROM documents d CROSS JOIN dims g
 LEFT JOIN pooled p ON p.doc_id = d.doc_id AND p.bucket = g.bucket
 LEFT JOIN nch n ON n.doc_id = d.doc_id
 GROUP BY d.doc_id, n.n_chunks"""
+
+# ------------------------------------------------------- ingest, comments
+_COMMENTS = """com AS (
+  SELECT conv_id AS id, 'comment ' || CAST(turn AS VARCHAR) AS comment_key, text AS body
+  FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents)),
+lab AS (
+  SELECT doc_id AS id, string_agg(name, ', ' ORDER BY name) AS labels FROM (
+    SELECT doc_id, 'quality:' || CAST(quality AS VARCHAR) AS name FROM labels
+    UNION ALL SELECT doc_id, 'toxic:' || CAST(toxic AS VARCHAR) FROM labels) GROUP BY doc_id)"""
+
+ORACLE["issue_flatten"] = with_(ISSUES_FX, _COMMENTS) + """
+SELECT i.id, i.issue_url, i.repo_owner, i.repo_name, i.issue_number, i.created_by, i.title, i.body,
+  CAST((SELECT count(DISTINCT comment_key) FROM com WHERE com.id = i.id) AS BIGINT) AS n_comments,
+  CAST(0 AS BIGINT) AS n_reactions, i.created_by AS assignees, coalesce(l.labels, '') AS labels,
+  CASE WHEN i.id % 5 <> 0 THEN 'v' || CAST(i.id % 5 AS VARCHAR) ELSE 'None' END AS milestone,
+  i.state, i.updated_at,
+  'https://api.github.com/repos/' || i.repo_owner || '/' || i.repo_name || '/issues' AS endpoint
+FROM issues_fx i LEFT JOIN lab l ON l.id = i.id"""
+
+ORACLE["comments_map"] = with_(_COMMENTS) + "SELECT id, comment_key, body FROM com"
+ORACLE["comments_json"] = ORACLE["comments_map"]
+
+ORACLE["labels_joined"] = with_(ISSUES_FX, _COMMENTS) + """
+SELECT i.id, coalesce(l.labels, '') AS labels FROM issues_fx i LEFT JOIN lab l ON l.id = i.id"""
+
+ORACLE["open_issues_comments"] = with_(ISSUES_FX) + """
+SELECT i.id, i.title, c.turn AS comment_id, c.text AS body
+FROM issues_fx i LEFT JOIN conversations c ON c.conv_id = i.id WHERE i.state = 'open'"""
+
+_INCREMENTAL = """landed AS (
+  SELECT i.id, c.turn, 'turn ' || CAST(c.turn AS VARCHAR) || ': ' || substr(c.text, 1, 40) AS title,
+    c.text AS body, CASE WHEN c.role = 'user' THEN 'open' ELSE 'closed' END AS state,
+    i.updated_at + to_days(CAST(c.turn AS INTEGER)) AS updated_at, i.repo_owner, i.repo_name
+  FROM conversations c JOIN issues_fx i ON c.conv_id = i.id),
+hw AS (SELECT repo_owner, repo_name, max(updated_at) + INTERVAL 1 SECOND AS since
+       FROM issues_fx GROUP BY 1, 2),
+sel AS (
+  SELECT l.* FROM landed l LEFT JOIN hw USING (repo_owner, repo_name)
+  WHERE l.body IS NOT NULL AND l.body <> '' AND (hw.since IS NULL OR l.updated_at >= hw.since))"""
+
+ORACLE["ingest_incremental"] = with_(ISSUES_FX, _INCREMENTAL) + """
+SELECT id, turn, title, state, updated_at FROM sel"""
+
+ORACLE["issue_upsert"] = with_(ISSUES_FX, _INCREMENTAL) + """,
+last AS (SELECT * FROM sel QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, turn DESC) = 1)
+SELECT id, title, state, updated_at FROM issues_fx WHERE id NOT IN (SELECT id FROM last)
+UNION ALL SELECT id, title, state, updated_at FROM last"""
+
+# ---------------------------------------------------------- vector index
+ORACLE["ivf_assign"] = """
+WITH ex AS (SELECT label, generate_subscripts(embedding, 1) AS j, unnest(embedding) AS x FROM embeddings),
+cent AS (SELECT label AS cell, j, avg(x::DOUBLE) AS x FROM ex GROUP BY label, j),
+centv AS (SELECT cell, list(x ORDER BY j) AS c FROM cent GROUP BY cell),
+d AS (SELECT e.vec_id AS pk, c.cell,
+        list_sum(list_transform(list_zip(e.embedding, c.c),
+          lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))) AS dist
+      FROM embeddings e, centv c)
+SELECT pk, CAST(cell AS INTEGER) AS cell FROM d
+QUALIFY row_number() OVER (PARTITION BY pk ORDER BY dist, cell) = 1"""
+
+_REEMBED = """reembed AS (SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations))"""
+
+ORACLE["vectors_existing"] = with_(_REEMBED) + """
+SELECT vec_id AS pk FROM embeddings WHERE vec_id IN (SELECT id FROM reembed)"""
+
+ORACLE["vector_upsert"] = with_(_REEMBED) + """
+SELECT vec_id AS pk, 'target' AS origin, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings
+WHERE vec_id NOT IN (SELECT id FROM reembed)
+UNION ALL SELECT id AS pk, 'batch' AS origin, CAST(64 AS BIGINT) AS dim FROM reembed"""
+
+# ---------------------------------------------------------------- prompts
+ORACLE["prompts_rendered"] = with_(*_SERVICE_CTES) + """
+SELECT e.vec_id AS query_id,
+  'What is a possible solution to the following GitHub issue? Please provide a very detailed and instructive solution, or if there are no questions to answer in the issue, suggest some potential solutions or explain why a solution may not be feasible. If you are unsure, please provide any insights or suggestions that may be helpful in resolving the issue. Thank you for your contribution!.' || chr(10) || chr(10) || ' Github Issue:' || coalesce(i.body, '') || chr(10) || chr(10) AS prompt
+FROM embeddings e JOIN issues_fx i ON i.id = e.vec_id
+WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.query_id = e.vec_id)"""

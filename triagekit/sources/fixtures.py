@@ -140,3 +140,42 @@ def active_usernames_fx(spark: SparkSession, base: str) -> DataFrame:
     """Users seen in the activity stream."""
     return read_table(spark, base, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username")).distinct()
+
+
+def raw_issues_fx(spark: SparkSession, base: str) -> DataFrame:
+    """Landed issue documents (nested, as the REST API serves them)."""
+    issues = issues_fx(spark, base)
+    com = comments_fx(spark, base).groupBy("issue_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("comment_id").alias("id"),
+                                             F.col("body")))).alias("comments"))
+    lab = label_names_fx(spark, base).groupBy("issue_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("name")))).alias("labels"))
+    j = (issues.join(com, issues["id"] == com["issue_id"], "left").drop("issue_id")
+         .join(lab, issues["id"] == lab["issue_id"], "left").drop("issue_id"))
+    ms = F.col("id") % 5
+    return j.select(
+        "id", F.col("issue_number").alias("number"), F.col("issue_url").alias("html_url"),
+        "repo_owner", "repo_name", "title", "body", "state",
+        F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"),
+        F.struct(F.col("created_by").alias("login")).alias("user"),
+        F.array(F.struct(F.col("created_by").alias("login"))).alias("assignees"),
+        F.coalesce("labels", F.array().cast("array<struct<name:string>>")).alias("labels"),
+        F.when(ms != 0, F.struct(F.concat(F.lit("v"), ms.cast("string")).alias("title"))).alias("milestone"),
+        F.coalesce("comments", F.array().cast("array<struct<id:bigint,body:string>>")).alias("comments"),
+        F.array().cast("array<struct<id:bigint,user:struct<login:string,id:bigint>,content:string,"
+                       "created_at:string>>").alias("reactions"))
+
+
+def landed_updates_fx(spark: SparkSession, base: str) -> DataFrame:
+    """New versions of issues landed by the daily pull: one per conversation turn."""
+    c = read_table(spark, base, "conversations")
+    i = issues_fx(spark, base)
+    j = c.join(i, c["conv_id"] == i["id"])
+    return j.select(
+        "id", "issue_url", "repo_owner", "repo_name", "issue_number", "created_by",
+        F.concat(F.lit("turn "), F.col("turn").cast("string"), F.lit(": "),
+                 F.substring("text", 1, 40)).alias("title"),
+        F.col("text").alias("body"),
+        F.when(F.col("role") == "user", "open").otherwise("closed").alias("state"),
+        (F.col("updated_at") + F.make_dt_interval(F.col("turn").cast("int"))).alias("updated_at"),
+        "turn")
