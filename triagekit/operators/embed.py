@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokens import CHUNK_SIZE, clean_tokens, n_chunks
+from ..session import spread
 from .indexing import with_sequential_index
 
 UNK_ID = 0
@@ -29,8 +30,8 @@ FIXED_POINT = 1_000_000
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, token) for every token of every document (whole texts)."""
-    return docs.select(F.col(id_col).alias("id"),
-                       F.posexplode(clean_tokens(F.col(text_col))).alias("pos", "token"))
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))).select(
+        "id", F.posexplode(clean_tokens(F.col("_text"))).alias("pos", "token"))
 
 
 def build_vocabulary(tokens: DataFrame) -> DataFrame:
@@ -55,11 +56,14 @@ def encode_tokens(tokens: DataFrame, vocab: DataFrame, broadcast_max_rows: int =
 def chunk_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 size: int = CHUNK_SIZE) -> DataFrame:
     """(id, chunk_no, n_tokens) per chunk — arithmetic on the token count, no shuffle."""
-    n = F.size(clean_tokens(F.col(text_col)))
-    base = docs.select(F.col(id_col).alias("id"), n.alias("_n"))
+    n = F.size(clean_tokens(F.col("_text")))
+    base = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))).select(
+        "id", n.alias("_n"))
     k = n_chunks(F.col("_n"), size)
-    return base.where(k > 0).select(
-        "id", F.explode(F.sequence(F.lit(0), k - 1)).alias("chunk_no"), "_n").select(
+    # No filter on the derived count (it would be pushed below the projection
+    # and re-run the regex); an empty sequence explodes to nothing instead.
+    chunks = F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    return base.select("id", F.explode(chunks).alias("chunk_no"), "_n").select(
         "id", "chunk_no",
         F.least(F.lit(size), F.col("_n") - F.col("chunk_no") * size).cast("long").alias("n_tokens"))
 
@@ -78,7 +82,8 @@ def chunk_bag_weights(docs: DataFrame, dim: int, id_col: str = "doc_id", text_co
     document's chunk count are functions of (id, chunk_no) and ride along
     in the grouping key, so no join is needed.
     """
-    base = docs.select(F.col(id_col).alias("id"), clean_tokens(F.col(text_col)).alias("_t"))
+    base = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))).select(
+        "id", clean_tokens(F.col("_text")).alias("_t"))
     base = base.select("id", "_t", F.size("_t").alias("_n"))
     toks = base.select("id", "_n", F.posexplode("_t").alias("pos", "token"))
     chunk_no = (F.col("pos") / F.lit(size)).cast("int")

@@ -141,7 +141,8 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
         T.StructField("pk", T.LongType()),
         T.StructField("distance", T.DoubleType()),
     ])
-    partial = vectors.select(pk_col, vec_col).mapInPandas(
+    from ..session import spread
+    partial = spread(vectors.select(pk_col, vec_col)).mapInPandas(
         _partial_topk_fn(bc, k, pk_col, vec_col), schema)
     w = Window.partitionBy("query_id").orderBy("distance", "pk")
     out = (partial.withColumn("rank", F.row_number().over(w))

@@ -339,7 +339,9 @@ EMBED_DIM = 64
 @register("tokenize")
 def q_tokenize(spark, base):
     from ..functions.tokens import clean_tokens
-    d = read_table(spark, base, "documents").select("doc_id", clean_tokens(F.col("text")).alias("t"))
+    from ..session import spread
+    d = spread(read_table(spark, base, "documents").select("doc_id", "text")).select(
+        "doc_id", clean_tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"),
                     F.array_join("t", " ").alias("tokens"))
 
