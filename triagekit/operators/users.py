@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indexing import running_sum
 from .quota import topup_amount
 
 # Sign-up form rules and their messages.
@@ -50,14 +51,17 @@ def signup(users: DataFrame, forms: DataFrame, salt: str) -> DataFrame:
     user row to append (null when not inserted).
     """
     f = validate_signups(forms)
-    first = F.row_number().over(Window.partitionBy("username").orderBy("ordinal")) == 1
-    f = f.withColumn("_first", first)
+    # One row per username (first ordinal, already registered?) by aggregation,
+    # then a single join back: a username repeated in a third of the batch is
+    # combined map-side and split by AQE in the join, never windowed whole.
+    per_name = f.groupBy("username").agg(F.min("ordinal").alias("_first_ord"))
     exists = users.select("username").distinct().withColumn("_exists", F.lit(True))
-    f = f.join(exists, "username", "left")
+    per_name = per_name.join(exists, "username", "left")
+    f = f.join(per_name, "username", "left")
     code = (F.when(~F.col("valid"), F.lit(422))
-            .when(F.col("_exists").isNotNull() | ~F.col("_first"), F.lit(400))
+            .when(F.col("_exists").isNotNull() | (F.col("ordinal") != F.col("_first_ord")), F.lit(400))
             .otherwise(F.lit(201)))
-    return f.withColumn("response_code", code)
+    return f.withColumn("response_code", code).drop("_first_ord", "_exists")
 
 
 def inserted_users(outcomes: DataFrame, salt: str) -> DataFrame:
@@ -78,9 +82,12 @@ def update_subscriptions(users: DataFrame, updates: DataFrame) -> DataFrame:
     u = users.select("username", F.col("service").alias("_old_service"),
                      F.col("calls_remaining").cast("long").alias("_init"))
     j = updates.join(u, "username", "left")
-    w = (Window.partitionBy("username").orderBy("ts", "event_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    added = F.sum(topup_amount(F.col("service")).cast("long")).over(w)
+    j = j.withColumn("_amt", topup_amount(F.col("service")).cast("long"))
+    # Running sum per user as a two-level scan over hourly chunks (hot users
+    # are split across tasks).
+    j = running_sum(j, ["username"], ["ts", "event_id"], "_amt",
+                    F.date_trunc("hour", F.col("ts").cast("timestamp")), name="_added")
+    added = F.col("_added")
     j = j.withColumn("_found", F.col("_init").isNotNull() | F.col("_old_service").isNotNull())
     remaining = F.when(F.col("_found"), F.coalesce(F.col("_init"), F.lit(0)) + added)
     desc = F.when(F.col("_found"), F.format_string(
