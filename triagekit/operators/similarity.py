@@ -36,12 +36,11 @@ def rescale_similarity(hits: DataFrame, query_id_col: str = "query_id") -> DataF
     return hits.withColumn("similarity", sim)
 
 
-def _join_closed(hits: DataFrame, issues: DataFrame, scoped: bool,
-                 broadcast_hits: bool) -> DataFrame:
+def _join_closed(hits: DataFrame, issues: DataFrame, scoped: bool) -> DataFrame:
     closed = issues.where(F.col("state") == "closed").select(
         F.col("id"), F.col("title"), F.col("issue_url").alias("url"),
         F.col("repo_owner").alias("_owner"), F.col("repo_name").alias("_repo"))
-    h = F.broadcast(hits) if broadcast_hits else hits
+    h = hits
     cond = h["pk"] == closed["id"]
     if scoped:
         # None / "" mean "no filter" for owner and repo.
@@ -54,8 +53,7 @@ def _join_closed(hits: DataFrame, issues: DataFrame, scoped: bool,
 
 def similar_issues(vectors: DataFrame, queries: DataFrame, issues: DataFrame, *,
                    k: int = DEFAULT_TOP_K, threshold: float = DEFAULT_THRESHOLD,
-                   scoped: bool = False, squared: bool = True,
-                   max_broadcast_hits: int = 2_000_000, **knn_kw) -> DataFrame:
+                   scoped: bool = False, squared: bool = True, **knn_kw) -> DataFrame:
     """Closed issues similar to each query: ``(query_id, id, title, similarity, url)``.
 
     ``queries`` has ``query_id, embedding`` and, when ``scoped``, nullable
@@ -67,11 +65,10 @@ def similar_issues(vectors: DataFrame, queries: DataFrame, issues: DataFrame, *,
     hits = rescale_similarity(hits).where(F.col("similarity") > F.lit(float(threshold)))
     if scoped:
         hits = hits.join(queries.select("query_id", "owner", "repo"), "query_id")
-    # Hits are bounded by queries × k; broadcast them when that bound is small,
-    # otherwise let the join shuffle both sides on id.
-    n_queries = queries.count() if max_broadcast_hits else 0
-    small = n_queries * k <= max_broadcast_hits
-    out = _join_closed(hits, issues, scoped, broadcast_hits=small)
+    # No static hint: the thresholded hits are usually a small fraction of
+    # queries × k, and AQE broadcasts them at runtime when their measured
+    # size is under the threshold; otherwise both sides shuffle on id.
+    out = _join_closed(hits, issues, scoped)
     return out.select("query_id", "id", "title", "similarity", "url")
 
 
