@@ -340,3 +340,49 @@ def test_open_issue_pagination(spark):
                                 "id long, repo_owner string, repo_name string, title string, issue_url string, state string")
     got = [r["id"] for r in issues.open_issues_page(iss, page=3).orderBy("rank").collect()]
     assert got == [4, 3, 2, 1, 0]
+
+
+# ------------------------------------------------------- files, hooks
+def test_csv_extract_roundtrip_latest_batch(spark, tmp_dir):
+    from triagekit.sources import files
+    iss = fx.issues_fx(spark, SF_SMALL)
+    ext = quality.dq_extract(iss)
+    files.write_csv_extract(ext.where("ID < 50"), f"{tmp_dir}/issues/20240101-000000")
+    files.write_csv_extract(ext, f"{tmp_dir}/issues/20240102-000000")
+    back = files.read_latest_csv_batch(spark, f"{tmp_dir}/issues", ext.schema)
+    assert back.count() == ext.count()
+    res = {(r["expectation_type"], r["column"]): r["success"] for r in quality.run_suite(back).collect()}
+    assert res[("expect_column_values_to_be_unique", "ID")]
+    assert sorted(tuple(r) for r in back.select("ID", "BODY").collect()) == \
+        sorted(tuple(r) for r in ext.select("ID", "BODY").collect())
+
+
+def test_ensure_table_and_append(spark, tmp_dir):
+    from triagekit.schemas import APP_USER
+    from triagekit.sources import files
+    t = files.ensure_table(spark, f"{tmp_dir}/users", APP_USER)
+    assert t.count() == 0 and t.columns == APP_USER.fieldNames()
+    forms = spark.createDataFrame([("neo", "abcdefgh1", "123456789012", "Gold - (50$)", 1)],
+                                  "username string, password string, credit_card string, service string, ordinal long")
+    out = users.signup(t, forms, "salt")
+    files.append_rows(users.inserted_users(out, "salt"), f"{tmp_dir}/users")
+    row = spark.read.parquet(f"{tmp_dir}/users").first()
+    assert row["username"] == "neo" and row["calls_remaining"] == 15 and len(row["password"]) == 64
+    again = users.signup(spark.read.parquet(f"{tmp_dir}/users"), forms, "salt")
+    assert again.first()["response_code"] == 400
+    files.ensure_table(spark, f"{tmp_dir}/users", APP_USER)  # existing table untouched
+    assert spark.read.parquet(f"{tmp_dir}/users").count() == 1
+
+
+def test_completion_hook_strips_replies(spark):
+    from triagekit.operators import prompts
+    df = spark.createDataFrame([(1, "body one"), (2, None)], "query_id long, body string")
+    p = df.select("query_id", prompts.solution_prompt(F.col("body")).alias("prompt"))
+
+    def factory():
+        return lambda ps: [f"  echo {len(x)}  \n" for x in ps]
+
+    got = {r["query_id"]: r for r in prompts.complete(p, factory).collect()}
+    assert got[1]["prompt"].endswith(" Github Issue:body one\n\n")
+    assert got[1]["reply"] == f"echo {len(got[1]['prompt'])}"
+    assert got[2]["prompt"].endswith(" Github Issue:\n\n")
