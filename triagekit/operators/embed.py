@@ -30,8 +30,11 @@ FIXED_POINT = 1_000_000
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, token) for every token of every document (whole texts)."""
+    # posexplode_outer + null filter: a plain posexplode makes Catalyst infer
+    # size(tokens) > 0 and push it below the spread, running the regex twice.
     return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))).select(
-        "id", F.posexplode(clean_tokens(F.col("_text"))).alias("pos", "token"))
+        "id", F.posexplode_outer(clean_tokens(F.col("_text"))).alias("pos", "token")).where(
+        F.col("pos").isNotNull())
 
 
 def build_vocabulary(tokens: DataFrame) -> DataFrame:
@@ -85,7 +88,8 @@ def chunk_bag_weights(docs: DataFrame, dim: int, id_col: str = "doc_id", text_co
     base = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))).select(
         "id", clean_tokens(F.col("_text")).alias("_t"))
     base = base.select("id", "_t", F.size("_t").alias("_n"))
-    toks = base.select("id", "_n", F.posexplode("_t").alias("pos", "token"))
+    toks = base.select("id", "_n", F.posexplode_outer("_t").alias("pos", "token")).where(
+        F.col("pos").isNotNull())  # see token_rows: avoids a pushed-down re-tokenisation
     chunk_no = (F.col("pos") / F.lit(size)).cast("int")
     toks = toks.select(
         "id", "token", chunk_no.alias("chunk_no"),
