@@ -386,3 +386,19 @@ def test_completion_hook_strips_replies(spark):
     assert got[1]["prompt"].endswith(" Github Issue:body one\n\n")
     assert got[1]["reply"] == f"echo {len(got[1]['prompt'])}"
     assert got[2]["prompt"].endswith(" Github Issue:\n\n")
+
+
+def test_knn_two_pass_equals_one_pass(spark):
+    v = fx.vectors_fx(spark, SF_MID)
+    q = fx.query_vectors_fx(spark, SF_MID)
+    one = knn.knn_l2(v, q, 30)
+    two = knn.knn_l2(v.repartition(16), q, 30, max_candidate_rows=1)
+    a = sorted(tuple(r) for r in one.select("query_id", "pk", "distance", "rank").collect())
+    b = sorted(tuple(r) for r in two.select("query_id", "pk", "distance", "rank").collect())
+    assert a == b and len(a) == 500 * 30
+
+
+def test_activity_json_roundtrip(spark):
+    logs = fx.logs_fx(spark, SF_SMALL)
+    back = activity.activity_from_json(activity.activity_json(logs), logs.schema)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in logs.collect())

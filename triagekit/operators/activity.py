@@ -94,6 +94,22 @@ def visible_activity(logs: DataFrame, viewers: DataFrame, admins: list[str] = ()
     return out
 
 
+# Full microsecond precision (the JSON default keeps milliseconds only).
+JSON_TIME_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+                     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def activity_json(logs: DataFrame) -> DataFrame:
+    """Activity rows as JSON records (one compact object per row)."""
+    return logs.select(F.to_json(F.struct(*[F.col(c) for c in logs.columns]),
+                                 JSON_TIME_OPTIONS).alias("record"))
+
+
+def activity_from_json(records: DataFrame, schema) -> DataFrame:
+    """Parse JSON activity records back into typed columns."""
+    return records.select(F.from_json("record", schema, JSON_TIME_OPTIONS).alias("r")).select("r.*")
+
+
 def append_activity(logs: DataFrame, new_rows: DataFrame) -> DataFrame:
     """New log rows with ids continuing the log's sequence, time defaulted to now.
 

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_MAX_QUERY_BYTES = 64 << 20
+# Above tasks × queries × k candidate rows, search in two passes (see knn_l2).
+DEFAULT_MAX_CANDIDATE_ROWS = 20_000_000
 # Cap on the query×vector distance block held in memory by one task.
 _BLOCK_ELEMS = 4_000_000
 
@@ -72,11 +74,18 @@ def _select_topk(d: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return out_d, out_p
 
 
-def _partial_topk_fn(bc, k: int, pk_col: str, vec_col: str):
-    """mapInPandas body: running top-k per query over one task's vectors."""
+def _partial_topk_fn(bc, k: int, pk_col: str, vec_col: str, bounded: bool = False):
+    """mapInPandas body: running top-k per query over one task's vectors.
+
+    With ``bounded`` the broadcast also carries a per-query upper bound on the
+    global k-th distance, and only candidates within it are kept.
+    """
 
     def run(batches):
-        qids, qmat = bc.value
+        if bounded:
+            qids, qmat, bound = bc.value
+        else:
+            (qids, qmat), bound = bc.value, None
         nq, dim = qmat.shape
         best_d = np.empty((nq, 0))
         best_p = np.empty((nq, 0), dtype=np.int64)
@@ -95,13 +104,14 @@ def _partial_topk_fn(bc, k: int, pk_col: str, vec_col: str):
                 for j in range(dim):  # left fold over dims, as the SQL form
                     diff = qmat[:, j:j + 1] - vb[None, :, j]
                     dist += diff * diff
+                if bound is not None:
+                    dist[dist > bound[:, None]] = np.inf
                 cand_d = np.concatenate([best_d, dist], axis=1)
                 cand_p = np.concatenate([best_p, np.broadcast_to(pb, (nq, len(pb)))], axis=1)
                 best_d, best_p = _select_topk(cand_d, cand_p, k)
         if best_d.shape[1] == 0:
             return
-        valid = best_p >= 0
-        rows, cols = np.nonzero(valid)
+        rows, cols = np.nonzero((best_p >= 0) & np.isfinite(best_d))
         yield pd.DataFrame({
             "query_id": qids[rows],
             "pk": best_p[rows, cols],
@@ -115,11 +125,19 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
            pk_col: str = "pk", vec_col: str = "embeddings",
            query_id_col: str = "query_id", query_vec_col: str = "embedding",
            squared: bool = True,
-           max_query_bytes: int = DEFAULT_MAX_QUERY_BYTES) -> DataFrame:
+           max_query_bytes: int = DEFAULT_MAX_QUERY_BYTES,
+           max_candidate_rows: int = DEFAULT_MAX_CANDIDATE_ROWS) -> DataFrame:
     """Top-k nearest vectors per query, ascending distance, ties by pk.
 
     Returns ``(query_id, pk, distance, rank)``; ``rank`` starts at 1.
     Exact: every vector is scored against every query of the batch.
+
+    One pass ships up to ``tasks × queries × k`` candidates to the final
+    top-k.  When that exceeds ``max_candidate_rows`` the search takes two
+    passes: each task first sends only its ``m ≈ 2k / tasks`` smallest
+    distances per query; the k-th smallest of their union is an upper bound
+    on the true k-th distance (it is k real distances), and the second pass
+    keeps only candidates within that bound — about k per query in total.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -142,9 +160,21 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
         T.StructField("distance", T.DoubleType()),
     ])
     from ..session import spread
-    partial = spread(vectors.select(pk_col, vec_col)).mapInPandas(
-        _partial_topk_fn(bc, k, pk_col, vec_col), schema)
+    corpus = spread(vectors.select(pk_col, vec_col))
+    tasks = corpus.rdd.getNumPartitions()
     w = Window.partitionBy("query_id").orderBy("distance", "pk")
+    if tasks * len(qids) * k <= max_candidate_rows:
+        partial = corpus.mapInPandas(_partial_topk_fn(bc, k, pk_col, vec_col), schema)
+    else:
+        m = min(k, -(-2 * k // tasks) + 4)
+        firsts = corpus.mapInPandas(_partial_topk_fn(bc, m, pk_col, vec_col), schema)
+        kth = (firsts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+               .groupBy("query_id").agg(F.max("distance").alias("_u"), F.count(F.lit(1)).alias("_n")))
+        # One value per query: bounded by the (already bounded) query batch.
+        u = {r["query_id"]: (r["_u"] if r["_n"] >= k else np.inf) for r in kth.collect()}
+        bound = np.array([u.get(int(q), np.inf) for q in qids], dtype=np.float64)
+        bc2 = spark.sparkContext.broadcast((qids, qmat, bound))
+        partial = corpus.mapInPandas(_partial_topk_fn(bc2, k, pk_col, vec_col, bounded=True), schema)
     out = (partial.withColumn("rank", F.row_number().over(w))
            .where(F.col("rank") <= k))
     if not squared:
