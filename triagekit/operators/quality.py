@@ -2,8 +2,9 @@
 
 A suite is data: a list of ``{"expectation_type": ..., "kwargs": {...}}``.
 All not-null checks share one aggregate pass; all uniqueness checks share
-one shuffle (columns unpivoted to (column, value) and counted together, with
-map-side partial counts, so a hot value costs no more than a cold one).
+one hash-count shuffle (columns unpivoted to (column, hash) and counted
+together, map-side partial counts) plus an exact recount of the rows whose
+hash repeats.
 """
 
 from __future__ import annotations
@@ -70,10 +71,21 @@ def not_null_results(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def unique_results(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One shuffle: rows whose non-null value occurs more than once, per column."""
+    """Rows whose non-null value occurs more than once, per column — exact.
+
+    Phase 1 counts 64-bit hashes per (column, hash): only 16 bytes per row
+    are shuffled, however long the values (issue bodies).  Phase 2 counts
+    exact values, but only for rows whose hash occurs more than once (true
+    duplicates plus rare collisions), so hash collisions cannot change the
+    result.  Both aggregations combine map-side, so a hot value is cheap.
+    """
     rows = df.agg(F.count(F.lit(1)).alias("_rows"))
     vals = _unpivot(df, columns, lambda c: f"CAST(`{c}` AS STRING)").where(F.col("value").isNotNull())
-    per_value = vals.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    hashed = vals.withColumn("_h", F.xxhash64("value"))
+    dup_h = (hashed.groupBy("column", "_h").agg(F.count(F.lit(1)).alias("_c"))
+             .where(F.col("_c") > 1).select("column", "_h"))
+    cand = hashed.join(dup_h, ["column", "_h"], "left_semi")
+    per_value = cand.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     per_col = per_value.groupBy("column").agg(
         F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).cast("long").alias("unexpected_count"))
     cols = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
