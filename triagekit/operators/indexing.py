@@ -39,7 +39,9 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str,
     """Inclusive running sum of ``value`` per group, as a two-level prefix scan.
 
     ``chunk`` must be non-decreasing along ``order`` inside a group (a time
-    bucket, for instance).  Rows are summed inside (group, chunk) windows and
+    bucket, for instance).  Group columns must be non-null: the offsets are
+    joined back with plain equality so the join reuses the window's hash
+    partitioning instead of shuffling the rows again.  Rows are summed inside (group, chunk) windows and
     shifted by the totals of earlier chunks, which come from one summary row
     per chunk; a group holding a large share of the data is thus spread over
     as many tasks as it has chunks.
@@ -51,11 +53,5 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str,
     tot = d.groupBy(*group, "_chunk").agg(F.sum(value).alias("_tot"))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(before), F.lit(0)))
-    tot = tot.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-                     F.col("_chunk").alias("_gc"), "_off")
-    cond = d["_chunk"] == tot["_gc"]
-    for i, g in enumerate(group):
-        cond = cond & d[g].eqNullSafe(tot[f"_g{i}"])
-    j = d.join(tot, cond)
-    return j.withColumn(name, F.col("_off") + F.col("_local")).drop(
-        "_chunk", "_local", "_off", "_gc", *[f"_g{i}" for i in range(len(group))])
+    j = d.join(tot.select(*group, "_chunk", "_off"), [*group, "_chunk"])
+    return j.withColumn(name, F.col("_off") + F.col("_local")).drop("_chunk", "_local", "_off")

@@ -65,21 +65,23 @@ def meter_calls(events: DataFrame, users: DataFrame, *, period: str = "hour",
     ev = events.join(u, "username", "left")
     allowance = tier_allowance(F.col("service"))
     known = allowance.isNotNull()
+    period_start = F.when(known, F.date_trunc(period, "ts")).cast("timestamp_ntz")
     ev = ev.withColumns({
         "_found": F.col("service").isNotNull() | F.col("_init").isNotNull(),
-        "period_start": F.when(known, F.date_trunc(period, "ts")).cast("timestamp_ntz"),
-        "_start": F.when(known, allowance).otherwise(F.col("_init")).cast("long"),
+        "period_start": period_start,
+        # Non-null group keys: plain equality in the offset join below then
+        # matches the window's hash partitioning, so the event rows are not
+        # shuffled a second time.  Tiers without reset share one sentinel period.
+        "_uk": F.coalesce(F.col("username"), F.lit("")),
+        "_pk": F.coalesce(period_start, F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")),
+        "_start": F.coalesce(F.when(known, allowance).otherwise(F.col("_init")), F.lit(0)).cast("long"),
         "_delta": F.when(F.col("kind") == "topup", topup_amount(F.col("service")))
                    .otherwise(F.lit(-1)).cast("long"),
         "_chunk": F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(chunk_seconds * 1_000_000)),
     })
-    missing = ev.where(~F.col("_found")).select(
-        "event_id", "username", "kind", "period_start",
-        F.lit(404).alias("response_code"), F.lit(None).cast("long").alias("balance"))
-    ev = ev.where(F.col("_found"))
-    # Group = (user, period) for tiers that reset, (user) for the others;
-    # period_start is null for the latter, which groups them as one.
-    grp = ["username", "period_start"]
+    # Group = (user, period) for tiers that reset, (user) for the others.
+    # Unknown users (404) flow through the same windows; their result is masked.
+    grp = ["_uk", "_pk"]
     order = ["ts", "event_id"]
     w_chunk = (Window.partitionBy(*grp, "_chunk").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -90,17 +92,13 @@ def meter_calls(events: DataFrame, users: DataFrame, *, period: str = "hour",
     # One summary row per chunk, then exclusive prefixes over chunks.
     summ = local.groupBy(*grp, "_chunk").agg(
         F.sum("_delta").alias("_tot"), F.min("_ls").alias("_cmin"),
-        F.first("_start").alias("_start"))
+        F.first("_start").alias("_s0"))
     w_grp = Window.partitionBy(*grp).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1)
-    summ = summ.withColumn("_off", F.col("_start") + F.coalesce(F.sum("_tot").over(w_grp), F.lit(0)))
+    summ = summ.withColumn("_off", F.col("_s0") + F.coalesce(F.sum("_tot").over(w_grp), F.lit(0)))
     # running min of S over all earlier chunks: min(offset_c + chunk_min_c)
     summ = summ.withColumn("_pmin", F.min(F.col("_off") + F.col("_cmin")).over(w_grp))
-    summ = summ.select(F.col("username").alias("_su"), F.col("period_start").alias("_sp"),
-                       F.col("_chunk").alias("_sc"), "_off", "_pmin")
-    j = local.join(summ, (local["username"] == summ["_su"])
-                   & local["period_start"].eqNullSafe(summ["_sp"])
-                   & (local["_chunk"] == summ["_sc"]))
+    j = local.join(summ.select(*grp, "_chunk", "_off", "_pmin"), [*grp, "_chunk"])
     # least() skips nulls: a missing earlier-chunk minimum simply drops out.
     s_now = F.col("_off") + F.col("_ls")
     min_now = F.least(F.col("_start"), F.col("_pmin"), F.col("_off") + F.col("_lm"))
@@ -108,9 +106,10 @@ def meter_calls(events: DataFrame, users: DataFrame, *, period: str = "hour",
     zero = F.lit(0).cast("long")
     m_now = F.least(zero, min_now)
     m_prev = F.least(zero, min_prev)
-    out = j.select(
-        "event_id", "username", "kind", "period_start",
-        F.when((F.col("kind") == "call") & (m_now < m_prev), F.lit(403))
-         .otherwise(F.lit(200)).alias("response_code"),
-        (s_now - m_now).alias("balance"))
-    return out.unionByName(missing)
+    code = (F.when(~F.col("_found"), F.lit(404))
+            .when((F.col("kind") == "call") & (m_now < m_prev), F.lit(403))
+            .otherwise(F.lit(200)))
+    return j.select(
+        "event_id", "username", "kind", F.when(F.col("_found"), F.col("period_start")).alias("period_start"),
+        code.alias("response_code"),
+        F.when(F.col("_found"), s_now - m_now).alias("balance"))

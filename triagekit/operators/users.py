@@ -82,11 +82,12 @@ def update_subscriptions(users: DataFrame, updates: DataFrame) -> DataFrame:
     u = users.select("username", F.col("service").alias("_old_service"),
                      F.col("calls_remaining").cast("long").alias("_init"))
     j = updates.join(u, "username", "left")
-    j = j.withColumn("_amt", topup_amount(F.col("service")).cast("long"))
+    j = j.withColumn("_amt", topup_amount(F.col("service")).cast("long")) \
+         .withColumn("_uk", F.coalesce(F.col("username"), F.lit("")))
     # Running sum per user as a two-level scan over hourly chunks (hot users
     # are split across tasks).
-    j = running_sum(j, ["username"], ["ts", "event_id"], "_amt",
-                    F.date_trunc("hour", F.col("ts").cast("timestamp")), name="_added")
+    j = running_sum(j, ["_uk"], ["ts", "event_id"], "_amt",
+                    F.date_trunc("hour", F.col("ts").cast("timestamp")), name="_added").drop("_uk")
     added = F.col("_added")
     j = j.withColumn("_found", F.col("_init").isNotNull() | F.col("_old_service").isNotNull())
     remaining = F.when(F.col("_found"), F.coalesce(F.col("_init"), F.lit(0)) + added)
