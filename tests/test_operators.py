@@ -402,3 +402,15 @@ def test_activity_json_roundtrip(spark):
     logs = fx.logs_fx(spark, SF_SMALL)
     back = activity.activity_from_json(activity.activity_json(logs), logs.schema)
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in logs.collect())
+
+
+def test_knn_cells_small_blocks_equal_brute_force(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
+        F.col("vec_id").alias("pk"), F.col("embedding").alias("embeddings"), "label")
+    q = emb.where("pk < 60").select(F.col("pk").alias("query_id"), F.col("embeddings").alias("embedding"))
+    brute = knn.knn_l2(emb, q, 12)
+    cells = knn_l2_cells(emb, q, 12, centroids=label_centroids(emb, "label"),
+                         member_block=7, query_block=5)
+    a = sorted(tuple(r) for r in brute.select("query_id", "pk", "distance", "rank").collect())
+    b = sorted(tuple(r) for r in cells.select("query_id", "pk", "distance", "rank").collect())
+    assert a == b and len(a) == 60 * 12

@@ -9,9 +9,9 @@ broadcast): with ``R_c`` the largest distance of a member of cell ``c`` to
 its centroid, no member of ``c`` is closer to ``q`` than
 ``max(0, |q - c| - R_c)``.  Pass 1 probes each query's nearest cells until
 they hold ``k`` vectors and takes the k-th distance ``U`` as an upper bound;
-pass 2 probes every cell whose lower bound is ≤ ``U``.  Both passes are
-equi-joins on ``cell`` (AQE splits a hot cell), and the result equals the
-brute-force top-k.
+pass 2 probes every cell whose lower bound is ≤ ``U``.  Scoring is a block
+join keyed by (cell, member block, query block), so every group is bounded
+however hot a cell is, and the result equals the brute-force top-k.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .knn import l2_distance
 
 DEFAULT_NLIST = 128
 _EPS = 1e-9
@@ -131,46 +130,97 @@ def _probe_fn(bc, k: int, qid_col: str, qvec_col: str, first_pass: bool):
     return run
 
 
+def _block_topk_fn(k: int, qvec_col: str):
+    """cogroup body: top-k per query of one (query block × member block)."""
+    from .knn import _select_topk
+
+    def run(qpdf: pd.DataFrame, mpdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+                              "pk": pd.Series([], dtype="int64"),
+                              "distance": pd.Series([], dtype="float64")})
+        if len(qpdf) == 0 or len(mpdf) == 0:
+            return empty
+        qpdf = qpdf.drop_duplicates("query_id")
+        q = np.stack(qpdf[qvec_col].to_numpy()).astype(np.float64)
+        v = np.stack(mpdf["_v"].to_numpy()).astype(np.float64)
+        dist = np.zeros((len(q), len(v)))
+        for j in range(q.shape[1]):  # left fold over dims, as the SQL form
+            diff = q[:, j:j + 1] - v[None, :, j]
+            dist += diff * diff
+        bound = qpdf["_bound"].to_numpy(np.float64)
+        dist[dist > bound[:, None]] = np.inf
+        pks = np.broadcast_to(mpdf["pk"].to_numpy(np.int64), dist.shape)
+        best_d, best_p = _select_topk(dist, pks, k)
+        rows, cols = np.nonzero((best_p >= 0) & np.isfinite(best_d))
+        if len(rows) == 0:
+            return empty
+        return pd.DataFrame({"query_id": qpdf["query_id"].to_numpy(np.int64)[rows],
+                             "pk": best_p[rows, cols], "distance": best_d[rows, cols]})
+
+    return run
+
+
 def knn_l2_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centroids: DataFrame | None = None,
                  pk_col: str = "pk", vec_col: str = "embeddings", query_id_col: str = "query_id",
                  query_vec_col: str = "embedding", squared: bool = True,
-                 nlist: int = DEFAULT_NLIST) -> DataFrame:
+                 nlist: int = DEFAULT_NLIST, member_block: int = 8192,
+                 query_block: int = 1024) -> DataFrame:
     """Exact top-k per query via IVF cells; no broadcast of the query batch.
 
-    Same output as :func:`triagekit.operators.knn.knn_l2`.
+    Same output as :func:`triagekit.operators.knn.knn_l2`.  Scoring is a
+    block join: a cell's members are split into blocks of at most
+    ``member_block`` rows and the queries probing it into blocks of at most
+    ``query_block``; each (cell, member block, query block) group computes
+    its distances in numpy and emits only the top-k per query, so no group
+    grows with the data and no pair becomes a row.
     """
     spark = vectors.sparkSession
     if centroids is None:
         centroids = kmeans_centroids(vectors, nlist, vec_col)
     assigned = cut_lineage(assign_cells(vectors, centroids, pk_col, vec_col))
-    stats = {r["cell"]: (r["n"], r["r"]) for r in
-             assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
-                                          F.max("radius").alias("r")).collect()}
+    cell_stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r"))
+    # One row per cell: bounded by nlist.
+    stats = {r["cell"]: (r["n"], r["r"]) for r in cell_stats.collect()}
     cells, cmat = _centroid_matrix(centroids)
     counts = np.array([stats.get(int(c), (0, 0.0))[0] for c in cells], dtype=np.int64)
     radii = np.array([stats.get(int(c), (0, 0.0))[1] for c in cells], dtype=np.float64)
     bc = spark.sparkContext.broadcast((cells, cmat, counts, radii))
-    probe_schema = T.StructType([T.StructField(query_id_col, T.LongType()),
+    probe_schema = T.StructType([T.StructField("query_id", T.LongType()),
                                  T.StructField("cell", T.IntegerType())])
-    q = queries.select(query_id_col, query_vec_col)
-    members = assigned.select("cell", F.col(pk_col).alias("pk"), F.col(vec_col).alias("_v"))
-
-    def scored(probes: DataFrame) -> DataFrame:
-        j = probes.join(members, "cell").join(q, query_id_col)
-        d = j.select(F.col(query_id_col).alias("query_id"), "pk",
-                     l2_distance(F.col(query_vec_col), F.col("_v")).alias("distance"))
-        w = Window.partitionBy("query_id").orderBy("distance", "pk")
-        return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    p1 = q.mapInPandas(_probe_fn(bc, k, query_id_col, query_vec_col, True), probe_schema)
-    first = scored(p1)
-    bound = first.groupBy(F.col("query_id").alias(query_id_col)).agg(
-        F.max("distance").alias("_kth"), F.count(F.lit(1)).alias("_n"))
-    qb = q.join(bound, query_id_col, "left").select(
-        query_id_col, query_vec_col,
+    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("_qv"))
+    nb = F.broadcast(cell_stats.select("cell", F.ceil(F.col("n") / F.lit(member_block)).cast("int").alias("_nb")))
+    members = (assigned.select("cell", F.col(pk_col).alias("pk"), F.col(vec_col).alias("_v"))
+               .join(nb, "cell")
+               .withColumn("_mb", F.pmod(F.xxhash64("pk"), F.col("_nb")).cast("int")))
+    hit_schema = "query_id long, pk long, distance double"
+    w = Window.partitionBy("query_id").orderBy("distance", "pk")
+
+    def scored(probes: DataFrame, bounds: DataFrame) -> DataFrame:
+        nq = F.broadcast(probes.groupBy("cell").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(query_block)).cast("int").alias("_nq")))
+        p = (probes.join(nq, "cell").join(nb, "cell")
+             .withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"))
+             .withColumn("_mb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+             .join(bounds, "query_id"))
+        m = (members.join(nq, "cell")
+             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))))
+        keys = ["cell", "_mb", "_qb"]
+        part = (p.select(*keys, "query_id", "_qv", "_bound").groupBy(*keys)
+                .cogroup(m.select(*keys, "pk", "_v").groupBy(*keys))
+                .applyInPandas(_block_topk_fn(k, "_qv"), hit_schema))
+        return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    unbounded = q.select("query_id", "_qv", F.lit(float("inf")).alias("_bound"))
+    p1 = q.select("query_id", F.col("_qv").alias("embedding")).mapInPandas(
+        _probe_fn(bc, k, "query_id", "embedding", True), probe_schema)
+    first = scored(p1, unbounded)
+    kth = first.groupBy("query_id").agg(F.max("distance").alias("_kth"), F.count(F.lit(1)).alias("_n"))
+    qb = q.join(kth, "query_id", "left").select(
+        "query_id", "_qv",
         F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(float("inf"))).alias("_bound"))
-    p2 = qb.mapInPandas(_probe_fn(bc, k, query_id_col, query_vec_col, False), probe_schema)
-    out = scored(p2)
+    p2 = qb.select("query_id", F.col("_qv").alias("embedding"), "_bound").mapInPandas(
+        _probe_fn(bc, k, "query_id", "embedding", False), probe_schema)
+    out = scored(p2, qb)
     if not squared:
         out = out.withColumn("distance", F.sqrt("distance"))
     return out.withColumnRenamed("query_id", query_id_col) if query_id_col != "query_id" else out
