@@ -66,11 +66,15 @@ def _sq_dist_to(mat: np.ndarray, vecs: np.ndarray) -> np.ndarray:
     return d
 
 
-def assign_cells(vectors: DataFrame, centroids: DataFrame, pk_col: str = "pk",
+def assign_cells(vectors: DataFrame, centroids, pk_col: str = "pk",
                  vec_col: str = "embeddings") -> DataFrame:
-    """(pk, embeddings, cell, radius): nearest centroid (ties → lower cell id)."""
+    """(pk, embeddings, cell, radius): nearest centroid (ties → lower cell id).
+
+    ``centroids``: a (cell, centroid) DataFrame or an already collected
+    ``(cell ids, matrix)`` pair.
+    """
     spark = vectors.sparkSession
-    cells, cmat = _centroid_matrix(centroids)
+    cells, cmat = centroids if isinstance(centroids, tuple) else _centroid_matrix(centroids)
     bc = spark.sparkContext.broadcast((cells, cmat))
     schema = T.StructType([
         T.StructField(pk_col, T.LongType()),
@@ -177,11 +181,11 @@ def knn_l2_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centroids: D
     spark = vectors.sparkSession
     if centroids is None:
         centroids = kmeans_centroids(vectors, nlist, vec_col)
-    assigned = cut_lineage(assign_cells(vectors, centroids, pk_col, vec_col))
+    cells, cmat = _centroid_matrix(centroids)  # bounded by nlist × dim
+    assigned = cut_lineage(assign_cells(vectors, (cells, cmat), pk_col, vec_col))
     cell_stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r"))
     # One row per cell: bounded by nlist.
     stats = {r["cell"]: (r["n"], r["r"]) for r in cell_stats.collect()}
-    cells, cmat = _centroid_matrix(centroids)
     counts = np.array([stats.get(int(c), (0, 0.0))[0] for c in cells], dtype=np.int64)
     radii = np.array([stats.get(int(c), (0, 0.0))[1] for c in cells], dtype=np.float64)
     bc = spark.sparkContext.broadcast((cells, cmat, counts, radii))

@@ -490,3 +490,39 @@ def q_prompts_rendered(spark, base):
     un = unmatched_queries(q, _matches(spark, base, threshold=SERVICE_THRESHOLD))
     body = fx.issues_fx(spark, base).select(F.col("id").alias("query_id"), "body")
     return un.join(body, "query_id").select("query_id", solution_prompt(F.col("body")).alias("prompt"))
+
+
+# ------------------------------------------------- scalable search paths
+@register("knn_l2_cells")
+def q_knn_l2_cells(spark, base):
+    """Exact top-k through IVF cells (the path for batches too big to broadcast)."""
+    from ..operators.ivf import knn_l2_cells, label_centroids
+    emb = read_table(spark, base, "embeddings").select(
+        F.col("vec_id").alias("pk"), F.col("embedding").alias("embeddings"), "label")
+    hits = knn_l2_cells(emb.select("pk", "embeddings"), fx.query_vectors_fx(spark, base), KNN_K,
+                        centroids=label_centroids(emb, "label"))
+    return hits.select("query_id", "pk", "distance", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("knn_l2_two_pass")
+def q_knn_l2_two_pass(spark, base):
+    """Exact top-k with the bounded two-pass candidate exchange forced on."""
+    from ..operators.knn import knn_l2
+    hits = knn_l2(fx.vectors_fx(spark, base), fx.query_vectors_fx(spark, base), KNN_K,
+                  max_candidate_rows=0)
+    return hits.select("query_id", "pk", "distance", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("ivf_kmeans")
+def q_ivf_kmeans(spark, base):
+    """IVF cells from Spark ML k-means (no SQL oracle: trained centroids)."""
+    from ..operators.ivf import assign_cells, kmeans_centroids
+    v = fx.vectors_fx(spark, base)
+    return assign_cells(v, kmeans_centroids(v, nlist=16)).select("pk", "cell", "radius")
+
+
+@register("summary_prompts")
+def q_summary_prompts(spark, base):
+    from ..operators.prompts import summary_prompt
+    iss = fx.issues_fx(spark, base).where(F.col("state") == "open")
+    return iss.select("id", summary_prompt(F.col("body")).alias("prompt"))

@@ -455,3 +455,12 @@ SELECT e.vec_id AS query_id,
   'What is a possible solution to the following GitHub issue? Please provide a very detailed and instructive solution, or if there are no questions to answer in the issue, suggest some potential solutions or explain why a solution may not be feasible. If you are unsure, please provide any insights or suggestions that may be helpful in resolving the issue. Thank you for your contribution!.' || chr(10) || chr(10) || ' Github Issue:' || coalesce(i.body, '') || chr(10) || chr(10) AS prompt
 FROM embeddings e JOIN issues_fx i ON i.id = e.vec_id
 WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.query_id = e.vec_id)"""
+
+# ------------------------------------------------- scalable search paths
+ORACLE["knn_l2_cells"] = ORACLE["knn_l2"]
+ORACLE["knn_l2_two_pass"] = ORACLE["knn_l2"]
+
+ORACLE["summary_prompts"] = with_(ISSUES_FX) + """
+SELECT id,
+  'Please analyze the following GitHub issue body and provide a detailed summary of the problem. Please note that we are only looking for a summary and not a solution or any additional information. Thank you. ONLY SUMMARY.' || chr(10) || chr(10) || 'Issue Body: ' || coalesce(body, '') || chr(10) || chr(10) AS prompt
+FROM issues_fx WHERE state = 'open'"""
