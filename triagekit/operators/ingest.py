@@ -111,3 +111,12 @@ def select_incremental(target: DataFrame, landed: DataFrame) -> DataFrame:
 
 def endpoint_of(df: DataFrame) -> DataFrame:
     return df.withColumn("endpoint", issues_endpoint(F.col("repo_owner"), F.col("repo_name")))
+
+
+def incremental_upsert(target: DataFrame, landed_raw: DataFrame) -> DataFrame:
+    """C5: landed documents → flat rows → only rows newer than their repo's
+    high-water mark → last-wins merge into the target (new table state)."""
+    from .upsert import merge_by_key
+    flat = flatten_issues(landed_raw).select(*target.columns)
+    fresh = select_incremental(target, flat)
+    return merge_by_key(target, fresh, ["id"], order=["updated_at"])

@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.ingest import flatten_issues
+from ..operators.ingest import flatten_issues, incremental_upsert
 from ..operators.quota import TIER_ALLOWANCE
-from ..operators.upsert import merge_by_key
 from ..schemas import RAW_ISSUE
 
 
@@ -58,11 +57,9 @@ def upsert_batch_into_snapshots(root: str, initial: DataFrame | None = None):
             return
         latest = _latest_snapshot(spark, root)
         current = spark.read.parquet(latest) if latest else initial
-        flat = flatten_issues(batch).drop("comments", "reactions")
-        if current is None:
-            merged = merge_by_key(flat.limit(0), flat, ["id"], order=["updated_at"])
-        else:
-            merged = merge_by_key(current, flat.select(*current.columns), ["id"], order=["updated_at"])
+        if current is None:  # first batch: an empty table with the flat schema
+            current = flatten_issues(batch).drop("comments", "reactions").limit(0)
+        merged = incremental_upsert(current, batch)
         merged.write.mode("overwrite").parquet(out)
 
     return run
