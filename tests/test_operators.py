@@ -414,3 +414,20 @@ def test_knn_cells_small_blocks_equal_brute_force(spark):
     a = sorted(tuple(r) for r in brute.select("query_id", "pk", "distance", "rank").collect())
     b = sorted(tuple(r) for r in cells.select("query_id", "pk", "distance", "rank").collect())
     assert a == b and len(a) == 60 * 12
+
+
+def test_workers_import_package_from_any_cwd(tmp_dir):
+    """Python workers must find triagekit even when the driver runs elsewhere."""
+    import subprocess
+    import sys
+    code = (
+        "import importlib.util\n"
+        "spec = importlib.util.spec_from_file_location('e', '/root/repo/__spark_entry__.py')\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false').getOrCreate()\n"
+        "print('ROWS', m.queries()['knn_l2'](s, '/root/testdata/sf0.001').count())\n")
+    env = {k: v for k, v in __import__('os').environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_dir, env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert "ROWS 50000" in out.stdout, out.stderr[-2000:]

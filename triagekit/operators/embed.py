@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokens import CHUNK_SIZE, clean_tokens, n_chunks
-from ..session import spread
+from ..session import ship_package, spread
 from .indexing import with_sequential_index
 
 UNK_ID = 0
@@ -147,6 +147,7 @@ def embed_chunks_with_model(chunks: DataFrame, model_factory: Callable[[], Calla
     mapping a list of int arrays to an (n, dim) array.  Chunks travel as
     Arrow batches; only this call leaves the JVM.
     """
+    ship_package(chunks.sparkSession)  # workers import this module
     out_schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("chunk_no", T.IntegerType()),
         T.StructField("vector", T.ArrayType(T.DoubleType()))])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 DEFAULT_NLIST = 128
 _EPS = 1e-9
@@ -74,6 +74,7 @@ def assign_cells(vectors: DataFrame, centroids, pk_col: str = "pk",
     ``(cell ids, matrix)`` pair.
     """
     spark = vectors.sparkSession
+    ship_package(spark)  # workers import this module
     cells, cmat = centroids if isinstance(centroids, tuple) else _centroid_matrix(centroids)
     bc = spark.sparkContext.broadcast((cells, cmat))
     schema = T.StructType([

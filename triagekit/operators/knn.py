@@ -142,6 +142,8 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
     if k < 1:
         raise ValueError("k must be >= 1")
     spark = vectors.sparkSession
+    from ..session import ship_package
+    ship_package(spark)  # workers import this module
     n, dim = query_batch_stats(queries, query_vec_col)
     if n * max(dim, 1) * 8 > max_query_bytes:
         from .ivf import knn_l2_cells  # bounded-memory path for big batches

@@ -38,6 +38,8 @@ def complete(prompts: DataFrame, client_factory: Callable[[], Callable[[list[str
     ``client_factory`` runs once per Python worker and returns a function
     mapping a list of prompts to a list of replies.
     """
+    from ..session import ship_package
+    ship_package(prompts.sparkSession)  # workers import this module
     schema = T.StructType(prompts.schema.fields + [T.StructField("reply", T.StringType())])
     holder: dict = {}
 

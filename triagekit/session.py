@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,8 +39,36 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``triagekit`` importable in every Python worker (local or cluster).
+
+    Operator functions run in Arrow-batched Python workers that import them by
+    module name; the package is zipped once per application and registered
+    with ``addPyFile``, which Spark distributes to the executors.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="triagekit-pyfiles-"), "triagekit.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
+
+
 def apply_conf(spark: SparkSession) -> None:
     """Apply runtime-settable options to an existing session (e.g. the driver's)."""
+    ship_package(spark)
     for k, v in BASE_CONF.items():
         if k.startswith("spark.ui"):
             continue

@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators.ingest import flatten_issues, incremental_upsert
 from ..operators.quota import TIER_ALLOWANCE
 from ..schemas import RAW_ISSUE
+from ..session import ship_package
 
 
 # ----------------------------------------------------------------- T1
@@ -151,6 +152,7 @@ def _meter_fn(period: str):
 
 def meter_stream(events_stream: DataFrame, users: DataFrame, period: str = "hour") -> DataFrame:
     """Streaming metering (T3): ``events_stream`` has event_id, username, ts, kind."""
+    ship_package(events_stream.sparkSession)  # workers import this module
     u = users.select("username", "service", "calls_remaining")
     j = events_stream.join(u, "username", "left")  # stream-static join
     return j.groupBy("username").applyInPandasWithState(
