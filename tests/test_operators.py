@@ -431,3 +431,10 @@ def test_workers_import_package_from_any_cwd(tmp_dir):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_dir, env=env,
                          capture_output=True, text=True, timeout=600)
     assert "ROWS 50000" in out.stdout, out.stderr[-2000:]
+
+
+def test_scale_conf():
+    from triagekit.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(10 << 20, 8)["spark.sql.shuffle.partitions"]) == 24

@@ -151,9 +151,10 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
                             query_id_col=query_id_col, query_vec_col=query_vec_col,
                             squared=squared)
     # Size is proven bounded above, so shipping the batch to every task is safe.
-    rows = queries.select(query_id_col, query_vec_col).where(F.col(query_vec_col).isNotNull()).collect()
-    qids = np.array([r[0] for r in rows], dtype=np.int64)
-    qmat = (np.array([r[1] for r in rows], dtype=np.float64) if rows
+    pdf = (queries.select(F.col(query_id_col).alias("q"), F.col(query_vec_col).alias("v"))
+           .where(F.col("v").isNotNull()).toPandas())  # Arrow transfer
+    qids = pdf["q"].to_numpy(np.int64)
+    qmat = (np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf)
             else np.empty((0, dim)))
     bc = spark.sparkContext.broadcast((qids, qmat))
     schema = T.StructType([
