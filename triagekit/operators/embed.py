@@ -43,7 +43,7 @@ def build_vocabulary(tokens: DataFrame) -> DataFrame:
     return with_sequential_index(distinct, ["token"], name="token_id", start=1)
 
 
-def encode_tokens(tokens: DataFrame, vocab: DataFrame, broadcast_max_rows: int = 5_000_000) -> DataFrame:
+def encode_tokens(tokens: DataFrame, vocab: DataFrame, broadcast_max_rows: int = 2_000_000) -> DataFrame:
     """Replace tokens by vocabulary ids (unknown → UNK).
 
     A vocabulary proven small is broadcast; otherwise the join shuffles on
