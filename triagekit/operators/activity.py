@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast
 from .indexing import with_sequential_index
 
 # Response code labels shown on the usage dashboard.
@@ -87,7 +88,8 @@ def visible_activity(logs: DataFrame, viewers: DataFrame, admins: list[str] = ()
     ``viewers`` (column ``viewer``) is matched to owners by an equi-join;
     each admin name adds one full copy of the log (the admin view).
     """
-    own = logs.join(viewers.select(F.col("viewer").alias("username")).distinct(), "username")
+    v = maybe_broadcast(viewers.select(F.col("viewer").alias("username")).distinct())
+    own = logs.join(v, "username")  # the log is never shuffled for the viewers
     out = own.withColumn("viewer", F.col("username"))
     for a in admins:
         out = out.unionByName(logs.withColumn("viewer", F.lit(a)))

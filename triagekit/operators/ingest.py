@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import issues_endpoint
 from ..schemas import RAW_ISSUE
+from ..session import maybe_broadcast
 from .issues import high_water
 
 # Fixed values.
@@ -104,7 +105,9 @@ def select_incremental(target: DataFrame, landed: DataFrame) -> DataFrame:
     hw = high_water(target).select(
         F.col("repo_owner").alias("_o"), F.col("repo_name").alias("_r"),
         (F.col("high_water") + F.expr("INTERVAL 1 SECOND")).alias("_since"))
-    j = landed.join(hw, (F.col("repo_owner") == F.col("_o")) & (F.col("repo_name") == F.col("_r")), "left")
+    # One row per repo: broadcast when the repo count is proven small.
+    j = landed.join(maybe_broadcast(hw), (F.col("repo_owner") == F.col("_o"))
+                    & (F.col("repo_name") == F.col("_r")), "left")
     keep = has_body(F.col("body")) & (F.col("_since").isNull() | (F.col("updated_at") >= F.col("_since")))
     return j.where(keep).drop("_o", "_r", "_since")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast
+
 # REST page sizes.
 UI_PAGE_SIZE = 10
 INGEST_PAGE_SIZE = 100
@@ -18,9 +20,13 @@ def lookup_closed(issues: DataFrame, lookups: DataFrame) -> DataFrame:
     Every lookup row is returned, with ``issue_url, title`` null when no
     closed issue matches.  A plain equi-join on id plus residual filters.
     """
+    # Semi-join reduction: only issues whose id is looked up reach the outer
+    # join; with a small lookup batch the issue table is filtered by a
+    # broadcast semi join and never shuffled.
+    ids = maybe_broadcast(lookups.select(F.col("id").alias("_id")).distinct())
     closed = issues.where(F.col("state") == "closed").select(
         F.col("id").alias("_id"), "issue_url", "title",
-        F.col("repo_owner").alias("_o"), F.col("repo_name").alias("_r"))
+        F.col("repo_owner").alias("_o"), F.col("repo_name").alias("_r")).join(ids, "_id", "left_semi")
     own = F.coalesce(F.col("owner"), F.lit(""))
     rep = F.coalesce(F.col("repo"), F.lit(""))
     cond = ((F.col("id") == F.col("_id")) & ((own == "") | (own == F.col("_o")))

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast
 from ..sources.fixtures import TIER_FREE, TIER_GOLD, TIER_PLATINUM
 
 # Allowance per tier (reset level and upgrade amount).
@@ -62,7 +63,7 @@ def meter_calls(events: DataFrame, users: DataFrame, *, period: str = "hour",
     response_code, balance`` (balance after the event; null for 404).
     """
     u = users.select("username", "service", F.col("calls_remaining").cast("long").alias("_init"))
-    ev = events.join(u, "username", "left")
+    ev = events.join(maybe_broadcast(u), "username", "left")  # events never shuffled for it
     allowance = tier_allowance(F.col("service"))
     known = allowance.isNotNull()
     period_start = F.when(known, F.date_trunc(period, "ts")).cast("timestamp_ntz")

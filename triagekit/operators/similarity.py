@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .knn import knn_l2
+from .knn import knn_l2, query_batch_stats
 
 # Fixed values of the search service.
 DEFAULT_TOP_K = 999
@@ -53,7 +53,8 @@ def _join_closed(hits: DataFrame, issues: DataFrame, scoped: bool) -> DataFrame:
 
 def similar_issues(vectors: DataFrame, queries: DataFrame, issues: DataFrame, *,
                    k: int = DEFAULT_TOP_K, threshold: float = DEFAULT_THRESHOLD,
-                   scoped: bool = False, squared: bool = True, **knn_kw) -> DataFrame:
+                   scoped: bool = False, squared: bool = True,
+                   max_broadcast_hits: int = 4_000_000, **knn_kw) -> DataFrame:
     """Closed issues similar to each query: ``(query_id, id, title, similarity, url)``.
 
     ``queries`` has ``query_id, embedding`` and, when ``scoped``, nullable
@@ -65,9 +66,12 @@ def similar_issues(vectors: DataFrame, queries: DataFrame, issues: DataFrame, *,
     hits = rescale_similarity(hits).where(F.col("similarity") > F.lit(float(threshold)))
     if scoped:
         hits = hits.join(queries.select("query_id", "owner", "repo"), "query_id")
-    # No static hint: the thresholded hits are usually a small fraction of
-    # queries × k, and AQE broadcasts them at runtime when their measured
-    # size is under the threshold; otherwise both sides shuffle on id.
+    # Hits are bounded by queries × k.  Within the bound they are broadcast,
+    # so the issue table is scanned but never shuffled (AQE could only
+    # switch after shuffling it); beyond it both sides shuffle on id.
+    n_queries, _ = query_batch_stats(queries, "embedding")
+    if n_queries * k <= max_broadcast_hits:
+        hits = F.broadcast(hits)
     out = _join_closed(hits, issues, scoped)
     return out.select("query_id", "id", "title", "similarity", "url")
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast
+
 
 def dedupe_last_wins(batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Keep, per key, the row that is last in ``order`` (ascending columns).
@@ -29,14 +31,15 @@ def merge_by_key(target: DataFrame, batch: DataFrame, key: list[str],
                  order: list[str] | None = None) -> DataFrame:
     """Upsert ``batch`` into ``target`` on ``key``; returns the merged table.
 
-    Both sides are shuffled once on the key (sort-merge or shuffled hash
-    anti join); AQE turns it into a broadcast join when the batch is small
-    at runtime and splits skewed key partitions.
+    When the batch keys are proven small they are broadcast and the target
+    is only scanned; otherwise both sides shuffle once on the key (AQE splits
+    skewed key partitions).
     """
     if order:
         batch = dedupe_last_wins(batch, key, order)
     batch = batch.select(*target.columns)
-    kept = target.join(batch.select(*key), key, "left_anti")
+    # Batch keys proven small are broadcast, so the target is never shuffled.
+    kept = target.join(maybe_broadcast(batch.select(*key)), key, "left_anti")
     return kept.unionByName(batch)
 
 

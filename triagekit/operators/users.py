@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast
 from .indexing import running_sum
 from .quota import topup_amount
 
@@ -55,7 +56,11 @@ def signup(users: DataFrame, forms: DataFrame, salt: str) -> DataFrame:
     # then a single join back: a username repeated in a third of the batch is
     # combined map-side and split by AQE in the join, never windowed whole.
     per_name = f.groupBy("username").agg(F.min("ordinal").alias("_first_ord"))
-    exists = users.select("username").distinct().withColumn("_exists", F.lit(True))
+    # Existence: the (small) set of submitted names filters the user table
+    # through a semi join, instead of shuffling every registered user.
+    exists = (users.select("username")
+              .join(maybe_broadcast(per_name.select("username")), "username", "left_semi")
+              .distinct().withColumn("_exists", F.lit(True)))
     per_name = per_name.join(exists, "username", "left")
     f = f.join(per_name, "username", "left")
     code = (F.when(~F.col("valid"), F.lit(422))
@@ -81,7 +86,7 @@ def update_subscriptions(users: DataFrame, updates: DataFrame) -> DataFrame:
     """
     u = users.select("username", F.col("service").alias("_old_service"),
                      F.col("calls_remaining").cast("long").alias("_init"))
-    j = updates.join(u, "username", "left")
+    j = updates.join(maybe_broadcast(u), "username", "left")
     j = j.withColumn("_amt", topup_amount(F.col("service")).cast("long")) \
          .withColumn("_uk", F.coalesce(F.col("username"), F.lit("")))
     # Running sum per user as a two-level scan over hourly chunks (hot users

@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on: UTC for all timestamp logic, AQE for runtime
 # re-planning (partition coalescing and skew-join splitting), Arrow for the
@@ -130,3 +131,17 @@ def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
     }
+
+
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast-hint ``df`` if a count proves it has at most ``max_rows`` rows.
+
+    A static hint is what keeps the *large* side of a join from being
+    shuffled: AQE can switch to a broadcast join only after both sides'
+    shuffle stages have run.  Beyond the bound the frame is returned as is
+    and the join shuffles (AQE still splits skewed partitions).
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
