@@ -106,7 +106,7 @@ def select_incremental(target: DataFrame, landed: DataFrame) -> DataFrame:
         F.col("repo_owner").alias("_o"), F.col("repo_name").alias("_r"),
         (F.col("high_water") + F.expr("INTERVAL 1 SECOND")).alias("_since"))
     # One row per repo: broadcast when the repo count is proven small.
-    j = landed.join(maybe_broadcast(hw), (F.col("repo_owner") == F.col("_o"))
+    j = landed.join(maybe_broadcast(hw, materialize=True), (F.col("repo_owner") == F.col("_o"))
                     & (F.col("repo_name") == F.col("_r")), "left")
     keep = has_body(F.col("body")) & (F.col("_since").isNull() | (F.col("updated_at") >= F.col("_since")))
     return j.where(keep).drop("_o", "_r", "_since")

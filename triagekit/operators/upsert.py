@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast
+from ..session import cut_lineage, maybe_broadcast
 
 
 def dedupe_last_wins(batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -36,7 +36,8 @@ def merge_by_key(target: DataFrame, batch: DataFrame, key: list[str],
     skewed key partitions).
     """
     if order:
-        batch = dedupe_last_wins(batch, key, order)
+        # Read three times below (count, keys, rows): materialise it once.
+        batch = cut_lineage(dedupe_last_wins(batch, key, order))
     batch = batch.select(*target.columns)
     # Batch keys proven small are broadcast, so the target is never shuffled.
     kept = target.join(maybe_broadcast(batch.select(*key)), key, "left_anti")

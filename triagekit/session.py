@@ -139,12 +139,19 @@ def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                    materialize: bool = False) -> DataFrame:
     """Broadcast-hint ``df`` if a count proves it has at most ``max_rows`` rows.
 
+    ``materialize`` checkpoints ``df`` first, for small frames that are
+    expensive to derive (an aggregate over a big table): the count and the
+    join then read the checkpoint instead of recomputing it.
+
     A static hint is what keeps the *large* side of a join from being
     shuffled: AQE can switch to a broadcast join only after both sides'
     shuffle stages have run.  Beyond the bound the frame is returned as is
     and the join shuffles (AQE still splits skewed partitions).
     """
+    if materialize:
+        df = cut_lineage(df)
     return F.broadcast(df) if df.count() <= max_rows else df
