@@ -438,3 +438,11 @@ def test_scale_conf():
     c = scale_conf(100 * 1024 ** 4, 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_conf(10 << 20, 8)["spark.sql.shuffle.partitions"]) == 24
+
+
+def test_parse_iso_variants(spark):
+    df = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05.5Z",),
+                                ("2024-01-02T05:04:05+02:00",), ("garbage",)], "t string")
+    got = [r[0] for r in df.select(ingest.parse_iso(F.col("t"))).collect()]
+    assert got == [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 500000),
+                   dt.datetime(2024, 1, 2, 3, 4, 5), None]

@@ -26,8 +26,12 @@ def read_landed_issues(spark, path: str) -> DataFrame:
 
 
 def parse_iso(ts: Column) -> Column:
-    """ISO-8601 with a trailing Z (UTC) → timestamp_ntz."""
-    return F.to_timestamp(F.regexp_replace(ts, "Z$", ""), "yyyy-MM-dd'T'HH:mm:ss").cast("timestamp_ntz")
+    """ISO-8601 text (``Z`` or an offset, optional fraction) → UTC timestamp_ntz.
+
+    ``try_cast`` gives null for malformed text instead of failing the job
+    under ANSI mode; the session time zone is UTC, so the instant is kept.
+    """
+    return ts.try_cast("timestamp").cast("timestamp_ntz")
 
 
 def has_body(body: Column) -> Column:
