@@ -115,11 +115,11 @@ def _meter_fn(period: str):
         pdf = pdf.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
         user = key[0]
         service, init = pdf["service"].iloc[0], pdf["calls_remaining"].iloc[0]
-        if service is None and pd.isna(init):
+        if pd.isna(service) and pd.isna(init):
             yield pd.DataFrame({"event_id": pdf["event_id"], "username": user, "kind": pdf["kind"],
                                 "period_start": pd.NaT, "response_code": 404, "balance": None})
             return
-        tier = allow.get(service)
+        tier = None if pd.isna(service) else allow.get(service)
         delta = np.where(pdf["kind"] == "topup", tier or 0, -1).astype(np.int64)
         periods = (_period_start_us(pdf["ts"], period) if tier is not None
                    else np.full(len(pdf), -1, dtype=np.int64))
