@@ -126,7 +126,8 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
            query_id_col: str = "query_id", query_vec_col: str = "embedding",
            squared: bool = True,
            max_query_bytes: int = DEFAULT_MAX_QUERY_BYTES,
-           max_candidate_rows: int = DEFAULT_MAX_CANDIDATE_ROWS) -> DataFrame:
+           max_candidate_rows: int = DEFAULT_MAX_CANDIDATE_ROWS,
+           query_stats: tuple[int, int] | None = None) -> DataFrame:
     """Top-k nearest vectors per query, ascending distance, ties by pk.
 
     Returns ``(query_id, pk, distance, rank)``; ``rank`` starts at 1.
@@ -144,7 +145,7 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
     spark = vectors.sparkSession
     from ..session import ship_package
     ship_package(spark)  # workers import this module
-    n, dim = query_batch_stats(queries, query_vec_col)
+    n, dim = query_stats or query_batch_stats(queries, query_vec_col)
     if n * max(dim, 1) * 8 > max_query_bytes:
         from .ivf import knn_l2_cells  # bounded-memory path for big batches
         return knn_l2_cells(vectors, queries, k, pk_col=pk_col, vec_col=vec_col,

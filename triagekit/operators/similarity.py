@@ -61,16 +61,16 @@ def similar_issues(vectors: DataFrame, queries: DataFrame, issues: DataFrame, *,
     ``owner, repo``.  As in the service, the scope is applied after the
     global top-k and the threshold.
     """
+    stats = query_batch_stats(queries, "embedding")
     hits = knn_l2(vectors, queries.select("query_id", "embedding"), k,
-                  squared=squared, **knn_kw)
+                  squared=squared, query_stats=stats, **knn_kw)
     hits = rescale_similarity(hits).where(F.col("similarity") > F.lit(float(threshold)))
     if scoped:
         hits = hits.join(queries.select("query_id", "owner", "repo"), "query_id")
     # Hits are bounded by queries × k.  Within the bound they are broadcast,
     # so the issue table is scanned but never shuffled (AQE could only
     # switch after shuffling it); beyond it both sides shuffle on id.
-    n_queries, _ = query_batch_stats(queries, "embedding")
-    if n_queries * k <= max_broadcast_hits:
+    if stats[0] * k <= max_broadcast_hits:
         hits = F.broadcast(hits)
     out = _join_closed(hits, issues, scoped)
     return out.select("query_id", "id", "title", "similarity", "url")
