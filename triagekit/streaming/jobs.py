@@ -59,7 +59,7 @@ def upsert_batch_into_snapshots(root: str, initial: DataFrame | None = None):
         latest = _latest_snapshot(spark, root)
         current = spark.read.parquet(latest) if latest else initial
         if current is None:  # first batch: an empty table with the flat schema
-            current = flatten_issues(batch).drop("comments", "reactions").limit(0)
+            current = flatten_issues(batch).limit(0)
         merged = incremental_upsert(current, batch)
         merged.write.mode("overwrite").parquet(out)
 
