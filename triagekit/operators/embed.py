@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokens import CHUNK_SIZE, clean_tokens, n_chunks
-from ..session import ship_package, spread
+from ..session import maybe_broadcast, ship_package, spread
 from .indexing import with_sequential_index
 
 UNK_ID = 0
@@ -49,9 +49,7 @@ def encode_tokens(tokens: DataFrame, vocab: DataFrame, broadcast_max_rows: int =
     A vocabulary proven small is broadcast; otherwise the join shuffles on
     the token and AQE splits the partitions of very frequent tokens.
     """
-    v = vocab.select("token", "token_id")
-    if v.count() <= broadcast_max_rows:
-        v = F.broadcast(v)
+    v = maybe_broadcast(vocab.select("token", "token_id"), broadcast_max_rows)
     return (tokens.join(v, "token", "left")
             .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(UNK_ID)).cast("long")))
 

@@ -154,4 +154,6 @@ def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     """
     if materialize:
         df = cut_lineage(df)
-    return F.broadcast(df) if df.count() <= max_rows else df
+    # A capped count: stops reading once the bound is exceeded, so the
+    # check stays cheap when the frame turns out to be large.
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
