@@ -9,26 +9,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The two prompt templates of the service (text inserted
-# between prefix and suffix).
-SUMMARY_PREFIX = ("Please analyze the following GitHub issue body and provide a detailed summary of "
-                  "the problem. Please note that we are only looking for a summary and not a solution "
-                  "or any additional information. Thank you. ONLY SUMMARY.\n\nIssue Body: ")
-SUMMARY_SUFFIX = "\n\n"
-SOLUTION_PREFIX = ("What is a possible solution to the following GitHub issue? Please provide a very "
-                   "detailed and instructive solution, or if there are no questions to answer in the "
-                   "issue, suggest some potential solutions or explain why a solution may not be "
-                   "feasible. If you are unsure, please provide any insights or suggestions that may be "
-                   "helpful in resolving the issue. Thank you for your contribution!.\n\n Github Issue:")
-SOLUTION_SUFFIX = "\n\n"
+# The two prompt templates of the service ({text} = issue body).
+SUMMARY_TEMPLATE = ("Please analyze the following GitHub issue body and provide a detailed summary of "
+                    "the problem. Please note that we are only looking for a summary and not a solution "
+                    "or any additional information. Thank you. ONLY SUMMARY.\n\nIssue Body: {text}\n\n")
+SOLUTION_TEMPLATE = ("What is a possible solution to the following GitHub issue? Please provide a very "
+                     "detailed and instructive solution, or if there are no questions to answer in the "
+                     "issue, suggest some potential solutions or explain why a solution may not be "
+                     "feasible. If you are unsure, please provide any insights or suggestions that may be "
+                     "helpful in resolving the issue. Thank you for your contribution!.\n\n Github "
+                     "Issue:{text}\n\n")
+
+
+def _render(template: str, text: Column) -> Column:
+    before, after = template.split("{text}")
+    return F.concat(F.lit(before), F.coalesce(text, F.lit("")), F.lit(after))
 
 
 def summary_prompt(text: Column) -> Column:
-    return F.concat(F.lit(SUMMARY_PREFIX), F.coalesce(text, F.lit("")), F.lit(SUMMARY_SUFFIX))
+    return _render(SUMMARY_TEMPLATE, text)
 
 
 def solution_prompt(text: Column) -> Column:
-    return F.concat(F.lit(SOLUTION_PREFIX), F.coalesce(text, F.lit("")), F.lit(SOLUTION_SUFFIX))
+    return _render(SOLUTION_TEMPLATE, text)
 
 
 def complete(prompts: DataFrame, client_factory: Callable[[], Callable[[list[str]], list[str]]],
