@@ -57,13 +57,25 @@ def _centroid_matrix(centroids: DataFrame, max_bytes: int = 256 << 20):
             np.array([r[1] for r in rows], dtype=np.float64))
 
 
+_BLOCK_ELEMS = 4_000_000
+
+
 def _sq_dist_to(mat: np.ndarray, vecs: np.ndarray) -> np.ndarray:
-    """(n_vecs, n_rows) squared distances, folded over dims in order."""
-    d = np.zeros((vecs.shape[0], mat.shape[0]))
-    for j in range(mat.shape[1]):
-        diff = vecs[:, j:j + 1] - mat[None, :, j]
-        d += diff * diff
-    return d
+    """(n_vecs, n_rows) squared distances, folded over dims in order.
+
+    Computed in row blocks so the temporaries stay near ``_BLOCK_ELEMS``
+    doubles however many centroids there are.
+    """
+    out = np.empty((vecs.shape[0], mat.shape[0]))
+    step = max(1, _BLOCK_ELEMS // max(mat.shape[0], 1))
+    for s in range(0, vecs.shape[0], step):
+        v = vecs[s:s + step]
+        d = np.zeros((v.shape[0], mat.shape[0]))
+        for j in range(mat.shape[1]):
+            diff = v[:, j:j + 1] - mat[None, :, j]
+            d += diff * diff
+        out[s:s + step] = d
+    return out
 
 
 def assign_cells(vectors: DataFrame, centroids, pk_col: str = "pk",

@@ -108,12 +108,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin spread a narrow input before CPU-heavy row work.
 
-    Only when the input has fewer partitions than the cluster's default
-    parallelism (a single large file or row group): wide inputs are left
-    alone, so at scale this adds no shuffle.
+    Only when the input has under half as many partitions as the cluster's
+    default parallelism (e.g. a single large file or row group): inputs that
+    are already wide are left alone, so at scale this adds no shuffle.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if df.rdd.getNumPartitions() * 2 > target:
         return df
     return df.repartition(target)
 
