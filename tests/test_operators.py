@@ -472,3 +472,13 @@ def test_landed_json_batch_read_and_publish(spark, tmp_dir):
     files.publish_json(quality.run_suite(quality.dq_extract(fx.issues_fx(spark, SF_SMALL))),
                        f"{tmp_dir}/report")
     assert spark.read.json(f"{tmp_dir}/report").count() == 13
+
+
+def test_blocked_centroid_distances_exact():
+    from triagekit.operators import ivf
+    rng = np.random.default_rng(3)
+    mat, vecs = rng.normal(size=(5000, 6)), rng.normal(size=(2100, 6))
+    want = np.zeros((2100, 5000))
+    for j in range(6):
+        want += (vecs[:, j:j + 1] - mat[None, :, j]) ** 2
+    assert np.array_equal(ivf._sq_dist_to(mat, vecs), want)
