@@ -482,3 +482,15 @@ def test_blocked_centroid_distances_exact():
     for j in range(6):
         want += (vecs[:, j:j + 1] - mat[None, :, j]) ** 2
     assert np.array_equal(ivf._sq_dist_to(mat, vecs), want)
+
+
+def test_csv_na_values(spark, tmp_dir):
+    from triagekit.sources import files
+    df = spark.createDataFrame([(1, "None"), (2, "ok"), (3, "NA")], "ID long, TITLE string")
+    files.write_csv_extract(df, f"{tmp_dir}/x/20240101-000000")
+    plain = files.read_latest_csv_batch(spark, f"{tmp_dir}/x", df.schema)
+    assert plain.where("TITLE IS NULL").count() == 0
+    na = files.read_latest_csv_batch(spark, f"{tmp_dir}/x", df.schema, na_values=["None", "NA", "null"])
+    res = {(r["expectation_type"], r["column"]): r["unexpected_count"] for r in quality.run_suite(
+        na, [{"expectation_type": "expect_column_values_to_not_be_null", "kwargs": {"column": "TITLE"}}]).collect()}
+    assert res[("expect_column_values_to_not_be_null", "TITLE")] == 2

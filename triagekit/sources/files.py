@@ -6,6 +6,7 @@ Paths are Hadoop paths: local, HDFS or object stores all work the same way.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -30,14 +31,25 @@ def latest_batch(spark: SparkSession, root: str) -> str | None:
     return f"{root.rstrip('/')}/{names[-1]}" if names else None
 
 
-def read_latest_csv_batch(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read the latest CSV batch (explicit schema; inference only if none given)."""
+def read_latest_csv_batch(spark: SparkSession, root: str, schema: T.StructType | None = None,
+                          na_values: list[str] | None = None) -> DataFrame:
+    """Read the latest CSV batch (explicit schema; inference only if none given).
+
+    ``na_values``: texts to read as missing in string columns (a pandas-style
+    reader treats e.g. "None", "NA", "null" so), off by default.
+    """
     path = latest_batch(spark, root)
     if path is None:
         raise FileNotFoundError(f"no batch under {root}")
     r = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return r.csv(path)
+    df = r.csv(path)
+    if na_values:
+        df = df.select(*[
+            F.when(F.col(f"`{f.name}`").isin(*na_values), F.lit(None)).otherwise(F.col(f"`{f.name}`")).alias(f.name)
+            if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+            for f in df.schema.fields])
+    return df
 
 
 def publish_json(df: DataFrame, target: str) -> None:
