@@ -1,6 +1,5 @@
 """The reference's own example-based cases, on its literal fixtures, set-based."""
 
-from pyspark.sql import functions as F
 
 from triagekit.operators import ingest, issues
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from triagekit.operators import activity, quota
 from triagekit.operators.ingest import flatten_issues
-from triagekit.operators.upsert import merge_by_key
 from triagekit.sources import fixtures as fx
 from triagekit.streaming import jobs
 from conftest import SF_SMALL

@@ -40,7 +40,7 @@ def kmeans_centroids(vectors: DataFrame, nlist: int = DEFAULT_NLIST, vec_col: st
                      seed: int = 7, max_iter: int = 20) -> DataFrame:
     """Centroids trained with Spark ML k-means over the whole collection."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     feats = vectors.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(feats)
     spark = vectors.sparkSession
