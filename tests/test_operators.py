@@ -494,3 +494,29 @@ def test_csv_na_values(spark, tmp_dir):
     res = {(r["expectation_type"], r["column"]): r["unexpected_count"] for r in quality.run_suite(
         na, [{"expectation_type": "expect_column_values_to_not_be_null", "kwargs": {"column": "TITLE"}}]).collect()}
     assert res[("expect_column_values_to_not_be_null", "TITLE")] == 2
+
+
+def test_metering_hot_user_is_split(spark):
+    """One user with a third of all events: correct, and never one window group."""
+    rnd = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    events = []
+    for i in range(3000):
+        user = "hot" if i % 3 == 0 else f"u{rnd.randrange(40)}"
+        events.append((i, user, t0 + dt.timedelta(seconds=60 * i + rnd.randrange(30)),
+                       "topup" if rnd.random() < 0.05 else "call"))
+    users_rows = [("hot", "Other", 50)] + [(f"u{j}", "Gold - (50$)", 0) for j in range(40)]
+    ev = spark.createDataFrame(events, "event_id long, username string, ts timestamp_ntz, kind string")
+    us = spark.createDataFrame(users_rows, "username string, service string, calls_remaining int")
+    got = {r["event_id"]: (r["response_code"], r["balance"])
+           for r in quota.meter_calls(ev, us, period="day", chunk_seconds=3600).collect()}
+    tiers = {u: s for u, s, _ in users_rows}
+    init = {u: c for u, _, c in users_rows}
+    want = _simulate(events, tiers, init, lambda ts: ts.replace(hour=0, minute=0, second=0, microsecond=0))
+    assert got == want
+    # the hot user's stream ('Other' tier: one reset group for all time) is cut
+    # into hourly chunks, each its own window partition
+    hot = ev.where("username = 'hot'").groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp"))
+                                                         / F.lit(3_600_000_000))).count()
+    sizes = [r["count"] for r in hot.collect()]
+    assert len(sizes) > 40 and max(sizes) <= 1000 / 40
