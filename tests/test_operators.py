@@ -226,10 +226,10 @@ def _simulate(events, tiers, init, period_of):
             continue
         tier = quota.TIER_ALLOWANCE.get(tiers[user])
         p = period_of(ts) if tier is not None else None
-        if user not in bal or (tier is not None and cur[user] != p):
-            bal[user] = tier if tier is not None and (user in bal or True) else init[user]
-            if tier is None and user in bal and cur.get(user, "x") is None:
-                pass
+        if user not in bal:  # first event: tier allowance, or the stored balance
+            bal[user] = tier if tier is not None else init[user]
+        elif tier is not None and cur[user] != p:  # a new period resets known tiers
+            bal[user] = tier
         cur[user] = p
         if kind == "topup":
             bal[user] += tier or 0
