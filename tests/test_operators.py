@@ -520,3 +520,16 @@ def test_metering_hot_user_is_split(spark):
                                                          / F.lit(3_600_000_000))).count()
     sizes = [r["count"] for r in hot.collect()]
     assert len(sizes) > 40 and max(sizes) <= 1000 / 40
+
+
+def test_merge_high_water_equals_full_recompute(spark):
+    iss = fx.issues_fx(spark, SF_SMALL)
+    old = iss.where("id < 100")
+    new = iss.where("id >= 100")
+    rolled = issues.merge_high_water(issues.high_water(old), new)
+    full = issues.high_water(iss)
+    assert sorted(tuple(r) for r in rolled.collect()) == sorted(tuple(r) for r in full.collect())
+    landed = fx.landed_updates_fx(spark, SF_SMALL)
+    a = ingest.select_incremental(iss, landed)
+    b = ingest.select_incremental(None, landed, marks=full)
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import issues_endpoint
 from ..schemas import RAW_ISSUE
 from ..session import maybe_broadcast
-from .issues import high_water
+from .issues import high_water, merge_high_water  # noqa: F401
 
 # Fixed values.
 COMMENT_KEY_PREFIX = "comment "
@@ -101,12 +101,14 @@ def attach_children(issues: DataFrame, comments: DataFrame, reactions: DataFrame
     return j.where(ok).drop("_sid", "_ok"), j.where(~ok).drop("_sid", "_ok")
 
 
-def select_incremental(target: DataFrame, landed: DataFrame) -> DataFrame:
+def select_incremental(target: DataFrame | None, landed: DataFrame,
+                       marks: DataFrame | None = None) -> DataFrame:
     """Landed issue rows updated at or after their repo's high-water + 1 s.
 
     Repos without a high-water mark take every row.  Rows need a body.
+    ``marks`` (from :func:`merge_high_water`) avoids scanning the target.
     """
-    hw = high_water(target).select(
+    hw = (marks if marks is not None else high_water(target)).select(
         F.col("repo_owner").alias("_o"), F.col("repo_name").alias("_r"),
         (F.col("high_water") + F.expr("INTERVAL 1 SECOND")).alias("_since"))
     # One row per repo: broadcast when the repo count is proven small.
@@ -120,10 +122,16 @@ def endpoint_of(df: DataFrame) -> DataFrame:
     return df.withColumn("endpoint", issues_endpoint(F.col("repo_owner"), F.col("repo_name")))
 
 
-def incremental_upsert(target: DataFrame, landed_raw: DataFrame) -> DataFrame:
+def incremental_upsert(target: DataFrame, landed_raw: DataFrame,
+                       marks: DataFrame | None = None) -> DataFrame:
     """C5: landed documents → flat rows → only rows newer than their repo's
-    high-water mark → last-wins merge into the target (new table state)."""
+    high-water mark → last-wins merge into the target (new table state).
+
+    Pass the maintained ``marks`` table to skip the scan of the target for
+    its high-water marks; roll it forward afterwards with
+    ``merge_high_water(marks, fresh_rows)``.
+    """
     from .upsert import merge_by_key
     flat = flatten_issues(landed_raw).select(*target.columns)
-    fresh = select_incremental(target, flat)
+    fresh = select_incremental(target, flat, marks)
     return merge_by_key(target, fresh, ["id"], order=["updated_at"])

@@ -65,3 +65,19 @@ def high_water(issues: DataFrame) -> DataFrame:
     hw = issues.groupBy("repo_owner", "repo_name").agg(F.max("updated_at").alias("high_water"))
     return hw.withColumn(
         "since", F.date_format(F.col("high_water") + F.expr("INTERVAL 1 SECOND"), HIGH_WATER_FORMAT))
+
+
+def merge_high_water(previous: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Roll per-repo high-water marks forward with a batch of upserted rows.
+
+    Equals :func:`high_water` of the table after the upsert as long as rows
+    only move forward in time, but reads only the batch and the small
+    high-water table, not the whole issue table.
+    """
+    key = ["repo_owner", "repo_name"]
+    b = batch.groupBy(*key).agg(F.max("updated_at").alias("high_water"))
+    if previous is not None:
+        b = previous.select(*key, "high_water").unionByName(b).groupBy(*key).agg(
+            F.max("high_water").alias("high_water"))
+    return b.withColumn(
+        "since", F.date_format(F.col("high_water") + F.expr("INTERVAL 1 SECOND"), HIGH_WATER_FORMAT))
