@@ -111,3 +111,19 @@ def test_stream_metering_event_time_with_late_arrivals(spark, tmp_dir):
             for r in quota.meter_calls(ev, users, period="week").collect()}
     assert len(got) > 0.7 * len(want)  # the newest ~2 days stay pending
     assert all(want[k] == v for k, v in got.items())
+
+
+def test_stream_ingest_maintains_marks(spark, tmp_dir):
+    raw = fx.raw_issues_fx(spark, SF_SMALL)
+    landed = os.path.join(tmp_dir, "landed")
+    raw.where("id < 100").write.json(os.path.join(landed, "b1"))
+    root, ck = os.path.join(tmp_dir, "issues"), os.path.join(tmp_dir, "ck")
+    src = os.path.join(landed, "*")
+    jobs.stream_ingest(spark, src, root, ck).awaitTermination()
+    raw.where("id >= 100").write.json(os.path.join(landed, "b2"))
+    jobs.stream_ingest(spark, src, root, ck).awaitTermination()
+    snap = spark.read.parquet(jobs._latest_snapshot(spark, root))
+    marks = spark.read.parquet(jobs._latest_snapshot(spark, os.path.join(root, "_marks")))
+    from triagekit.operators.issues import high_water
+    assert snap.count() == raw.count()
+    assert sorted(tuple(r) for r in marks.collect()) == sorted(tuple(r) for r in high_water(snap).collect())

@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.ingest import flatten_issues, incremental_upsert
+from ..operators.ingest import flatten_issues, select_incremental
+from ..operators.issues import high_water, merge_high_water
+from ..operators.upsert import merge_by_key
 from ..operators.quota import TIER_ALLOWANCE
 from ..schemas import RAW_ISSUE
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 
 
 # ----------------------------------------------------------------- T1
@@ -48,20 +50,38 @@ def upsert_batch_into_snapshots(root: str, initial: DataFrame | None = None):
     """foreachBatch body: merge the micro-batch into the newest snapshot.
 
     Snapshot ``v{epoch}`` is written once; a replayed epoch finds it
-    complete and does nothing, so the sink is idempotent.
+    complete and does nothing, so the sink is idempotent.  Per-repo
+    high-water marks are kept beside it (``_marks/v{epoch}``) and rolled
+    forward from each batch's fresh rows.
     """
 
+    marks_root = f"{root.rstrip('/')}/_marks"
+
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        out = f"{root.rstrip('/')}/v{epoch_id + 1:09d}"
+        name = f"v{epoch_id + 1:09d}"
+        out, marks_out = f"{root.rstrip('/')}/{name}", f"{marks_root}/{name}"
         if _snapshot_exists(spark, out):
+            if not _snapshot_exists(spark, marks_out):  # crashed between the two writes
+                high_water(spark.read.parquet(out)).write.mode("overwrite").parquet(marks_out)
             return
         latest = _latest_snapshot(spark, root)
         current = spark.read.parquet(latest) if latest else initial
         if current is None:  # first batch: an empty table with the flat schema
             current = flatten_issues(batch).limit(0)
-        merged = incremental_upsert(current, batch)
-        merged.write.mode("overwrite").parquet(out)
+        latest_marks = _latest_snapshot(spark, marks_root)
+        if latest_marks:
+            marks = spark.read.parquet(latest_marks)
+        elif latest or initial is not None:  # existing table without marks: compute once
+            marks = cut_lineage(high_water(current))
+        else:  # empty table: every landed row is new
+            marks = None
+        # Rows newer than their repo's mark, merged; marks roll forward from
+        # the fresh rows only, so no micro-batch scans the whole table.
+        flat = flatten_issues(batch).select(*current.columns)
+        fresh = cut_lineage(select_incremental(current, flat, marks))
+        merge_by_key(current, fresh, ["id"], order=["updated_at"]).write.mode("overwrite").parquet(out)
+        merge_high_water(marks, fresh).write.mode("overwrite").parquet(marks_out)
 
     return run
 
