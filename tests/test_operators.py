@@ -533,3 +533,19 @@ def test_merge_high_water_equals_full_recompute(spark):
     a = ingest.select_incremental(iss, landed)
     b = ingest.select_incremental(None, landed, marks=full)
     assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_incremental_upsert_composite(spark):
+    raw = fx.raw_issues_fx(spark, SF_SMALL)
+    target = ingest.flatten_issues(raw)
+    stale = raw.withColumn("title", F.lit("stale"))  # same timestamps: not newer
+    newer = raw.where("id % 2 = 0").withColumn("title", F.lit("new")).withColumn(
+        "updated_at", F.lit("2030-01-01T00:00:00Z"))
+    out = ingest.incremental_upsert(target, stale.unionByName(newer))
+    titles = {r["id"]: r["title"] for r in out.select("id", "title").collect()}
+    base = {r["id"]: r["title"] for r in target.select("id", "title").collect()}
+    assert len(titles) == len(base)
+    assert all(titles[i] == ("new" if i % 2 == 0 else base[i]) for i in base)
+    marks = issues.high_water(target)
+    out2 = ingest.incremental_upsert(target, stale.unionByName(newer), marks=marks)
+    assert sorted(tuple(r) for r in out2.select("id", "title").collect()) == sorted(titles.items())
