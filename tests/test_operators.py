@@ -549,3 +549,23 @@ def test_incremental_upsert_composite(spark):
     marks = issues.high_water(target)
     out2 = ingest.incremental_upsert(target, stale.unionByName(newer), marks=marks)
     assert sorted(tuple(r) for r in out2.select("id", "title").collect()) == sorted(titles.items())
+
+
+def test_knn_plain_l2(spark):
+    v = fx.vectors_fx(spark, SF_SMALL)
+    q = fx.query_vectors_fx(spark, SF_SMALL).where("query_id < 5")
+    sq = {(r["query_id"], r["pk"]): r["distance"] for r in knn.knn_l2(v, q, 10).collect()}
+    pl = {(r["query_id"], r["pk"]): r["distance"] for r in knn.knn_l2(v, q, 10, squared=False).collect()}
+    assert sq.keys() == pl.keys()
+    assert all(abs(pl[key] - sq[key] ** 0.5) < 1e-12 for key in sq)
+
+
+def test_maybe_broadcast_respects_bound(spark):
+    from triagekit.session import maybe_broadcast
+    big = spark.range(100)
+    small = spark.range(5).withColumnRenamed("id", "k")
+    j1 = big.join(maybe_broadcast(small, max_rows=10), big["id"] == small["k"])
+    j2 = big.join(maybe_broadcast(small, max_rows=2), big["id"] == small["k"])
+    p1 = j1._jdf.queryExecution().optimizedPlan().toString()
+    p2 = j2._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in p1.lower() and "broadcast" not in p2.lower()
