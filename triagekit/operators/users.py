@@ -82,7 +82,8 @@ def update_subscriptions(users: DataFrame, updates: DataFrame) -> DataFrame:
 
     ``updates``: ``event_id, username, ts, service``.  Each upgrade sets the
     service and adds its amount to the balance.  Returns one row per update
-    with the state after it and the activity description.
+    (``event_id, username, ts, response_code, service, calls_remaining,
+    description``) with the state after it and the activity description.
     """
     u = users.select("username", F.col("service").alias("_old_service"),
                      F.col("calls_remaining").cast("long").alias("_init"))
@@ -100,7 +101,7 @@ def update_subscriptions(users: DataFrame, updates: DataFrame) -> DataFrame:
         "Subscription updated: service=%s, calls_remaining=%d", F.col("service"), remaining)
     ).otherwise(F.lit(MSG_USER_NOT_FOUND))
     return j.select(
-        "event_id", "username",
+        "event_id", "username", "ts",
         F.when(F.col("_found"), F.lit(200)).otherwise(F.lit(404)).alias("response_code"),
         F.when(F.col("_found"), F.col("service")).alias("service"),
         remaining.alias("calls_remaining"),

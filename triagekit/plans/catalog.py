@@ -132,9 +132,7 @@ def _upgrade_outcomes(spark, base):
 @register("activity_append")
 def q_activity_append(spark, base):
     from ..operators.activity import append_activity
-    up = _upgrade_outcomes(spark, base).join(
-        fx.upgrades_fx(spark, base).select("event_id", "ts"), "event_id")
-    rows = up.select(
+    rows = _upgrade_outcomes(spark, base).select(
         "username", F.lit("PUT").alias("request_type"),
         F.lit("update_subscription").alias("api_endpoint"),
         F.col("response_code").cast("string").alias("response_code"),
@@ -190,7 +188,7 @@ def q_user_signup(spark, base):
 
 @register("user_update")
 def q_user_update(spark, base):
-    return _upgrade_outcomes(spark, base)
+    return _upgrade_outcomes(spark, base).drop("ts")
 
 
 @register("mask_sensitive")
