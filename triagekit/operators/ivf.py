@@ -29,11 +29,18 @@ _EPS = 1e-9
 
 
 def label_centroids(vectors: DataFrame, label_col: str, vec_col: str = "embeddings") -> DataFrame:
-    """Centroid per label: mean vector (double), as (cell, centroid array)."""
-    ex = vectors.select(F.col(label_col).alias("cell"), F.posexplode(vec_col).alias("j", "x"))
-    m = ex.groupBy("cell", "j").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return m.groupBy("cell").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("centroid"))
+    """Centroid per label: mean vector (double), as (cell, centroid array).
+
+    ``Summarizer.mean`` aggregates whole vectors on the JVM (partial
+    aggregation per task), instead of exploding every vector into ``dim``
+    rows.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    feats = vectors.select(F.col(label_col).alias("cell"),
+                           array_to_vector(F.col(vec_col).cast("array<double>")).alias("_f"))
+    m = feats.groupBy("cell").agg(Summarizer.mean(F.col("_f")).alias("_m"))
+    return m.select("cell", vector_to_array("_m").alias("centroid"))
 
 
 def kmeans_centroids(vectors: DataFrame, nlist: int = DEFAULT_NLIST, vec_col: str = "embeddings",
