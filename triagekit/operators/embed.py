@@ -167,7 +167,17 @@ def embed_chunks_with_model(chunks: DataFrame, model_factory: Callable[[], Calla
 
 
 def mean_of_vectors(chunk_vectors: DataFrame, ids: DataFrame, dim: int) -> DataFrame:
-    """Unweighted mean of chunk vectors per id; zero vector when none."""
-    ex = chunk_vectors.select("id", F.posexplode("vector").alias("bucket", "v"))
-    pooled = ex.groupBy("id", "bucket").agg(F.avg("v").alias("value"))
-    return densify(pooled, ids, dim)
+    """Unweighted mean of chunk vectors per id; zero vector when none.
+
+    Whole vectors are averaged on the JVM (``Summarizer.mean``), without
+    exploding each into ``dim`` rows.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    feats = chunk_vectors.select("id", array_to_vector("vector").alias("_v"))
+    pooled = feats.groupBy("id").agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("_m"),
+                                     F.count(F.lit(1)).alias("n_chunks"))
+    j = ids.select("id").join(pooled, "id", "left")
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return j.select("id", F.coalesce(F.col("n_chunks"), F.lit(0)).cast("long").alias("n_chunks"),
+                    F.coalesce(F.col("_m"), zero).alias("vector"))
