@@ -33,3 +33,4 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["query_id", "id", "title", "similarity", "url"]
     assert df.count() > 0
+    assert E.entry(spark).schema == df.schema  # stable across calls
