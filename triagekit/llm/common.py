@@ -137,3 +137,9 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for j in range(width):
         total = total * np.uint64(0xD6E8FEB86659FD93) + words[j:j + n]
     return mix64(total)
+
+
+def bound_batches(spark, rows: int = 4000, size: int = 32 << 20) -> None:
+    """Bound the Arrow batches that tasks exchange with Python, in rows and in bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

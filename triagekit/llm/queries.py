@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import mixing, sharding, urlfilter
+from . import decontamination, mixing, sharding, urlfilter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -23,6 +23,38 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_OP1_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), " + _FOLD
+              + r"), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+OP1_SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_OP1_WORDS} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_OP1_WORDS} AS w FROM documents),
+dw AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+        FROM d, (SELECT DISTINCT m FROM wins) WHERE len(w) >= m)),
+occ AS (SELECT doc_id, dw.m, i, item FROM dw JOIN wins USING (win, m)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+         FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM occ))
+         GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+         FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+
+@query("op1_decontamination", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_digest(read_table(spark, sf_dir, "documents"),
+                                                read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
