@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import decontamination, mixing, near_dedup, sharding, urlfilter
+from . import decontamination, mixing, near_dedup, quality_rules, sharding, urlfilter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -87,6 +87,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
 
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_digest(read_table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH u AS (
   SELECT page_id,
