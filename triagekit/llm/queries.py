@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import decontamination, mixing, near_dedup, quality_rules, sharding, urlfilter
+from . import decontamination, langid, mixing, near_dedup, quality_rules, sharding, urlfilter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -92,6 +92,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(read_table(spark, sf_dir, "documents"))
 
 
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH u AS (
   SELECT page_id,
