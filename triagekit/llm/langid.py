@@ -41,7 +41,7 @@ def windows(flat: np.ndarray, width: int) -> np.ndarray:
     v = np.zeros(len(flat), np.uint32)
     for back in range(width):
         part = np.zeros(len(flat), np.uint32)
-        part[back:] = flat[:len(flat) - back] if back else flat
+        part[back:] = flat[:max(0, len(flat) - back)]
         v |= part << np.uint32(8 * back)
     return v
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import decontamination, langid, mixing, near_dedup, quality_rules, sharding, urlfilter
+from . import decontamination, langid, mixing, near_dedup, quality_rules, sharding, token_files, urlfilter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -122,3 +122,8 @@ FROM j
 @query("op7_url_filter", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digest(read_table(spark, sf_dir, "documents"))
