@@ -17,8 +17,14 @@ def suffix_array(sym: np.ndarray, depth: int | None = None) -> np.ndarray:
     not notice.
     """
     n = len(sym)
-    sa = np.argsort(sym, kind="stable")
-    ordered = sym[sa]
+    h, first_key = 1, sym
+    if n and int(sym.max()) < 127:  # eight small symbols fit one sort key
+        h, first_key = 8, np.zeros(n, np.int64)
+        for j in range(8):
+            first_key <<= 7
+            first_key[:max(0, n - j)] |= sym[j:].astype(np.int64) + 1  # 0: beyond the end
+    sa = np.argsort(first_key, kind="stable")
+    ordered = first_key[sa]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -26,7 +32,6 @@ def suffix_array(sym: np.ndarray, depth: int | None = None) -> np.ndarray:
     rank[sa] = first  # a suffix's rank: where its group of ties begins
     tied = ~(new & np.append(new[1:], True)) if n else new
     at = np.flatnonzero(tied)
-    h = 1
     while len(at) and (depth is None or h < depth):
         idx = sa[at]
         nxt = idx + h
@@ -143,3 +148,51 @@ class FMIndex:
             at = self.wavelet.back(at)
             steps += 1
         return out
+
+
+def _children(wavelet: WaveletMatrix, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of c w for every interval [lo, hi) of w and every symbol c > 0 before it."""
+    base = np.zeros(len(lo), np.int64)  # where the symbols read so far begin at this level
+    sym = np.zeros(len(lo), np.int64)
+    for bit, ranks, zeros in wavelet.levels:
+        l1, h1, b1 = ranks.rank1(lo), ranks.rank1(hi), ranks.rank1(base)
+        l0, h0, b0 = lo - l1, hi - h1, base - b1
+        left, right = np.flatnonzero(l0 < h0), np.flatnonzero(l1 < h1)
+        lo = np.concatenate([l0[left], l1[right] + zeros])
+        hi = np.concatenate([h0[left], h1[right] + zeros])
+        base = np.concatenate([b0[left], b1[right] + zeros])
+        sym = np.concatenate([sym[left], sym[right] | (1 << bit)])
+    keep = sym > 0
+    start = wavelet.counts[sym[keep]] - base[keep]
+    return lo[keep] + start, hi[keep] + start
+
+
+def long_prefix(sa: np.ndarray, text: np.ndarray, sigma: int, depth: int) -> np.ndarray:
+    """True at i where the suffixes sa[i - 1] and sa[i] agree in at least ``depth`` symbols.
+
+    Breadth-first backward extension on the transform: the intervals of all strings of
+    length l come from those of length l - 1 by one symbol in front.  The first interval
+    to end before i shows that the prefixes there part after l symbols; it is kept for
+    the next length only then, so every place is visited once, by increasing value.  The
+    walk stops at ``depth``; places not reached by then have longer common prefixes.
+    Symbol 0 ends a text: strings may end with it, none goes on beyond it.
+    """
+    n = len(sa)
+    wavelet = WaveletMatrix(text[np.where(sa > 0, sa - 1, n - 1)].astype(np.int64), sigma)
+    open_ = np.ones(n + 1, bool)
+    ends = int(wavelet.counts[1])
+    open_[:ends + 1] = False  # suffixes that begin with an end, and the outer borders
+    open_[n] = False
+    lo, hi = np.array([0], np.int64), np.array([n], np.int64)
+    for length in range(depth):
+        lo, hi = _children(wavelet, lo, hi)
+        if length == 0:  # the interval of the end symbol itself
+            lo, hi = np.append(lo, 0), np.append(hi, ends)
+            new = np.ones(len(lo), bool)
+        else:
+            new = open_[hi]
+        open_[hi[new]] = False
+        lo, hi = lo[new], hi[new]
+        if not len(lo):
+            break
+    return open_[:n]
