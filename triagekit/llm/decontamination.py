@@ -213,7 +213,7 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every hit span cut out of its text; untouched texts stay as they are."""
     @F.udf("string")  # only contaminated rows run it
-    def cut(text: str, spans: list) -> str:
+    def cut(text, spans):
         return remove_words(text, [(s["b"], s["e"]) for s in spans])
 
     d = find_contamination(docs, benchmark, text_col)

@@ -80,10 +80,23 @@ def _vector() -> Column:
                    F.sqrt(F.col("n_punct") / n), F.log(n / F.col("n_lines")))
 
 
-def _squared(center: str, precision: str) -> Column:
-    d = [F.col("x")[i] - F.col(center)[i] for i in range(DIMS)]
-    terms = [d[i] * d[j] * F.col(precision)[i * DIMS + j] for i in range(DIMS) for j in range(DIMS)]
-    return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
+#: Pairs of statistics, once each: the entries of a symmetric matrix.
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
+
+
+def _squared(center: str, precision: str) -> tuple[Column, Column]:
+    """(x - center, its quadratic form); ``precision`` holds the matrix row by row, ``d`` the first."""
+    d = F.zip_with("x", center, lambda a, b: a - b)
+    inner = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.aggregate(
+        F.zip_with("d", F.slice(precision, i * DIMS + 1, F.lit(DIMS)), lambda a, b: a * b),
+        F.lit(0.0), lambda s, v: s + v))
+    return d, F.greatest(F.aggregate(F.zip_with("d", inner, lambda a, b: a * b), F.lit(0.0),
+                                     lambda s, v: s + v), F.lit(0.0))
+
+
+def _with_distance(df: DataFrame, center: str, precision: str) -> DataFrame:
+    d, squared = _squared(center, precision)
+    return df.withColumn("d", d).withColumn("d", squared)
 
 
 def _quantiles(cells: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
@@ -109,7 +122,9 @@ def _precision(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         n = f["n"].to_numpy(float)[:, None]
         m = np.stack(f["s"].to_list()) / n
-        second = np.stack(f["ss"].to_list()).reshape(-1, DIMS, DIMS) / n[:, :, None]
+        second = np.empty((len(f), DIMS, DIMS))
+        for k, (i, j) in enumerate(PAIRS):
+            second[:, i, j] = second[:, j, i] = np.stack(f["ss"].to_list())[:, k] / n[:, 0]
         cov = second - m[:, :, None] * m[:, None, :] + np.diag(np.square(FLOOR))
         p = np.linalg.inv(cov).reshape(-1, DIMS * DIMS)
         yield pd.DataFrame({"grp": f["grp"], "center": list(m), "precision": list(p)})
@@ -137,7 +152,7 @@ def robust_estimates(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFram
         F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda j: F.when(j == e["dim"], e["p"]).otherwise(0.0))))
     est = shared_table(q.select("grp", F.col("a.m").alias("center"), diagonal.alias("precision")), "mcd")
     for step in range(STEPS + 1):
-        d = g.join(est, "grp").withColumn("d", _squared("center", "precision"))
+        d = _with_distance(g.join(est, "grp"), "center", "precision")
         cells = d.select("grp", _distance_cell().alias("cell"))
         cut = _quantiles(cells, ["grp"], [SUBSET, 0.5])
         if step == STEPS:
@@ -146,7 +161,7 @@ def robust_estimates(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFram
         inner = d.join(cut, "grp").where(_distance_cell() <= F.col("q0"))
         sums = inner.groupBy("grp").agg(
             F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(DIMS)]).alias("s"),
-            F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(DIMS) for j in range(DIMS)]).alias("ss"))
+            F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]).alias("ss"))
         est = shared_table(sums.mapInPandas(_precision, "grp string, center array<double>, precision array<double>"),
                            "mcd")
 
@@ -171,9 +186,10 @@ def judge(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     s = s.withColumn("__e", F.coalesce("__e0", "__e1", "__e2")).withColumn(
         "x", F.when(~F.col("base_failed"), _vector()))
     share = F.col("n_words") / (F.col("n_words") + SHORT)
-    s = s.withColumn("distance", _squared("__e.center", "__e.precision") * F.col("__e.scale") * share)
+    s = _with_distance(s, "__e.center", "__e.precision").withColumn(
+        "distance", F.col("d") * F.col("__e.scale") * share)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)
-    return s.withColumn("kept", kept).drop("__e", "x", *[f"__{c}{i}" for c in "ge" for i in range(3)])
+    return s.withColumn("kept", kept).drop("__e", "x", "d", *[f"__{c}{i}" for c in "ge" for i in range(3)])
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
