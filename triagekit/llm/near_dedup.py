@@ -7,8 +7,9 @@ pairs of a bucket:
 
 1. Every member of a bucket is compared with the bucket's smallest member.  Confirmed
    links are joined into components.
-2. Only buckets that still hold several components are compared further, cut into
-   blocks; a task compares two blocks and leaves out pairs that are already connected.
+2. Only buckets that still hold several components are compared further: their members
+   outside the smallest member's component with all members, in pairs of blocks; a
+   task leaves out pairs that are already connected.
 
 After that every candidate pair is either connected or was compared, so the components
 are those of all confirmed candidate pairs.  With 24 bands of 5 slots a pair at the
@@ -21,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,12 +121,21 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"])
 
 
-def _confirm_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between members of two blocks that are not connected yet."""
-    rows = rows.drop_duplicates("set_id").sort_values(["n_shingles", "set_id"])
-    sets = [full_set(t) for t in rows["text"]]
-    ids, roots = rows["set_id"].tolist(), rows["root"].tolist()
-    block = rows["block"].tolist()
+def _new_links(rows: list[dict]) -> list[tuple[int, int]]:
+    """Links between outsiders and members of one pair of blocks that join something.
+
+    One array pass per outsider counts its shingles in all members; pairs that are
+    connected already are left out.
+    """
+    members = sorted({r["set_id"]: r for r in rows if not r["outsider"]}.values(), key=lambda r: r["set_id"])
+    outsiders = sorted({r["set_id"]: r for r in rows if r["outsider"]}.values(), key=lambda r: r["set_id"])
+    if not members or not outsiders:
+        return []
+    number: dict[tuple, int] = {}
+    sets = [[number.setdefault(x, len(number)) for x in full_set(r["text"])] for r in members]
+    size = np.array([len(x) for x in sets])
+    flat, first = np.concatenate([np.array(x, np.int64) for x in sets]), np.cumsum(size) - size
+    roots = [r["root"] for r in members]
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -135,16 +144,33 @@ def _confirm_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    same = key[1] == key[2]
     out = []
-    for j in range(len(ids)):
-        for i in range(j - 1, -1, -1):  # by falling size, until too small
-            if len(sets[i]) * 100 < PERCENT * len(sets[j]):
-                break
-            if (same or block[i] != block[j]) and find(roots[i]) != find(roots[j]) and linked(sets[i], sets[j]):
-                parent[find(roots[i])] = find(roots[j])
-                out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+    mark = np.zeros(len(number), bool)
+    for o in outsiders:
+        own = full_set(o["text"])
+        mine = np.array([number[x] for x in own if x in number], np.int64)
+        mark[mine] = True
+        both = np.add.reduceat(mark[flat].astype(np.int64), first)
+        mark[mine] = False
+        for i in np.flatnonzero(100 * both >= PERCENT * (size + len(own) - both)).tolist():
+            if find(roots[i]) != find(o["root"]):
+                parent[find(roots[i])] = find(o["root"])
+                out.append((o["set_id"], members[i]["set_id"]))
+    return out
+
+
+def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, i, j): each group holds one block of outsiders, one of members."""
+    held: list[dict] = []
+    out: list[tuple[int, int]] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and (r["key"], r["i"], r["j"]) != (held[0]["key"], held[0]["i"], held[0]["j"]):
+                out += _new_links(held)
+                held = []
+            held.append(r)
+    out += _new_links(held) if held else []
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,17 +216,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     m = members.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "key", "set_id", "hub", F.coalesce("root", "set_id").alias("root"))
     hub_root = m.where("set_id = hub").select("key", F.col("root").alias("hub_root"))
-    state = m.join(hub_root, "key").groupBy("key").agg(
+    m = shared_table(m.join(hub_root, "key").withColumn("outsider", F.col("root") != F.col("hub_root")), "rooted")
+    state = m.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("who"),
-        F.max((F.col("root") != F.col("hub_root")).cast("int")).alias("apart"))
-    state = state.where("apart = 1 and n > 2").groupBy("who", "n").agg(F.min("key").alias("key"))  # alike buckets once
-    state = state.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = (m.join(state, "key").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", "set_id", "root", "block", F.least("block", "other").alias("i"),
-                    F.greatest("block", "other").alias("j"))
-            .join(texts, "set_id"))
-    more = rest.groupBy("key", "i", "j").applyInPandas(_confirm_blocks, "u long, v long").distinct()
+        F.sum(F.col("outsider").cast("int")).alias("out"))
+    # Two members were compared already; buckets with the same members count once.
+    state = state.where("out > 0 and n > 2").groupBy("who", "n").agg(
+        F.min(F.struct("key", "out")).alias("one")).select(
+        "one.key", F.ceil(F.col("one.out") / BLOCK).cast("int").alias("ob"), F.ceil(F.col("n") / BLOCK).cast("int").alias("mb"))
+    m = m.join(state, "key")
+    place = F.xxhash64("set_id", F.lit(7))
+    rows = m.select("key", "set_id", "root", F.lit(False).alias("outsider"),
+                    F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"),
+                    F.pmod(place, F.col("mb")).cast("int").alias("j"))
+    rows = rows.unionByName(m.where("outsider").select(
+        "key", "set_id", "root", "outsider", F.pmod(place, F.col("ob")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j")))
+    rest = rows.join(texts.select("set_id", "text"), "set_id").repartition("key", "i", "j")
+    more = rest.sortWithinPartitions("key", "i", "j").mapInArrow(_confirm_blocks, "u long, v long").distinct()
     more = shared_table(more, "blocks")
     if more.limit(1).count():
         roots = shared_table(components(links.unionByName(more)), "roots")
