@@ -17,7 +17,7 @@ from .common import shared_table
 def _large(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
@@ -30,12 +30,11 @@ def _small(e: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(u, v) links -> (node, root) for every node that has a link to another one."""
     e = links.where("u <> v").select("u", "v")
-    before = None
     while True:
         e = shared_table(_small(_large(e)), "links")
-        r = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if (r.n, r.h) == before or not r.n:
+        # Done when all are stars: every node hangs below one node, which hangs nowhere.
+        r = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("nodes")).first()
+        if r.n == r.nodes and not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
             break
-        before = (r.n, r.h)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

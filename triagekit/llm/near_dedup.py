@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = rest.sortWithinPartitions("key", "i", "j").mapInArrow(_confirm_blocks, "u long, v long").distinct()
     more = shared_table(more, "blocks")
     if more.limit(1).count():
-        roots = shared_table(components(links.unionByName(more)), "roots")
+        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = shared_table(components(known.unionByName(more)), "roots")
 
     s = sets.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "rep", F.coalesce("root", "set_id").alias("root"))
