@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,6 +175,18 @@ def _search(phrases: Phrases, text_col: str):
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = batch.column("__text")
+        hit = np.flatnonzero(pa.compute.list_value_length(batch.column("__spans")).to_numpy(zero_copy_only=False) > 0)
+        if len(hit):  # other texts stay the very bytes they were
+            texts = text.to_pylist()
+            for i in hit.tolist():
+                texts[i] = remove_words(texts[i], [(s["b"], s["e"]) for s in batch.column("__spans")[i].as_py()])
+            text = pa.array(texts, text.type)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), text], ["row", "__text"])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                        block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` plus ``found``: n_words, items (ids, as sorted strings)
@@ -184,9 +197,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     side change nothing; empty tables give empty or clean results.  A column of the
     input called ``found`` is replaced; others may have any name.
     """
+    d = _search_all(docs, benchmark, text_col, block_bytes)
+    keep = [F.col(f"row.`{c}`") for c in docs.columns if c != "found"]
+    return d.select(*keep, F.struct(F.col("__n_words").alias("n_words"), F.col("__items").alias("items"),
+                                      F.col("__spans").alias("spans")).alias("found"))
+
+
+def _search_all(docs: DataFrame, benchmark: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
     bound_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != "found"]
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("__text"),
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("__text"),
                     F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<string>").alias("__items"),
                     F.array().cast(_SPANS).alias("__spans"))
     b = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text"))
@@ -197,8 +216,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         block = b.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in d.schema])
         d = d.mapInArrow(_search(build_phrases([(r.item, r.text) for r in block]), "__text"), schema)
-    return d.select("row.*", F.struct(F.col("__n_words").alias("n_words"), F.col("__items").alias("items"),
-                                      F.col("__spans").alias("spans")).alias("found"))
+    return d
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -212,11 +230,7 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every hit span cut out of its text; untouched texts stay as they are."""
-    @F.udf("string")  # only contaminated rows run it
-    def cut(text, spans):
-        return remove_words(text, [(s["b"], s["e"]) for s in spans])
-
-    d = find_contamination(docs, benchmark, text_col)
-    text = F.when(F.size("found.spans") > 0, cut(F.col(text_col), F.col("found.spans"))).otherwise(F.col(text_col))
-    out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return d.select(*out)
+    d = _search_all(docs, benchmark, text_col, BLOCK_BYTES).select("row", "__text", "__spans")
+    schema = T.StructType([f for f in d.schema if f.name != "__spans"])
+    d = d.mapInArrow(_cut, schema)
+    return d.select(*[F.col("__text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns])
