@@ -219,20 +219,21 @@ def test_lookup_missing_and_scoped(spark):
 
 # ---------------------------------------------------------------- quota
 def _simulate(events, tiers, init, period_of):
-    bal, cur, out = {}, {}, {}
-    for eid, user, ts, kind in sorted(events, key=lambda e: (e[2], e[0])):
+    bal, cur, now, out = {}, {}, {}, {}
+    for eid, user, ts, kind, bought in sorted(events, key=lambda e: (e[2], e[0])):
         if user not in tiers:
             out[eid] = (404, None)
             continue
-        tier = quota.TIER_ALLOWANCE.get(tiers[user])
-        p = period_of(ts) if tier is not None else None
+        tier = quota.TIER_ALLOWANCE.get(now.get(user, tiers[user]))
+        p = period_of(ts)
         if user not in bal:  # first event: tier allowance, or the stored balance
             bal[user] = tier if tier is not None else init[user]
-        elif tier is not None and cur[user] != p:  # a new period resets known tiers
+        elif tier is not None and cur[user] != p:  # a new period resets to the tier in force
             bal[user] = tier
         cur[user] = p
         if kind == "topup":
-            bal[user] += tier or 0
+            now[user] = bought
+            bal[user] += quota.TIER_ALLOWANCE.get(bought, 0)
             out[eid] = (200, bal[user])
         elif bal[user] > 0:
             bal[user] -= 1
@@ -242,13 +243,18 @@ def _simulate(events, tiers, init, period_of):
     return out
 
 
+BOUGHT = ["Free - (0$)", "Gold - (50$)", "Platinum - (100$)", "Unheard of", None]
+METERED = "event_id long, username string, ts timestamp_ntz, kind string, service string"
+
+
 def test_metering_matches_step_simulation(spark):
     rnd = random.Random(5)
     users_rows = [("a", "Free - (0$)", 3), ("b", "Other", 2), ("c", "Gold - (50$)", 0)]
     t0 = dt.datetime(2024, 1, 1)
-    events = [(i, rnd.choice("abcx"), t0 + dt.timedelta(minutes=rnd.randrange(0, 600)),
-               "topup" if rnd.random() < 0.08 else "call") for i in range(400)]
-    ev = spark.createDataFrame(events, "event_id long, username string, ts timestamp_ntz, kind string")
+    events = [(i, rnd.choice(["a", "b", "c", "x", None]), t0 + dt.timedelta(minutes=rnd.randrange(0, 600)), kind,
+               rnd.choice(BOUGHT) if kind == "topup" else None)
+              for i in range(500) for kind in ["topup" if rnd.random() < 0.08 else "call"]]
+    ev = spark.createDataFrame(events, METERED)
     us = spark.createDataFrame(users_rows, "username string, service string, calls_remaining int")
     got = {r["event_id"]: (r["response_code"], r["balance"])
            for r in quota.meter_calls(ev, us, period="hour", chunk_seconds=900).collect()}
@@ -364,11 +370,11 @@ def test_ensure_table_and_append(spark, tmp_dir):
     assert t.count() == 0 and t.columns == APP_USER.fieldNames()
     forms = spark.createDataFrame([("neo", "abcdefgh1", "123456789012", "Gold - (50$)", 1)],
                                   "username string, password string, credit_card string, service string, ordinal long")
-    out = users.signup(t, forms, "salt")
+    out = users.signup(t, forms)
     files.append_rows(users.inserted_users(out, "salt"), f"{tmp_dir}/users")
     row = spark.read.parquet(f"{tmp_dir}/users").first()
     assert row["username"] == "neo" and row["calls_remaining"] == 15 and len(row["password"]) == 64
-    again = users.signup(spark.read.parquet(f"{tmp_dir}/users"), forms, "salt")
+    again = users.signup(spark.read.parquet(f"{tmp_dir}/users"), forms)
     assert again.first()["response_code"] == 400
     files.ensure_table(spark, f"{tmp_dir}/users", APP_USER)  # existing table untouched
     assert spark.read.parquet(f"{tmp_dir}/users").count() == 1
@@ -503,10 +509,12 @@ def test_metering_hot_user_is_split(spark):
     events = []
     for i in range(3000):
         user = "hot" if i % 3 == 0 else f"u{rnd.randrange(40)}"
-        events.append((i, user, t0 + dt.timedelta(seconds=60 * i + rnd.randrange(30)),
-                       "topup" if rnd.random() < 0.05 else "call"))
+        kind = "topup" if rnd.random() < 0.05 else "call"
+        # The hot user buys an unknown tier only: one reset group for all time.
+        events.append((i, user, t0 + dt.timedelta(seconds=60 * i + rnd.randrange(30)), kind,
+                       None if kind == "call" else "Other" if user == "hot" else rnd.choice(BOUGHT)))
     users_rows = [("hot", "Other", 50)] + [(f"u{j}", "Gold - (50$)", 0) for j in range(40)]
-    ev = spark.createDataFrame(events, "event_id long, username string, ts timestamp_ntz, kind string")
+    ev = spark.createDataFrame(events, METERED)
     us = spark.createDataFrame(users_rows, "username string, service string, calls_remaining int")
     got = {r["event_id"]: (r["response_code"], r["balance"])
            for r in quota.meter_calls(ev, us, period="day", chunk_seconds=3600).collect()}
@@ -569,3 +577,50 @@ def test_maybe_broadcast_respects_bound(spark):
     p1 = j1._jdf.queryExecution().optimizedPlan().toString()
     p2 = j2._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in p1.lower() and "broadcast" not in p2.lower()
+
+
+def test_signup_valid_form_after_invalid_one(spark):
+    forms = spark.createDataFrame(
+        [("neo", "short", "1", "Gold - (50$)", 1), ("neo", "abcdefgh1", "123456789012", "Gold - (50$)", 2),
+         ("neo", "abcdefgh2", "123456789012", "Gold - (50$)", 3)],
+        "username string, password string, credit_card string, service string, ordinal long")
+    none = spark.createDataFrame([], "username string")
+    out = {r["ordinal"]: r["response_code"] for r in users.signup(none, forms).collect()}
+    assert out == {1: 422, 2: 200, 3: 400}
+
+
+def test_visible_activity_admin_listed_once(spark):
+    logs = spark.createDataFrame([(1, "root"), (2, "amy")], "id long, username string")
+    viewers = spark.createDataFrame([("root",), ("amy",)], "viewer string")
+    got = sorted((r["viewer"], r["id"]) for r in activity.visible_activity(logs, viewers, ["root", "root"]).collect())
+    assert got == [("amy", 2), ("root", 1), ("root", 2)]
+
+
+def test_merge_without_order_keeps_one_row_per_key(spark):
+    from triagekit.operators.upsert import merge_by_key
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    b = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e"), (3, "e")], "id long, v string")
+    assert sorted(map(tuple, merge_by_key(t, b, ["id"]).collect())) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_suite_names_absent_column(spark):
+    from triagekit.operators.quality import run_suite
+    df = spark.createDataFrame([(1,), (1,)], "ID long")
+    suite = [{"expectation_type": t, "kwargs": {"column": c}} for c in ("ID", "GONE") for t in (
+        "expect_column_values_to_be_unique", "expect_column_values_to_not_be_null")]
+    got = {(r["expectation_type"][len("expect_column_values"):], r["column"]): r["success"] for r in run_suite(df, suite).collect()}
+    assert got == {("_to_be_unique", "ID"): False, ("_to_not_be_null", "ID"): True,
+                   ("_to_be_unique", "GONE"): False, ("_to_not_be_null", "GONE"): False}
+
+
+def test_spread_runs_no_job(spark, tmp_dir):
+    from triagekit.session import spread
+    spark.range(1000).write.parquet(f"{tmp_dir}/t")
+    tracker = spark.sparkContext.statusTracker()
+    df = spark.read.parquet(f"{tmp_dir}/t")
+    spark.sparkContext.setJobGroup("spread", "spread")
+    wide = spread(df)
+    grouped = spread(df.groupBy("id").count())
+    assert not tracker.getJobIdsForGroup("spread")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and grouped.count() == 1000

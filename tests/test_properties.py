@@ -33,8 +33,9 @@ def _step(start, kinds, topup):
 def test_clipped_balance_matches_simulation(spark, kinds, service, init, chunk):
     t0 = dt.datetime(2024, 1, 1, 10)
     ev = spark.createDataFrame(
-        [(i, "u", t0 + dt.timedelta(seconds=37 * i), k) for i, k in enumerate(kinds)],
-        "event_id long, username string, ts timestamp_ntz, kind string")
+        [(i, "u", t0 + dt.timedelta(seconds=37 * i), k, service if k == "topup" else None)
+         for i, k in enumerate(kinds)],
+        "event_id long, username string, ts timestamp_ntz, kind string, service string")
     us = spark.createDataFrame([("u", service, init)], "username string, service string, calls_remaining int")
     got = [(r["response_code"], r["balance"]) for r in
            quota.meter_calls(ev, us, period="day", chunk_seconds=chunk).orderBy("event_id").collect()]

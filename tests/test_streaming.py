@@ -28,20 +28,6 @@ def test_stream_requests_per_user_day(spark, tmp_dir):
     assert app and set(app) <= set(want)
 
 
-def test_stream_metering_equals_batch(spark, tmp_dir):
-    ev = fx.metered_events_fx(spark, SF_SMALL, True)
-    users = fx.users_fx(spark, SF_SMALL)
-    src = os.path.join(tmp_dir, "events")
-    ev.write.parquet(src)
-    stream = spark.readStream.schema(ev.schema).parquet(src)
-    jobs.memory_sink(jobs.meter_stream(stream, users, period="week"), "t3_out", os.path.join(tmp_dir, "ck"))
-    got = sorted((r["event_id"], r["response_code"], r["balance"])
-                 for r in spark.sql("SELECT * FROM t3_out").collect())
-    want = sorted((r["event_id"], r["response_code"], r["balance"])
-                  for r in quota.meter_calls(ev, users, period="week").collect())
-    assert got == want
-
-
 def test_stream_ingest_equals_batch(spark, tmp_dir):
     raw = fx.raw_issues_fx(spark, SF_SMALL)
     landed = os.path.join(tmp_dir, "landed")

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 # alternation under a repeat) keeps Java's regex from recursing on long URLs.
 URL_PATTERN = r"https?://[!$-_a-z]+"
 IMG_TAG_PATTERN = r'<img[^>]*?src="([^">]+)"[^>]*>'
-IMG_SRC_PATTERN = r'<img[^>]*?src="([^">]+)"'
 IMG_STYLE = "width:auto;height:auto;max-width:100%;"
 REPO_LINK_PATTERN = r"^https://github\.com/([^/]+)/([^/?#]+)"
 REPO_LINK_PREFIX = "https://github.com/"
 API_ISSUES_URL = "https://api.github.com/repos/%s/%s/issues"
+API_CHILD_URL = API_ISSUES_URL + "/%s/%s"
 
 
 def _c(x) -> Column:
@@ -37,8 +37,8 @@ def rewrite_images(text) -> Column:
 
 
 def image_urls(text) -> Column:
-    """All image sources of the text, in order (array<string>)."""
-    return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(IMG_SRC_PATTERN), 1)
+    """Image sources of all whole ``<img ...>`` tags of the text, in order (array<string>)."""
+    return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(IMG_TAG_PATTERN), 1)
 
 
 def repo_owner_from_link(link) -> Column:
@@ -54,3 +54,8 @@ def repo_name_from_link(link) -> Column:
 def issues_endpoint(owner, repo) -> Column:
     """REST endpoint listing the issues of a repository."""
     return F.format_string(API_ISSUES_URL, _c(owner), _c(repo))
+
+
+def children_endpoint(owner, repo, number, kind: str) -> Column:
+    """REST endpoint of an issue's ``comments`` or ``reactions``."""
+    return F.format_string(API_CHILD_URL, _c(owner), _c(repo), _c(number).cast("string"), F.lit(kind))

@@ -86,9 +86,14 @@ def visible_activity(logs: DataFrame, viewers: DataFrame, admins: list[str] = ()
     """Rows each viewer may see: admins see every row, others their own.
 
     ``viewers`` (column ``viewer``) is matched to owners by an equi-join;
-    each admin name adds one full copy of the log (the admin view).
+    each admin name adds one full copy of the log (the admin view), in place
+    of the admin's own rows.
     """
-    v = maybe_broadcast(viewers.select(F.col("viewer").alias("username")).distinct())
+    admins = list(dict.fromkeys(admins))
+    v = viewers.select(F.col("viewer").alias("username")).distinct()
+    if admins:
+        v = v.where(~F.col("username").isin(admins))
+    v = maybe_broadcast(v)
     own = logs.join(v, "username")  # the log is never shuffled for the viewers
     out = own.withColumn("viewer", F.col("username"))
     for a in admins:

@@ -53,9 +53,10 @@ def flatten_reactions(reactions: Column) -> Column:
         r["content"].alias("content"), r["created_at"].alias("created_at")))
 
 
-def flatten_issues(raw: DataFrame) -> DataFrame:
-    """Nested issue documents → the 15-column ISSUES row (narrow, no shuffle)."""
+def flatten_issues(raw: DataFrame, *carried: str) -> DataFrame:
+    """Nested issue documents → the 15-column ISSUES row (narrow, no shuffle), plus ``carried``."""
     return raw.select(
+        *carried,
         F.col("id"), F.col("html_url").alias("issue_url"), "repo_owner", "repo_name",
         F.col("number").alias("issue_number"), F.col("user.login").alias("created_by"),
         "title", "body",
@@ -92,6 +93,7 @@ def attach_children(issues: DataFrame, comments: DataFrame, reactions: DataFrame
     if reactions is not None:
         r = group_children(reactions, "issue_id", "id", ["id", "user", "content", "created_at"], "reactions")
         out = out.join(r, F.col("id") == F.col("issue_id"), "left").drop("issue_id")
+        out = out.withColumn("reactions", F.coalesce("reactions", F.array().cast(r.schema["reactions"].dataType)))
     if fetch_status is None:
         return out, out.limit(0)
     st = fetch_status.select(F.col("issue_id").alias("_sid"),
@@ -118,6 +120,12 @@ def select_incremental(target: DataFrame | None, landed: DataFrame,
     return j.where(keep).drop("_o", "_r", "_since")
 
 
+def unparsed_rows(landed_raw: DataFrame) -> DataFrame:
+    """Landed documents that incremental selection cannot place, as a dead letter: those
+    whose ``updated_at`` is missing or no ISO-8601 time."""
+    return landed_raw.where(parse_iso(F.col("updated_at")).isNull())
+
+
 def endpoint_of(df: DataFrame) -> DataFrame:
     return df.withColumn("endpoint", issues_endpoint(F.col("repo_owner"), F.col("repo_name")))
 
@@ -125,13 +133,22 @@ def endpoint_of(df: DataFrame) -> DataFrame:
 def incremental_upsert(target: DataFrame, landed_raw: DataFrame,
                        marks: DataFrame | None = None) -> DataFrame:
     """C5: landed documents → flat rows → only rows newer than their repo's
-    high-water mark → last-wins merge into the target (new table state).
+    high-water mark → last-wins merge into the target (new table state).  A column
+    ``ordinal`` of the landed documents (arrival order) decides between versions with
+    the same time.  Documents without a readable time are not merged; they are the
+    dead letter of :func:`unparsed_rows`.
 
     Pass the maintained ``marks`` table to skip the scan of the target for
     its high-water marks; roll it forward afterwards with
     ``merge_high_water(marks, fresh_rows)``.
     """
-    from .upsert import merge_by_key
-    flat = flatten_issues(landed_raw).select(*target.columns)
+    from .upsert import dedupe_last_wins, merge_by_key
+    keep = [c for c in target.columns if c != "ordinal"]
+    ordinal = F.col("ordinal") if "ordinal" in landed_raw.columns else F.lit(0).cast("long")
+    flat = flatten_issues(landed_raw.withColumn("ordinal", ordinal), "ordinal").select(*keep, "ordinal")
     fresh = select_incremental(target, flat, marks)
-    return merge_by_key(target, fresh, ["id"], order=["updated_at"])
+    # Versions with the same time: the later arrival, then the larger row.
+    rest = F.xxhash64(*[F.col(c).cast("string") for c in ("title", "body", "state") if c in keep])
+    fresh = fresh.withColumn("_tie", rest)
+    last = dedupe_last_wins(fresh, ["id"], ["updated_at", "ordinal", "_tie"]).select(*keep)
+    return merge_by_key(target, last, ["id"])

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import maybe_broadcast
+
 # The issue-table suite.
 ISSUE_SUITE = [
     {"expectation_type": "expect_table_row_count_to_be_between",
@@ -76,21 +78,23 @@ def not_null_results(df: DataFrame, columns: list[str], one: DataFrame | None =
         F.lit(None).cast("string").alias("observed"))
 
 
-def unique_results(df: DataFrame, columns: list[str]) -> DataFrame:
+def unique_results(df: DataFrame, columns: list[str], rows: DataFrame | None = None) -> DataFrame:
     """Rows whose non-null value occurs more than once, per column — exact.
 
-    Phase 1 counts 64-bit hashes per (column, hash): only 16 bytes per row
-    are shuffled, however long the values (issue bodies).  Phase 2 counts
-    exact values, but only for rows whose hash occurs more than once (true
-    duplicates plus rare collisions), so hash collisions cannot change the
-    result.  Both aggregations combine map-side, so a hot value is cheap.
+    Phase 1 counts 64-bit hashes per (column, hash): only hashes are shuffled,
+    however long the values (issue bodies).  Phase 2 counts exact values, but
+    only for rows whose hash occurs more than once (true duplicates plus rare
+    collisions), so hash collisions cannot change the result.  The repeated
+    hashes are broadcast when small; when they are many, both sides shuffle on the
+    hash.  Both aggregations combine map-side, so a hot value is cheap.
     """
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
+    if rows is None:
+        rows = df.agg(F.count(F.lit(1)).alias("_rows"))
     vals = _unpivot(df, columns, lambda c: f"CAST(`{c}` AS STRING)").where(F.col("value").isNotNull())
-    hashed = vals.withColumn("_h", F.xxhash64("value"))
+    hashed = vals.withColumn("_h", F.xxhash64("column", "value"))
     dup_h = (hashed.groupBy("column", "_h").agg(F.count(F.lit(1)).alias("_c"))
              .where(F.col("_c") > 1).select("column", "_h"))
-    cand = hashed.join(dup_h, ["column", "_h"], "left_semi")
+    cand = hashed.join(maybe_broadcast(dup_h, materialize=True), ["column", "_h"], "left_semi")
     per_value = cand.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     per_col = per_value.groupBy("column").agg(
         F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).cast("long").alias("unexpected_count"))
@@ -114,9 +118,16 @@ def run_suite(df: DataFrame, suite: list[dict] = ISSUE_SUITE) -> DataFrame:
           if e["expectation_type"] == "expect_column_values_to_not_be_null"]
     # Row count and every null count come from one scan; the branches below
     # read that single-row result (its exchange is reused, not recomputed).
+    have = set(df.columns)
+    for kind, names in (("expect_column_values_to_be_unique", uniq), ("expect_column_values_to_not_be_null", nn)):
+        absent = [c for c in names if c not in have]
+        if absent:  # an expectation on a column that is not there fails
+            parts.append(spark.createDataFrame(
+                [(kind, c, False, None, None, "column not found") for c in absent], RESULT_SCHEMA))
+    uniq, nn = ([c for c in names if c in have] for names in (uniq, nn))
     one = _table_pass(df, nn)
     if uniq:
-        parts.append(unique_results(df, uniq))
+        parts.append(unique_results(df, uniq, one))
     if nn:
         parts.append(not_null_results(df, nn, one))
     for e in suite:

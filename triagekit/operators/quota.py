@@ -2,9 +2,10 @@
 
 Semantics of the service: a call is served and costs one unit while the
 balance is positive; otherwise it is denied (403) and costs nothing.  The
-periodic reset *sets* the balance to the tier allowance; a tier the reset
-does not know keeps its balance across periods.  A top-up (upgrade) adds
-the tier's amount.  Unknown users get 404 and are not metered.
+periodic reset *sets* the balance to the allowance of the tier in force; a tier
+the reset does not know keeps its balance across periods.  A top-up (upgrade)
+sets the tier bought and adds its amount, so later resets follow that tier.
+Unknown users get 404 and are not metered.
 
 The balance is a clipped running sum.  With S the unclipped running sum
 (start + top-ups - calls) and M = min(0, running min of S), a call is denied
@@ -49,7 +50,8 @@ def topup_amount(service: Column) -> Column:
 
 
 def low_balance_flag(remaining: Column) -> Column:
-    return F.when(remaining > LOW_BALANCE_LIMIT, "ok").otherwise("low")
+    """``ok`` above the limit, else ``low``; null where there is no balance (no such user)."""
+    return F.when(remaining > LOW_BALANCE_LIMIT, "ok").when(remaining.isNotNull(), "low")
 
 
 def meter_calls(events: DataFrame, users: DataFrame, *, period: str = "hour",
@@ -57,32 +59,52 @@ def meter_calls(events: DataFrame, users: DataFrame, *, period: str = "hour",
     """Meter a stream of calls and top-ups against the users' tiers.
 
     ``events``: ``event_id, username, ts, kind`` with kind ``call`` or
-    ``topup``.  ``users``: ``username, service, calls_remaining``.
-    ``period``: reset unit for ``date_trunc`` (``hour`` in the service).
+    ``topup``, and for top-ups ``service``, the tier bought.  ``users``:
+    ``username, service, calls_remaining``.  ``period``: reset unit for
+    ``date_trunc`` (``hour`` in the service).
     Returns one row per event: ``event_id, username, kind, period_start,
-    response_code, balance`` (balance after the event; null for 404).
+    response_code, balance`` (balance after the event; null for 404;
+    ``period_start`` is the period whose reset the balance counts from, null
+    before any reset).
     """
-    u = users.select("username", "service", F.col("calls_remaining").cast("long").alias("_init"))
-    ev = events.join(maybe_broadcast(u), "username", "left")  # events never shuffled for it
-    allowance = tier_allowance(F.col("service"))
-    known = allowance.isNotNull()
-    period_start = F.when(known, F.date_trunc(period, "ts")).cast("timestamp_ntz")
-    ev = ev.withColumns({
-        "_found": F.col("service").isNotNull() | F.col("_init").isNotNull(),
-        "period_start": period_start,
+    u = users.select("username", F.col("service").alias("_tier0"),
+                     F.col("calls_remaining").cast("long").alias("_init"), F.lit(True).alias("_found"))
+    bought = F.col("service") if "service" in events.columns else F.lit(None).cast("string")
+    ev = events.select("event_id", "username", "ts", "kind",
+                       F.when(F.col("kind") == "topup", bought).alias("_bought"))
+    ev = ev.join(maybe_broadcast(u), "username", "left")  # events never shuffled for it
+    # Names without a user, null ones included, never reach the windows.
+    missing = ev.where(F.col("_found").isNull()).select(
+        "event_id", "username", "kind", F.lit(None).cast("timestamp_ntz").alias("period_start"),
+        F.lit(404).alias("response_code"), F.lit(None).cast("long").alias("balance"))
+    ev = ev.where(F.col("_found").isNotNull()).withColumn(
+        "_period", F.date_trunc(period, "ts").cast("timestamp_ntz"))
+
+    # Tier in force when each period begins: one row per (user, period), so the
+    # windows below see periods, not events.
+    per = ev.groupBy("username", "_period").agg(
+        F.first("_tier0").alias("_tier0"), F.first("_init").alias("_init"),
+        F.max(F.when(F.col("kind") == "topup", F.struct("ts", "event_id", "_bought"))).alias("_last"))
+    w_user = Window.partitionBy("username").orderBy("_period")
+    before = F.last("_last", ignorenulls=True).over(w_user.rowsBetween(Window.unboundedPreceding, -1))
+    per = per.withColumn("_before", before).withColumn(
+        "_allow", tier_allowance(F.when(F.col("_before").isNotNull(), F.col("_before._bought")).otherwise(F.col("_tier0"))))
+    upto = w_user.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reset = F.last(F.when(F.col("_allow").isNotNull(), F.struct("_period", "_allow")), ignorenulls=True).over(upto)
+    per = per.withColumn("_reset", reset).select(
+        "username", "_period", F.col("_reset._period").alias("period_start"),
+        F.coalesce(F.col("_reset._allow").cast("long"), F.col("_init"), F.lit(0).cast("long")).alias("_start"))
+    ev = ev.join(per, ["username", "_period"]).withColumns({
         # Non-null group keys: plain equality in the offset join below then
         # matches the window's hash partitioning, so the event rows are not
-        # shuffled a second time.  Tiers without reset share one sentinel period.
-        "_uk": F.coalesce(F.col("username"), F.lit("")),
-        "_pk": F.coalesce(period_start, F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")),
-        "_start": F.coalesce(F.when(known, allowance).otherwise(F.col("_init")), F.lit(0)).cast("long"),
-        "_delta": F.when(F.col("kind") == "topup", topup_amount(F.col("service")))
+        # shuffled again.  Events before any reset share one sentinel period.
+        "_pk": F.coalesce("period_start", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")),
+        "_delta": F.when(F.col("kind") == "topup", topup_amount(F.col("_bought")))
                    .otherwise(F.lit(-1)).cast("long"),
         "_chunk": F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(chunk_seconds * 1_000_000)),
     })
-    # Group = (user, period) for tiers that reset, (user) for the others.
-    # Unknown users (404) flow through the same windows; their result is masked.
-    grp = ["_uk", "_pk"]
+    # Group = everything one reset (or the first balance) covers.
+    grp = ["username", "_pk"]
     order = ["ts", "event_id"]
     w_chunk = (Window.partitionBy(*grp, "_chunk").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -107,10 +129,7 @@ def meter_calls(events: DataFrame, users: DataFrame, *, period: str = "hour",
     zero = F.lit(0).cast("long")
     m_now = F.least(zero, min_now)
     m_prev = F.least(zero, min_prev)
-    code = (F.when(~F.col("_found"), F.lit(404))
-            .when((F.col("kind") == "call") & (m_now < m_prev), F.lit(403))
-            .otherwise(F.lit(200)))
-    return j.select(
-        "event_id", "username", "kind", F.when(F.col("_found"), F.col("period_start")).alias("period_start"),
-        code.alias("response_code"),
-        F.when(F.col("_found"), s_now - m_now).alias("balance"))
+    code = F.when((F.col("kind") == "call") & (m_now < m_prev), F.lit(403)).otherwise(F.lit(200))
+    done = j.select("event_id", "username", "kind", "period_start", code.alias("response_code"),
+                    (s_now - m_now).alias("balance"))
+    return done.unionByName(missing)

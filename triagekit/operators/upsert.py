@@ -35,10 +35,15 @@ def merge_by_key(target: DataFrame, batch: DataFrame, key: list[str],
     is only scanned; otherwise both sides shuffle once on the key (AQE splits
     skewed key partitions).
     """
+    # One row per key in any case: without an order the row with the largest values.
+    # Read three times below (count, keys, rows): materialise it once.
     if order:
-        # Read three times below (count, keys, rows): materialise it once.
-        batch = cut_lineage(dedupe_last_wins(batch, key, order))
-    batch = batch.select(*target.columns)
+        batch = dedupe_last_wins(batch, key, order)
+    else:
+        rest = [c for c in batch.columns if c not in key]
+        picked = batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row"))
+        batch = picked.select(*key, *[F.col("_row")[c].alias(c) for c in rest])
+    batch = cut_lineage(batch.select(*target.columns))
     # Batch keys proven small are broadcast, so the target is never shuffled.
     kept = target.join(maybe_broadcast(batch.select(*key)), key, "left_anti")
     return kept.unionByName(batch)

@@ -17,6 +17,7 @@ MSG_PASSWORD = ("Password must be at least 8 characters long and can only contai
                 "alphanumeric characters.")
 MSG_CARD = "Credit card number must be 12 digits long and can only contain numeric characters."
 MSG_USER_NOT_FOUND = "User not found"
+MSG_PASSWORD_UPDATED = "Password updated successfully."
 
 
 def signup_errors(username: Column, password: Column, card: Column) -> Column:
@@ -34,28 +35,32 @@ def validate_signups(forms: DataFrame) -> DataFrame:
     return forms.withColumn("errors", errs).withColumn("valid", F.size("errors") == 0)
 
 
-def mask_sensitive(users: DataFrame, salt: str, columns=("password", "credit_card")) -> DataFrame:
-    """Replace sensitive columns by salted SHA-256 digests (one-way)."""
+def mask_sensitive(users: DataFrame, salt: str | Column, columns=("password", "credit_card")) -> DataFrame:
+    """Replace sensitive columns by salted SHA-256 digests (one-way).
+
+    ``salt`` is one text for all rows, or a column with a salt per row.
+    """
     out = users
+    salt = F.lit(salt) if isinstance(salt, str) else salt
     for c in columns:
         if c in users.columns:
-            out = out.withColumn(c, F.sha2(F.concat(F.lit(salt), F.col(c)), 256))
+            out = out.withColumn(c, F.sha2(F.concat(salt, F.col(c)), 256))
     return out
 
 
-def signup(users: DataFrame, forms: DataFrame, salt: str) -> DataFrame:
-    """Sign-up outcomes: 201 inserted, 400 username taken, 422 invalid form.
+def signup(users: DataFrame, forms: DataFrame) -> DataFrame:
+    """Sign-up outcomes: 200 inserted, 400 username taken, 422 invalid form.
 
     Only absent usernames are inserted (anti join); within one batch the
-    first form per username (by ``ordinal``) wins.  Returns
-    ``username, response_code, inserted`` where ``inserted`` is the masked
-    user row to append (null when not inserted).
+    first valid form per username (by ``ordinal``) wins.  Returns the forms
+    with ``errors, valid, response_code``; :func:`inserted_users` gives the
+    masked rows to append.
     """
     f = validate_signups(forms)
-    # One row per username (first ordinal, already registered?) by aggregation,
+    # One row per username (first valid ordinal, already registered?) by aggregation,
     # then a single join back: a username repeated in a third of the batch is
     # combined map-side and split by AQE in the join, never windowed whole.
-    per_name = f.groupBy("username").agg(F.min("ordinal").alias("_first_ord"))
+    per_name = f.where("valid").groupBy("username").agg(F.min("ordinal").alias("_first_ord"))
     # Existence: the (small) set of submitted names filters the user table
     # through a semi join, instead of shuffling every registered user.
     exists = (users.select("username")
@@ -65,18 +70,48 @@ def signup(users: DataFrame, forms: DataFrame, salt: str) -> DataFrame:
     f = f.join(per_name, "username", "left")
     code = (F.when(~F.col("valid"), F.lit(422))
             .when(F.col("_exists").isNotNull() | (F.col("ordinal") != F.col("_first_ord")), F.lit(400))
-            .otherwise(F.lit(201)))
+            .otherwise(F.lit(200)))
     return f.withColumn("response_code", code).drop("_first_ord", "_exists")
 
 
-def inserted_users(outcomes: DataFrame, salt: str) -> DataFrame:
-    """Rows to append to APP_USERS for the 201 outcomes (masked)."""
-    new = outcomes.where(F.col("response_code") == 201).select(
+def inserted_users(outcomes: DataFrame, salt: str | Column) -> DataFrame:
+    """Rows to append to APP_USERS for the inserted forms (masked)."""
+    new = outcomes.where(F.col("response_code") == 200).select(
         "username", "password", "credit_card", "service",
         topup_amount(F.col("service")).cast("int").alias("calls_remaining"))
     return mask_sensitive(new, salt)
 
 
+def update_passwords(users: DataFrame, updates: DataFrame) -> DataFrame:
+    """Outcome per password change (``event_id, username, ts, password``): 200, or 404
+    for a name without a user."""
+    u = users.select("username", F.lit(True).alias("_found"))
+    j = updates.join(maybe_broadcast(u), "username", "left")
+    ok = F.col("_found").isNotNull()
+    return j.select("event_id", "username", F.when(ok, 200).otherwise(404).alias("response_code"),
+                    F.when(ok, F.lit(MSG_PASSWORD_UPDATED)).otherwise(F.lit(MSG_USER_NOT_FOUND + ".")).alias("description"))
+
+
+def users_after_updates(users: DataFrame, upgrades: DataFrame, passwords: DataFrame,
+                        salt: str | Column) -> DataFrame:
+    """The user table after all upgrades and password changes.
+
+    Per user one aggregate row (combined map-side): the last tier bought and the sum
+    of the amounts, the last password (masked).  Updates of unknown names change
+    nothing; users without updates stay as they are.
+    """
+    order = F.struct("ts", "event_id")
+    up = upgrades.groupBy("username").agg(F.max_by("service", order).alias("_service"),
+                                          F.sum(topup_amount(F.col("service"))).alias("_added"))
+    pw = mask_sensitive(passwords, salt, ["password"]).groupBy("username").agg(
+        F.max_by("password", order).alias("_password"))
+    j = users.join(up, "username", "left").join(pw, "username", "left")
+    new = {"service": F.coalesce("_service", "service"), "password": F.coalesce("_password", "password"),
+           "calls_remaining": F.when(F.col("_added").isNull(), F.col("calls_remaining").cast("long")).otherwise(
+               F.coalesce(F.col("calls_remaining"), F.lit(0)) + F.col("_added"))}
+    return j.select(*[new.get(c, F.col(c)).alias(c) for c in users.columns])
+
+
 def update_subscriptions(users: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply subscription upgrades in order; unknown users give 404.
 

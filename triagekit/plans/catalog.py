@@ -182,7 +182,7 @@ def q_signup_validation(spark, base):
 def q_user_signup(spark, base):
     from ..operators.users import signup
     existing = fx.users_fx(spark, base).join(fx.active_usernames_fx(spark, base), "username", "left_semi")
-    out = signup(existing, fx.signups_fx(spark, base), MASK_SALT)
+    out = signup(existing, fx.signups_fx(spark, base))
     return out.select("ordinal", "username", "response_code")
 
 
@@ -191,10 +191,29 @@ def q_user_update(spark, base):
     return _upgrade_outcomes(spark, base).drop("ts")
 
 
+@register("password_update")
+def q_password_update(spark, base):
+    from ..operators.users import update_passwords
+    return update_passwords(fx.users_fx(spark, base), fx.password_changes_fx(spark, base))
+
+
+@register("users_after_updates")
+def q_users_after_updates(spark, base):
+    """The user table after all upgrades and password changes."""
+    from ..operators.users import users_after_updates
+    return users_after_updates(fx.users_fx(spark, base), fx.upgrades_fx(spark, base),
+                               fx.password_changes_fx(spark, base), _row_salt())
+
+
+def _row_salt():
+    """A salt per row: a deployment's own text and the user's name."""
+    return F.concat(F.lit(MASK_SALT + ":"), F.col("username"))
+
+
 @register("mask_sensitive")
 def q_mask_sensitive(spark, base):
     from ..operators.users import mask_sensitive
-    return mask_sensitive(fx.users_fx(spark, base), MASK_SALT).select("username", "password", "service")
+    return mask_sensitive(fx.users_fx(spark, base), _row_salt()).select("username", "password", "service")
 
 
 # ------------------------------------------------------------ text, links
@@ -205,7 +224,7 @@ def _pages_text(spark, base):
         F.concat(F.lit("see "), F.col("url"), F.lit(" and "), F.col("html"), F.lit(" end")).alias("text"),
         F.concat(F.lit('<p><img width="3" src="'), F.col("url"), F.lit('"><img alt="no-src">'),
                  F.lit('<img src="">'), F.lit('<img src="'), F.col("url"),
-                 F.lit('#2" data-x="1" src="second"></p>'), F.col("html")).alias("body"))
+                 F.lit('#2" data-x="1" src="second"></p>'), F.col("html"), F.lit('<img src="open"')).alias("body"))
 
 
 @register("strip_urls")
@@ -397,6 +416,7 @@ def q_issue_flatten(spark, base):
     return f.select("id", "issue_url", "repo_owner", "repo_name", "issue_number", "created_by",
                     "title", "body", F.size("comments").cast("bigint").alias("n_comments"),
                     F.size("reactions").cast("bigint").alias("n_reactions"),
+                    F.to_json("reactions").alias("reactions_json"),
                     "assignees", "labels", "milestone", "state", "updated_at", "endpoint")
 
 

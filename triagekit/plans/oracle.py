@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle_fixtures import ISSUES_FX, LOGS_FX, PAIR_DIST, USERS_FX, with_
+from .oracle_fixtures import EVENT_TIER, EVENT_USER, ISSUES_FX, LOGS_FX, PAIR_DIST, USERS_FX, with_
 
 ORACLE: dict[str, str] = {}
 
@@ -110,31 +110,40 @@ def _metering_sql(with_topups: bool) -> str:
     where = "" if with_topups else "WHERE event_type <> 'purchase'"
     return with_(USERS_FX) + f""",
 ev AS (
-  SELECT event_id, concat('u', CAST(user_id AS VARCHAR)) AS username, ts,
-    CASE WHEN event_type = 'purchase' THEN 'topup' ELSE 'call' END AS kind
+  SELECT event_id, {EVENT_USER} AS username, ts, event_type = 'purchase' AS is_topup,
+    CASE WHEN event_type = 'purchase' THEN {EVENT_TIER} END AS bought
   FROM events {where}),
-j AS (SELECT ev.*, u.service, u.calls_remaining, {_ALLOW.format(s="u.service")} AS allowance
+j AS (SELECT ev.*, date_trunc('week', ts) AS period, u.service AS tier0, u.calls_remaining
       FROM ev LEFT JOIN users_fx u USING (username)),
-k AS (
-  SELECT *, CASE WHEN allowance IS NOT NULL THEN date_trunc('week', ts) END AS period_start,
-    CAST(coalesce(allowance, calls_remaining) AS BIGINT) AS start,
-    CAST(CASE WHEN kind = 'topup' THEN coalesce(allowance, 0) ELSE -1 END AS BIGINT) AS delta
-  FROM j WHERE service IS NOT NULL),
-s AS (SELECT *, CAST(start + sum(delta) OVER w AS BIGINT) AS s_now FROM k
-      WINDOW w AS (PARTITION BY username, period_start ORDER BY ts, event_id
+-- the tier before each event is the last one bought, else the user's own
+f AS (SELECT *, coalesce(last_value(bought IGNORE NULLS) OVER (PARTITION BY username ORDER BY ts, event_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), tier0) AS tier,
+        row_number() OVER (PARTITION BY username, period ORDER BY ts, event_id) = 1 AS opens
+      FROM j WHERE tier0 IS NOT NULL),
+-- an event that opens a period with a known tier resets the balance
+r AS (SELECT *, CASE WHEN opens THEN {_ALLOW.format(s="tier")} END AS reset FROM f),
+g AS (SELECT *, count(reset) OVER w AS grp,
+        last_value(CASE WHEN reset IS NOT NULL THEN period END IGNORE NULLS) OVER w AS period_start,
+        CAST(coalesce(last_value(reset IGNORE NULLS) OVER w, calls_remaining) AS BIGINT) AS start,
+        CAST(CASE WHEN is_topup THEN coalesce({_ALLOW.format(s="bought")}, 0) ELSE -1 END AS BIGINT) AS delta
+      FROM r WINDOW w AS (PARTITION BY username ORDER BY ts, event_id
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT *, CAST(start + sum(delta) OVER w AS BIGINT) AS s_now FROM g
+      WINDOW w AS (PARTITION BY username, grp ORDER BY ts, event_id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 m AS (SELECT *, least(0, start, min(s_now) OVER w) AS m_now FROM s
-      WINDOW w AS (PARTITION BY username, period_start ORDER BY ts, event_id
+      WINDOW w AS (PARTITION BY username, grp ORDER BY ts, event_id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-p AS (SELECT *, coalesce(lag(m_now) OVER (PARTITION BY username, period_start ORDER BY ts, event_id),
+p AS (SELECT *, coalesce(lag(m_now) OVER (PARTITION BY username, grp ORDER BY ts, event_id),
                          least(0, start)) AS m_prev FROM m)
-SELECT event_id, username, kind, period_start,
-  CASE WHEN kind = 'call' AND m_now < m_prev THEN 403 ELSE 200 END AS response_code,
+SELECT event_id, username, CASE WHEN is_topup THEN 'topup' ELSE 'call' END AS kind, period_start,
+  CASE WHEN NOT is_topup AND m_now < m_prev THEN 403 ELSE 200 END AS response_code,
   CAST(s_now - m_now AS BIGINT) AS balance
 FROM p
 UNION ALL
-SELECT event_id, username, kind, NULL AS period_start, 404 AS response_code, NULL AS balance
-FROM j WHERE service IS NULL"""
+SELECT event_id, username, CASE WHEN is_topup THEN 'topup' ELSE 'call' END AS kind,
+  NULL AS period_start, 404 AS response_code, NULL AS balance
+FROM j WHERE tier0 IS NULL"""
 
 
 ORACLE["quota_metering"] = _metering_sql(False)
@@ -147,12 +156,13 @@ FROM users_fx"""
 
 ORACLE["remaining_calls"] = with_(USERS_FX) + """
 SELECT a.username, u.calls_remaining,
-  CASE WHEN u.calls_remaining > 5 THEN 'ok' ELSE 'low' END AS balance_flag
+  CASE WHEN u.calls_remaining > 5 THEN 'ok' WHEN u.calls_remaining IS NOT NULL THEN 'low' END AS balance_flag
 FROM (SELECT DISTINCT concat('u', CAST(user_id AS VARCHAR)) AS username FROM events) a
 LEFT JOIN users_fx u USING (username)"""
 
 _SIGNUPS_FX = """signups_fx AS (
-  SELECT CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('u', CAST(c_custkey AS VARCHAR)) END AS username,
+  SELECT CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('u', CAST(CASE WHEN c_custkey % 11 = 1
+      THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR)) END AS username,
     CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE replace(c_name, '#', '') END AS password,
     CAST(c_custkey * 1000000007 AS VARCHAR) AS credit_card,
     CASE c_custkey % 3 WHEN 0 THEN 'Free - (0$)' WHEN 1 THEN 'Gold - (50$)'
@@ -177,18 +187,15 @@ existing AS (
   SELECT username FROM users_fx
   WHERE username IN (SELECT concat('u', CAST(user_id AS VARCHAR)) FROM events)),
 f AS (
-  SELECT *, len({_ERRORS}) = 0 AS valid,
-    row_number() OVER (PARTITION BY username ORDER BY ordinal) = 1 AS first
-  FROM signups_fx)
+  SELECT *, ordinal = min(ordinal) FILTER (WHERE valid) OVER (PARTITION BY username) AS first
+  FROM (SELECT *, len({_ERRORS}) = 0 AS valid FROM signups_fx))
 SELECT ordinal, username,
   CASE WHEN NOT valid THEN 422
-    WHEN username IN (SELECT username FROM existing) OR NOT first THEN 400 ELSE 201 END AS response_code
+    WHEN username IN (SELECT username FROM existing) OR NOT first THEN 400 ELSE 200 END AS response_code
 FROM f"""
 
-_UPGRADES = """upgrades AS (
-  SELECT event_id, concat('u', CAST(user_id AS VARCHAR)) AS username, ts,
-    CASE event_id % 3 WHEN 0 THEN 'Free - (0$)' WHEN 1 THEN 'Gold - (50$)'
-      ELSE 'Platinum - (100$)' END AS service
+_UPGRADES = f"""upgrades AS (
+  SELECT event_id, {EVENT_USER} AS username, ts, {EVENT_TIER} AS service
   FROM events WHERE event_type = 'purchase'),
 upgrade_out AS (
   SELECT up.event_id, up.username, up.ts,
@@ -207,6 +214,25 @@ upgrade_desc AS (
 ORACLE["user_update"] = with_(USERS_FX, _UPGRADES) + """
 SELECT event_id, username, response_code, service, calls_remaining, description FROM upgrade_desc"""
 
+_PASSWORDS = f"""passwords AS (
+  SELECT event_id, {EVENT_USER} AS username, ts, concat('pw', CAST(event_id AS VARCHAR)) AS password
+  FROM events WHERE event_type = 'signup')"""
+
+ORACLE["password_update"] = with_(USERS_FX, _PASSWORDS) + """
+SELECT event_id, username, CASE WHEN u.username IS NULL THEN 404 ELSE 200 END AS response_code,
+  CASE WHEN u.username IS NULL THEN 'User not found.' ELSE 'Password updated successfully.' END AS description
+FROM passwords LEFT JOIN (SELECT username FROM users_fx) u USING (username)"""
+
+ORACLE["users_after_updates"] = with_(USERS_FX, _UPGRADES, _PASSWORDS) + """,
+lu AS (SELECT username, service, calls_remaining FROM upgrade_out WHERE response_code = 200
+       QUALIFY row_number() OVER (PARTITION BY username ORDER BY ts DESC, event_id DESC) = 1),
+lp AS (SELECT username, password FROM passwords
+       QUALIFY row_number() OVER (PARTITION BY username ORDER BY ts DESC, event_id DESC) = 1)
+SELECT u.username, coalesce(lu.service, u.service) AS service,
+  CAST(coalesce(lu.calls_remaining, u.calls_remaining) AS BIGINT) AS calls_remaining,
+  CASE WHEN lp.password IS NULL THEN u.password ELSE sha256(concat('triagekit-salt:', u.username, lp.password)) END AS password
+FROM users_fx u LEFT JOIN lu ON lu.username = u.username LEFT JOIN lp ON lp.username = u.username"""
+
 ORACLE["activity_append"] = with_(USERS_FX, LOGS_FX, _UPGRADES) + """
 SELECT (SELECT max(id) FROM logs_fx) + row_number() OVER (ORDER BY ts, event_id) AS id,
   username, 'PUT' AS request_type, 'update_subscription' AS api_endpoint,
@@ -214,16 +240,15 @@ SELECT (SELECT max(id) FROM logs_fx) + row_number() OVER (ORDER BY ts, event_id)
 FROM upgrade_desc"""
 
 ORACLE["mask_sensitive"] = with_(USERS_FX) + """
-SELECT username, sha256(concat('triagekit-salt', password)) AS password, service FROM users_fx"""
+SELECT username, sha256(concat('triagekit-salt:', username, password)) AS password, service FROM users_fx"""
 
 # ------------------------------------------------------------ text, links
 _PAGES_TEXT = """pages_text AS (
   SELECT page_id, url, html, concat('see ', url, ' and ', html, ' end') AS text,
     concat('<p><img width="3" src="', url, '"><img alt="no-src">', '<img src="">', '<img src="', url,
-           '#2" data-x="1" src="second"></p>', html) AS body
+           '#2" data-x="1" src="second"></p>', html, '<img src="open"') AS body
   FROM pages)"""
 _IMG_TAG = '<img[^>]*?src="([^">]+)"[^>]*>'
-_IMG_SRC = '<img[^>]*?src="([^">]+)"'
 
 ORACLE["strip_urls"] = with_(_PAGES_TEXT) + """
 SELECT page_id, regexp_replace(text, 'https?://[!$-_a-z]+', '', 'g') AS text FROM pages_text"""
@@ -234,7 +259,7 @@ SELECT page_id, regexp_replace(coalesce(body, ''), '{_IMG_TAG}',
 FROM pages_text"""
 
 ORACLE["image_urls"] = with_(_PAGES_TEXT) + f""",
-l AS (SELECT page_id, regexp_extract_all(coalesce(body, ''), '{_IMG_SRC}', 1) AS urls FROM pages_text)
+l AS (SELECT page_id, regexp_extract_all(coalesce(body, ''), '{_IMG_TAG}', 1) AS urls FROM pages_text)
 SELECT page_id, CAST(generate_subscripts(urls, 1) - 1 AS BIGINT) AS pos, unnest(urls) AS image_url
 FROM l"""
 
@@ -392,7 +417,12 @@ lab AS (
 ORACLE["issue_flatten"] = with_(ISSUES_FX, _COMMENTS) + """
 SELECT i.id, i.issue_url, i.repo_owner, i.repo_name, i.issue_number, i.created_by, i.title, i.body,
   CAST((SELECT count(DISTINCT comment_key) FROM com WHERE com.id = i.id) AS BIGINT) AS n_comments,
-  CAST(0 AS BIGINT) AS n_reactions, i.created_by AS assignees, coalesce(l.labels, '') AS labels,
+  CASE WHEN i.id % 7 = 3 THEN 0 ELSE i.id % 3 END AS n_reactions,
+  CASE WHEN i.id % 7 = 3 OR i.id % 3 = 0 THEN '[]' ELSE '[' || array_to_string(list_transform(range(1, i.id % 3 + 1),
+    lambda n: '{"id":' || CAST(i.id * 10 + n AS VARCHAR) || ',"user_login":"user' || CAST(n AS VARCHAR) || '","user_id":'
+      || CAST(n AS VARCHAR) || ',"content":"' || CASE WHEN n = 1 THEN '+1' ELSE 'heart' END
+      || '","created_at":"2024-01-02T03:04:05Z"}'), ',') || ']' END AS reactions_json,
+  i.created_by AS assignees, coalesce(l.labels, '') AS labels,
   CASE WHEN i.id % 5 <> 0 THEN 'v' || CAST(i.id % 5 AS VARCHAR) ELSE 'None' END AS milestone,
   i.state, i.updated_at,
   'https://api.github.com/repos/' || i.repo_owner || '/' || i.repo_name || '/issues' AS endpoint
@@ -409,7 +439,7 @@ SELECT i.id, i.title, c.turn AS comment_id, c.text AS body
 FROM issues_fx i LEFT JOIN conversations c ON c.conv_id = i.id WHERE i.state = 'open'"""
 
 _INCREMENTAL = """landed AS (
-  SELECT i.id, c.turn, 'turn ' || CAST(c.turn AS VARCHAR) || ': ' || substr(c.text, 1, 40) AS title,
+  SELECT i.id, c.turn, 'turn ' || CAST(c.turn AS VARCHAR) || ': ' || split_part(c.text, chr(10), 1) AS title,
     c.text AS body, CASE WHEN c.role = 'user' THEN 'open' ELSE 'closed' END AS state,
     i.updated_at + to_days(CAST(c.turn AS INTEGER)) AS updated_at, i.repo_owner, i.repo_name
   FROM conversations c JOIN issues_fx i ON c.conv_id = i.id),

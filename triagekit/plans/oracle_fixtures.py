@@ -5,7 +5,7 @@ ISSUES_FX = """issues_fx AS (
     concat('https://github.com/', source, '/', lang, '/issues/', CAST(doc_id AS VARCHAR)) AS issue_url,
     source AS repo_owner, lang AS repo_name, doc_id AS issue_number,
     concat('user', CAST(doc_id % 37 AS VARCHAR)) AS created_by,
-    substr(text, 1, 60) AS title, text AS body,
+    split_part(text, chr(10), 1) AS title, text AS body,
     CASE WHEN doc_id % 3 = 0 THEN 'open' ELSE 'closed' END AS state,
     TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)) AS updated_at
   FROM documents)"""
@@ -27,6 +27,11 @@ USERS_FX = """users_fx AS (
     CAST(c_custkey % 12 AS INTEGER) AS calls_remaining
   FROM customer)"""
 
+# User of an event (some names have no user) and the tier a purchase buys.
+EVENT_USER = "concat(CASE WHEN event_id % 50 = 7 THEN 'ghost' ELSE 'u' END, CAST(user_id AS VARCHAR))"
+EVENT_TIER = """CASE event_id % 3 WHEN 0 THEN 'Free - (0$)' WHEN 1 THEN 'Gold - (50$)'
+      ELSE 'Platinum - (100$)' END"""
+
 # Squared L2 of every (query, vector) pair, folded over dims in double.
 PAIR_DIST = """pair_dist AS (
   SELECT q.vec_id AS query_id, v.vec_id AS pk,

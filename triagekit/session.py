@@ -73,10 +73,8 @@ def apply_conf(spark: SparkSession) -> None:
     for k, v in BASE_CONF.items():
         if k.startswith("spark.ui"):
             continue
-        try:
+        if spark.conf.isModifiable(k):  # static settings of a foreign session stay
             spark.conf.set(k, v)
-        except Exception:  # static conf on a foreign session: leave as is
-            pass
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -105,15 +103,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's default scan split.
+SCAN_SPLIT = 128 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of ``df`` by the optimizer's statistics (file sizes, scaled by the columns
+    read); runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin spread a narrow input before CPU-heavy row work.
 
-    Only when the input has under half as many partitions as the cluster's
-    default parallelism (e.g. a single large file or row group): inputs that
-    are already wide are left alone, so at scale this adds no shuffle.
+    Only a plain scan whose size makes under half as many scan tasks as the cluster's
+    default parallelism (a single large file or row group) is spread: inputs that are
+    already wide are left alone, so at scale this adds no shuffle.  Decided from the
+    plan's statistics alone; frames that already shuffle are left to adaptive execution.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > target:
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Window")):
+        return df
+    if input_bytes(df) // SCAN_SPLIT * 2 > target:
         return df
     return df.repartition(target)
 
@@ -137,15 +150,41 @@ def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -
 
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
+
+
+def _row_bytes(kind) -> int:
+    """Bytes of a value of a fixed-width type; 0 where the width depends on the data."""
+    from pyspark.sql import types as T
+    if isinstance(kind, T.StructType):
+        widths = [_row_bytes(f.dataType) for f in kind.fields]
+        return sum(widths) + 8 if all(widths) else 0
+    if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+        return 0
+    return 16 if isinstance(kind, T.DecimalType) else 8
+
+
+def measured_bytes(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of ``df`` from one aggregate: partial counts per task, one row each.
+
+    Fixed-width columns count by type, others by the length of their text form.
+    """
+    wide = [f.name for f in df.schema.fields if not _row_bytes(f.dataType)]
+    fixed = sum(_row_bytes(f.dataType) for f in df.schema.fields) + 16
+    width = F.lit(fixed)
+    for c in wide:
+        width = width + F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("b")).first()
+    return r.n, r.b or 0
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                    materialize: bool = False) -> DataFrame:
-    """Broadcast-hint ``df`` if a count proves it has at most ``max_rows`` rows.
+                    materialize: bool = False, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast-hint ``df`` if it is measured to be within ``max_bytes`` and ``max_rows``.
 
-    ``materialize`` checkpoints ``df`` first, for small frames that are
-    expensive to derive (an aggregate over a big table): the count and the
-    join then read the checkpoint instead of recomputing it.
+    ``materialize`` checkpoints ``df`` first, for frames that are expensive to
+    derive (an aggregate over a big table): the measurement and the join then
+    read the checkpoint instead of recomputing it.
 
     A static hint is what keeps the *large* side of a join from being
     shuffled: AQE can switch to a broadcast join only after both sides'
@@ -154,6 +193,5 @@ def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     """
     if materialize:
         df = cut_lineage(df)
-    # A capped count: stops reading once the bound is exceeded, so the
-    # check stays cheap when the frame turns out to be large.
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows, size = measured_bytes(df)
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df

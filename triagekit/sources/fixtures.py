@@ -33,7 +33,7 @@ def issues_fx(spark: SparkSession, base: str) -> DataFrame:
         F.col("lang").alias("repo_name"),
         F.col("doc_id").alias("issue_number"),
         F.concat(F.lit("user"), (F.col("doc_id") % 37).cast("string")).alias("created_by"),
-        F.substring("text", 1, 60).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("body"),
         F.when(F.col("doc_id") % 3 == 0, "open").otherwise("closed").alias("state"),
         _minutes_after_epoch_base(F.col("doc_id")).alias("updated_at"),
@@ -110,30 +110,48 @@ def signups_fx(spark: SparkSession, base: str) -> DataFrame:
     k = F.col("c_custkey")
     tier = F.when(k % 3 == 0, TIER_FREE).when(k % 3 == 1, TIER_GOLD).otherwise(TIER_PLATINUM)
     return c.select(
-        F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("u"), k.cast("string"))).alias("username"),
+        # Two forms for some names: of those the first is often invalid.
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(
+            F.lit("u"), F.when(k % 11 == 1, k - 1).otherwise(k).cast("string"))).alias("username"),
         F.when(k % 5 == 0, F.col("c_name")).otherwise(F.regexp_replace("c_name", "#", "")).alias("password"),
         (k * F.lit(1000000007)).cast("string").alias("credit_card"),
         tier.alias("service"),
         k.alias("ordinal"))
 
 
+def _event_user() -> Column:
+    """User of an event; some names have no user (404 outcomes)."""
+    return F.concat(F.when(F.col("event_id") % 50 == 7, F.lit("ghost")).otherwise(F.lit("u")),
+                    F.col("user_id").cast("string"))
+
+
+def _event_tier() -> Column:
+    m = F.col("event_id") % 3
+    return F.when(m == 0, TIER_FREE).when(m == 1, TIER_GOLD).otherwise(TIER_PLATINUM)
+
+
 def metered_events_fx(spark: SparkSession, base: str, with_topups: bool) -> DataFrame:
     """API calls (every non-purchase event) and, optionally, purchases as top-ups."""
     e = read_table(spark, base, "events")
     if not with_topups:
         e = e.where(F.col("event_type") != "purchase")
-    return e.select(
-        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"),
-        "ts", F.when(F.col("event_type") == "purchase", "topup").otherwise("call").alias("kind"))
+    topup = F.col("event_type") == "purchase"
+    return e.select("event_id", _event_user().alias("username"), "ts",
+                    F.when(topup, "topup").otherwise("call").alias("kind"),
+                    F.when(topup, _event_tier()).alias("service"))
 
 
 def upgrades_fx(spark: SparkSession, base: str) -> DataFrame:
     """Subscription upgrades: each purchase event picks a tier."""
     e = read_table(spark, base, "events").where(F.col("event_type") == "purchase")
-    m = F.col("event_id") % 3
-    return e.select(
-        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), "ts",
-        F.when(m == 0, TIER_FREE).when(m == 1, TIER_GOLD).otherwise(TIER_PLATINUM).alias("service"))
+    return e.select("event_id", _event_user().alias("username"), "ts", _event_tier().alias("service"))
+
+
+def password_changes_fx(spark: SparkSession, base: str) -> DataFrame:
+    """Password changes: each signup event sets a new password."""
+    e = read_table(spark, base, "events").where(F.col("event_type") == "signup")
+    return e.select("event_id", _event_user().alias("username"), "ts",
+                    F.concat(F.lit("pw"), F.col("event_id").cast("string")).alias("password"))
 
 
 def active_usernames_fx(spark: SparkSession, base: str) -> DataFrame:
@@ -162,8 +180,15 @@ def raw_issues_fx(spark: SparkSession, base: str) -> DataFrame:
         F.coalesce("labels", F.array().cast("array<struct<name:string>>")).alias("labels"),
         F.when(ms != 0, F.struct(F.concat(F.lit("v"), ms.cast("string")).alias("title"))).alias("milestone"),
         F.coalesce("comments", F.array().cast("array<struct<id:bigint,body:string>>")).alias("comments"),
-        F.array().cast("array<struct<id:bigint,user:struct<login:string,id:bigint>,content:string,"
-                       "created_at:string>>").alias("reactions"))
+        # Reactions: one per label value of the issue's number, none for every third, null for some.
+        F.when(F.col("id") % 7 == 3, F.lit(None)).otherwise(F.transform(
+            F.when(F.col("id") % 3 == 0, F.array().cast("array<int>")).otherwise(
+                F.sequence(F.lit(1), (F.col("id") % 3).cast("int"))),
+            lambda n: F.struct(
+                (F.col("id") * 10 + n).alias("id"),
+                F.struct(F.concat(F.lit("user"), n.cast("string")).alias("login"), n.cast("long").alias("id")).alias("user"),
+                F.when(n == 1, "+1").otherwise("heart").alias("content"),
+                F.lit("2024-01-02T03:04:05Z").alias("created_at")))).alias("reactions"))
 
 
 def landed_updates_fx(spark: SparkSession, base: str) -> DataFrame:
@@ -174,7 +199,7 @@ def landed_updates_fx(spark: SparkSession, base: str) -> DataFrame:
     return j.select(
         "id", "issue_url", "repo_owner", "repo_name", "issue_number", "created_by",
         F.concat(F.lit("turn "), F.col("turn").cast("string"), F.lit(": "),
-                 F.substring("text", 1, 40)).alias("title"),
+                 F.substring_index("text", "\n", 1)).alias("title"),
         F.col("text").alias("body"),
         F.when(F.col("role") == "user", "open").otherwise("closed").alias("state"),
         (F.col("updated_at") + F.make_dt_interval(F.col("turn").cast("int"))).alias("updated_at"),

@@ -10,7 +10,6 @@ T3  quota metering: per-user state (period, balance) in
 
 from __future__ import annotations
 
-import os
 
 import numpy as np
 import pandas as pd
@@ -110,8 +109,6 @@ METER_OUT = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("username", T.StringType()),
     T.StructField("kind", T.StringType()), T.StructField("period_start", T.TimestampNTZType()),
     T.StructField("response_code", T.IntegerType()), T.StructField("balance", T.LongType())])
-METER_STATE = T.StructType([T.StructField("period_us", T.LongType()),
-                            T.StructField("balance", T.LongType())])
 
 _PERIOD_US = {"hour": 3_600_000_000, "day": 86_400_000_000}
 
@@ -125,60 +122,6 @@ def _period_start_us(ts: pd.Series, period: str) -> np.ndarray:
     return us - us % step
 
 
-def _meter_fn(period: str):
-    allow = dict(TIER_ALLOWANCE)
-
-    def run(key, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if len(pdf) == 0:
-            return
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
-        user = key[0]
-        service, init = pdf["service"].iloc[0], pdf["calls_remaining"].iloc[0]
-        if pd.isna(service) and pd.isna(init):
-            yield pd.DataFrame({"event_id": pdf["event_id"], "username": user, "kind": pdf["kind"],
-                                "period_start": pd.NaT, "response_code": 404, "balance": None})
-            return
-        tier = None if pd.isna(service) else allow.get(service)
-        delta = np.where(pdf["kind"] == "topup", tier or 0, -1).astype(np.int64)
-        periods = (_period_start_us(pdf["ts"], period) if tier is not None
-                   else np.full(len(pdf), -1, dtype=np.int64))
-        prev_p, prev_b = state.get if state.exists else (None, None)
-        codes = np.empty(len(pdf), dtype=np.int32)
-        bal = np.empty(len(pdf), dtype=np.int64)
-        bounds = np.flatnonzero(np.diff(periods)) + 1
-        for seg in np.split(np.arange(len(pdf)), bounds):
-            p = int(periods[seg[0]])
-            if prev_p is not None and p == prev_p:
-                start = int(prev_b)
-            else:
-                start = int(tier) if tier is not None else int(init)
-            s = start + np.cumsum(delta[seg])
-            m = np.minimum(0, np.minimum.accumulate(np.minimum(s, start)))
-            m_prev = np.concatenate([[min(0, start)], m[:-1]])
-            is_call = (pdf["kind"].to_numpy()[seg] == "call")
-            codes[seg] = np.where(is_call & (m < m_prev), 403, 200)
-            bal[seg] = s - m
-            prev_p, prev_b = p, int(bal[seg[-1]])
-        state.update((prev_p, prev_b))
-        ps = pd.to_datetime(np.where(periods >= 0, periods, 0) * 1000)
-        yield pd.DataFrame({"event_id": pdf["event_id"].astype("int64"), "username": user,
-                            "kind": pdf["kind"],
-                            "period_start": pd.Series(ps).where(periods >= 0, pd.NaT),
-                            "response_code": codes, "balance": bal})
-
-    return run
-
-
-def meter_stream(events_stream: DataFrame, users: DataFrame, period: str = "hour") -> DataFrame:
-    """Streaming metering (T3): ``events_stream`` has event_id, username, ts, kind."""
-    ship_package(events_stream.sparkSession)  # workers import this module
-    u = users.select("username", "service", "calls_remaining")
-    j = events_stream.join(u, "username", "left")  # stream-static join
-    return j.groupBy("username").applyInPandasWithState(
-        _meter_fn(period), METER_OUT, METER_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def memory_sink(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
     """Run a streaming frame to completion into an in-memory table (tests, smoke)."""
     q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
@@ -187,60 +130,67 @@ def memory_sink(df: DataFrame, name: str, checkpoint: str, mode: str = "append")
     return q
 
 
-def ensure_dir(path: str) -> str:
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 # ------------------------------------------------- T3, event-time ordered
 METER_STATE_ET = T.StructType([
-    T.StructField("period_us", T.LongType()), T.StructField("balance", T.LongType()),
-    T.StructField("service", T.StringType()), T.StructField("init", T.LongType()),
+    T.StructField("period_us", T.LongType()), T.StructField("reset_us", T.LongType()),
+    T.StructField("balance", T.LongType()), T.StructField("service", T.StringType()),
+    T.StructField("found", T.BooleanType()),
     T.StructField("buf_id", T.ArrayType(T.LongType())), T.StructField("buf_ts", T.ArrayType(T.LongType())),
-    T.StructField("buf_kind", T.ArrayType(T.StringType()))])
+    T.StructField("buf_kind", T.ArrayType(T.StringType())), T.StructField("buf_service", T.ArrayType(T.StringType()))])
 
 
-def _segments_meter(ev: pd.DataFrame, tier, init, prev_p, prev_b, period: str):
-    """Closed-form metering of time-ordered events, continuing from (prev_p, prev_b)."""
-    delta = np.where(ev["kind"] == "topup", tier or 0, -1).astype(np.int64)
-    periods = (_period_start_us(ev["ts"], period) if tier is not None
-               else np.full(len(ev), -1, dtype=np.int64))
-    codes = np.empty(len(ev), dtype=np.int32)
+def _meter_ordered(ev: pd.DataFrame, state: dict, period: str):
+    """Meter time-ordered events of one user from ``state`` (period, reset, balance,
+    service), which it moves on.  Calls between two top-ups or resets are one segment."""
+    allow = dict(TIER_ALLOWANCE)
+    periods = _period_start_us(ev["ts"], period)
+    topup = (ev["kind"] == "topup").to_numpy()
+    cut = np.ones(len(ev) + 1, bool)
+    cut[1:-1] = (np.diff(periods) != 0) | topup[1:] | topup[:-1]
+    codes = np.full(len(ev), 200, dtype=np.int32)
     bal = np.empty(len(ev), dtype=np.int64)
-    for seg in np.split(np.arange(len(ev)), np.flatnonzero(np.diff(periods)) + 1):
-        p = int(periods[seg[0]])
-        start = int(prev_b) if prev_p is not None and p == prev_p else (
-            int(tier) if tier is not None else int(init))
-        s = start + np.cumsum(delta[seg])
-        m = np.minimum(0, np.minimum.accumulate(np.minimum(s, start)))
-        m_prev = np.concatenate([[min(0, start)], m[:-1]])
-        codes[seg] = np.where((ev["kind"].to_numpy()[seg] == "call") & (m < m_prev), 403, 200)
-        bal[seg] = s - m
-        prev_p, prev_b = p, int(bal[seg[-1]])
-    return codes, bal, periods, prev_p, prev_b
+    start = np.full(len(ev), -1, dtype=np.int64)
+    edges = np.flatnonzero(cut)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if state["period"] != periods[lo]:
+            state["period"] = int(periods[lo])
+            if state["service"] in allow:  # the reset sets the allowance of the tier in force
+                state["balance"], state["reset"] = allow[state["service"]], int(periods[lo])
+        b = max(int(state["balance"] or 0), 0)
+        if topup[lo]:
+            bought = ev["service"].iloc[lo]
+            state["service"] = None if pd.isna(bought) else bought
+            bal[lo] = b = b + allow.get(state["service"], 0)
+        else:
+            n = np.arange(1, hi - lo + 1)
+            codes[lo:hi] = np.where(n > b, 403, 200)
+            bal[lo:hi] = np.maximum(b - n, 0)
+            b = int(bal[hi - 1])
+        start[lo:hi] = -1 if state["reset"] is None else state["reset"]
+        state["balance"] = b
+    return codes, bal, start
 
 
 def _meter_event_time_fn(period: str):
-    allow = dict(TIER_ALLOWANCE)
-
     def run(key, pdfs, state):
         user = key[0]
         if state.exists:
-            prev_p, prev_b, service, init, b_id, b_ts, b_kind = state.get
+            period_us, reset_us, balance, service, found, b_id, b_ts, b_kind, b_service = state.get
         else:
-            prev_p = prev_b = service = init = None
-            b_id, b_ts, b_kind = [], [], []
+            period_us = reset_us = balance = service = found = None
+            b_id, b_ts, b_kind, b_service = [], [], [], []
         frames = [p for p in pdfs if len(p)]
         buf = pd.DataFrame({"event_id": pd.Series(b_id or [], dtype="int64"),
                             "ts": pd.to_datetime(pd.Series(b_ts or [], dtype="int64") * 1000),
-                            "kind": pd.Series(b_kind or [], dtype="object")})
+                            "kind": pd.Series(b_kind or [], dtype="object"),
+                            "service": pd.Series(b_service or [], dtype="object")})
         if frames:
             new = pd.concat(frames, ignore_index=True)
-            if service is None and init is None:
-                s0, i0 = new["service"].iloc[0], new["calls_remaining"].iloc[0]
-                service = None if pd.isna(s0) else s0
-                init = None if pd.isna(i0) else int(i0)
-            buf = pd.concat([buf, new[["event_id", "ts", "kind"]]], ignore_index=True)
+            if found is None:  # the user as the static table has it, once
+                found = bool(pd.notna(new["_found"].iloc[0]))
+                service = None if pd.isna(new["_tier0"].iloc[0]) else new["_tier0"].iloc[0]
+                balance = None if pd.isna(new["_init"].iloc[0]) else int(new["_init"].iloc[0])
+            buf = pd.concat([buf, new[["event_id", "ts", "kind", "service"]]], ignore_index=True)
         if len(buf) == 0:
             return
         wm_us = state.getCurrentWatermarkMs() * 1000
@@ -248,25 +198,27 @@ def _meter_event_time_fn(period: str):
         final = buf[ts_us <= wm_us].sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
         pend = buf[ts_us > wm_us]
         out = None
-        if len(final):
-            if service is None and init is None:  # unknown user
-                out = pd.DataFrame({"event_id": final["event_id"].astype("int64"), "username": user,
-                                    "kind": final["kind"], "period_start": pd.NaT,
-                                    "response_code": 404, "balance": None})
-            else:
-                tier = allow.get(service)
-                codes, bal, periods, prev_p, prev_b = _segments_meter(
-                    final, tier, init, prev_p, prev_b, period)
-                ps = pd.Series(pd.to_datetime(np.where(periods >= 0, periods, 0) * 1000))
-                out = pd.DataFrame({"event_id": final["event_id"].astype("int64"), "username": user,
-                                    "kind": final["kind"],
-                                    "period_start": ps.where(periods >= 0, pd.NaT),
-                                    "response_code": codes, "balance": bal})
+        if len(final) and not found:
+            out = pd.DataFrame({"event_id": final["event_id"].astype("int64"), "username": user,
+                                "kind": final["kind"], "period_start": pd.NaT,
+                                "response_code": 404, "balance": None})
+        elif len(final):
+            st = {"period": period_us, "reset": reset_us, "balance": balance, "service": service}
+            codes, bal, start = _meter_ordered(final, st, period)
+            period_us, reset_us, balance, service = (st[k] for k in ("period", "reset", "balance", "service"))
+            ps = pd.Series(pd.to_datetime(np.where(start >= 0, start, 0) * 1000))
+            out = pd.DataFrame({"event_id": final["event_id"].astype("int64"), "username": user,
+                                "kind": final["kind"], "period_start": ps.where(start >= 0, pd.NaT),
+                                "response_code": codes, "balance": bal})
         p_us = pd.to_datetime(pend["ts"]).astype("int64").to_numpy() // 1000
-        state.update((prev_p, prev_b, service, init, pend["event_id"].astype("int64").tolist(),
-                      p_us.tolist(), pend["kind"].tolist()))
-        if len(pend):  # flush when the watermark passes the oldest pending event
-            state.setTimeoutTimestamp(max(int(p_us.min() // 1000), state.getCurrentWatermarkMs() + 1))
+        if not found and not len(pend):
+            state.remove()  # nothing to remember about a name without a user
+        else:
+            state.update((period_us, reset_us, balance, service, found, pend["event_id"].astype("int64").tolist(),
+                          p_us.tolist(), pend["kind"].tolist(),
+                          [None if pd.isna(x) else x for x in pend["service"].tolist()]))
+            if len(pend):  # flush when the watermark passes the oldest pending event
+                state.setTimeoutTimestamp(max(int(p_us.min() // 1000), state.getCurrentWatermarkMs() + 1))
         if out is not None:
             yield out
 
@@ -281,11 +233,16 @@ def meter_stream_event_time(events_stream: DataFrame, users: DataFrame, period:
     ``lateness``) passes them, then are metered in (ts, event_id) order, so
     every emitted result equals the batch metering whatever the arrival
     order within ``lateness``.  Events later than that are dropped by the
-    watermark; the newest ``lateness`` of the stream stays pending.
+    watermark; the newest ``lateness`` of the stream stays pending.  Kept per
+    user are the balance and the tier in force (later resets need them) and what
+    is pending; names without a user keep nothing.
     """
     ship_package(events_stream.sparkSession)  # workers import this module
-    u = users.select("username", "service", "calls_remaining")
-    j = (events_stream.join(u, "username", "left")
+    u = users.select("username", F.col("service").alias("_tier0"),
+                     F.col("calls_remaining").cast("long").alias("_init"), F.lit(True).alias("_found"))
+    ev = events_stream if "service" in events_stream.columns else events_stream.withColumn(
+        "service", F.lit(None).cast("string"))
+    j = (ev.join(u, "username", "left")
          .withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", lateness))
     return j.groupBy("username").applyInPandasWithState(
         _meter_event_time_fn(period), METER_OUT, METER_STATE_ET, "append",
