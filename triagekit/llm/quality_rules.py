@@ -47,6 +47,8 @@ CUT = 100.0
 SHORT = 20.0
 #: Median of the chi-square law with DIMS degrees of freedom.
 CHI_MEDIAN = DIMS * (1 - 2 / (9 * DIMS)) ** 3
+#: Groups whose estimates are broadcast (more are joined by shuffle).
+MAX_BROADCAST = 20_000
 #: Histogram cells per unit (values) and per octave (distances).
 GRID = 512
 OCTAVE = 64
@@ -139,7 +141,14 @@ def robust_estimates(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFram
     """(lang, source, x) -> (grp, center, precision, scale) for every group of enough rows."""
     g = vectors.select(F.explode(F.array(*_groups())).alias("grp"), "x")
     large = g.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_group).select("grp")
-    g = g.join(shared_table(large, "groups"), "grp")
+    large = shared_table(large, "groups")
+    # Estimates take about 500 bytes a group: with few groups the rows stay where they are.
+    few = large.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    g = g.join(side(large), "grp")
     # Start: medians and quartile ranges of each statistic.
     cells = g.select("grp", F.posexplode("x").alias("dim", "v")).select(
         "grp", "dim", F.round(F.col("v") * GRID).cast("int").alias("cell"))
@@ -152,13 +161,13 @@ def robust_estimates(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFram
         F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda j: F.when(j == e["dim"], e["p"]).otherwise(0.0))))
     est = shared_table(q.select("grp", F.col("a.m").alias("center"), diagonal.alias("precision")), "mcd")
     for step in range(STEPS + 1):
-        d = _with_distance(g.join(est, "grp"), "center", "precision")
+        d = _with_distance(g.join(side(est), "grp"), "center", "precision")
         cells = d.select("grp", _distance_cell().alias("cell"))
         cut = _quantiles(cells, ["grp"], [SUBSET, 0.5])
         if step == STEPS:
             scale = F.lit(CHI_MEDIAN) / F.pow(F.lit(2.0), F.col("q1") / OCTAVE)
             return shared_table(est.join(cut, "grp").select("grp", "center", "precision", scale.alias("scale")), "mcd")
-        inner = d.join(cut, "grp").where(_distance_cell() <= F.col("q0"))
+        inner = d.join(side(cut), "grp").where(_distance_cell() <= F.col("q0"))
         sums = inner.groupBy("grp").agg(
             F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(DIMS)]).alias("s"),
             F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]).alias("ss"))
@@ -179,7 +188,7 @@ def judge(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     vectors = s.where("not base_failed").select("lang", "source", _vector().alias("x"))
     est = robust_estimates(shared_table(vectors, "vectors"), min_group)
     est = est.select("grp", F.struct("center", "precision", "scale").alias("e"))
-    small = est.limit(100_001).count() <= 100_000  # about 500 bytes a group
+    small = est.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     for i, c in enumerate(_groups()):
         side = est.select(F.col("grp").alias(f"__g{i}"), F.col("e").alias(f"__e{i}"))
         s = s.join(F.broadcast(side) if small else side, c == F.col(f"__g{i}"), "left")
