@@ -455,12 +455,17 @@ def test_parse_iso_variants(spark):
 
 
 def test_ivf_index_written_by_cell(spark, tmp_dir):
-    from triagekit.operators.ivf import assign_cells, write_index
+    from triagekit.operators.ivf import assign_cells, search_index, write_index
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
         F.col("vec_id").alias("pk"), F.col("embedding").alias("embeddings"), "label")
-    assigned = assign_cells(emb.select("pk", "embeddings"), label_centroids(emb, "label"))
-    write_index(assigned, f"{tmp_dir}/ivf")
-    back = spark.read.parquet(f"{tmp_dir}/ivf")
+    centroids = label_centroids(emb, "label")
+    assigned = assign_cells(emb.select("pk", "embeddings"), centroids)
+    write_index(assigned, centroids, f"{tmp_dir}/ivf")
+    q = emb.where("pk % 50 = 0").select(F.col("pk").alias("query_id"), F.col("embeddings").alias("embedding"))
+    cols = ["query_id", "pk", "distance", "rank"]
+    stored = search_index(spark, f"{tmp_dir}/ivf", q, 7).select(cols).collect()
+    assert sorted(stored) == sorted(knn.knn_l2(emb.select("pk", "embeddings"), q, 7).select(cols).collect())
+    back = spark.read.parquet(f"{tmp_dir}/ivf/vectors")
     assert back.count() == 500
     one = back.where("cell = 3")  # partition pruning on the cell directory
     assert "PartitionFilters: [isnotnull(cell" in one._jdf.queryExecution().executedPlan().toString()
@@ -624,3 +629,22 @@ def test_spread_runs_no_job(spark, tmp_dir):
     assert not tracker.getJobIdsForGroup("spread")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and grouped.count() == 1000
+
+
+def test_duplicate_query_ids_refused_on_both_paths(spark):
+    v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "pk long, embeddings array<float>")
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (1, [9.0, 0.0])], "query_id long, embedding array<float>")
+    uneven = spark.createDataFrame([(1, [0.0, 0.0]), (2, [9.0])], "query_id long, embedding array<float>")
+    for bad in (q, uneven):
+        with pytest.raises(ValueError):
+            knn.knn_l2(v, bad, 3)
+        with pytest.raises(ValueError):
+            knn_l2_cells(v, bad, 3, nlist=2)
+
+
+def test_knn_in_query_blocks(spark):
+    rnd = random.Random(3)
+    v = spark.createDataFrame([(i, [rnd.random() for _ in range(4)]) for i in range(200)], "pk long, embeddings array<double>")
+    q = v.limit(30).selectExpr("pk as query_id", "embeddings as embedding")
+    want = sorted(knn.knn_l2(v, q, 5).collect())
+    assert sorted(knn.knn_l2(v, q, 5, max_heap_bytes=16 * 5 * 7).select("query_id", "pk", "distance", "rank").collect()) == want

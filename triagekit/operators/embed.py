@@ -2,8 +2,8 @@
 
 The default model is a hashed bag of tokens: each chunk's vector holds, per
 bucket ``md5(token)[0:4] mod dim``, the share of the chunk's tokens that
-fall in the bucket.  It is computed as an explode plus one aggregation on
-``(doc, chunk, bucket)`` with map-side partial counts.  A neural model plugs
+fall in the bucket.  It is computed inside the document's row, without a
+shuffle.  A neural model plugs
 in through :func:`embed_chunks_with_model` (Arrow batches, model loaded once
 per Python worker).  Either way the document vector is the unweighted mean
 of its chunk vectors, and a document without tokens gets the zero vector.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tokens import CHUNK_SIZE, clean_tokens, n_chunks
+from ..functions.tokens import CHUNK_SIZE, chunk_array, clean_tokens, n_chunks
 from ..session import maybe_broadcast, ship_package, spread
 from .indexing import with_sequential_index
 
@@ -79,26 +79,78 @@ def chunk_bag_weights(docs: DataFrame, dim: int, id_col: str = "doc_id", text_co
     """Sparse chunk vectors: (id, chunk_no, n_chunks, bucket, weight).
 
     weight = bucket count / chunk tokens, or ``count * 1e6 div n`` (bigint)
-    when ``fixed_point``.  The text is tokenised once; chunk sizes and the
-    document's chunk count are functions of (id, chunk_no) and ride along
-    in the grouping key, so no join is needed.
+    when ``fixed_point``.  The text is tokenised once and nothing is shuffled.
+    """
+    c = chunk_counts(docs, dim, id_col, text_col, size)
+    c = c.select("id", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk_no", "c"))
+    c = c.select("id", "chunk_no", "n_chunks", F.col("c.n").alias("n_tokens"),
+                 F.posexplode("c.counts").alias("bucket", "cnt")).where(F.col("cnt") > 0)
+    return c.select("id", "chunk_no", "n_chunks", "bucket",
+                    _weight(F.col("cnt"), F.col("n_tokens"), fixed_point).alias("weight"))
+
+
+def _weight(cnt: Column, n: Column, fixed_point: bool) -> Column:
+    return F.floor(cnt * F.lit(FIXED_POINT) / n).cast("long") if fixed_point else (cnt / n).cast("double")
+
+
+def chunk_counts(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: str = "text",
+                 size: int = CHUNK_SIZE) -> DataFrame:
+    """(id, chunks): per chunk its tokens ``n`` and the ``counts`` of all buckets.
+
+    All inside the row, so nothing is shuffled: a chunk's buckets are sorted, and a
+    bucket's count is the distance between where it begins and where the next begins.
     """
     base = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))).select(
         "id", clean_tokens(F.col("_text")).alias("_t"))
-    base = base.select("id", "_t", F.size("_t").alias("_n"))
-    toks = base.select("id", "_n", F.posexplode_outer("_t").alias("pos", "token")).where(
-        F.col("pos").isNotNull())  # see token_rows: avoids a pushed-down re-tokenisation
-    chunk_no = (F.col("pos") / F.lit(size)).cast("int")
-    toks = toks.select(
-        "id", "token", chunk_no.alias("chunk_no"),
-        F.least(F.lit(size), F.col("_n") - chunk_no * size).cast("long").alias("n_tokens"),
-        n_chunks(F.col("_n"), size).alias("n_chunks"))
-    counts = toks.groupBy("id", "chunk_no", "n_tokens", "n_chunks",
-                          bucket_of(F.col("token"), dim).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    w = (F.floor(F.col("cnt") * F.lit(FIXED_POINT) / F.col("n_tokens")).cast("long") if fixed_point
-         else (F.col("cnt") / F.col("n_tokens")).cast("double"))
-    return counts.select("id", "chunk_no", "n_chunks", "bucket", w.alias("weight"))
+    base = base.select("id", F.transform(chunk_array("_t", size), lambda c: F.array_sort(
+        F.transform(c, lambda t: bucket_of(t, dim)))).alias("_c"))
+    found = F.transform("_c", lambda s: F.struct(s.alias("s"), F.array_distinct(s).alias("d")))
+    base = base.select("id", F.transform(found, lambda e: F.struct(
+        F.size(e["s"]).cast("long").alias("n"), e["d"].alias("d"),
+        F.transform(e["d"], lambda b: F.array_position(e["s"], b)).alias("p"))).alias("_c"))
+    counts = F.transform("_c", lambda e: F.struct(
+        e["n"].alias("n"), F.map_from_arrays(e["d"], F.zip_with(
+            e["p"], F.concat(F.slice(e["p"], 2, dim), F.array(e["n"] + 1)), lambda a, b: b - a)).alias("m")))
+    base = base.select("id", counts.alias("_c"))
+    buckets = F.sequence(F.lit(0), F.lit(dim - 1))
+    return base.select("id", F.transform("_c", lambda e: F.struct(
+        e["n"].alias("n"), F.transform(buckets, lambda i: F.coalesce(F.element_at(e["m"], i), F.lit(0).cast("long")))
+        .alias("counts"))).alias("chunks"))
+
+
+def pooled_vectors(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: str = "text",
+                   fixed_point: bool = False) -> DataFrame:
+    """(id, n_chunks, vector, present): mean of the chunk vectors, computed inside the row.
+
+    ``present`` marks buckets that some token of the document falls in.
+    """
+    c = chunk_counts(docs, dim, id_col, text_col)
+    zero = F.lit(0).cast("long") if fixed_point else F.lit(0.0)
+    zeros = F.array_repeat(zero, dim)
+    total = F.aggregate("chunks", zeros, lambda acc, e: F.zip_with(
+        acc, e["counts"], lambda a, x: a + _weight(x, e["n"], fixed_point)))
+    seen = F.aggregate("chunks", F.array_repeat(F.lit(False), dim), lambda acc, e: F.zip_with(
+        acc, e["counts"], lambda a, x: a | (x > 0)))
+    n = F.size("chunks").cast("long")
+    mean = F.when(n > 0, F.transform(total, lambda s: F.floor(s / n).cast("long") if fixed_point else s / n)).otherwise(zeros)
+    return c.select("id", n.alias("n_chunks"), mean.alias("vector"), seen.alias("present"))
+
+
+def pooled_rows(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: str = "text",
+                fixed_point: bool = False) -> DataFrame:
+    """Sparse document vectors: (id, n_chunks, bucket, value) of the buckets present."""
+    p = pooled_vectors(docs, dim, id_col, text_col, fixed_point)
+    return p.select("id", "n_chunks", F.posexplode(F.arrays_zip("vector", "present")).alias("bucket", "e")).where(
+        "e.present").select("id", "n_chunks", "bucket", F.col("e.vector").alias("value"))
+
+
+def chunk_token_ids(encoded: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+    """Token rows with ids -> (id, chunk_no, token_ids) as :func:`embed_chunks_with_model`
+    takes them; a group is one chunk, at most ``size`` tokens."""
+    chunk = F.floor(F.col("pos") / size).cast("int")
+    c = encoded.groupBy("id", chunk.alias("chunk_no")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
+    return c.select("id", "chunk_no", F.transform("_t", lambda t: t["token_id"]).alias("token_ids"))
 
 
 def mean_pool(weights: DataFrame, fixed_point: bool = False) -> DataFrame:
@@ -113,28 +165,10 @@ def mean_pool(weights: DataFrame, fixed_point: bool = False) -> DataFrame:
     return s.select("id", "n_chunks", "bucket", v.alias("value"))
 
 
-def densify(sparse: DataFrame, ids: DataFrame, dim: int, fixed_point: bool = False) -> DataFrame:
-    """(id, n_chunks, vector) with a vector of length dim; ids without entries get zeros."""
-    zero = F.lit(0).cast("long") if fixed_point else F.lit(0.0)
-    has_chunks = "n_chunks" in sparse.columns
-    aggs = [F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m")]
-    if has_chunks:
-        aggs.append(F.max("n_chunks").alias("n_chunks"))
-    m = sparse.groupBy("id").agg(*aggs)
-    j = ids.select("id").join(m, "id", "left")
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), zero))
-    nch = F.coalesce(F.col("n_chunks"), F.lit(0)).cast("long") if has_chunks else F.lit(None).cast("long")
-    return j.select("id", nch.alias("n_chunks"), vec.alias("vector"))
-
-
 def issue_embeddings(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: str = "text",
                      fixed_point: bool = False) -> DataFrame:
     """Dense document vectors of the bag model (C4): (id, n_chunks, vector)."""
-    pooled = mean_pool(chunk_bag_weights(docs, dim, id_col, text_col, fixed_point=fixed_point),
-                       fixed_point)
-    ids = docs.select(F.col(id_col).alias("id"))
-    return densify(pooled, ids, dim, fixed_point)
+    return pooled_vectors(docs, dim, id_col, text_col, fixed_point).drop("present")
 
 
 def embed_chunks_with_model(chunks: DataFrame, model_factory: Callable[[], Callable],

@@ -56,6 +56,7 @@ def kmeans_centroids(vectors: DataFrame, nlist: int = DEFAULT_NLIST, vec_col: st
 
 
 def _centroid_matrix(centroids: DataFrame, max_bytes: int = 256 << 20):
+    # Bounded by ``max_bytes``: an index needs centroids that fit one broadcast.
     n, dim = centroids.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
     if n * (dim or 0) * 8 > max_bytes:
         raise ValueError(f"{n} centroids of dim {dim} exceed the broadcast bound")
@@ -119,9 +120,38 @@ def assign_cells(vectors: DataFrame, centroids, pk_col: str = "pk",
     return vectors.select(pk_col, vec_col).mapInPandas(run, schema)
 
 
-def write_index(assigned: DataFrame, path: str) -> None:
-    """Persist the IVF index as Parquet partitioned by cell."""
-    assigned.write.mode("errorifexists").partitionBy("cell").parquet(path)
+def write_index(assigned: DataFrame, centroids: DataFrame, path: str) -> None:
+    """Persist an index: vectors by cell, and the centroids that assigned them."""
+    assigned.write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/vectors")
+    centroids.write.mode("errorifexists").parquet(f"{path}/centroids")
+
+
+def create_index(vectors: DataFrame, path: str, nlist: int = DEFAULT_NLIST,
+                 vec_col: str = "embeddings") -> None:
+    """Train the centroids, assign every vector, write the index (the only training)."""
+    from .indexing import cut_lineage
+    centroids = cut_lineage(kmeans_centroids(vectors, nlist, vec_col))
+    write_index(assign_cells(vectors, centroids, vec_col=vec_col), centroids, path)
+
+
+def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(assigned vectors, centroids) of a stored index."""
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/centroids")
+
+
+def search_index(spark, path: str, queries: DataFrame, k: int, **options) -> DataFrame:
+    """Exact top-k per query from a stored index: nothing is trained or copied."""
+    assigned, centroids = read_index(spark, path)
+    return knn_l2_cells(assigned, queries, k, centroids=centroids, assigned=assigned, **options)
+
+
+def misplaced(spark, path: str) -> DataFrame:
+    """One row: vectors of a stored index, and those whose stored cell is not the nearest."""
+    assigned, centroids = read_index(spark, path)
+    again = assign_cells(assigned.select("pk", "embeddings"), centroids).select("pk", F.col("cell").alias("_now"))
+    return assigned.select("pk", "cell").join(again, "pk").agg(
+        F.count(F.lit(1)).alias("n_vectors"),
+        F.coalesce(F.sum((F.col("cell") != F.col("_now")).cast("long")), F.lit(0)).alias("n_misplaced"))
 
 
 def _probe_fn(bc, k: int, qid_col: str, qvec_col: str, first_pass: bool):
@@ -164,7 +194,6 @@ def _block_topk_fn(k: int, qvec_col: str):
                               "distance": pd.Series([], dtype="float64")})
         if len(qpdf) == 0 or len(mpdf) == 0:
             return empty
-        qpdf = qpdf.drop_duplicates("query_id")
         q = np.stack(qpdf[qvec_col].to_numpy()).astype(np.float64)
         v = np.stack(mpdf["_v"].to_numpy()).astype(np.float64)
         dist = np.zeros((len(q), len(v)))
@@ -188,7 +217,7 @@ def knn_l2_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centroids: D
                  pk_col: str = "pk", vec_col: str = "embeddings", query_id_col: str = "query_id",
                  query_vec_col: str = "embedding", squared: bool = True,
                  nlist: int = DEFAULT_NLIST, member_block: int = 8192,
-                 query_block: int = 1024) -> DataFrame:
+                 query_block: int = 1024, assigned: DataFrame | None = None) -> DataFrame:
     """Exact top-k per query via IVF cells; no broadcast of the query batch.
 
     Same output as :func:`triagekit.operators.knn.knn_l2`.  Scoring is a
@@ -196,13 +225,17 @@ def knn_l2_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centroids: D
     ``member_block`` rows and the queries probing it into blocks of at most
     ``query_block``; each (cell, member block, query block) group computes
     its distances in numpy and emits only the top-k per query, so no group
-    grows with the data and no pair becomes a row.
+    grows with the data and no pair becomes a row.  ``assigned`` (with its
+    ``centroids``) is a stored index, see :func:`search_index`.
     """
+    from .knn import check_queries
     spark = vectors.sparkSession
+    check_queries(queries, query_id_col, query_vec_col)
     if centroids is None:
         centroids = kmeans_centroids(vectors, nlist, vec_col)
     cells, cmat = _centroid_matrix(centroids)  # bounded by nlist × dim
-    assigned = cut_lineage(assign_cells(vectors, (cells, cmat), pk_col, vec_col))
+    if assigned is None:
+        assigned = cut_lineage(assign_cells(vectors, (cells, cmat), pk_col, vec_col))
     cell_stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r"))
     # One row per cell: bounded by nlist.
     stats = {r["cell"]: (r["n"], r["r"]) for r in cell_stats.collect()}

@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package, spread
+from ..session import SCAN_SPLIT, input_bytes, ship_package, spread
 
 DEFAULT_MAX_QUERY_BYTES = 64 << 20
 # Above tasks × queries × k candidate rows, search in two passes (see knn_l2).
 DEFAULT_MAX_CANDIDATE_ROWS = 20_000_000
+#: (distance, id) pairs a task keeps for all queries of a block.
+DEFAULT_MAX_HEAP_BYTES = 128 << 20
 # Cap on the query×vector distance block held in memory by one task.
 _BLOCK_ELEMS = 4_000_000
 
@@ -44,10 +46,19 @@ def l2_distance(a: Column | str, b: Column | str, squared: bool = True) -> Colum
     return d if squared else F.sqrt(d)
 
 
-def query_batch_stats(queries: DataFrame, vec_col: str) -> tuple[int, int]:
-    """(rows, dim) of a query batch — one small aggregate job."""
-    row = queries.agg(F.count(F.lit(1)).alias("n"),
-                      F.max(F.size(vec_col)).alias("dim")).first()
+def check_queries(queries: DataFrame, id_col: str, vec_col: str) -> tuple[int, int]:
+    """(rows, dim) of a query batch, from one aggregate; the same check for every path.
+
+    Ids must be unique and not null, and vectors of one dimension (a null vector has no
+    hits).
+    """
+    size = F.when(F.col(vec_col).isNotNull(), F.size(vec_col))
+    row = queries.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("ids"),
+                      F.max(size).alias("dim"), F.min(size).alias("low")).first()
+    if row["n"] != row["ids"]:
+        raise ValueError(f"{row['n']} queries have {row['ids']} distinct ids")
+    if row["dim"] != row["low"]:
+        raise ValueError(f"query vectors have dimensions {row['low']} to {row['dim']}")
     return int(row["n"]), int(row["dim"] or 0)
 
 
@@ -129,7 +140,7 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
            squared: bool = True,
            max_query_bytes: int = DEFAULT_MAX_QUERY_BYTES,
            max_candidate_rows: int = DEFAULT_MAX_CANDIDATE_ROWS,
-           query_stats: tuple[int, int] | None = None) -> DataFrame:
+           max_heap_bytes: int = DEFAULT_MAX_HEAP_BYTES) -> DataFrame:
     """Top-k nearest vectors per query, ascending distance, ties by pk.
 
     Returns ``(query_id, pk, distance, rank)``; ``rank`` starts at 1.
@@ -141,12 +152,16 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
     distances per query; the k-th smallest of their union is an upper bound
     on the true k-th distance (it is k real distances), and the second pass
     keeps only candidates within that bound — about k per query in total.
+
+    A task keeps ``queries × k`` (distance, id) pairs; a batch that needs more than
+    ``max_heap_bytes`` for them is searched in blocks of queries, each a scan of the
+    corpus of its own.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     spark = vectors.sparkSession
     ship_package(spark)  # workers import this module
-    n, dim = query_stats or query_batch_stats(queries, query_vec_col)
+    n, dim = check_queries(queries, query_id_col, query_vec_col)
     if n * max(dim, 1) * 8 > max_query_bytes:
         from .ivf import knn_l2_cells  # bounded-memory path for big batches
         return knn_l2_cells(vectors, queries, k, pk_col=pk_col, vec_col=vec_col,
@@ -158,18 +173,20 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
     qids = pdf["q"].to_numpy(np.int64)
     qmat = (np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf)
             else np.empty((0, dim)))
-    bc = spark.sparkContext.broadcast((qids, qmat))
     schema = T.StructType([
         T.StructField("query_id", T.LongType()),
         T.StructField("pk", T.LongType()),
         T.StructField("distance", T.DoubleType()),
     ])
     corpus = spread(vectors.select(pk_col, vec_col))
-    tasks = corpus.rdd.getNumPartitions()
+    # By statistics, not by running the plan: it only chooses between one and two passes.
+    tasks = max(spark.sparkContext.defaultParallelism, input_bytes(corpus) // SCAN_SPLIT)
     w = Window.partitionBy("query_id").orderBy("distance", "pk")
-    if tasks * len(qids) * k <= max_candidate_rows:
-        partial = corpus.mapInPandas(_partial_topk_fn(bc, k, pk_col, vec_col), schema)
-    else:
+
+    def search(qids, qmat):
+        bc = spark.sparkContext.broadcast((qids, qmat))
+        if tasks * len(qids) * k <= max_candidate_rows:
+            return corpus.mapInPandas(_partial_topk_fn(bc, k, pk_col, vec_col), schema)
         m = min(k, -(-2 * k // tasks) + 4)
         firsts = corpus.mapInPandas(_partial_topk_fn(bc, m, pk_col, vec_col), schema)
         kth = (firsts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
@@ -178,7 +195,12 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
         u = {r["query_id"]: (r["_u"] if r["_n"] >= k else np.inf) for r in kth.collect()}
         bound = np.array([u.get(int(q), np.inf) for q in qids], dtype=np.float64)
         bc2 = spark.sparkContext.broadcast((qids, qmat, bound))
-        partial = corpus.mapInPandas(_partial_topk_fn(bc2, k, pk_col, vec_col, bounded=True), schema)
+        return corpus.mapInPandas(_partial_topk_fn(bc2, k, pk_col, vec_col, bounded=True), schema)
+
+    step = max(1, max_heap_bytes // (16 * k))
+    partial = search(qids[:step], qmat[:step])
+    for lo in range(step, len(qids), step):
+        partial = partial.unionByName(search(qids[lo:lo + step], qmat[lo:lo + step]))
     out = (partial.withColumn("rank", F.row_number().over(w))
            .where(F.col("rank") <= k))
     if not squared:

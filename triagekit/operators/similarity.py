@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .knn import knn_l2, query_batch_stats
+from ..session import maybe_broadcast
+from .knn import knn_l2
 
 # Fixed values of the search service.
 DEFAULT_TOP_K = 999
@@ -53,25 +54,21 @@ def _join_closed(hits: DataFrame, issues: DataFrame, scoped: bool) -> DataFrame:
 
 def similar_issues(vectors: DataFrame, queries: DataFrame, issues: DataFrame, *,
                    k: int = DEFAULT_TOP_K, threshold: float = DEFAULT_THRESHOLD,
-                   scoped: bool = False, squared: bool = True,
-                   max_broadcast_hits: int = 4_000_000, **knn_kw) -> DataFrame:
+                   scoped: bool = False, squared: bool = True, **knn_kw) -> DataFrame:
     """Closed issues similar to each query: ``(query_id, id, title, similarity, url)``.
 
     ``queries`` has ``query_id, embedding`` and, when ``scoped``, nullable
     ``owner, repo``.  As in the service, the scope is applied after the
     global top-k and the threshold.
     """
-    stats = query_batch_stats(queries, "embedding")
-    hits = knn_l2(vectors, queries.select("query_id", "embedding"), k,
-                  squared=squared, query_stats=stats, **knn_kw)
+    hits = knn_l2(vectors, queries.select("query_id", "embedding"), k, squared=squared, **knn_kw)
     hits = rescale_similarity(hits).where(F.col("similarity") > F.lit(float(threshold)))
     if scoped:
         hits = hits.join(queries.select("query_id", "owner", "repo"), "query_id")
-    # Hits are bounded by queries × k.  Within the bound they are broadcast,
-    # so the issue table is scanned but never shuffled (AQE could only
-    # switch after shuffling it); beyond it both sides shuffle on id.
-    if stats[0] * k <= max_broadcast_hits:
-        hits = F.broadcast(hits)
+    # Hits measured to be small are broadcast, so the issue table is scanned but
+    # never shuffled (AQE could only switch after shuffling it); beyond the bound
+    # both sides shuffle on id.  The search itself runs once, for the checkpoint.
+    hits = maybe_broadcast(hits, materialize=True)
     out = _join_closed(hits, issues, scoped)
     return out.select("query_id", "id", "title", "similarity", "url")
 

@@ -6,11 +6,13 @@ adapters over the whole driver tables.  Parameters are fixed here once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 
@@ -20,7 +22,7 @@ REGISTRY: dict[str, QueryFn] = {}
 # Fixture parameters (FIXTURES.md): k below the corpus size so the cut
 # matters, threshold 30 so results are not only self-matches.
 KNN_K = 100
-SEARCH_K = 999
+SEARCH_K = 100  # below the corpus at every scale, so the cut is in force
 SEARCH_THRESHOLD = 30.0
 # The service's own threshold, used by the search-else-solve flow.
 SERVICE_THRESHOLD = 90.0
@@ -42,7 +44,7 @@ def q_knn_l2(spark, base):
 
 
 def _scoped_queries(spark, base):
-    q = fx.query_vectors_fx(spark, base)
+    q = fx.search_queries_fx(spark, base)
     scope = fx.issues_fx(spark, base).select(
         F.col("id").alias("query_id"), F.col("repo_owner").alias("owner"),
         F.col("repo_name").alias("repo"))
@@ -51,8 +53,8 @@ def _scoped_queries(spark, base):
 
 def _matches(spark, base, scoped=False, threshold=SEARCH_THRESHOLD):
     from ..operators.similarity import similar_issues
-    q = _scoped_queries(spark, base) if scoped else fx.query_vectors_fx(spark, base)
-    return similar_issues(fx.vectors_fx(spark, base), q, fx.issues_fx(spark, base),
+    q = _scoped_queries(spark, base) if scoped else fx.search_queries_fx(spark, base)
+    return similar_issues(fx.search_vectors_fx(spark, base), q, fx.issues_fx(spark, base),
                           k=SEARCH_K, threshold=threshold, scoped=scoped)
 
 
@@ -75,14 +77,14 @@ def q_match_lines(spark, base):
 @register("unmatched_queries")
 def q_unmatched_queries(spark, base):
     from ..operators.similarity import unmatched_queries
-    return unmatched_queries(fx.query_vectors_fx(spark, base).select("query_id"),
+    return unmatched_queries(fx.search_queries_fx(spark, base).select("query_id"),
                              _matches(spark, base, threshold=SERVICE_THRESHOLD))
 
 
 @register("search_activity")
 def q_search_activity(spark, base):
     from ..operators.similarity import search_activity
-    return search_activity(fx.query_vectors_fx(spark, base),
+    return search_activity(fx.search_queries_fx(spark, base),
                            _matches(spark, base, threshold=SERVICE_THRESHOLD))
 
 
@@ -389,9 +391,8 @@ def q_embed_bag(spark, base):
 
 @register("chunk_mean_pool")
 def q_chunk_mean_pool(spark, base):
-    from ..operators.embed import chunk_bag_weights, mean_pool
-    w = chunk_bag_weights(read_table(spark, base, "documents"), EMBED_DIM, fixed_point=True)
-    p = mean_pool(w, fixed_point=True)
+    from ..operators.embed import pooled_rows
+    p = pooled_rows(read_table(spark, base, "documents"), EMBED_DIM, fixed_point=True)
     return p.select(F.col("id").alias("doc_id"), F.col("bucket").cast("bigint").alias("bucket"), "value")
 
 
@@ -496,7 +497,9 @@ def q_vector_upsert(spark, base):
     target = fx.vectors_fx(spark, base)
     merged = merge_by_key(target.withColumn("origin", F.lit("target")),
                           new.withColumn("origin", F.lit("batch")), ["pk"])
-    return merged.select("pk", "origin", F.size("embeddings").cast("bigint").alias("dim"))
+    value = F.transform("embeddings", lambda x: F.floor(x.cast("double") * 1e4 + 0.5).cast("bigint"))
+    return merged.select("pk", "origin", F.size("embeddings").cast("bigint").alias("dim"),
+                         F.array_join(value, ",").alias("values"))
 
 
 # ---------------------------------------------------------------- prompts
@@ -504,7 +507,7 @@ def q_vector_upsert(spark, base):
 def q_prompts_rendered(spark, base):
     from ..operators.prompts import solution_prompt
     from ..operators.similarity import unmatched_queries
-    q = fx.query_vectors_fx(spark, base).select("query_id")
+    q = fx.search_queries_fx(spark, base).select("query_id")
     un = unmatched_queries(q, _matches(spark, base, threshold=SERVICE_THRESHOLD))
     body = fx.issues_fx(spark, base).select(F.col("id").alias("query_id"), "body")
     return un.join(body, "query_id").select("query_id", solution_prompt(F.col("body")).alias("prompt"))
@@ -531,12 +534,99 @@ def q_knn_l2_two_pass(spark, base):
     return hits.select("query_id", "pk", "distance", F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("ivf_kmeans")
-def q_ivf_kmeans(spark, base):
-    """IVF cells from Spark ML k-means (no SQL oracle: trained centroids)."""
-    from ..operators.ivf import assign_cells, kmeans_centroids
-    v = fx.vectors_fx(spark, base)
-    return assign_cells(v, kmeans_centroids(v, nlist=16)).select("pk", "cell", "radius")
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored_index(spark, base):
+    from ..operators.ivf import create_index
+    path = _scratch(spark, "ivf")
+    create_index(fx.vectors_fx(spark, base), path, nlist=16)
+    return path
+
+
+@register("ivf_index")
+def q_ivf_index(spark, base):
+    """A stored index (trained cells): its vectors, and those not in their nearest cell."""
+    from ..operators.ivf import misplaced
+    return misplaced(spark, _stored_index(spark, base))
+
+
+@register("knn_l2_index")
+def q_knn_l2_index(spark, base):
+    """Exact top-k from a stored index read back."""
+    from ..operators.ivf import search_index
+    hits = search_index(spark, _stored_index(spark, base), fx.query_vectors_fx(spark, base), KNN_K)
+    return hits.select("query_id", "pk", "distance", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("fetch_dead_letter")
+def q_fetch_dead_letter(spark, base):
+    """Open issues whose comment or reaction fetch failed, and what the others carry."""
+    from ..operators.ingest import attach_children
+    issues = fx.issues_fx(spark, base).where(F.col("state") == "open").select("id", "title")
+    com = fx.comments_fx(spark, base).select("issue_id", F.col("comment_id").alias("id"), "body")
+    rea = fx.raw_issues_fx(spark, base).select(F.col("id").alias("issue_id"), F.explode("reactions").alias("r")).select(
+        "issue_id", F.col("r.id").alias("id"), F.col("r.user.login").alias("user"), F.col("r.content").alias("content"),
+        F.col("r.created_at").alias("created_at"))
+    status = fx.issues_fx(spark, base).select(F.col("id").alias("issue_id"), (F.col("id") % 10 != 4).alias("comments_ok"),
+                                              (F.col("id") % 13 != 5).alias("reactions_ok"))
+    kept, dead = attach_children(issues, com, rea, status)
+
+    def rows(df, outcome):
+        return df.select("id", "title", F.lit(outcome).alias("outcome"), F.size("comments").cast("bigint").alias("n_comments"),
+                         F.size("reactions").cast("bigint").alias("n_reactions"))
+    return rows(kept, "kept").unionByName(rows(dead, "dead letter"))
+
+
+@register("landed_dead_letter")
+def q_landed_dead_letter(spark, base):
+    """Landed documents whose update time cannot be read."""
+    from ..operators.ingest import unparsed_rows
+    raw = fx.raw_issues_fx(spark, base)
+    raw = raw.withColumn("updated_at", F.when(F.col("id") % 17 == 3, "yesterday").when(
+        F.col("id") % 17 == 4, None).otherwise(F.col("updated_at")))
+    return unparsed_rows(raw).select("id", "updated_at")
+
+
+@register("child_endpoints")
+def q_child_endpoints(spark, base):
+    from ..functions.text import children_endpoint
+    i = fx.issues_fx(spark, base)
+    return i.select("id", *[children_endpoint("repo_owner", "repo_name", "issue_number", k).alias(k)
+                            for k in ("comments", "reactions")])
+
+
+@register("dq_suite_absent")
+def q_dq_suite_absent(spark, base):
+    """A suite that names columns the table does not have: those expectations fail."""
+    from ..operators.quality import dq_extract, run_suite
+    suite = [{"expectation_type": t, "kwargs": {"column": c}} for c in ("ID", "ASSIGNEE") for t in (
+        "expect_column_values_to_be_unique", "expect_column_values_to_not_be_null")]
+    return run_suite(dq_extract(fx.issues_fx(spark, base)), suite).select("expectation_type", "column", "success")
+
+
+@register("dq_csv_batch")
+def q_dq_csv_batch(spark, base):
+    """The suite over the newest of two CSV batches (the older one is empty)."""
+    from ..operators.quality import dq_extract, run_suite
+    from ..sources.files import read_latest_csv_batch, write_csv_extract
+    root = _scratch(spark, "extract")
+    ext = dq_extract(fx.issues_fx(spark, base))
+    write_csv_extract(ext.limit(0), f"{root}/20240101")
+    write_csv_extract(ext, f"{root}/20240102")
+    return run_suite(read_latest_csv_batch(spark, root, ext.schema)).select(
+        "expectation_type", "column", "success", "element_count", "unexpected_count")
+
+
+@register("chunk_token_ids")
+def q_chunk_token_ids(spark, base):
+    """Token-id chunks as a model takes them: (document, chunk, ids)."""
+    from ..operators.embed import build_vocabulary, chunk_token_ids, encode_tokens, token_rows
+    toks = token_rows(read_table(spark, base, "documents"))
+    c = chunk_token_ids(encode_tokens(toks, build_vocabulary(toks)))
+    return c.select(F.col("id").alias("doc_id"), F.col("chunk_no").cast("bigint").alias("chunk_no"),
+                    F.array_join("token_ids", " ").alias("token_ids"))
 
 
 @register("summary_prompts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle_fixtures import EVENT_TIER, EVENT_USER, ISSUES_FX, LOGS_FX, PAIR_DIST, USERS_FX, with_
+from .oracle_fixtures import EVENT_TIER, EVENT_USER, ISSUES_FX, LOGS_FX, PAIR_DIST, SEARCH_DIST, USERS_FX, with_
 
 ORACLE: dict[str, str] = {}
 
@@ -23,8 +23,8 @@ _MATCHES = """matches AS (
   FROM rescaled r JOIN issues_fx i ON r.pk = i.id
   WHERE i.state = 'closed' AND r.similarity > {t})"""
 
-_MATCHES_CTES = (ISSUES_FX, PAIR_DIST, _TOPK.format(k=999), _RESCALED, _MATCHES.format(t="30.0"))
-_SERVICE_CTES = (ISSUES_FX, PAIR_DIST, _TOPK.format(k=999), _RESCALED, _MATCHES.format(t="90.0"))
+_MATCHES_CTES = (ISSUES_FX, SEARCH_DIST, _TOPK.format(k=100), _RESCALED, _MATCHES.format(t="30.0"))
+_SERVICE_CTES = (ISSUES_FX, SEARCH_DIST, _TOPK.format(k=100), _RESCALED, _MATCHES.format(t="90.0"))
 
 ORACLE["knn_l2"] = with_(PAIR_DIST) + """
 SELECT query_id, pk, distance,
@@ -34,7 +34,7 @@ QUALIFY rank <= 100"""
 
 ORACLE["similar_issues"] = with_(*_MATCHES_CTES) + "SELECT * FROM matches"
 
-ORACLE["similar_issues_scoped"] = with_(ISSUES_FX, PAIR_DIST, _TOPK.format(k=999), _RESCALED) + """
+ORACLE["similar_issues_scoped"] = with_(ISSUES_FX, SEARCH_DIST, _TOPK.format(k=100), _RESCALED) + """
 SELECT r.query_id, i.id, i.title, r.similarity, i.issue_url AS url
 FROM rescaled r
 LEFT JOIN issues_fx q ON q.id = r.query_id
@@ -474,10 +474,19 @@ _REEMBED = """reembed AS (SELECT doc_id AS id FROM documents WHERE doc_id IN (SE
 ORACLE["vectors_existing"] = with_(_REEMBED) + """
 SELECT vec_id AS pk FROM embeddings WHERE vec_id IN (SELECT id FROM reembed)"""
 
-ORACLE["vector_upsert"] = with_(_REEMBED) + """
-SELECT vec_id AS pk, 'target' AS origin, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings
-WHERE vec_id NOT IN (SELECT id FROM reembed)
-UNION ALL SELECT id AS pk, 'batch' AS origin, CAST(64 AS BIGINT) AS dim FROM reembed"""
+ORACLE["vector_upsert"] = with_(_REEMBED, _TOKS, _BAG) + """,
+fweights AS (SELECT doc_id, chunk_no, n_chunks, bucket, count(*) / n_tokens::DOUBLE AS w
+             FROM bag GROUP BY doc_id, chunk_no, n_tokens, n_chunks, bucket),
+fpooled AS (SELECT doc_id, bucket, CAST(sum(w) / any_value(n_chunks) AS FLOAT) AS v FROM fweights GROUP BY doc_id, bucket),
+vec AS (SELECT id, list(coalesce(v, 0::FLOAT) ORDER BY g.b) AS v
+        FROM reembed CROSS JOIN (SELECT unnest(range(0, 64)) AS b) g
+        LEFT JOIN fpooled f ON f.doc_id = id AND f.bucket = g.b GROUP BY id),
+merged AS (
+  SELECT vec_id AS pk, 'target' AS origin, embedding AS v FROM embeddings WHERE vec_id NOT IN (SELECT id FROM reembed)
+  UNION ALL SELECT id, 'batch', v FROM vec)
+SELECT pk, origin, CAST(len(v) AS BIGINT) AS dim,
+  array_to_string(list_transform(v, lambda x: CAST(floor(x::DOUBLE * 1e4 + 0.5) AS BIGINT)), ',') AS values
+FROM merged"""
 
 # ---------------------------------------------------------------- prompts
 ORACLE["prompts_rendered"] = with_(*_SERVICE_CTES) + """
@@ -494,3 +503,37 @@ ORACLE["summary_prompts"] = with_(ISSUES_FX) + """
 SELECT id,
   'Please analyze the following GitHub issue body and provide a detailed summary of the problem. Please note that we are only looking for a summary and not a solution or any additional information. Thank you. ONLY SUMMARY.' || chr(10) || chr(10) || 'Issue Body: ' || coalesce(body, '') || chr(10) || chr(10) AS prompt
 FROM issues_fx WHERE state = 'open'"""
+
+
+# ------------------------------------------------ stored index, dead letters
+ORACLE["knn_l2_index"] = ORACLE["knn_l2"]
+ORACLE["ivf_index"] = "SELECT count(*) AS n_vectors, CAST(0 AS BIGINT) AS n_misplaced FROM embeddings"
+
+ORACLE["fetch_dead_letter"] = with_(ISSUES_FX) + """,
+c AS (SELECT conv_id AS id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT i.id, i.title, CASE WHEN i.id % 10 = 4 OR i.id % 13 = 5 THEN 'dead letter' ELSE 'kept' END AS outcome,
+  coalesce(c.n, 0) AS n_comments, CASE WHEN i.id % 7 = 3 THEN 0 ELSE i.id % 3 END AS n_reactions
+FROM issues_fx i LEFT JOIN c USING (id) WHERE i.state = 'open'"""
+
+ORACLE["landed_dead_letter"] = """
+SELECT doc_id AS id, CASE WHEN doc_id % 17 = 3 THEN 'yesterday' END AS updated_at
+FROM documents WHERE doc_id % 17 IN (3, 4)"""
+
+ORACLE["child_endpoints"] = "SELECT doc_id AS id, " + ", ".join(
+    f"'https://api.github.com/repos/' || source || '/' || lang || '/issues/' || CAST(doc_id AS VARCHAR) || '/{k}' AS {k}"
+    for k in ("comments", "reactions")) + " FROM documents"
+
+ORACLE["dq_suite_absent"] = """
+SELECT 'expect_column_values_to_be_unique' AS expectation_type, 'ID' AS "column",
+  count(*) = count(DISTINCT doc_id) AS success FROM documents
+UNION ALL SELECT 'expect_column_values_to_not_be_null', 'ID', count(*) = count(doc_id) FROM documents
+UNION ALL SELECT 'expect_column_values_to_be_unique', 'ASSIGNEE', false
+UNION ALL SELECT 'expect_column_values_to_not_be_null', 'ASSIGNEE', false"""
+
+ORACLE["dq_csv_batch"] = "SELECT expectation_type, \"column\", success, element_count, unexpected_count FROM (" + \
+    ORACLE["dq_suite"] + ")"
+
+ORACLE["chunk_token_ids"] = with_(_TOKS) + """,
+vocab AS (SELECT token, dense_rank() OVER (ORDER BY token) AS token_id FROM (SELECT DISTINCT token FROM tok_rows))
+SELECT r.doc_id, r.pos // 512 AS chunk_no, string_agg(CAST(v.token_id AS VARCHAR), ' ' ORDER BY r.pos) AS token_ids
+FROM tok_rows r JOIN vocab v USING (token) GROUP BY r.doc_id, r.pos // 512"""

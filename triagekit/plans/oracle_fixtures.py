@@ -39,6 +39,19 @@ PAIR_DIST = """pair_dist AS (
       lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance
   FROM embeddings q, embeddings v)"""
 
+# The same for the search fixture: queries outside the corpus, a near variant of each vector.
+SEARCH_DIST = """corpus AS (
+  SELECT vec_id * 2 AS pk, embedding AS v FROM embeddings
+  UNION ALL SELECT vec_id * 2 + 1, list_transform(embedding, lambda x: x::FLOAT * 1.125::FLOAT) FROM embeddings),
+batch AS (
+  SELECT vec_id AS query_id, CASE WHEN vec_id % 4 = 0 THEN list_reverse(embedding)
+    ELSE list_transform(embedding, lambda x: x::FLOAT * 1.0625::FLOAT) END AS e
+  FROM embeddings),
+pair_dist AS (
+  SELECT q.query_id, c.pk, list_sum(list_transform(list_zip(q.e, c.v),
+      lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance
+  FROM batch q, corpus c)"""
+
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"

@@ -87,6 +87,25 @@ def query_vectors_fx(spark: SparkSession, base: str) -> DataFrame:
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("embedding"))
 
 
+def search_vectors_fx(spark: SparkSession, base: str) -> DataFrame:
+    """Search corpus: each stored vector under an even id and, under the next odd id, a
+    near variant of it (scaled, exact in single precision)."""
+    e = read_table(spark, base, "embeddings")
+    scaled = F.transform("embedding", lambda x: x * F.lit(1.125).cast("float"))
+    return e.select(F.explode(F.array(
+        F.struct((F.col("vec_id") * 2).alias("pk"), F.col("embedding").alias("embeddings")),
+        F.struct((F.col("vec_id") * 2 + 1).alias("pk"), scaled.alias("embeddings")))).alias("v")).select("v.*")
+
+
+def search_queries_fx(spark: SparkSession, base: str) -> DataFrame:
+    """Search batch: vectors that are in no corpus, between a vector and its variant;
+    every fourth is a vector read backwards, near to none."""
+    between = F.transform("embedding", lambda x: x * F.lit(1.0625).cast("float"))
+    return read_table(spark, base, "embeddings").select(
+        F.col("vec_id").alias("query_id"),
+        F.when(F.col("vec_id") % 4 == 0, F.reverse("embedding")).otherwise(between).alias("embedding"))
+
+
 def comments_fx(spark: SparkSession, base: str) -> DataFrame:
     """Issue comments over ``conversations`` (issue id, comment id, body)."""
     return read_table(spark, base, "conversations").select(
