@@ -35,8 +35,8 @@ def test_stream_ingest_equals_batch(spark, tmp_dir):
     root, ck = os.path.join(tmp_dir, "issues"), os.path.join(tmp_dir, "ck")
     q = jobs.stream_ingest(spark, landed, root, ck)
     q.awaitTermination()
-    latest = jobs._latest_snapshot(spark, root)
-    got = spark.read.parquet(latest)
+    latest = jobs.latest_version(spark, root)
+    got = jobs.read_snapshot(spark, root)
     want = flatten_issues(raw)
     assert got.columns == want.columns  # all 15 columns, comments map and reactions kept
     key = lambda r: r["id"]
@@ -44,7 +44,7 @@ def test_stream_ingest_equals_batch(spark, tmp_dir):
     # replaying the same files is a no-op: no new snapshot
     q2 = jobs.stream_ingest(spark, landed, root, ck)
     q2.awaitTermination()
-    assert jobs._latest_snapshot(spark, root) == latest
+    assert jobs.latest_version(spark, root) == latest
 
 
 def test_stream_ingest_keeps_newer_rows(spark, tmp_dir):
@@ -58,7 +58,7 @@ def test_stream_ingest_keeps_newer_rows(spark, tmp_dir):
     jobs.stream_ingest(spark, src, root, ck).awaitTermination()
     raw.write.json(os.path.join(landed, "b2"))  # stale versions arrive later
     jobs.stream_ingest(spark, src, root, ck).awaitTermination()
-    got = spark.read.parquet(jobs._latest_snapshot(spark, root))
+    got = jobs.read_snapshot(spark, root)
     assert got.count() == raw.count()
     assert {r["title"] for r in got.select("title").distinct().collect()} == {"new"}
 
@@ -108,8 +108,25 @@ def test_stream_ingest_maintains_marks(spark, tmp_dir):
     jobs.stream_ingest(spark, src, root, ck).awaitTermination()
     raw.where("id >= 100").write.json(os.path.join(landed, "b2"))
     jobs.stream_ingest(spark, src, root, ck).awaitTermination()
-    snap = spark.read.parquet(jobs._latest_snapshot(spark, root))
-    marks = spark.read.parquet(jobs._latest_snapshot(spark, os.path.join(root, "_marks")))
+    snap = jobs.read_snapshot(spark, root)
+    marks = jobs.read_marks(spark, root)
     from triagekit.operators.issues import high_water
     assert snap.count() == raw.count()
     assert sorted(tuple(r) for r in marks.collect()) == sorted(tuple(r) for r in high_water(snap).collect())
+
+
+def test_stream_upsert_rewrites_touched_buckets_only(spark, tmp_dir):
+    raw = fx.raw_issues_fx(spark, SF_SMALL)
+    root = os.path.join(tmp_dir, "issues")
+    run = jobs.upsert_batch_into_snapshots(root)
+    run(raw, 0)
+    before = jobs._manifest(spark, root, jobs.latest_version(spark, root))
+    later = raw.where("id in (3, 8)").withColumn("updated_at", F.lit("2030-01-01T00:00:00Z")).withColumn("title", F.lit("new"))
+    run(later, 1)
+    after = jobs._manifest(spark, root, jobs.latest_version(spark, root))
+    touched = {r[0] for r in spark.sql("select pmod(xxhash64(id), 64) from values (3L), (8L) t(id)").collect()}
+    assert {b for b in after if after[b] != before.get(b)} == touched
+    snap = {r["id"]: r["title"] for r in jobs.read_snapshot(spark, root).collect()}
+    assert snap[3] == snap[8] == "new" and len(snap) == raw.count()
+    run(later, 1)  # replay: nothing changes
+    assert jobs._manifest(spark, root, jobs.latest_version(spark, root)) == after

@@ -40,9 +40,10 @@ def merge_by_key(target: DataFrame, batch: DataFrame, key: list[str],
     if order:
         batch = dedupe_last_wins(batch, key, order)
     else:
-        rest = [c for c in batch.columns if c not in key]
-        picked = batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row"))
-        batch = picked.select(*key, *[F.col("_row")[c].alias(c) for c in rest])
+        # (Maps have no order; rows that differ in maps only are alike here.)
+        rest = [f.name for f in batch.schema.fields
+                if f.name not in key and "map<" not in f.dataType.simpleString()]
+        batch = dedupe_last_wins(batch, key, rest or key)
     batch = cut_lineage(batch.select(*target.columns))
     # Batch keys proven small are broadcast, so the target is never shuffled.
     kept = target.join(maybe_broadcast(batch.select(*key)), key, "left_anti")

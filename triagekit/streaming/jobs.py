@@ -1,7 +1,7 @@
 """Structured Streaming forms of the scheduled jobs.
 
-T1  incremental issue ingest: landed JSON pages → flatten → upsert, one new
-    table snapshot per micro-batch (foreachBatch, idempotent per epoch).
+T1  incremental issue ingest: landed JSON pages → flatten → upsert into the hash
+    buckets a micro-batch touches (foreachBatch, idempotent per epoch).
 T2  requests per user and day: event-time windows with a watermark.
 T3  quota metering: per-user state (period, balance) in
     ``applyInPandasWithState``; inside a micro-batch the clipped running
@@ -10,7 +10,6 @@ T3  quota metering: per-user state (period, balance) in
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,67 +19,120 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.ingest import flatten_issues, select_incremental
 from ..operators.issues import high_water, merge_high_water
-from ..operators.upsert import merge_by_key
+from ..operators.upsert import dedupe_last_wins, merge_by_key
 from ..operators.quota import TIER_ALLOWANCE
 from ..schemas import RAW_ISSUE
 from ..session import cut_lineage, ship_package
 
 
 # ----------------------------------------------------------------- T1
-def _latest_snapshot(spark: SparkSession, root: str) -> str | None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    versions = sorted(st.getPath().getName() for st in fs.listStatus(path)
-                      if st.isDirectory() and st.getPath().getName().startswith("v"))
-    return f"{root.rstrip('/')}/{versions[-1]}" if versions else None
+#: Hash buckets of a stream-maintained table; a micro-batch rewrites those it touches.
+BUCKETS = 64
 
 
-def _snapshot_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(
-        jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def upsert_batch_into_snapshots(root: str, initial: DataFrame | None = None):
-    """foreachBatch body: merge the micro-batch into the newest snapshot.
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """Complete versions in a folder, oldest first."""
+    fs, path = _fs(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = sorted(st.getPath().getName() for st in fs.listStatus(path)
+                   if st.isDirectory() and st.getPath().getName().startswith("v"))
+    return [n for n in names if fs.exists(_fs(spark, f"{folder}/{n}/_SUCCESS")[1])]
 
-    Snapshot ``v{epoch}`` is written once; a replayed epoch finds it
-    complete and does nothing, so the sink is idempotent.  Per-repo
-    high-water marks are kept beside it (``_marks/v{epoch}``) and rolled
-    forward from each batch's fresh rows.
-    """
 
-    marks_root = f"{root.rstrip('/')}/_marks"
+def latest_version(spark: SparkSession, root: str) -> str | None:
+    """Newest committed version of the table; its manifest is the commit."""
+    found = _versions(spark, f"{root.rstrip('/')}/manifest")
+    return found[-1] if found else None
+
+
+def _manifest(spark: SparkSession, root: str, version: str | None) -> dict[int, str]:
+    """Bucket -> version that holds it: at most ``BUCKETS`` rows."""
+    if version is None:
+        return {}
+    rows = spark.read.parquet(f"{root.rstrip('/')}/manifest/{version}").collect()
+    return {r["bucket"]: r["version"] for r in rows}
+
+
+def read_snapshot(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """The committed table (or some of its buckets); None if there is nothing yet."""
+    m = _manifest(spark, root, latest_version(spark, root))
+    paths = [f"{root.rstrip('/')}/data/{v}/bucket={b}" for b, v in sorted(m.items())
+             if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def read_marks(spark: SparkSession, root: str) -> DataFrame | None:
+    version = latest_version(spark, root)
+    return spark.read.parquet(f"{root.rstrip('/')}/marks/{version}") if version else None
+
+
+def prune_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Delete what none of the newest ``keep`` manifests refers to."""
+    root = root.rstrip("/")
+    kept = _versions(spark, f"{root}/manifest")[-keep:]
+    used = {v for k in kept for v in _manifest(spark, root, k).values()}
+    for folder, live in (("data", used), ("marks", set(kept)), ("manifest", set(kept))):
+        fs, path = _fs(spark, f"{root}/{folder}")
+        if not fs.exists(path):
+            continue
+        for st in fs.listStatus(path):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("v") and name not in live and kept and name < kept[-1]:
+                fs.delete(st.getPath(), True)
+
+
+def upsert_batch_into_snapshots(root: str, initial: DataFrame | None = None, buckets: int = BUCKETS):
+    """foreachBatch body: merge the micro-batch into the buckets its ids fall in.
+
+    A version ``v{epoch}`` writes the touched buckets, the per-repo high-water marks and,
+    last, the manifest that names the version of every bucket; a replayed epoch finds its
+    manifest and does nothing, so the sink is idempotent.  Buckets without fresh rows are
+    neither read nor written, and marks roll forward from the fresh rows alone.
+    """
+    root = root.rstrip("/")
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         name = f"v{epoch_id + 1:09d}"
-        out, marks_out = f"{root.rstrip('/')}/{name}", f"{marks_root}/{name}"
-        if _snapshot_exists(spark, out):
-            if not _snapshot_exists(spark, marks_out):  # crashed between the two writes
-                high_water(spark.read.parquet(out)).write.mode("overwrite").parquet(marks_out)
+        if name in _versions(spark, f"{root}/manifest"):
+            return
+        last = latest_version(spark, root)
+        known = _manifest(spark, root, last)
+        marks = read_marks(spark, root)
+        if last is None and initial is not None:
+            marks = cut_lineage(high_water(initial))
+        flat = flatten_issues(batch)
+        columns = initial.columns if initial is not None else flat.columns
+        fresh = select_incremental(None, flat.select(*columns), marks if marks is not None else
+                                   high_water(flat.limit(0)))
+        tie = F.xxhash64(*[F.col(c).cast("string") for c in ("title", "body", "state") if c in columns])
+        fresh = cut_lineage(dedupe_last_wins(fresh.withColumn("_tie", tie), ["id"], ["updated_at", "_tie"]).drop("_tie"))
+        bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+        # At most ``buckets`` numbers.
+        touched = [r[0] for r in fresh.select(bucket).distinct().collect()]
+        if last is None and initial is not None:
+            current, touched = initial, list(range(buckets))
+        else:
+            current = read_snapshot(spark, root, touched) if touched else None
+        if not touched:
             return
-        latest = _latest_snapshot(spark, root)
-        current = spark.read.parquet(latest) if latest else initial
-        if current is None:  # first batch: an empty table with the flat schema
-            current = flatten_issues(batch).limit(0)
-        latest_marks = _latest_snapshot(spark, marks_root)
-        if latest_marks:
-            marks = spark.read.parquet(latest_marks)
-        elif latest or initial is not None:  # existing table without marks: compute once
-            marks = cut_lineage(high_water(current))
-        else:  # empty table: every landed row is new
-            marks = None
-        # Rows newer than their repo's mark, merged; marks roll forward from
-        # the fresh rows only, so no micro-batch scans the whole table.
-        flat = flatten_issues(batch).select(*current.columns)
-        fresh = cut_lineage(select_incremental(current, flat, marks))
-        merge_by_key(current, fresh, ["id"], order=["updated_at"]).write.mode("overwrite").parquet(out)
-        merge_high_water(marks, fresh).write.mode("overwrite").parquet(marks_out)
+        merged = fresh if current is None else merge_by_key(current.select(*columns), fresh, ["id"])
+        (merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite")
+         .partitionBy("bucket").parquet(f"{root}/data/{name}"))
+        merge_high_water(marks, fresh).write.mode("overwrite").parquet(f"{root}/marks/{name}")
+        fs, _ = _fs(spark, root)
+        written = [b for b in touched if fs.exists(_fs(spark, f"{root}/data/{name}/bucket={b}")[1])]
+        rows = sorted({**known, **{b: name for b in written}}.items())
+        spark.createDataFrame(rows, "bucket int, version string").coalesce(1).write.mode("overwrite").parquet(
+            f"{root}/manifest/{name}")
+        prune_versions(spark, root)
 
     return run
 
