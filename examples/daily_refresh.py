@@ -53,4 +53,4 @@ def refresh(spark, issues_dir: str, landed_dir: str, vectors_dir: str, out: str)
 if __name__ == "__main__":
     issues_dir, landed_dir, vectors_dir, out_dir = sys.argv[1:5]
     run = sys.argv[5] if len(sys.argv) > 5 else "run"
-    print(refresh(get_session(), issues_dir, landed_dir, vectors_dir, f"{out_dir}/{run}"))
+    print(refresh(get_session(inputs=[issues_dir, landed_dir, vectors_dir]), issues_dir, landed_dir, vectors_dir, f"{out_dir}/{run}"))

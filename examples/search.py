@@ -42,4 +42,4 @@ def search(spark, issues_dir: str, vectors_dir: str, queries_dir: str, out: str,
 
 
 if __name__ == "__main__":
-    print(search(get_session(), *sys.argv[1:5]))
+    print(search(get_session(inputs=sys.argv[1:4]), *sys.argv[1:5]))

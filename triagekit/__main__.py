@@ -20,7 +20,7 @@ def main(argv: list[str]) -> int:
     key, tables = argv[0], argv[1]
     rest = [a for a in argv[2:] if not a.startswith("--")]
     from .session import get_session
-    spark = get_session()
+    spark = get_session(inputs=[tables])
     df = REGISTRY[key](spark, tables)
     if "--explain" in argv:
         df.explain("formatted")

@@ -23,23 +23,44 @@ BASE_CONF = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app_name: str = "triagekit", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the engine's required settings."""
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
+                app_name: str = "triagekit", extra: dict | None = None,
+                inputs: list[str] | None = None) -> SparkSession:
+    """Build (or reuse) a session with the engine's required settings.
+
+    ``inputs`` are the paths the job reads: scan splits, shuffle partitions and skew
+    thresholds then follow their size and the cluster's cores (:func:`scale_conf`).
+    Without them, and without ``shuffle_partitions``, Spark's own default stays.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     apply_conf(spark)
+    if inputs:
+        for k, v in scale_conf(stored_bytes(spark, inputs), spark.sparkContext.defaultParallelism).items():
+            spark.conf.set(k, v)
     return spark
 
 
+def stored_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes stored under the paths, by the file system's own summary."""
+    jvm, total = spark.sparkContext._jvm, 0
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            total += fs.getContentSummary(p).getLength()
+    return total
+
+
 _SHIPPED: set[str] = set()
 
 
