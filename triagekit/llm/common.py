@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 #: Bytes of text that one round of array work holds; a longer text is a round of its own.
-ROUND_BYTES = 4 << 20
+ROUND_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -139,7 +139,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix64(total)
 
 
-def bound_batches(spark, rows: int = 4000, size: int = 32 << 20) -> None:
+def bound_batches(spark, rows: int = 2000, size: int = 16 << 20) -> None:
     """Bound the Arrow batches that tasks exchange with Python, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -204,7 +204,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
 
 def _search_all(docs: DataFrame, benchmark: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 4000, 2 * SHARD_BYTES)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("__text"),
                     F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<string>").alias("__items"),
                     F.array().cast(_SPANS).alias("__spans"))

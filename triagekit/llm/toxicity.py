@@ -19,9 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,7 +133,7 @@ def features(flat: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words (kind 0) and stems (kind 1) of every sampled text, by hash."""
     for batch in batches:
-        for rows, flat, offsets in rounds(batch, "text"):
+        for rows, flat, offsets in rounds(batch, "text", 1 << 20):
             folded = FOLD[flat]
             starts, ends, first = word_spans(flat, offsets, _GAP)
             words, stems = span_hashes(folded, starts, ends), _stem_hashes(folded, starts, ends)
@@ -154,7 +151,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score_rows(lexicon: Lexicon, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, flat, offsets in rounds(batch, "text"):
+            for rows, flat, offsets in rounds(batch, "text", 1 << 20):
                 x = features(flat, offsets, lexicon)
                 border = np.arange(0, x.size + 1, FEATURES)
                 yield pa.RecordBatch.from_arrays(
@@ -217,7 +214,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     both classes every score is the share of toxic labels (0 if none).  Only text
     reaches the features.
     """
-    bound_batches(docs.sparkSession)
+    # Here, not above: the tasks' Python workers have no use for these modules.
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
+    bound_batches(docs.sparkSession, 1000, 8 << 20)
     sample = training_sample(docs, labels)
     lexicon = learn_lexicon(sample)
     d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
