@@ -648,3 +648,11 @@ def test_knn_in_query_blocks(spark):
     q = v.limit(30).selectExpr("pk as query_id", "embeddings as embedding")
     want = sorted(knn.knn_l2(v, q, 5).collect())
     assert sorted(knn.knn_l2(v, q, 5, max_heap_bytes=16 * 5 * 7).select("query_id", "pk", "distance", "rank").collect()) == want
+
+
+def test_publish_reports_under_relative_paths(spark, tmp_dir):
+    from triagekit.sources.files import publish_reports
+    one = spark.createDataFrame([(1, "a")], "id int, v string")
+    paths = publish_reports({"suite/2024/result.json": one, "summary.json": one.limit(0)}, f"{tmp_dir}/site")
+    assert [p.removeprefix(f"{tmp_dir}/site/") for p in paths] == ["suite/2024/result.json", "summary.json"]
+    assert spark.read.schema("id int, v string").json(paths[0]).collect() == one.collect()

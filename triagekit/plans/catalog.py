@@ -285,9 +285,13 @@ def q_repo_register(spark, base):
 @register("issue_lookup")
 def q_issue_lookup(spark, base):
     from ..operators.issues import lookup_closed
-    lookups = read_table(spark, base, "labels").select(
-        F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("owner"),
-        F.lit(None).cast("string").alias("repo"))
+    # Scoped to the right owner and repository, to the right and the wrong owner, to the
+    # empty name (no scope), and not at all.
+    m = F.col("id") % 5
+    scope = fx.issues_fx(spark, base).select("id", "repo_owner", "repo_name")
+    lookups = read_table(spark, base, "labels").select(F.col("doc_id").alias("id")).join(scope, "id", "left").select(
+        "id", F.when(m <= 1, F.col("repo_owner")).when(m == 2, "nobody").when(m == 3, "").alias("owner"),
+        F.when(m == 0, F.col("repo_name")).when(m == 3, "").alias("repo"))
     return lookup_closed(fx.issues_fx(spark, base), lookups).select("id", "issue_url", "title")
 
 

@@ -57,6 +57,14 @@ def publish_json(df: DataFrame, target: str) -> None:
     df.write.mode("overwrite").json(target)
 
 
+def publish_reports(reports: dict[str, DataFrame], target: str) -> list[str]:
+    """Publish every report under its relative path below ``target``; returns the paths."""
+    paths = [f"{target.rstrip('/')}/{name.strip('/')}" for name in sorted(reports)]
+    for path, name in zip(paths, sorted(reports), strict=True):
+        publish_json(reports[name], path)
+    return paths
+
+
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Create an empty Parquet table with ``schema`` if absent; return the table."""
     fs, p = _fs(spark, path)
