@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagekit.llm import decontamination, mixing, near_dedup, quality_rules, sharding
+from triagekit.llm.common import drop_scratch, scratch_tables
 from triagekit.session import checkpoint_dir
 from triagekit.sources.tables import read_table
 
@@ -69,6 +70,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
+        others = scratch_tables(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_scratch(spark, keep=others)  # the stage's own, as its result is written
     return docs

@@ -7,6 +7,7 @@ from fixtures import DOC, contamination, edge_docs, near_components, sentence, w
 
 import corpus_pipeline  # noqa: E402
 from triagekit.llm import quality_rules  # noqa: E402
+from triagekit.llm.common import scratch_tables  # noqa: E402
 
 
 def _tables(spark, docs, items) -> str:
@@ -61,5 +62,8 @@ def test_stages_with_edges_and_empty_tables(spark):
             out = stage(spark, docs, base)  # each stage on the awkward rows themselves
             assert name == "sharding" or out.columns == docs.columns
             out.count()
+        before = scratch_tables(spark)
         d = corpus_pipeline.run(spark, base)
+        assert scratch_tables(spark) == before  # only its own scratch is gone
+        d.count()
         assert set(d.columns) >= {*docs.columns, "shard", "slot"}

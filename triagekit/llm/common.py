@@ -35,9 +35,34 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/triagekit-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Scratch tables written, by application.
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def scratch_tables(spark) -> list[str]:
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark, keep: list[str] = ()) -> int:
+    """Delete the scratch tables of this application but those in ``keep`` (as
+    :func:`scratch_tables` gave them before a job); for when that job's result is written.
+
+    Frames that read them are of no use afterwards.  Returns the number of tables.
+    """
+    app = spark.sparkContext.applicationId
+    paths = [p for p in scratch_tables(spark) if p not in keep]
+    _SCRATCH[app] = [p for p in scratch_tables(spark) if p in keep]
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def flat_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
