@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 #: Bytes of text that one round of array work holds; a longer text is a round of its own.
-ROUND_BYTES = 2 << 20
+ROUND_BYTES = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -31,7 +31,7 @@ from .fmindex import FMIndex
 
 WINDOW = 10
 #: Text of one shard (a longer text is a shard of its own) and of one block of items.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
 # Word bytes after folding A-Z: 0-9, a-z and everything beyond ASCII; others separate.
 _WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A

@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,19 +116,21 @@ def _distance_cell() -> Column:
     return F.round(F.log2(F.col("d") + 1e-6) * OCTAVE).cast("int")
 
 
-def _precision(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _precision(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Moments of each group's subset -> centre and inverse scatter (with the floors)."""
-    for f in frames:
-        if not len(f):
+    for f in batches:
+        if not f.num_rows:
             continue
-        n = f["n"].to_numpy(float)[:, None]
-        m = np.stack(f["s"].to_list()) / n
-        second = np.empty((len(f), DIMS, DIMS))
+        n = f.column("n").to_numpy().astype(float)[:, None]
+        m = np.array(f.column("s").to_pylist()) / n
+        moments = np.array(f.column("ss").to_pylist()) / n
+        second = np.empty((f.num_rows, DIMS, DIMS))
         for k, (i, j) in enumerate(PAIRS):
-            second[:, i, j] = second[:, j, i] = np.stack(f["ss"].to_list())[:, k] / n[:, 0]
+            second[:, i, j] = second[:, j, i] = moments[:, k]
         cov = second - m[:, :, None] * m[:, None, :] + np.diag(np.square(FLOOR))
         p = np.linalg.inv(cov).reshape(-1, DIMS * DIMS)
-        yield pd.DataFrame({"grp": f["grp"], "center": list(m), "precision": list(p)})
+        yield pa.RecordBatch.from_arrays([f.column("grp"), pa.array(m.tolist(), pa.list_(pa.float64())),
+                                          pa.array(p.tolist(), pa.list_(pa.float64()))], ["grp", "center", "precision"])
 
 
 def _groups() -> list[Column]:
@@ -171,7 +172,7 @@ def robust_estimates(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFram
         sums = inner.groupBy("grp").agg(
             F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(DIMS)]).alias("s"),
             F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]).alias("ss"))
-        est = shared_table(sums.mapInPandas(_precision, "grp string, center array<double>, precision array<double>"),
+        est = shared_table(sums.mapInArrow(_precision, "grp string, center array<double>, precision array<double>"),
                            "mcd")
 
 
