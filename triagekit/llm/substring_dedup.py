@@ -36,8 +36,10 @@ from .fmindex import long_prefix, suffix_array
 LENGTH = 400
 SEED_LENGTH = 128
 MAX_GROUP = 20_000
+#: Bytes of one round of window hashes (about 150 bytes of arrays per byte of text).
+ROUND = 1 << 20
 #: Run texts of one transform.
-TASK_BYTES = 2 << 20
+TASK_BYTES = 1 << 20
 
 
 def _minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -95,7 +97,7 @@ def text_key(text: Column) -> list[Column]:
 def _runs(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, flat, offsets in rounds(batch, "text"):
+            for rows, flat, offsets in rounds(batch, "text", ROUND):
                 owner, p0, count, low, body, again = text_runs(flat, offsets, length, seed)
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
@@ -108,7 +110,7 @@ def _runs(length: int, seed: int):
 def _slices(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, flat, offsets in rounds(batch, "text"):
+            for rows, flat, offsets in rounds(batch, "text", ROUND):
                 data = flat.tobytes()
                 low, body, piece = [], [], []
                 for i, pieces in enumerate(rows.column("pieces").to_pylist()):
@@ -176,7 +178,7 @@ def _expand(length: int, task_bytes: int):
 def _window_hashes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, flat, offsets in rounds(batch, "piece"):
+            for rows, flat, offsets in rounds(batch, "piece", ROUND):
                 n = np.diff(offsets) - length + 1
                 owner = np.repeat(np.arange(len(n)), n)
                 b = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -257,7 +259,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, flat, offsets in rounds(batch, "text"):
+        for rows, flat, offsets in rounds(batch, "text", ROUND):
             data = flat.tobytes()
             removed, count, sha = [], [], []
             for i, s in enumerate(rows.column("spans").to_pylist()):
