@@ -160,7 +160,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     Returns the files: part, seq, n_ids, data.  Null ids come first; rows of one id
     are ordered by a hash of their text; a null or empty text is its end id alone.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 4000, 8 * IMAGE_BYTES)  # several whole images a batch
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
     d = d.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(
