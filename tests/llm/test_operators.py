@@ -182,6 +182,26 @@ def test_near_dedup_family_brute_force(spark, monkeypatch):
     assert got == near_components(docs)
 
 
+def test_near_dedup_stage_threshold(spark):
+    """The stage keeps one of each group from 0.8 up; op3 links from 0.85 up."""
+    rng = random.Random(12)
+    docs = []
+    for i in range(0, 60, 2):  # pairs that differ in one to three words: 0.73 to 0.95
+        w = sentence(rng, 100, 5000).split()
+        docs.append((i, " ".join(w)))
+        for k in range(1 + i // 2 % 3):
+            w[10 + 20 * k] = f"e{i}"
+        docs.append((i + 1, " ".join(w)))
+    sets = [shingles(t) for _, t in docs]
+    alike = [100 * len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert any(80 <= x < 85 for x in alike) and any(x < 80 for x in alike) and any(x >= 85 for x in alike)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r.doc_id for r in near_dedup.keep_one(d).collect()}
+    assert kept == {2 * i + j for i, x in enumerate(alike) for j in (0, 1) if not (j and x >= 80)}
+    strict = {r.doc_id for r in near_dedup.near_duplicate_digest(d).collect() if r.kept}
+    assert strict == {2 * i + j for i, x in enumerate(alike) for j in (0, 1) if not (j and x >= 85)}
+
+
 # ------------------------------------------------------------------ 4
 def _targets(sizes: dict) -> dict:
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)

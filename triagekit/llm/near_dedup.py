@@ -12,9 +12,10 @@ pairs of a bucket:
    task leaves out pairs that are already connected.
 
 After that every candidate pair is either connected or was compared, so the components
-are those of all confirmed candidate pairs.  With 24 bands of 5 slots a pair at the
-threshold shares no band with probability 8e-7 (less above it).  Sets are named by 64
-bits; two of a billion different sets share a name with probability 0.03.
+are those of all confirmed candidate pairs.  op3 links from 0.85 up: with 24 bands of 5
+slots a pair at the threshold shares no band with probability 8e-7 (less above it).  The
+pipeline's stage links from 0.8 up, with 40 bands: 1.3e-7.  Sets are named by 64 bits;
+two of a billion different sets share a name with probability 0.03.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .superminhash import signatures
 WIDTH = 5
 PERCENT = 85
 BANDS, ROWS = 24, 5
+#: The pipeline's stage: a similarity of 0.8 or more.
+STAGE_PERCENT, STAGE_BANDS = 80, 40
 #: Members of one block of a bucket in the second round.
 BLOCK = 256
 
@@ -67,22 +70,24 @@ def set_names(elements: np.ndarray, border: np.ndarray) -> np.ndarray:
     return mix64(total[border[1:]] - total[border[:-1]] + np.diff(border).astype(np.uint64))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, flat, offsets in rounds(batch, "text"):
-            elements, border = shingle_sets(flat, offsets)
-            sig = signatures(elements, border, BANDS * ROWS).astype(np.uint64).reshape(-1, BANDS, ROWS)
-            key = np.tile(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(sig), 1))
-            for j in range(ROWS):
-                key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, j])
-            keep = np.diff(border) > 0
-            key = key[keep]
-            at = np.concatenate([[0], np.cumsum(np.where(keep, BANDS, 0))])
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(np.diff(border)),
-                 pa.array(set_names(elements, border).view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key.reshape(-1).view(np.int64)))],
-                names=["doc_id", "n_shingles", "set_id", "bands"])
+def _sketch(bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, flat, offsets in rounds(batch, "text"):
+                elements, border = shingle_sets(flat, offsets)
+                sig = signatures(elements, border, bands * ROWS).astype(np.uint64).reshape(-1, bands, ROWS)
+                key = np.tile(mix64(np.arange(1, bands + 1, dtype=np.uint64)), (len(sig), 1))
+                for j in range(ROWS):
+                    key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, j])
+                keep = np.diff(border) > 0
+                key = key[keep]
+                at = np.concatenate([[0], np.cumsum(np.where(keep, bands, 0))])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), pa.array(np.diff(border)),
+                     pa.array(set_names(elements, border).view(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key.reshape(-1).view(np.int64)))],
+                    names=["doc_id", "n_shingles", "set_id", "bands"])
+    return run
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,21 +112,23 @@ def linked(a: set, b: set, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, hub = None, set()
-    for batch in batches:
-        u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-        texts, hubs = batch.column("text"), batch.column("hub_text")
-        keep = []
-        for i in range(batch.num_rows):
-            if v[i] != last:
-                last, hub = v[i], full_set(hubs[i].as_py())
-            keep.append(linked(full_set(texts[i].as_py()), hub))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"])
-
-
-def _new_links(rows: list[dict]) -> list[tuple[int, int]]:
+def _confirm(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub = None, set()
+        for batch in batches:
+            u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
+            texts, hubs = batch.column("text"), batch.column("hub_text")
+            keep = []
+            for i in range(batch.num_rows):
+                if v[i] != last:
+                    last, hub = v[i], full_set(hubs[i].as_py())
+                keep.append(linked(full_set(texts[i].as_py()), hub, percent))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"])
+    return run
+
+
+def _new_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
     """Links between outsiders and members of one pair of blocks that join something.
 
     One array pass per outsider counts its shingles in all members; pairs that are
@@ -152,30 +159,34 @@ def _new_links(rows: list[dict]) -> list[tuple[int, int]]:
         mark[mine] = True
         both = np.add.reduceat(mark[flat].astype(np.int64), first)
         mark[mine] = False
-        for i in np.flatnonzero(100 * both >= PERCENT * (size + len(own) - both)).tolist():
+        for i in np.flatnonzero(100 * both >= percent * (size + len(own) - both)).tolist():
             if find(roots[i]) != find(o["root"]):
                 parent[find(roots[i])] = find(o["root"])
                 out.append((o["set_id"], members[i]["set_id"]))
     return out
 
 
-def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j): each group holds one block of outsiders, one of members."""
-    held: list[dict] = []
-    out: list[tuple[int, int]] = []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if held and (r["key"], r["i"], r["j"]) != (held[0]["key"], held[0]["i"], held[0]["j"]):
-                out += _new_links(held)
-                held = []
-            held.append(r)
-    out += _new_links(held) if held else []
-    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _confirm_blocks(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (key, i, j): each group holds one block of outsiders, one of members."""
+        held: list[dict] = []
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and (r["key"], r["i"], r["j"]) != (held[0]["key"], held[0]["i"], held[0]["j"]):
+                    out += _new_links(held, percent)
+                    held = []
+                held.append(r)
+        out += _new_links(held, percent) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """Per row: doc_id, n_shingles, set_id, component_id (smallest id reachable).
 
+    Links are pairs of a similarity of ``percent`` or more.
     A null, empty or blank text has no shingle and is linked with nothing; its
     component is its own id.  Repeated rows are one node, rows of one id with different
     texts one document.  Null ids are never the smallest unless a component has no
@@ -185,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = shared_table(d.mapInArrow(
-        _sketch, "doc_id long, n_shingles long, set_id long, bands array<long>"), "sketch")
+        _sketch(bands), "doc_id long, n_shingles long, set_id long, bands array<long>"), "sketch")
     filled = sketch.where("n_shingles > 0")
     sets = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"))
 
@@ -208,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_id = filled.where("doc_id is not null").groupBy("doc_id").agg(
         F.min("set_id").alias("v"), F.max("set_id").alias("top")).where("v <> top").select("doc_id", "v")
     one_id = filled.join(per_id, "doc_id").select(F.col("set_id").alias("u"), "v").where("u <> v")
-    links = pairs.mapInArrow(_confirm, "u long, v long").unionByName(one_id).distinct()
+    links = pairs.mapInArrow(_confirm(percent), "u long, v long").unionByName(one_id).distinct()
     links = shared_table(links, "stars")
     roots = shared_table(components(links), "roots")
 
@@ -233,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "key", "set_id", "root", "outsider", F.pmod(place, F.col("ob")).cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j")))
     rest = rows.join(texts.select("set_id", "text"), "set_id").repartition("key", "i", "j")
-    more = rest.sortWithinPartitions("key", "i", "j").mapInArrow(_confirm_blocks, "u long, v long").distinct()
+    more = rest.sortWithinPartitions("key", "i", "j").mapInArrow(_confirm_blocks(percent), "u long, v long").distinct()
     more = shared_table(more, "blocks")
     if more.limit(1).count():
         known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -255,9 +266,10 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             percent: int = STAGE_PERCENT, bands: int = STAGE_BANDS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, and every row without words."""
-    d = near_duplicates(docs, id_col, text_col).where("set_id is not null")
+    d = near_duplicates(docs, id_col, text_col, percent, bands).where("set_id is not null")
     dropped = shared_table(d.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("__dropped")).distinct(), "dropped")
     wordy = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
