@@ -312,6 +312,16 @@ def test_quality_outliers(spark):
     assert quality_rules.keep_good(edge).columns == edge.columns
 
 
+def test_quality_third_of_a_source_is_junk(spark):
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, rng.randrange(40, 300), 3000, "wo") + ".", "en", f"s{i % 2}", 0) for i in range(800)]
+    junk = [(1000 + i, " ".join(f"w{rng.randrange(3000)}***###" for _ in range(80)), "en", "s0", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in quality_rules.quality_digest(docs).collect()}
+    assert not any(out[r[0]].kept for r in junk) and not any(out[r[0]].base_failed for r in junk)
+    assert sum(out[r[0]].kept for r in rows) >= 796
+
+
 # ------------------------------------------------------------------ 6
 def test_language_held_out_accuracy(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")

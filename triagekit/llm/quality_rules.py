@@ -4,7 +4,9 @@ Texts that pass the base rule become vectors of transformed statistics.  For eve
 (language, source) the minimum-covariance-determinant estimate of centre and scatter
 comes from concentration steps over all its documents: distances under the current
 estimate, the half of the rows (``SUBSET``) with the smallest ones, their mean and
-covariance, and again.  A document whose Mahalanobis distance to its group's estimate
+covariance, and again.  Half a group may be junk without moving it; as the half's
+scatter is too narrow for a long-tailed group, a last step takes the moments of all rows
+below ``REWEIGHT`` (the reweighted estimate).  A document whose Mahalanobis distance to its group's estimate
 is above the cut is rejected.  Groups with too few documents use their language's
 estimate, or that of all.
 
@@ -15,6 +17,7 @@ task's work.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +38,11 @@ DIMS = 6
 #: Least standard deviation of each of them; keeps near-constant statistics (no symbols
 #: at all in clean text) from turning any difference into an outlier.
 FLOOR = (0.1, 0.02, 0.02, 0.05, 0.03, 0.1)
-SUBSET = 0.75
+SUBSET = 0.5
 STEPS = 5
+#: Squared distance (scaled) below which rows enter the reweighting step: the chi-square
+#: law's 0.99999 quantile.
+REWEIGHT = 33.1
 #: Documents a group needs for an estimate of its own.
 MIN_GROUP = 200
 #: Squared distance (scaled to the chi-square law by its median) above which a text is
@@ -161,14 +167,16 @@ def robust_estimates(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFram
     diagonal = F.flatten(F.transform("a", lambda e: F.transform(
         F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda j: F.when(j == e["dim"], e["p"]).otherwise(0.0))))
     est = shared_table(q.select("grp", F.col("a.m").alias("center"), diagonal.alias("precision")), "mcd")
-    for step in range(STEPS + 1):
+    wide = round(math.log2(REWEIGHT / CHI_MEDIAN) * OCTAVE)  # in cells above the median's
+    for step in range(STEPS + 2):
         d = _with_distance(g.join(side(est), "grp"), "center", "precision")
         cells = d.select("grp", _distance_cell().alias("cell"))
         cut = _quantiles(cells, ["grp"], [SUBSET, 0.5])
-        if step == STEPS:
+        if step > STEPS:
             scale = F.lit(CHI_MEDIAN) / F.pow(F.lit(2.0), F.col("q1") / OCTAVE)
             return shared_table(est.join(cut, "grp").select("grp", "center", "precision", scale.alias("scale")), "mcd")
-        inner = d.join(side(cut), "grp").where(_distance_cell() <= F.col("q0"))
+        top = F.col("q1") + wide if step == STEPS else F.col("q0")
+        inner = d.join(side(cut), "grp").where(_distance_cell() <= top)
         sums = inner.groupBy("grp").agg(
             F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(DIMS)]).alias("s"),
             F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]).alias("ss"))
