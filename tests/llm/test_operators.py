@@ -202,6 +202,22 @@ def test_near_dedup_stage_threshold(spark):
     assert strict == {2 * i + j for i, x in enumerate(alike) for j in (0, 1) if not (j and x >= 85)}
 
 
+def test_near_dedup_null_ids(spark):
+    """Null-id rows are told apart by their texts; copies go, unrelated rows stay."""
+    rng = random.Random(13)
+    a, b, c, e, f = (sentence(rng, 60, 5000) for _ in range(5))
+    rows = [(1, a), (None, a + " x"), (None, b), (None, c), (None, e), (None, e + " y"), (None, e + " z z"), (None, e),
+            (2, f), (3, f + " x"), (2, f), (None, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect())
+    same = [k for k in kept if k[1] and k[1].startswith(e)]
+    assert len(same) == 1 and same[0][0] is None
+    assert kept == Counter([(1, a), (None, b), (None, c), (2, f), (None, None), (None, " "), *same])
+    out = near_dedup.near_duplicate_digest(docs).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out) == Counter(
+        {(1, 1): 1, (None, 1): 1, (None, None): 8, (2, 2): 2, (3, 2): 1})
+
+
 # ------------------------------------------------------------------ 4
 def _targets(sizes: dict) -> dict:
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)

@@ -32,6 +32,7 @@ from ..session import maybe_broadcast
 from .common import (FOLD, bound_batches, mix64, rounds, shared_table, span_hashes, window_hashes,
                      word_spans)
 from .components import components
+from .substring_dedup import text_key
 from .superminhash import signatures
 
 WIDTH = 5
@@ -83,21 +84,13 @@ def _sketch(bands: int):
                 key = key[keep]
                 at = np.concatenate([[0], np.cumsum(np.where(keep, bands, 0))])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(np.diff(border)),
+                    [rows.column("doc_id"), rows.column("t"), rows.column("u"), pa.array(np.diff(border)),
                      pa.array(set_names(elements, border).view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key.reshape(-1).view(np.int64)))],
-                    names=["doc_id", "n_shingles", "set_id", "bands"])
+                    names=["doc_id", "t", "u", "n_shingles", "set_id", "bands"])
     return run
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep rows whose text has the set they were fetched for (ids may repeat)."""
-    for batch in batches:
-        for rows, flat, offsets in rounds(batch, "text"):
-            names = set_names(*shingle_sets(flat, offsets)).view(np.int64)
-            yield rows.filter(pa.array(names == rows.column("set_id").to_numpy(zero_copy_only=False)))
-
-
 def full_set(text: str) -> set:
     w = text.encode().lower().split()
     if len(w) < WIDTH:
@@ -184,7 +177,8 @@ def _confirm_blocks(percent: int):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_id, component_id (smallest id reachable).
+    """Per row: doc_id, t, u (names of the text), n_shingles, set_id, root (one set of the
+    component), component_id (smallest id reachable).
 
     Links are pairs of a similarity of ``percent`` or more.
     A null, empty or blank text has no shingle and is linked with nothing; its
@@ -194,11 +188,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(F.col(text_col)), F.col(text_col).alias("text"))
     sketch = shared_table(d.mapInArrow(
-        _sketch(bands), "doc_id long, n_shingles long, set_id long, bands array<long>"), "sketch")
+        _sketch(bands), "doc_id long, t long, u long, n_shingles long, set_id long, bands array<long>"), "sketch")
     filled = sketch.where("n_shingles > 0")
-    sets = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"))
+    sets = filled.groupBy("set_id").agg(
+        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "t", "u")).alias("one"))
 
     # Buckets with at least two different sets, and their members.
     banded = filled.select(F.explode("bands").alias("key"), "set_id")
@@ -206,11 +201,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = shared_table(banded.join(buckets.select("key", "hub"), "key").distinct(), "members")
     stars = members.where("set_id <> hub").select(F.col("set_id").alias("u"), F.col("hub").alias("v")).distinct()
 
-    # Texts of all candidates, once per set.
-    wanted = members.select("set_id").distinct().join(sets, "set_id")
-    texts = d.join(maybe_broadcast(shared_table(wanted, "wanted")), d["doc_id"].eqNullSafe(F.col("rep")))
-    texts = texts.select("set_id", "n_shingles", "text")
-    texts = shared_table(texts.mapInArrow(_named, texts.schema), "texts")
+    # Texts of all candidates, once per set: one row's id and text name it (ids may be null or repeat).
+    wanted = shared_table(members.select("set_id").distinct().join(sets, "set_id").select(
+        "set_id", "n_shingles", F.col("one.doc_id").alias("__id"), F.col("one.t").alias("__t"), F.col("one.u").alias("__u")),
+        "wanted")
+    texts = d.join(maybe_broadcast(wanted), d["doc_id"].eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))
+                   & (F.col("u") == F.col("__u"))).select("set_id", "n_shingles", "text")
+    texts = shared_table(texts, "texts")
+    if texts.count() > wanted.count():  # repeated rows
+        texts = shared_table(texts.dropDuplicates(["set_id"]), "texts")
 
     pairs = (stars.join(texts.select(F.col("set_id").alias("u"), "text"), "u")
              .join(texts.select(F.col("set_id").alias("v"), F.col("text").alias("hub_text")), "v")
@@ -253,11 +252,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s = sets.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "rep", F.coalesce("root", "set_id").alias("root"))
     lowest = s.groupBy("root").agg(F.min("rep").alias("component_id"))
-    s = s.join(lowest, "root").select("set_id", "component_id")
-    with_set = filled.select("doc_id", "n_shingles", "set_id").join(s, "set_id")
+    s = s.join(lowest, "root").select("set_id", "root", "component_id")
+    with_set = filled.select("doc_id", "t", "u", "n_shingles", "set_id").join(s, "set_id")
+    none = F.lit(None).cast("long")
     without = sketch.where("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.lit(None).cast("long").alias("set_id"), F.col("doc_id").alias("component_id"))
-    return with_set.select("doc_id", "n_shingles", "set_id", "component_id").unionByName(without)
+        "doc_id", "t", "u", "n_shingles", none.alias("set_id"), none.alias("root"), F.col("doc_id").alias("component_id"))
+    return with_set.select(*without.columns).unionByName(without)
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
@@ -270,11 +270,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              percent: int = STAGE_PERCENT, bands: int = STAGE_BANDS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, and every row without words."""
     d = near_duplicates(docs, id_col, text_col, percent, bands).where("set_id is not null")
-    dropped = shared_table(d.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__dropped")).distinct(), "dropped")
+    name = [F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("u").alias("__u")]
+    # Rows without an id are told apart by their texts; of a component without any id one text stays.
+    nameless = d.where("doc_id is null").select("t", "u", "root", "component_id").distinct()
+    stays = nameless.where("component_id is null").groupBy("root").agg(F.min(F.struct("t", "u")).alias("one"))
+    gone = nameless.join(stays, "root", "left").where(
+        F.col("component_id").isNotNull() | (F.struct("t", "u") != F.col("one")))
+    zero = F.lit(0).cast("long")
+    dropped = d.where("doc_id <> component_id").select(name[0], zero.alias("__t"), zero.alias("__u")).distinct()
+    dropped = shared_table(dropped.unionByName(gone.select(F.lit(None).cast("long").alias("__id"), *name[1:])), "dropped")
     wordy = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     ident = F.col(id_col)
-    rest = docs.join(maybe_broadcast(dropped), wordy & ident.eqNullSafe(F.col("__dropped")), "left_anti")
+    t, u = (F.when(ident.isNull(), c).otherwise(zero) for c in text_key(F.col(text_col)))
+    rest = docs.join(maybe_broadcast(dropped), wordy & ident.eqNullSafe(F.col("__id")) & (t == F.col("__t"))
+                     & (u == F.col("__u")), "left_anti")
     if docs.where(wordy).groupBy(ident).count().where("count > 1").limit(1).count():
         # Rows of one id are one document: of a kept one the row with the smallest text stays.
         w = Window.partitionBy(ident, wordy, F.when(ident.isNull() | ~wordy, F.col(text_col))).orderBy(
