@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import decontamination, langid, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_files, toxicity, urlfilter
+from . import (decontamination, langid, mixing, near_dedup, periodic_runs, quality_rules, sharding, substring_dedup,
+               token_files, toxicity, urlfilter)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -137,3 +138,40 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(read_table(spark, sf_dir, "documents"))
+
+
+# CRC-32 of the id's decimal digits, bit by bit: a byte is taken in, then eight shifts.
+_CRC = ("xor(list_reduce(flatten(list_transform(CAST(doc_id AS VARCHAR).split(''), "
+        "lambda c: [CAST(ascii(c) AS BIGINT)] || list_transform(range(8), lambda i: -1))), "
+        "lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, "
+        "4294967295), 4294967295)")
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS v, CRC AS h FROM documents),
+a AS (SELECT *, len(v) AS n, h // 10 AS g, CASE WHEN len(v) > 0 THEN (h // 10) % len(v) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN v[1:a] || list_transform(range(n - a), lambda i: v[a + 1 + i % p]) ELSE v END AS w FROM p),
+c AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 16], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(n - 15)) AS i FROM t WHERE n >= 24)),
+lag AS (SELECT y.doc_id, y.i, y.i - x.i AS q FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM lag),
+diagonal AS (SELECT doc_id, q, min(i) - q AS start, max(i) + 16 - min(i) + q AS length
+             FROM island GROUP BY doc_id, q, k HAVING max(i) + 16 - min(i) + q >= greatest(24, 3 * q)),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM diagonal GROUP BY doc_id, start, length),
+best AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS ls,
+           list(struct_pack(start := start, length := length, period := period)
+                ORDER BY CAST(length AS DOUBLE) / period DESC, start, period)[1] AS b FROM run GROUP BY doc_id),
+gone AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM run) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS s
+         FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM t JOIN gone USING (doc_id)) x
+         ANTI JOIN (SELECT doc_id, unnest(gone) AS i FROM gone) y USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period,
+  1000 * b.length // b.period AS exponent_milli, sha256(coalesce(ls, '')) AS runs_sha256,
+  sha256(CASE WHEN n_runs > 0 THEN kept.s ELSE array_to_string(w, ' ') END) AS collapsed_sha256
+FROM t LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+""".replace("CRC", _CRC)
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(read_table(spark, sf_dir, "documents"))
