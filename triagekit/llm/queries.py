@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import (decontamination, langid, mixing, near_dedup, periodic_runs, quality_rules, sharding, substring_dedup,
+from . import (decontamination, html_extract, langid, mixing, near_dedup, periodic_runs, quality_rules, sharding, substring_dedup,
                token_files, toxicity, urlfilter)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(read_table(spark, sf_dir, "documents"))
 
 
+@query("op11_html_extraction")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_digest(read_table(spark, sf_dir, "pages"))
+
+
 # CRC-32 of the id's decimal digits, bit by bit: a byte is taken in, then eight shifts.
 _CRC = ("xor(list_reduce(flatten(list_transform(CAST(doc_id AS VARCHAR).split(''), "
         "lambda c: [CAST(ascii(c) AS BIGINT)] || list_transform(range(8), lambda i: -1))), "
