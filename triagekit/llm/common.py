@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 
 #: Bytes of text that one round of array work holds; a longer text is a round of its own.
 ROUND_BYTES = 1 << 20
@@ -165,6 +165,8 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def bound_batches(spark, rows: int = 2000, size: int = 16 << 20) -> None:
-    """Bound the Arrow batches that tasks exchange with Python, in rows and in bytes."""
+    """Bound the Arrow batches that tasks exchange with Python, in rows and in bytes; the
+    workers get the package, whoever built the session."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from . import (decontamination, html_extract, langid, mixing, near_dedup, periodic_runs, quality_rules, sharding, substring_dedup,
-               token_files, toxicity, urlfilter)
+               token_files, toxicity, urlfilter, whitening)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -145,6 +145,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_digest(read_table(spark, sf_dir, "pages"))
 
 
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(read_table(spark, sf_dir, "embeddings"))
+
+
 # CRC-32 of the id's decimal digits, bit by bit: a byte is taken in, then eight shifts.
 _CRC = ("xor(list_reduce(flatten(list_transform(CAST(doc_id AS VARCHAR).split(''), "
         "lambda c: [CAST(ascii(c) AS BIGINT)] || list_transform(range(8), lambda i: -1))), "
