@@ -95,25 +95,31 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i (mod 2**64) for i < n, kept per worker up to one round."""
-    have = _POWERS.get("r")
-    if have is None or len(have) < n:
+#: Span hashes are two polynomials, each modulo a prime of its own: modulo a power of two
+#: every base has fixed words of equal value (Thue-Morse words).
+_FIELDS = ((2147483647, 1103515245), (2147483629, 1664525323))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _table(base: int, prime: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint32)
+    k = 1
+    while k < n:
+        m = min(k, n - k)
+        out[k:k + m] = out[:m] * np.uint64(pow(base, k, prime)) % np.uint64(prime)
+        k += m
+    return out
+
+
+def _powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo the prime for i < n, kept per worker up to one round."""
+    have = _POWERS.get(prime)
+    if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
-        out = []
-        for base in (_R, _R_INV):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        if size > 2 * ROUND_BYTES:  # a very long text: used once, not kept
-            return out[0], out[1]
-        _POWERS["r"], _POWERS["inv"] = out
-    return _POWERS["r"], _POWERS["inv"]
+        have = _table(base, prime, size), _table(pow(base, -1, prime), prime, size)
+        if size <= ROUND_BYTES + 1:  # of a longer text: used once, not kept
+            _POWERS[prime] = have
+    return have
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -146,11 +152,19 @@ def word_spans(flat: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = IS_SP
 
 
 def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span's bytes: differences of one prefix polynomial."""
-    power, inverse = _powers(len(flat) + 1)
+    """64-bit hash of every span's bytes: differences of prefix polynomials modulo two
+    primes.  Alike in all workers; different spans may share one by chance alone."""
+    parts = []
+    x = flat.astype(np.uint64) + np.uint64(1)
     prefix = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[:len(flat)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * inverse[starts])
+    for prime, base in _FIELDS:
+        power, inverse = _powers(prime, base, len(flat) + 1)
+        p = np.uint64(prime)
+        terms = x * power[:len(flat)]
+        np.cumsum(terms if len(flat) < 1 << 24 else terms % p, out=prefix[1:])
+        parts.append((prefix[ends] - prefix[starts]) % p * inverse[starts] % p)
+    size = (ends - starts).astype(np.uint64)
+    return mix64((parts[0] | parts[1] << np.uint64(32)) + size * np.uint64(0x9E3779B97F4A7C15))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, rounds, shared_table, span_hashes
+from .common import bound_batches, flat_text, rounds, shared_table, span_hashes
 from .pfor import Image, encode
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Pieces a worker remembers; beyond it forgets all and starts again.
-CACHE = 400_000
+#: Pieces a worker remembers (some 60 bytes each); beyond it forgets all and starts again.
+CACHE = 1_000_000
+#: Pieces handed to the tokenizer at once, each as a text of its own.
+GROUP = 512
 #: Text of one file image.
 IMAGE_BYTES = 4 << 20
 
@@ -87,43 +89,74 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 16, np.int64)  # piece k holds ids[first[k]:first[k + 1]]
-        self.n = 0
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        end = self.first[self.n]
-        ends = end + np.cumsum([len(x) for x in lists])
-        while ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(lists) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        self.ids[end:ends[-1]] = np.fromiter((i for x in lists for i in x), np.uint32, int(ends[-1] - end))
-        self.first[self.n + 1:self.n + 1 + len(lists)] = ends
-        for p in pieces:
-            self.known[p] = self.n
-            self.n += 1
+        self.hashes = np.zeros(0, np.uint64)  # of the pieces known, in order
+        self.piece = np.zeros(0, np.int64)    # and their numbers
+        self.data, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # piece k is data[at[k]:at[k + 1]]
+        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # and has ids[first[k]:first[k + 1]]
+
+    def _find(self, hashes: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 if unknown; the bytes are compared, not only the hashes."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = self.piece[at]
+        size = np.diff(offsets)
+        same = np.flatnonzero((self.hashes[at] == hashes) & (self.at[known + 1] - self.at[known] == size) & (size > 0))
+        if len(same):
+            n = size[same]
+            border = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(border, n)
+            differ = flat[step + np.repeat(offsets[same], n)] != self.data[step + np.repeat(self.at[known[same]], n)]
+            same = same[~np.logical_or.reduceat(differ, border)]
+            out[same] = known[same]
+        return out
+
+    def _learn(self, pieces: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Encode new pieces and remember them; their numbers."""
+        flat, offsets = flat_text(pieces)
+        texts = pieces.cast(pa.large_string()).to_pylist()
+        groups = [texts[i:i + GROUP] for i in range(0, len(texts), GROUP)]
+        ids, sizes = [], []
+        for group, e in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False),
+                            strict=True):
+            owner = e.word_ids
+            if None in owner:  # a piece that the tokenizer knows as a whole: one call a piece
+                lists = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                sizes.append(np.array([len(x) for x in lists], np.int64))
+                ids.append(np.array([i for x in lists for i in x], np.uint32))
+                continue
+            sizes.append(np.bincount(np.array(owner, np.int64), minlength=len(group)))
+            ids.append(np.array(e.ids, np.uint32))
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        number = len(self.at) - 1 + np.arange(len(texts))
+        self.at = np.concatenate([self.at, self.at[-1] + offsets[1:]])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.data, self.ids = np.concatenate([self.data, flat]), np.concatenate([self.ids, ids])
+        # Of pieces with one hash, known ones included, one is found again.
+        every, every_piece = np.concatenate([self.hashes, hashes]), np.concatenate([self.piece, number])
+        self.hashes, at = np.unique(every, return_index=True)
+        self.piece = every_piece[at]
+        return number
 
     def encode(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids with an end id after every text, ids of each text)."""
         texts = len(offsets) - 1
         starts = piece_starts(flat, offsets)
         starts = starts[starts < len(flat)]
-        ends = np.append(starts[1:], len(flat)) if len(starts) else starts
-        if self.n > CACHE:
+        if len(self.at) > CACHE:
             self.forget()
-        hashes = span_hashes(flat, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        data = flat.tobytes()
-        pieces = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            self._learn(new)
-        known = self.known
-        index = np.fromiter((known[p] for p in pieces), np.int64, len(pieces))[inverse]
+        cuts = np.append(starts, len(flat))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+            None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
+        kinds = pieces.dictionary
+        data, border = flat_text(kinds)
+        hashes = span_hashes(data, border[:-1], border[1:])
+        number = self._find(hashes, data, border)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = self._learn(kinds.take(pa.array(new)), hashes[new])
+        index = number[pieces.indices.to_numpy(zero_copy_only=False)]
         size = self.first[index + 1] - self.first[index]
         upto = np.concatenate([[0], np.cumsum(size)])
         border = upto[np.searchsorted(starts, offsets)]  # ids before each text
@@ -136,13 +169,18 @@ class Encoder:
         return out, np.diff(border) + 1
 
 
+#: Of this worker: the tasks that it runs one after the other share what it remembers.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = None, TaskContext.get().partitionId(), 0
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows, flat, offsets in rounds(batch, "text", IMAGE_BYTES):
-                encoder = encoder or Encoder(path)
-                ids, lengths = encoder.encode(flat, offsets)
+                if path not in _ENCODERS:
+                    _ENCODERS[path] = Encoder(path)
+                ids, lengths = _ENCODERS[path].encode(flat, offsets)
                 doc = rows.column("doc_id")
                 data = encode(ids, doc.fill_null(0).to_numpy(zero_copy_only=False),
                               doc.is_null().to_numpy(zero_copy_only=False), lengths)
