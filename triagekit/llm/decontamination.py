@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +30,7 @@ from .fmindex import FMIndex
 
 WINDOW = 10
 #: Text of one shard (a longer text is a shard of its own) and of one block of items.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
 # Word bytes after folding A-Z: 0-9, a-z and everything beyond ASCII; others separate.
 _WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A
@@ -137,7 +136,19 @@ def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
-def _search(phrases: Phrases, text_col: str):
+def _cut(text: pa.Array, spans: list[list[dict]]) -> pa.Array:
+    hit = [i for i, s in enumerate(spans) if s]
+    if not hit:  # texts without a hit stay the very bytes they were
+        return text
+    texts = text.to_pylist()
+    for i in hit:
+        texts[i] = remove_words(texts[i], [(s["b"], s["e"]) for s in spans[i]])
+    return pa.array(texts, text.type)
+
+
+def _search(phrases: Phrases, text_col: str, cut: bool = False):
+    """Spans and items of the phrases' hits beside those of earlier blocks; ``cut`` (for the
+    last block) also removes all spans from the texts, in the same pass."""
     get = phrases.vocabulary.get
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,25 +179,16 @@ def _search(phrases: Phrases, text_col: str):
                 for i, s in found.items():
                     s = _merge(s + [(x["b"], x["e"]) for x in spans[i]])
                     spans[i] = [{"b": b, "e": e} for b, e in s]
-                put = {"__n_words": pa.array(np.diff(first)), "__items": pa.array(held, pa.list_(pa.string())),
+                text = rows.column(text_col)
+                if cut:
+                    text = _cut(text, spans)
+                put = {text_col: text, "__n_words": pa.array(np.diff(first)), "__items": pa.array(held, pa.list_(pa.string())),
                        "__spans": pa.array(spans, pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())])))}
                 yield pa.RecordBatch.from_arrays(
                     [put.get(n, rows.column(n)) for n in rows.schema.names], names=rows.schema.names)
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = batch.column("__text")
-        hit = np.flatnonzero(pa.compute.list_value_length(batch.column("__spans")).to_numpy(zero_copy_only=False) > 0)
-        if len(hit):  # other texts stay the very bytes they were
-            texts = text.to_pylist()
-            for i in hit.tolist():
-                texts[i] = remove_words(texts[i], [(s["b"], s["e"]) for s in batch.column("__spans")[i].as_py()])
-            text = pa.array(texts, text.type)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), text], ["row", "__text"])
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                        block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` plus ``found``: n_words, items (ids, as sorted strings)
@@ -203,7 +205,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                                       F.col("__spans").alias("spans")).alias("found"))
 
 
-def _search_all(docs: DataFrame, benchmark: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
+def _search_all(docs: DataFrame, benchmark: DataFrame, text_col: str, block_bytes: int, cut: bool = False) -> DataFrame:
     bound_batches(docs.sparkSession, 4000, 2 * SHARD_BYTES)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("__text"),
                     F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<string>").alias("__items"),
@@ -215,7 +217,7 @@ def _search_all(docs: DataFrame, benchmark: DataFrame, text_col: str, block_byte
         # One block of items at a time on the driver: about ``block_bytes`` of text.
         block = b.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in d.schema])
-        d = d.mapInArrow(_search(build_phrases([(r.item, r.text) for r in block]), "__text"), schema)
+        d = d.mapInArrow(_search(build_phrases([(r.item, r.text) for r in block]), "__text", cut and k == blocks - 1), schema)
     return d
 
 
@@ -229,8 +231,7 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every hit span cut out of its text; untouched texts stay as they are."""
-    d = _search_all(docs, benchmark, text_col, BLOCK_BYTES).select("row", "__text", "__spans")
-    schema = T.StructType([f for f in d.schema if f.name != "__spans"])
-    d = d.mapInArrow(_cut, schema)
+    """``docs`` with every hit span cut out of its text; untouched texts stay as they are,
+    byte for byte.  Edge cases as in :func:`find_contamination`; no row is dropped."""
+    d = _search_all(docs, benchmark, text_col, BLOCK_BYTES, cut=True)
     return d.select(*[F.col("__text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns])
