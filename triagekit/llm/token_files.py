@@ -12,8 +12,10 @@ looks up every distinct piece once: pieces repeat far more often than texts.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,15 @@ from .pfor import Image, encode
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Pieces a worker remembers (some 60 bytes each); beyond it forgets all and starts again.
-CACHE = 1_000_000
+#: Pieces a task remembers (some 60 bytes each); beyond it forgets all and starts again.
+CACHE = 500_000
 #: Pieces handed to the tokenizer at once, each as a text of its own.
-GROUP = 512
+GROUP = 4096
+#: Settings of a tokenizer whose pre-tokenizer keeps a run of letters, with one space before
+#: it, in one piece.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: Letters up to here have been letters in every version of Unicode.
+LAST_LETTER = "\u024f"
 #: Text of one file image.
 IMAGE_BYTES = 4 << 20
 
@@ -52,6 +59,16 @@ _MAYBE = _SPACE | _bytes(range(0x80, 0x8B), b"\x9f\xa0\xa8\xa9\xaf")
 _LEAD = _bytes(range(0xC3, 0xE0))
 
 
+def _byte_chars() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for the
+    characters from U+0100 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 def piece_starts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places where byte-level pre-tokenization surely splits, text borders included.
 
@@ -86,6 +103,12 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        told = json.loads(self.tokenizer.to_str())
+        split = told.get("pre_tokenizer") or {}
+        self.model = None  # what encodes a run of letters by itself
+        if told.get("normalizer") is None and all(split.get(k) == v for k, v in BYTE_LEVEL.items()) and not any(
+                t["content"].strip().isalpha() for t in told.get("added_tokens") or []):
+            self.model = self.tokenizer.model
         self.forget()
 
     def forget(self) -> None:
@@ -112,23 +135,31 @@ class Encoder:
             out[same] = known[same]
         return out
 
+    def _letters(self, text: str) -> list[int] | None:
+        """Ids of a run of letters, a space before it or not; None for any other piece."""
+        space = text[:1] == " "
+        word = text[1:] if space else text
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) > LAST_LETTER:
+                return None
+            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self.model.tokenize(_BYTE_CHARS[0x20] + word if space else word)]
+
     def _learn(self, pieces: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Encode new pieces and remember them; their numbers."""
         flat, offsets = flat_text(pieces)
         texts = pieces.cast(pa.large_string()).to_pylist()
-        groups = [texts[i:i + GROUP] for i in range(0, len(texts), GROUP)]
-        ids, sizes = [], []
-        for group, e in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False),
-                            strict=True):
-            owner = e.word_ids
-            if None in owner:  # a piece that the tokenizer knows as a whole: one call a piece
-                lists = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
-                sizes.append(np.array([len(x) for x in lists], np.int64))
-                ids.append(np.array([i for x in lists for i in x], np.uint32))
-                continue
-            sizes.append(np.bincount(np.array(owner, np.int64), minlength=len(group)))
-            ids.append(np.array(e.ids, np.uint32))
-        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        lists = [self._letters(t) for t in texts] if self.model else [None] * len(texts)
+        rest = [i for i, x in enumerate(lists) if x is None]
+        for k in range(0, len(rest), GROUP):
+            group = rest[k:k + GROUP]
+            found = self.tokenizer.encode_batch_fast([texts[i] for i in group], add_special_tokens=False)
+            for i, e in zip(group, found, strict=True):
+                lists[i] = e.ids
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
         number = len(self.at) - 1 + np.arange(len(texts))
         self.at = np.concatenate([self.at, self.at[-1] + offsets[1:]])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
@@ -169,18 +200,13 @@ class Encoder:
         return out, np.diff(border) + 1
 
 
-#: Of this worker: the tasks that it runs one after the other share what it remembers.
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        encoder, part, seq = None, TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows, flat, offsets in rounds(batch, "text", IMAGE_BYTES):
-                if path not in _ENCODERS:
-                    _ENCODERS[path] = Encoder(path)
-                ids, lengths = _ENCODERS[path].encode(flat, offsets)
+                encoder = encoder or Encoder(path)
+                ids, lengths = encoder.encode(flat, offsets)
                 doc = rows.column("doc_id")
                 data = encode(ids, doc.fill_null(0).to_numpy(zero_copy_only=False),
                               doc.is_null().to_numpy(zero_copy_only=False), lengths)
