@@ -130,3 +130,52 @@ def test_stream_upsert_rewrites_touched_buckets_only(spark, tmp_dir):
     assert snap[3] == snap[8] == "new" and len(snap) == raw.count()
     run(later, 1)  # replay: nothing changes
     assert jobs._manifest(spark, root, jobs.latest_version(spark, root)) == after
+
+
+def test_stream_ingest_side_output_and_ties(spark, tmp_dir):
+    """What cannot be merged ends in the dead letter; of one time the later arrival wins;
+    both are committed together."""
+    import json
+    landed = os.path.join(tmp_dir, "landed")
+    root, ck = os.path.join(tmp_dir, "issues"), os.path.join(tmp_dir, "ck")
+
+    def land(name, rows):
+        os.makedirs(landed, exist_ok=True)
+        with open(os.path.join(landed, name), "w") as f:
+            f.write("\n".join(r if isinstance(r, str) else json.dumps(
+                {"repo_owner": "o", "repo_name": "r", "body": "b", "state": "open", **r}) for r in rows) + "\n")
+
+    day = "2024-01-0{}T00:00:00Z".format
+    land("a.json", [{"id": 1, "title": "first", "updated_at": day(1)}, {"id": 1, "title": "second", "updated_at": day(1)},
+                    {"id": 2, "title": "x", "updated_at": "soon"}, {"id": 5, "title": "five", "updated_at": day(2), "ordinal": 9},
+                    {"id": 5, "title": "earlier", "updated_at": day(2), "ordinal": 3}, "{not json", {"title": "no id"}])
+    jobs.stream_ingest(spark, landed, root, ck).awaitTermination()
+    table = {r["id"]: r["title"] for r in jobs.read_snapshot(spark, root).collect()}
+    assert table == {1: "second", 5: "five"}
+    dead = sorted((r["reason"], r["id"] or 0, r["epoch"]) for r in jobs.read_dead_letter(spark, root).collect())
+    assert dead == [("malformed document", 0, 0), ("no id", 0, 0), ("unreadable time", 2, 0)]
+    assert "{not json" in {r["document"] for r in jobs.read_dead_letter(spark, root).collect()}
+    # Marks exist now: still nothing vanishes, and an epoch of dead letters alone commits too.
+    land("b.json", [{"id": 3, "title": "y", "updated_at": None}])
+    jobs.stream_ingest(spark, landed, root, ck).awaitTermination()
+    assert {r["id"]: r["title"] for r in jobs.read_snapshot(spark, root).collect()} == table
+    assert [(r["id"], r["epoch"]) for r in jobs.read_dead_letter(spark, root).where("epoch = 1").collect()] == [(3, 1)]
+    # An epoch that ended before its manifest counts for nothing and runs again whole.
+    run = jobs.upsert_batch_into_snapshots(root)
+    batch = spark.read.schema(jobs.LANDED).json(os.path.join(landed, "b.json"))
+    jobs.dead_letter(batch.unionByName(batch), 2).write.parquet(f"{root}/dead/v000000003")
+    assert jobs.read_dead_letter(spark, root).count() == 4
+    run(batch, 2)
+    assert jobs.read_dead_letter(spark, root).where("epoch = 2").count() == 1
+
+
+def test_updates_sink_replays_an_epoch(spark, tmp_dir):
+    logs = fx.logs_fx(spark, SF_SMALL)
+    src, root = os.path.join(tmp_dir, "logs"), os.path.join(tmp_dir, "counts")
+    for b in range(3):
+        logs.where(F.col("id") % 3 == b).write.parquet(os.path.join(src, f"f{b}"))
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    jobs.updates_sink(jobs.requests_per_user_day(stream, "40 days"), root, os.path.join(tmp_dir, "ck"))
+    want = sorted(tuple(r) for r in activity.requests_by_user_date(logs).collect())
+    got = jobs.read_updates(spark, root, ["username", "date"])
+    assert sorted(tuple(r) for r in got.collect()) == want

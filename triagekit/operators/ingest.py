@@ -107,7 +107,8 @@ def select_incremental(target: DataFrame | None, landed: DataFrame,
                        marks: DataFrame | None = None) -> DataFrame:
     """Landed issue rows updated at or after their repo's high-water + 1 s.
 
-    Repos without a high-water mark take every row.  Rows need a body.
+    Repos without a high-water mark take every row.  Rows need a body and a readable time
+    (:func:`unparsed_rows` names those without one).
     ``marks`` (from :func:`merge_high_water`) avoids scanning the target.
     """
     hw = (marks if marks is not None else high_water(target)).select(
@@ -116,7 +117,8 @@ def select_incremental(target: DataFrame | None, landed: DataFrame,
     # One row per repo: broadcast when the repo count is proven small.
     j = landed.join(maybe_broadcast(hw, materialize=True), (F.col("repo_owner") == F.col("_o"))
                     & (F.col("repo_name") == F.col("_r")), "left")
-    keep = has_body(F.col("body")) & (F.col("_since").isNull() | (F.col("updated_at") >= F.col("_since")))
+    keep = has_body(F.col("body")) & F.col("updated_at").isNotNull() & (
+        F.col("_since").isNull() | (F.col("updated_at") >= F.col("_since")))
     return j.where(keep).drop("_o", "_r", "_since")
 
 

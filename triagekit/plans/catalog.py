@@ -638,3 +638,38 @@ def q_summary_prompts(spark, base):
     from ..operators.prompts import summary_prompt
     iss = fx.issues_fx(spark, base).where(F.col("state") == "open")
     return iss.select("id", summary_prompt(F.col("body")).alias("prompt"))
+
+
+# --------------------------------------------------------------- streams
+@register("stream_ingest")
+def q_stream_ingest(spark, base):
+    """Landed documents streamed into the issue table: the table after it, and the
+    documents that could not be merged."""
+    from ..streaming import jobs
+    landed, root = _scratch(spark, "landed"), _scratch(spark, "issues")
+    fx.landed_documents_fx(spark, base).write.json(landed)
+    jobs.stream_ingest(spark, landed, root, _scratch(spark, "stream"), initial=fx.issues_fx(spark, base)).awaitTermination()
+    none = F.lit(None)
+    table = jobs.read_snapshot(spark, root).select(
+        F.lit("table").alias("outcome"), "id", "title", "state", "updated_at", none.cast("string").alias("landed_time"))
+    dead = jobs.read_dead_letter(spark, root).select(
+        F.col("reason").alias("outcome"), "id", F.get_json_object("document", "$.title").alias("title"),
+        F.get_json_object("document", "$.state").alias("state"), none.cast("timestamp_ntz").alias("updated_at"),
+        F.col("updated_at").alias("landed_time"))
+    return table.unionByName(dead)
+
+
+@register("stream_requests_by_user_date")
+def q_stream_requests_by_user_date(spark, base):
+    """Requests per user and day from a stream whose events arrive up to a day late."""
+    from ..streaming import jobs
+    logs = fx.logs_fx(spark, base).select("username", "timestamp", "id")
+    src, root = _scratch(spark, "logs"), _scratch(spark, "counts")
+    # Arrival: weeks of event time, every other event a day later.
+    week = F.floor((F.unix_micros(F.col("timestamp").cast("timestamp")) / 86_400_000_000 + F.col("id") % 2) / 7)
+    logs.withColumn("arrived", week.cast("int")).write.partitionBy("arrived").parquet(src)
+    parts = spark.read.parquet(src).select("arrived").distinct().count()
+    stream = spark.readStream.schema(logs.schema).option(
+        "maxFilesPerTrigger", max(1, parts)).parquet(f"{src}/arrived=*")
+    jobs.updates_sink(jobs.requests_per_user_day(stream, "30 days"), root, _scratch(spark, "stream"))
+    return jobs.read_updates(spark, root, ["username", "date"])

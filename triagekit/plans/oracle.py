@@ -537,3 +537,24 @@ ORACLE["chunk_token_ids"] = with_(_TOKS) + """,
 vocab AS (SELECT token, dense_rank() OVER (ORDER BY token) AS token_id FROM (SELECT DISTINCT token FROM tok_rows))
 SELECT r.doc_id, r.pos // 512 AS chunk_no, string_agg(CAST(v.token_id AS VARCHAR), ' ' ORDER BY r.pos) AS token_ids
 FROM tok_rows r JOIN vocab v USING (token) GROUP BY r.doc_id, r.pos // 512"""
+
+
+# --------------------------------------------------------------- streams
+ORACLE["stream_ingest"] = with_(ISSUES_FX) + """,
+landed AS (
+  SELECT i.id, c.turn, 'turn ' || CAST(c.turn AS VARCHAR) || ': ' || split_part(c.text, chr(10), 1) AS title,
+    c.text AS body, CASE WHEN c.role = 'user' THEN 'open' ELSE 'closed' END AS state, (i.id + c.turn) % 17 AS odd,
+    i.updated_at + to_days(CAST(c.turn // 2 AS INTEGER)) AS updated_at, i.repo_owner, i.repo_name
+  FROM conversations c JOIN issues_fx i ON c.conv_id = i.id),
+hw AS (SELECT repo_owner, repo_name, max(updated_at) + INTERVAL 1 SECOND AS since FROM issues_fx GROUP BY 1, 2),
+last AS (
+  SELECT l.id, l.title, l.state, l.updated_at FROM landed l JOIN hw USING (repo_owner, repo_name)
+  WHERE odd NOT IN (3, 4) AND l.body IS NOT NULL AND l.body <> '' AND l.updated_at >= hw.since
+  QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY l.updated_at DESC, l.turn DESC) = 1)
+SELECT 'table' AS outcome, id, title, state, updated_at, CAST(NULL AS VARCHAR) AS landed_time
+FROM issues_fx WHERE id NOT IN (SELECT id FROM last)
+UNION ALL SELECT 'table', id, title, state, updated_at, NULL FROM last
+UNION ALL SELECT 'unreadable time', id, title, state, NULL, CASE WHEN odd = 3 THEN 'yesterday' END
+FROM landed WHERE odd IN (3, 4)"""
+
+ORACLE["stream_requests_by_user_date"] = ORACLE["requests_by_user_date"]

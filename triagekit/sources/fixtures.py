@@ -223,3 +223,18 @@ def landed_updates_fx(spark: SparkSession, base: str) -> DataFrame:
         F.when(F.col("role") == "user", "open").otherwise("closed").alias("state"),
         (F.col("updated_at") + F.make_dt_interval(F.col("turn").cast("int"))).alias("updated_at"),
         "turn")
+
+
+def landed_documents_fx(spark: SparkSession, base: str) -> DataFrame:
+    """Landed documents with their arrival number: new versions of issues, two of each time
+    and some with a time that cannot be read."""
+    u = landed_updates_fx(spark, base).join(
+        issues_fx(spark, base).select("id", F.col("updated_at").alias("_before")), "id")
+    odd = (F.col("id") + F.col("turn")) % 17
+    time = F.date_format(F.col("_before") + F.make_dt_interval(F.floor(F.col("turn") / 2).cast("int")),
+                         "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return u.select(
+        "id", F.col("issue_number").alias("number"), F.col("issue_url").alias("html_url"), "repo_owner", "repo_name",
+        "title", "body", "state",
+        F.when(odd == 3, "yesterday").when(odd == 4, F.lit(None)).otherwise(time).alias("updated_at"),
+        F.col("turn").cast("long").alias("ordinal"))

@@ -1,8 +1,10 @@
 """Structured Streaming forms of the scheduled jobs.
 
 T1  incremental issue ingest: landed JSON pages → flatten → upsert into the hash
-    buckets a micro-batch touches (foreachBatch, idempotent per epoch).
-T2  requests per user and day: event-time windows with a watermark.
+    buckets a micro-batch touches, documents that cannot be placed → dead letter; one
+    manifest commits both (foreachBatch, idempotent per epoch).
+T2  requests per user and day: event-time windows with a watermark, kept in a table by
+    their updates.
 T3  quota metering: per-user state (period, balance) in
     ``applyInPandasWithState``; inside a micro-batch the clipped running
     balance is evaluated in closed form with numpy, not row by row.
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.ingest import flatten_issues, select_incremental
+from ..operators.ingest import flatten_issues, parse_iso, select_incremental
 from ..operators.issues import high_water, merge_high_water
 from ..operators.upsert import dedupe_last_wins, merge_by_key
 from ..operators.quota import TIER_ALLOWANCE
@@ -73,8 +75,40 @@ def read_marks(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root.rstrip('/')}/marks/{version}") if version else None
 
 
+#: A document that was not merged: why, what it says of itself, and itself as JSON text.
+DEAD_LETTER = T.StructType([
+    T.StructField("epoch", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("id", T.LongType()),
+    T.StructField("repo_owner", T.StringType()), T.StructField("repo_name", T.StringType()),
+    T.StructField("updated_at", T.StringType()), T.StructField("document", T.StringType())])
+CORRUPT = "_corrupt_record"
+#: Landed pages may carry their arrival number; lines that are no JSON object are kept as text.
+LANDED = T.StructType([*RAW_ISSUE.fields, T.StructField("ordinal", T.LongType()), T.StructField(CORRUPT, T.StringType())])
+
+
+def dead_letter(batch: DataFrame, epoch_id: int = 0) -> DataFrame:
+    """Documents that cannot be merged, with the reason (see ``DEAD_LETTER``): lines that
+    are no JSON object, documents without an id, and those without a readable time."""
+    text = F.col(CORRUPT) if CORRUPT in batch.columns else F.lit(None).cast("string")
+    reason = (F.when(text.isNotNull(), "malformed document").when(F.col("id").isNull(), "no id")
+              .when(parse_iso(F.col("updated_at")).isNull(), "unreadable time"))
+    own = [c for c in batch.columns if c not in (CORRUPT, "_arrival")]
+    return batch.select(
+        F.lit(epoch_id).cast("long").alias("epoch"), reason.alias("reason"), "id", "repo_owner", "repo_name", "updated_at",
+        F.coalesce(text, F.to_json(F.struct(*own))).alias("document")).where(F.col("reason").isNotNull())
+
+
+def read_dead_letter(spark: SparkSession, root: str) -> DataFrame:
+    """Dead letters of all committed epochs (those of an epoch that failed half way are
+    replaced when it runs again)."""
+    root, last = root.rstrip("/"), latest_version(spark, root)
+    names = [n for n in _versions(spark, f"{root}/dead") if last is not None and n <= last]
+    if not names:
+        return spark.createDataFrame([], DEAD_LETTER)
+    return spark.read.schema(DEAD_LETTER).parquet(*[f"{root}/dead/{n}" for n in names])
+
+
 def prune_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
-    """Delete what none of the newest ``keep`` manifests refers to."""
+    """Delete what none of the newest ``keep`` manifests refers to; dead letters stay."""
     root = root.rstrip("/")
     kept = _versions(spark, f"{root}/manifest")[-keep:]
     used = {v for k in kept for v in _manifest(spark, root, k).values()}
@@ -88,13 +122,25 @@ def prune_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
                 fs.delete(st.getPath(), True)
 
 
-def upsert_batch_into_snapshots(root: str, initial: DataFrame | None = None, buckets: int = BUCKETS):
-    """foreachBatch body: merge the micro-batch into the buckets its ids fall in.
+def _with_arrival(batch: DataFrame) -> DataFrame:
+    """``_arrival``: the landed number if the pages carry one, then when the file landed,
+    its name, and the place in it (a row's number grows along its part of a file)."""
+    have = [F.coalesce("ordinal", F.lit(-1).cast("long"))] if "ordinal" in batch.columns else []
+    have += [F.col(c) for c in ("_landed", "_file", "_block") if c in batch.columns]
+    row = F.monotonically_increasing_id()
+    return batch.withColumn("_arrival", F.struct(*have, row.alias("_row"))).drop("_landed", "_file", "_block")
+
 
-    A version ``v{epoch}`` writes the touched buckets, the per-repo high-water marks and,
-    last, the manifest that names the version of every bucket; a replayed epoch finds its
-    manifest and does nothing, so the sink is idempotent.  Buckets without fresh rows are
-    neither read nor written, and marks roll forward from the fresh rows alone.
+def upsert_batch_into_snapshots(root: str, initial: DataFrame | None = None, buckets: int = BUCKETS):
+    """foreachBatch body: merge the micro-batch into the buckets its ids fall in, and keep
+    what cannot be merged as dead letters.
+
+    A version ``v{epoch}`` writes the dead letters, the touched buckets, the per-repo
+    high-water marks and, last, the manifest that names the version of every bucket: it
+    commits table and dead letters together, and a replayed epoch finds it and does
+    nothing.  Buckets without fresh rows are neither read nor written, and marks roll
+    forward from the fresh rows alone.  Of versions of one issue with the same time the
+    later arrival wins.
     """
     root = root.rstrip("/")
 
@@ -108,12 +154,15 @@ def upsert_batch_into_snapshots(root: str, initial: DataFrame | None = None, buc
         marks = read_marks(spark, root)
         if last is None and initial is not None:
             marks = cut_lineage(high_water(initial))
-        flat = flatten_issues(batch)
-        columns = initial.columns if initial is not None else flat.columns
-        fresh = select_incremental(None, flat.select(*columns), marks if marks is not None else
+        batch = _with_arrival(batch)
+        dead_letter(batch, epoch_id).write.mode("overwrite").parquet(f"{root}/dead/{name}")
+        if CORRUPT in batch.columns:
+            batch = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        flat = flatten_issues(batch.where(F.col("id").isNotNull()), "_arrival")
+        columns = initial.columns if initial is not None else [c for c in flat.columns if c != "_arrival"]
+        fresh = select_incremental(None, flat.select(*columns, "_arrival"), marks if marks is not None else
                                    high_water(flat.limit(0)))
-        tie = F.xxhash64(*[F.col(c).cast("string") for c in ("title", "body", "state") if c in columns])
-        fresh = cut_lineage(dedupe_last_wins(fresh.withColumn("_tie", tie), ["id"], ["updated_at", "_tie"]).drop("_tie"))
+        fresh = cut_lineage(dedupe_last_wins(fresh, ["id"], ["updated_at", "_arrival"]).drop("_arrival"))
         bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
         # At most ``buckets`` numbers.
         touched = [r[0] for r in fresh.select(bucket).distinct().collect()]
@@ -121,14 +170,14 @@ def upsert_batch_into_snapshots(root: str, initial: DataFrame | None = None, buc
             current, touched = initial, list(range(buckets))
         else:
             current = read_snapshot(spark, root, touched) if touched else None
-        if not touched:
-            return
-        merged = fresh if current is None else merge_by_key(current.select(*columns), fresh, ["id"])
-        (merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite")
-         .partitionBy("bucket").parquet(f"{root}/data/{name}"))
+        written = []
+        if touched:
+            merged = fresh if current is None else merge_by_key(current.select(*columns), fresh, ["id"])
+            (merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite")
+             .partitionBy("bucket").parquet(f"{root}/data/{name}"))
+            fs, _ = _fs(spark, root)
+            written = [b for b in touched if fs.exists(_fs(spark, f"{root}/data/{name}/bucket={b}")[1])]
         merge_high_water(marks, fresh).write.mode("overwrite").parquet(f"{root}/marks/{name}")
-        fs, _ = _fs(spark, root)
-        written = [b for b in touched if fs.exists(_fs(spark, f"{root}/data/{name}/bucket={b}")[1])]
         rows = sorted({**known, **{b: name for b in written}}.items())
         spark.createDataFrame(rows, "bucket int, version string").coalesce(1).write.mode("overwrite").parquet(
             f"{root}/manifest/{name}")
@@ -137,10 +186,20 @@ def upsert_batch_into_snapshots(root: str, initial: DataFrame | None = None, buc
     return run
 
 
+def landed_stream(spark: SparkSession, landed_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """Landed JSON pages as a stream, with where each document stood."""
+    src = spark.readStream.schema(LANDED).option("columnNameOfCorruptRecord", CORRUPT)
+    if files_per_batch:
+        src = src.option("maxFilesPerTrigger", files_per_batch)
+    return src.json(landed_dir).select(
+        "*", F.col("_metadata.file_modification_time").alias("_landed"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"))
+
+
 def stream_ingest(spark: SparkSession, landed_dir: str, snapshot_root: str, checkpoint: str,
-                  initial: DataFrame | None = None):
+                  initial: DataFrame | None = None, files_per_batch: int | None = None):
     """Start T1 with ``availableNow``: process everything landed, then stop."""
-    src = spark.readStream.schema(RAW_ISSUE).json(landed_dir)
+    src = landed_stream(spark, landed_dir, files_per_batch)
     return (src.writeStream.foreachBatch(upsert_batch_into_snapshots(snapshot_root, initial))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
@@ -156,6 +215,30 @@ def requests_per_user_day(logs_stream: DataFrame, lateness: str = "1 day") -> Da
             .select("username", F.to_date(F.col("w.start")).alias("date"), "count"))
 
 
+def updates_sink(stream: DataFrame, root: str, checkpoint: str):
+    """Run a streaming aggregate to completion, keeping what each micro-batch changed.
+
+    One folder an epoch, overwritten when the epoch runs again; nothing reaches the driver.
+    :func:`read_updates` gives the newest state of every key.
+    """
+    root = root.rstrip("/")
+
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        batch.withColumn("_epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite").parquet(f"{root}/v{epoch_id + 1:09d}")
+
+    q = (stream.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def read_updates(spark: SparkSession, root: str, key: list[str]) -> DataFrame:
+    """The newest row of every key among the epochs' updates."""
+    names = _versions(spark, root.rstrip("/"))
+    rows = spark.read.parquet(*[f"{root.rstrip('/')}/{n}" for n in names])
+    return dedupe_last_wins(rows, key, ["_epoch"]).drop("_epoch")
+
+
 # ----------------------------------------------------------------- T3
 METER_OUT = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("username", T.StringType()),
