@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from triagekit.functions.text import image_urls, rewrite_images, strip_urls
 from triagekit.functions.tokens import chunk_array, tokenize
-from triagekit.operators import activity, embed, ingest, issues, knn, quality, quota, similarity, upsert, users
+from triagekit.operators import (activity, embed, ingest, issues, knn, quality, quota, similarity, upsert, users,
+                                 vocabulary)
 from triagekit.operators.indexing import with_sequential_index
 from triagekit.operators.ivf import knn_l2_cells, label_centroids
 from triagekit.sources import fixtures as fx
@@ -70,22 +71,52 @@ def test_model_hook_mean_pool(spark):
     chunks = spark.createDataFrame([(1, 0, [1, 2]), (1, 1, [3]), (2, 0, [5])],
                                    "id long, chunk_no int, token_ids array<long>")
 
-    def factory():
-        return lambda arrs: [[float(len(a)), float(sum(a))] for a in arrs]
+    def make():
+        return lambda a: np.stack([(a != embed.PAD_ID).sum(1), np.where(a == embed.PAD_ID, 0, a).sum(1)], 1).astype(float)
 
-    vecs = embed.embed_chunks_with_model(chunks, factory, 2)
+    vecs = embed.embed_chunks_with_model(chunks, make, size=4)
     ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     got = {r["id"]: r["vector"] for r in embed.mean_of_vectors(vecs, ids, 2).collect()}
     assert got[1] == [1.5, 3.0] and got[2] == [1.0, 5.0] and got[3] == [0.0, 0.0]
 
 
-def test_vocabulary_unknown_token(spark):
-    train = spark.createDataFrame([(1, 0, "b"), (1, 1, "a")], "id long, pos int, token string")
-    vocab = embed.build_vocabulary(train)
-    assert {r["token"]: r["token_id"] for r in vocab.collect()} == {"a": 1, "b": 2}
-    other = spark.createDataFrame([(2, 0, "a"), (2, 1, "zzz")], "id long, pos int, token string")
-    got = {r["token"]: r["token_id"] for r in embed.encode_tokens(other, vocab).collect()}
-    assert got == {"a": 1, "zzz": embed.UNK_ID}
+def test_model_chain_edges(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (1, "a " * 1300)], "doc_id long, text string")
+    got = embed.document_vectors(docs.where("doc_id <> 1"), embed.linear_model(3), 3).collect()
+    assert {(r["id"], r["n_chunks"], tuple(r["vector"])) for r in got} == {(2, 0, (0.0,) * 3), (3, 0, (0.0,) * 3)}
+    long = embed.document_vectors(docs.where("length(text) > 100"), embed.linear_model(2), 2).collect()
+    want = [(31 + j * 17 + 7) % 97 * 1000.0 for j in range(2)]
+    assert [(r["n_chunks"], r["vector"]) for r in long] == [(3, want)]
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 60, 0])
+def test_vocabulary_ids_beyond_the_broadcast(spark, max_bytes):
+    """Whole vocabulary to the tasks, a part of it, or none: the same ids."""
+    rows = [(1, "b a b c"), (2, "a a a"), (None, "zz b"), (4, ""), (5, None), (2, "c x1 x2 x3 x4 a")]
+    arrays = vocabulary.token_arrays(spark.createDataFrame(rows, "doc_id long, text string"))
+    vocab = vocabulary.build_vocabulary(arrays)
+    ids = {r["token"]: r["token_id"] for r in vocab.collect()}
+    assert ids == {t: i + 1 for i, t in enumerate(["a", "b", "c", "x1", "x2", "x3", "x4", "zz"])}
+    got = vocabulary.encode_arrays(arrays, vocab, max_bytes).collect()
+    assert sorted((str(r["id"]), r["token_ids"]) for r in got) == sorted(
+        (str(i), [ids[t] for t in (x or "").split()]) for i, x in rows)
+    unknown = vocab.where("token not in ('a', 'zz')")
+    got = vocabulary.encode_arrays(arrays, unknown, max_bytes).where("id = 1").collect()
+    assert got[0]["token_ids"] == [2, vocabulary.UNK_ID, 2, 3]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_tokenised_once(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert _plan(embed.chunk_bag_weights(docs, 64)).count("regexp_extract_all") == 1
+    assert _plan(embed.pooled_rows(docs, 64)).count("regexp_extract_all") == 1
+    arrays = vocabulary.token_arrays(docs)
+    encoded = vocabulary.encode_arrays(arrays, vocabulary.build_vocabulary(arrays))
+    for df in (vocabulary.encoded_rows(encoded), vocabulary.chunk_token_ids(encoded)):
+        assert "regexp_extract_all" not in _plan(df) and "Exchange" not in _plan(df)  # no row is shuffled
 
 
 def test_sequential_index_dense(spark):

@@ -1,4 +1,4 @@
-"""Issue embeddings: tokens → vocabulary ids → chunks → vectors → mean.
+"""Issue embeddings: tokens → vocabulary ids (:mod:`.vocabulary`) → chunks → vectors → mean.
 
 The default model is a hashed bag of tokens: each chunk's vector holds, per
 bucket ``md5(token)[0:4] mod dim``, the share of the chunk's tokens that
@@ -14,46 +14,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokens import CHUNK_SIZE, chunk_array, clean_tokens, n_chunks
-from ..session import maybe_broadcast, ship_package, spread
-from .indexing import with_sequential_index
+from ..session import ship_package, spread
 
-UNK_ID = 0
 # Fixed-point scale used when exact integer weights are requested.
 FIXED_POINT = 1_000_000
 
 
-def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, token) for every token of every document (whole texts)."""
-    # posexplode_outer + null filter: a plain posexplode makes Catalyst infer
-    # size(tokens) > 0 and push it below the spread, running the regex twice.
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))).select(
-        "id", F.posexplode_outer(clean_tokens(F.col("_text"))).alias("pos", "token")).where(
-        F.col("pos").isNotNull())
-
-
-def build_vocabulary(tokens: DataFrame) -> DataFrame:
-    """Distinct tokens with dense ids 1..V in token (binary) order; 0 is UNK."""
-    distinct = tokens.select("token").distinct()
-    return with_sequential_index(distinct, ["token"], name="token_id", start=1)
-
-
-def encode_tokens(tokens: DataFrame, vocab: DataFrame, broadcast_max_rows: int = 2_000_000) -> DataFrame:
-    """Replace tokens by vocabulary ids (unknown → UNK).
-
-    A vocabulary proven small is broadcast; otherwise the join shuffles on
-    the token and AQE splits the partitions of very frequent tokens.
-    """
-    v = maybe_broadcast(vocab.select("token", "token_id"), broadcast_max_rows)
-    return (tokens.join(v, "token", "left")
-            .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(UNK_ID)).cast("long")))
-
-
 def chunk_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 size: int = CHUNK_SIZE) -> DataFrame:
     """(id, chunk_no, n_tokens) per chunk — arithmetic on the token count, no shuffle."""
@@ -82,9 +53,11 @@ def chunk_bag_weights(docs: DataFrame, dim: int, id_col: str = "doc_id", text_co
     when ``fixed_point``.  The text is tokenised once and nothing is shuffled.
     """
     c = chunk_counts(docs, dim, id_col, text_col, size)
-    c = c.select("id", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk_no", "c"))
+    # Outer generators and filters after them: a filter on the arrays' sizes would be
+    # inferred otherwise and pushed to the scan, where it tokenises the texts again.
+    c = c.select("id", F.size("chunks").alias("n_chunks"), F.posexplode_outer("chunks").alias("chunk_no", "c"))
     c = c.select("id", "chunk_no", "n_chunks", F.col("c.n").alias("n_tokens"),
-                 F.posexplode("c.counts").alias("bucket", "cnt")).where(F.col("cnt") > 0)
+                 F.posexplode_outer("c.counts").alias("bucket", "cnt")).where(F.col("cnt") > 0)
     return c.select("id", "chunk_no", "n_chunks", "bucket",
                     _weight(F.col("cnt"), F.col("n_tokens"), fixed_point).alias("weight"))
 
@@ -140,64 +113,66 @@ def pooled_rows(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: str
                 fixed_point: bool = False) -> DataFrame:
     """Sparse document vectors: (id, n_chunks, bucket, value) of the buckets present."""
     p = pooled_vectors(docs, dim, id_col, text_col, fixed_point)
-    return p.select("id", "n_chunks", F.posexplode(F.arrays_zip("vector", "present")).alias("bucket", "e")).where(
+    return p.select("id", "n_chunks", F.posexplode_outer(F.arrays_zip("vector", "present")).alias("bucket", "e")).where(
         "e.present").select("id", "n_chunks", "bucket", F.col("e.vector").alias("value"))
 
 
-def chunk_token_ids(encoded: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
-    """Token rows with ids -> (id, chunk_no, token_ids) as :func:`embed_chunks_with_model`
-    takes them; a group is one chunk, at most ``size`` tokens."""
-    chunk = F.floor(F.col("pos") / size).cast("int")
-    c = encoded.groupBy("id", chunk.alias("chunk_no")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
-    return c.select("id", "chunk_no", F.transform("_t", lambda t: t["token_id"]).alias("token_ids"))
+def issue_embeddings(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: str = "text",
+                     fixed_point: bool = False) -> DataFrame:
+    """Dense document vectors of the bag model (C4): (id, n_chunks, vector)."""
+    return pooled_vectors(docs, dim, id_col, text_col, fixed_point).drop("present")
 
 
-def mean_pool(weights: DataFrame, fixed_point: bool = False) -> DataFrame:
-    """Sparse document vectors: unweighted mean over each document's chunks.
+#: Fills the chunks of a document's last, shorter run of tokens; no vocabulary id.
+PAD_ID = -1
 
-    Buckets absent from a chunk contribute zero, so the mean is the bucket's
-    weight sum divided by the document's chunk count.
-    """
-    s = weights.groupBy("id", "n_chunks", "bucket").agg(F.sum("weight").alias("_s"))
-    v = (F.floor(F.col("_s") / F.col("n_chunks")).cast("long") if fixed_point
-         else (F.col("_s") / F.col("n_chunks")).cast("double"))
-    return s.select("id", "n_chunks", "bucket", v.alias("value"))
 
+def linear_model(dim: int, scale: int = 1000) -> Callable[[], Callable]:
+    """A deterministic stand-in for a neural encoder: the floor of the mean of fixed token
+    weights, in units of 1 / ``scale``.  Like any model it is built once per worker."""
+    def make():
+        def weights(ids: np.ndarray) -> np.ndarray:
+            return (ids[..., None] * 31 + np.arange(dim) * 17 + 7) % 97
 
-def issue_embeddings(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: str = "text",
-                     fixed_point: bool = False) -> DataFrame:
-    """Dense document vectors of the bag model (C4): (id, n_chunks, vector)."""
-    return pooled_vectors(docs, dim, id_col, text_col, fixed_point).drop("present")
+        def predict(chunks: np.ndarray) -> np.ndarray:
+            ids = np.asarray(chunks, dtype=np.int64)
+            real = ids != PAD_ID
+            total = (weights(ids) * real[..., None]).sum(1) * scale
+            return (total // np.maximum(real.sum(1), 1)[:, None]).astype(np.float64)
+        return predict
+    return make
 
 
-def embed_chunks_with_model(chunks: DataFrame, model_factory: Callable[[], Callable],
-                            dim: int) -> DataFrame:
+def embed_chunks_with_model(chunks: DataFrame, make_predict: Callable[[], Callable], size: int = CHUNK_SIZE,
+                            batch_size: int = 64) -> DataFrame:
     """Pluggable model over token-id chunks: (id, chunk_no, token_ids) → vector.
 
-    ``model_factory`` is called once per Python worker and returns a function
-    mapping a list of int arrays to an (n, dim) array.  Chunks travel as
-    Arrow batches; only this call leaves the JVM.
+    ``make_predict`` loads the model, once per Python worker, and returns a function from
+    an (n, ``size``) integer array to an (n, dim) array; chunks shorter than ``size`` end
+    in ``PAD_ID``.  Chunks travel as Arrow batches, ``batch_size`` to a call; only that call
+    leaves the JVM.
     """
+    from pyspark.ml.functions import predict_batch_udf
     ship_package(chunks.sparkSession)  # workers import this module
-    out_schema = T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("chunk_no", T.IntegerType()),
-        T.StructField("vector", T.ArrayType(T.DoubleType()))])
-    holder: dict = {}
-
-    def run(batches):
-        model = holder.get("m")
-        if model is None:
-            model = holder["m"] = model_factory()
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            vecs = np.asarray(model(list(pdf["token_ids"])), dtype=np.float64).reshape(len(pdf), dim)
-            yield pd.DataFrame({"id": pdf["id"].astype("int64"),
-                                "chunk_no": pdf["chunk_no"].astype("int32"),
-                                "vector": list(vecs)})
-
-    return chunks.select("id", "chunk_no", "token_ids").mapInPandas(run, out_schema)
+    model = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+                              input_tensor_shapes=[[size]])
+    short = F.greatest(F.lit(size) - F.size("token_ids"), F.lit(0))
+    padded = F.concat("token_ids", F.array_repeat(F.lit(PAD_ID).cast("long"), short))
+    return chunks.select("id", "chunk_no", model(padded).alias("vector"))
+
+
+def document_vectors(docs: DataFrame, make_predict: Callable[[], Callable], dim: int, id_col: str = "doc_id",
+                     text_col: str = "text", vocab: DataFrame | None = None) -> DataFrame:
+    """The whole chain: texts → tokens → vocabulary ids → chunks → model → mean.
+
+    (id, n_chunks, vector) per document; without tokens the zero vector and no chunk.
+    ``vocab`` (token, n_docs, token_id) is that of the documents themselves if None.
+    """
+    from . import vocabulary
+    arrays = vocabulary.token_arrays(docs, id_col, text_col)
+    vocab = vocabulary.build_vocabulary(arrays) if vocab is None else vocab
+    chunks = vocabulary.chunk_token_ids(vocabulary.encode_arrays(arrays, vocab))
+    return mean_of_vectors(embed_chunks_with_model(chunks, make_predict), arrays, dim)
 
 
 def mean_of_vectors(chunk_vectors: DataFrame, ids: DataFrame, dim: int) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import vocabulary
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
@@ -369,11 +370,14 @@ def q_tokenize(spark, base):
                     F.array_join("t", " ").alias("tokens"))
 
 
+def _encoded(spark, base):
+    arrays = vocabulary.token_arrays(read_table(spark, base, "documents"))
+    return vocabulary.encode_arrays(arrays, vocabulary.build_vocabulary(arrays))
+
+
 @register("vocab_encode")
 def q_vocab_encode(spark, base):
-    from ..operators.embed import build_vocabulary, encode_tokens, token_rows
-    toks = token_rows(read_table(spark, base, "documents"))
-    enc = encode_tokens(toks, build_vocabulary(toks))
+    enc = vocabulary.encoded_rows(_encoded(spark, base))
     return enc.select(F.col("id").alias("doc_id"), F.col("pos").cast("bigint").alias("pos"), "token_id")
 
 
@@ -400,6 +404,19 @@ def q_chunk_mean_pool(spark, base):
     return p.select(F.col("id").alias("doc_id"), F.col("bucket").cast("bigint").alias("bucket"), "value")
 
 
+MODEL_DIM = 16
+
+
+@register("model_embeddings")
+def q_model_embeddings(spark, base):
+    """Documents through a model: tokens, vocabulary ids, chunks, vectors, their mean."""
+    from ..operators.embed import document_vectors, linear_model
+    v = document_vectors(read_table(spark, base, "documents"), linear_model(MODEL_DIM), MODEL_DIM)
+    # The chunk vectors are whole numbers: their sum is exact again.
+    mean = F.transform("vector", lambda x: F.floor(F.round(x * F.greatest("n_chunks", F.lit(1))) / F.greatest("n_chunks", F.lit(1))))
+    return v.select(F.col("id").alias("doc_id"), "n_chunks", F.array_join(mean, ",").alias("vector"))
+
+
 @register("issue_embeddings")
 def q_issue_embeddings(spark, base):
     from ..operators.embed import issue_embeddings
@@ -626,9 +643,7 @@ def q_dq_csv_batch(spark, base):
 @register("chunk_token_ids")
 def q_chunk_token_ids(spark, base):
     """Token-id chunks as a model takes them: (document, chunk, ids)."""
-    from ..operators.embed import build_vocabulary, chunk_token_ids, encode_tokens, token_rows
-    toks = token_rows(read_table(spark, base, "documents"))
-    c = chunk_token_ids(encode_tokens(toks, build_vocabulary(toks)))
+    c = vocabulary.chunk_token_ids(_encoded(spark, base))
     return c.select(F.col("id").alias("doc_id"), F.col("chunk_no").cast("bigint").alias("chunk_no"),
                     F.array_join("token_ids", " ").alias("token_ids"))
 

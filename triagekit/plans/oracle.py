@@ -558,3 +558,14 @@ UNION ALL SELECT 'unreadable time', id, title, state, NULL, CASE WHEN odd = 3 TH
 FROM landed WHERE odd IN (3, 4)"""
 
 ORACLE["stream_requests_by_user_date"] = ORACLE["requests_by_user_date"]
+
+ORACLE["model_embeddings"] = with_(_TOKS) + """,
+vocab AS (SELECT token, dense_rank() OVER (ORDER BY token) AS token_id FROM (SELECT DISTINCT token FROM tok_rows)),
+chunk AS (
+  SELECT r.doc_id, r.pos // 512 AS chunk_no, j, sum((v.token_id * 31 + j * 17 + 7) % 97) * 1000 // count(*) AS x
+  FROM tok_rows r JOIN vocab v USING (token), (SELECT unnest(range(16)) AS j) GROUP BY ALL),
+pooled AS (SELECT doc_id, j, count(*) AS n, sum(x) // count(*) AS x FROM chunk GROUP BY doc_id, j)
+SELECT d.doc_id, CAST(coalesce(max(p.n), 0) AS BIGINT) AS n_chunks,
+  string_agg(CAST(CAST(coalesce(p.x, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY g.j) AS vector
+FROM documents d CROSS JOIN (SELECT unnest(range(16)) AS j) g LEFT JOIN pooled p ON p.doc_id = d.doc_id AND p.j = g.j
+GROUP BY d.doc_id"""
