@@ -687,3 +687,50 @@ def test_publish_reports_under_relative_paths(spark, tmp_dir):
     paths = publish_reports({"suite/2024/result.json": one, "summary.json": one.limit(0)}, f"{tmp_dir}/site")
     assert [p.removeprefix(f"{tmp_dir}/site/") for p in paths] == ["suite/2024/result.json", "summary.json"]
     assert spark.read.schema("id int, v string").json(paths[0]).collect() == one.collect()
+
+
+# ------------------------------------------------------- bursts of one user
+def _burst(spark):
+    """One user's thousand events inside one second, among others'; two share an instant."""
+    burst = [(i, "hot", dt.datetime(2024, 1, 1, 10, 0, 0, (i // 2) * 1000), "topup" if i % 400 == 7 else "call",
+              "Gold - (50$)" if i % 400 == 7 else None) for i in range(1000)]
+    rest = [(2000 + i, f"u{i % 5}", dt.datetime(2024, 1, 1, 9 + i % 4, i % 60), "call", None) for i in range(300)]
+    more = [(3000 + i, None if i % 2 else "ghost", dt.datetime(2024, 1, 1, 10), "call", None) for i in range(20)]
+    ev = spark.createDataFrame(burst + rest + more, "event_id long, username string, ts timestamp_ntz, kind string, service string")
+    users = spark.createDataFrame([("hot", "Free - (0$)", 4), *[(f"u{i}", "Other", 70) for i in range(5)]],
+                                  "username string, service string, calls_remaining int")
+    return ev, users
+
+
+def test_split_chunks_bounds_every_window(spark):
+    from triagekit.operators.indexing import running_sum, split_chunks
+    ev, _ = _burst(spark)
+    ev = ev.where("username is not null")
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    d = split_chunks(ev, ["username"], ["ts", "event_id"], hour, 100)
+    n = [r["count"] for r in d.groupBy("username", "_chunk", "_part").count().collect()]
+    assert sum(n) == ev.count() and max(n) <= 200  # the hot user's hour lies in many windows
+    assert d.where("username = 'hot'").select("_part").distinct().count() >= 10
+    assert d.where("username <> 'hot'").select("_part").distinct().count() == 1
+    hot = [r["_part"] for r in d.where("username = 'hot'").orderBy("ts", "event_id").collect()]
+    assert hot == sorted(hot)
+    one = ev.withColumn("v", F.col("event_id") % 7)
+    got = {r["event_id"]: r["running"] for r in running_sum(one, ["username"], ["ts", "event_id"], "v", hour, max_rows=50).collect()}
+    want, total = {}, {}
+    for r in sorted(one.collect(), key=lambda r: (r["ts"], r["event_id"])):
+        total[r["username"]] = want[r["event_id"]] = total.get(r["username"], 0) + r["v"]
+    assert got == want
+
+
+def test_bursts_are_metered_alike(spark):
+    ev, users_ = _burst(spark)
+    whole = sorted(map(str, quota.meter_calls(ev, users_).collect()))
+    assert sorted(map(str, quota.meter_calls(ev, users_, max_rows=64).collect())) == whole
+    up = ev.where("kind = 'topup'").unionByName(ev.where("username is null or username = 'ghost'")).withColumn(
+        "service", F.coalesce("service", F.lit("Gold - (50$)")))
+    up = up.unionByName(ev.where("username = 'hot' and kind = 'call'").withColumn("service", F.lit("Free - (0$)")))
+    got = users.update_subscriptions(users_, up)
+    assert sorted(map(str, users.update_subscriptions(users_, up, max_rows=50).collect())) == sorted(map(str, got.collect()))
+    assert {r["response_code"] for r in got.where("username is null").collect()} == {404}
+    last = got.where("username = 'hot'").orderBy(F.desc("ts"), F.desc("event_id")).first()
+    assert last["calls_remaining"] == 4 + 3 * 15 + 997 * 10

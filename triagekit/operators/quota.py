@@ -10,10 +10,10 @@ Unknown users get 404 and are not metered.
 The balance is a clipped running sum.  With S the unclipped running sum
 (start + top-ups - calls) and M = min(0, running min of S), a call is denied
 exactly when M drops, and balance = S - M.  Both running aggregates are
-computed as a two-level prefix scan: per (group, time chunk) windows, then
-per-group offsets over one summary row per chunk.  A user with a huge share
-of the traffic is therefore spread over many tasks instead of one window
-partition.
+computed as a two-level prefix scan: per (group, time chunk, part) windows of a
+bounded number of rows, then per-group offsets over one summary row per part.  A
+user with a huge share of the traffic, even inside one second, is therefore spread
+over many tasks instead of one window partition.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
 from ..sources.fixtures import TIER_FREE, TIER_GOLD, TIER_PLATINUM
+from .indexing import CHUNK_ROWS, split_chunks
 
 # Allowance per tier (reset level and upgrade amount).
 TIER_ALLOWANCE = {TIER_FREE: 10, TIER_GOLD: 15, TIER_PLATINUM: 20}
@@ -55,7 +56,7 @@ def low_balance_flag(remaining: Column) -> Column:
 
 
 def meter_calls(events: DataFrame, users: DataFrame, *, period: str = "hour",
-                chunk_seconds: int = 3600) -> DataFrame:
+                chunk_seconds: int = 3600, max_rows: int = CHUNK_ROWS) -> DataFrame:
     """Meter a stream of calls and top-ups against the users' tiers.
 
     ``events``: ``event_id, username, ts, kind`` with kind ``call`` or
@@ -101,27 +102,29 @@ def meter_calls(events: DataFrame, users: DataFrame, *, period: str = "hour",
         "_pk": F.coalesce("period_start", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")),
         "_delta": F.when(F.col("kind") == "topup", topup_amount(F.col("_bought")))
                    .otherwise(F.lit(-1)).cast("long"),
-        "_chunk": F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(chunk_seconds * 1_000_000)),
     })
     # Group = everything one reset (or the first balance) covers.
     grp = ["username", "_pk"]
     order = ["ts", "event_id"]
-    w_chunk = (Window.partitionBy(*grp, "_chunk").orderBy(*order)
+    chunk = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(chunk_seconds * 1_000_000))
+    ev = split_chunks(ev, grp, order, chunk, max_rows)
+    key = [*grp, "_chunk", "_part"]
+    w_chunk = (Window.partitionBy(*key).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ev.withColumn("_ls", F.sum("_delta").over(w_chunk))
     local = local.withColumn("_lm", F.min("_ls").over(w_chunk))
     local = local.withColumn("_prev_lm", F.lag("_lm").over(
-        Window.partitionBy(*grp, "_chunk").orderBy(*order)))
-    # One summary row per chunk, then exclusive prefixes over chunks.
-    summ = local.groupBy(*grp, "_chunk").agg(
+        Window.partitionBy(*key).orderBy(*order)))
+    # One summary row per part, then exclusive prefixes over parts.
+    summ = local.groupBy(*key).agg(
         F.sum("_delta").alias("_tot"), F.min("_ls").alias("_cmin"),
         F.first("_start").alias("_s0"))
-    w_grp = Window.partitionBy(*grp).orderBy("_chunk").rowsBetween(
+    w_grp = Window.partitionBy(*grp).orderBy("_chunk", "_part").rowsBetween(
         Window.unboundedPreceding, -1)
     summ = summ.withColumn("_off", F.col("_s0") + F.coalesce(F.sum("_tot").over(w_grp), F.lit(0)))
-    # running min of S over all earlier chunks: min(offset_c + chunk_min_c)
+    # running min of S over all earlier parts: min(offset_p + part_min_p)
     summ = summ.withColumn("_pmin", F.min(F.col("_off") + F.col("_cmin")).over(w_grp))
-    j = local.join(summ.select(*grp, "_chunk", "_off", "_pmin"), [*grp, "_chunk"])
+    j = local.join(summ.select(*key, "_off", "_pmin"), key)
     # least() skips nulls: a missing earlier-chunk minimum simply drops out.
     s_now = F.col("_off") + F.col("_ls")
     min_now = F.least(F.col("_start"), F.col("_pmin"), F.col("_off") + F.col("_lm"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
-from .indexing import running_sum
+from .indexing import CHUNK_ROWS, running_sum
 from .quota import topup_amount
 
 # Sign-up form rules and their messages.
@@ -112,7 +112,7 @@ def users_after_updates(users: DataFrame, upgrades: DataFrame, passwords: DataFr
     return j.select(*[new.get(c, F.col(c)).alias(c) for c in users.columns])
 
 
-def update_subscriptions(users: DataFrame, updates: DataFrame) -> DataFrame:
+def update_subscriptions(users: DataFrame, updates: DataFrame, max_rows: int = CHUNK_ROWS) -> DataFrame:
     """Apply subscription upgrades in order; unknown users give 404.
 
     ``updates``: ``event_id, username, ts, service``.  Each upgrade sets the
@@ -122,22 +122,18 @@ def update_subscriptions(users: DataFrame, updates: DataFrame) -> DataFrame:
     """
     u = users.select("username", F.col("service").alias("_old_service"),
                      F.col("calls_remaining").cast("long").alias("_init"))
-    j = updates.join(maybe_broadcast(u), "username", "left")
-    j = j.withColumn("_amt", topup_amount(F.col("service")).cast("long")) \
-         .withColumn("_uk", F.coalesce(F.col("username"), F.lit("")))
-    # Running sum per user as a two-level scan over hourly chunks (hot users
-    # are split across tasks).
-    j = running_sum(j, ["_uk"], ["ts", "event_id"], "_amt",
-                    F.date_trunc("hour", F.col("ts").cast("timestamp")), name="_added").drop("_uk")
-    added = F.col("_added")
-    j = j.withColumn("_found", F.col("_init").isNotNull() | F.col("_old_service").isNotNull())
-    remaining = F.when(F.col("_found"), F.coalesce(F.col("_init"), F.lit(0)) + added)
-    desc = F.when(F.col("_found"), F.format_string(
-        "Subscription updated: service=%s, calls_remaining=%d", F.col("service"), remaining)
-    ).otherwise(F.lit(MSG_USER_NOT_FOUND))
-    return j.select(
-        "event_id", "username", "ts",
-        F.when(F.col("_found"), F.lit(200)).otherwise(F.lit(404)).alias("response_code"),
-        F.when(F.col("_found"), F.col("service")).alias("service"),
-        remaining.alias("calls_remaining"),
-        desc.alias("description"))
+    j = updates.join(maybe_broadcast(u.withColumn("_found", F.lit(True))), "username", "left")
+    # Names without a user, null ones included, never reach the scan.
+    missing = j.where(F.col("_found").isNull())
+    j = j.where("_found").withColumn("_amt", topup_amount(F.col("service")).cast("long"))
+    # Running sum per user as a two-level scan over hourly chunks, split by rows where one
+    # hour of a user holds too many.
+    j = running_sum(j, ["username"], ["ts", "event_id"], "_amt",
+                    F.date_trunc("hour", F.col("ts").cast("timestamp")), name="_added", max_rows=max_rows)
+    remaining = F.coalesce(F.col("_init"), F.lit(0)) + F.col("_added")
+    desc = F.format_string("Subscription updated: service=%s, calls_remaining=%d", F.col("service"), remaining)
+    done = j.select("event_id", "username", "ts", F.lit(200).alias("response_code"), "service",
+                    remaining.alias("calls_remaining"), desc.alias("description"))
+    return done.unionByName(missing.select(
+        "event_id", "username", "ts", F.lit(404).alias("response_code"), F.lit(None).cast("string").alias("service"),
+        F.lit(None).cast("long").alias("calls_remaining"), F.lit(MSG_USER_NOT_FOUND).alias("description")))
