@@ -179,3 +179,33 @@ def test_updates_sink_replays_an_epoch(spark, tmp_dir):
     want = sorted(tuple(r) for r in activity.requests_by_user_date(logs).collect())
     got = jobs.read_updates(spark, root, ["username", "date"])
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_stream_metering_of_a_hot_user(spark, tmp_dir):
+    """One user holds a third of the events, many in one minute, arriving in any order:
+    the stream gives the batch result, and state holds only what is pending."""
+    import datetime as dt
+    rows = []
+    for i in range(900):
+        hot = i % 3 == 0
+        ts = dt.datetime(2024, 1, 1, i // 150, (7 if hot else i % 60), 0, i * 1000)
+        rows.append((i, "hot" if hot else f"u{i % 40}" if i % 50 else "ghost", ts,
+                     "topup" if i % 90 == 0 else "call", "Platinum - (100$)" if i % 90 == 0 else None))
+    rows.append((5000, "late", dt.datetime(2024, 1, 9), "call", None))  # moves the watermark
+    ev = spark.createDataFrame(rows, "event_id long, username string, ts timestamp_ntz, kind string, service string")
+    users = spark.createDataFrame([("hot", "Free - (0$)", 4), *[(f"u{i}", "Gold - (50$)", 0) for i in range(40)]],
+                                  "username string, service string, calls_remaining int")
+    src = os.path.join(tmp_dir, "events")
+    for b in range(3):  # each file spans the whole time
+        ev.where((F.col("event_id") * 7 % 3 == b) & (F.col("event_id") < 5000)).coalesce(1).write.parquet(os.path.join(src, f"a{b}"))
+    ev.where("event_id = 5000").coalesce(1).write.parquet(os.path.join(src, "b"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    out = jobs.meter_stream_event_time(stream, users, lateness="1 day")
+    q = jobs.memory_sink(out, "t3_hot", os.path.join(tmp_dir, "ck"))
+    got = {r["event_id"]: (r["response_code"], r["balance"], r["period_start"]) for r in spark.sql("SELECT * FROM t3_hot").collect()}
+    want = {r["event_id"]: (r["response_code"], r["balance"], r["period_start"]) for r in quota.meter_calls(ev, users).collect()}
+    want.pop(5000)  # newer than the watermark: pending
+    assert got == want
+    state = spark.read.format("statestore").option("path", os.path.join(tmp_dir, "ck")).option(
+        "stateVarName", "pending").load()
+    assert state.count() == 1  # the one slice that is pending

@@ -5,19 +5,21 @@ T1  incremental issue ingest: landed JSON pages → flatten → upsert into the
     manifest commits both (foreachBatch, idempotent per epoch).
 T2  requests per user and day: event-time windows with a watermark, kept in a table by
     their updates.
-T3  quota metering: per-user state (period, balance) in
-    ``applyInPandasWithState``; inside a micro-batch the clipped running
-    balance is evaluated in closed form with numpy, not row by row.
+T3  quota metering: per-user state (balance, tier, pending events by slices of event
+    time) with a timer a slice; inside a slice the clipped running balance is evaluated
+    in closed form with numpy, not row by row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ingest import flatten_issues, parse_iso, select_incremental
 from ..operators.issues import high_water, merge_high_water
@@ -266,12 +268,16 @@ def memory_sink(df: DataFrame, name: str, checkpoint: str, mode: str = "append")
 
 
 # ------------------------------------------------- T3, event-time ordered
-METER_STATE_ET = T.StructType([
+#: Event time of one slice of a user's pending events: what a task holds at once.
+SLICE_US = 60_000_000
+_USER = T.StructType([
     T.StructField("period_us", T.LongType()), T.StructField("reset_us", T.LongType()),
     T.StructField("balance", T.LongType()), T.StructField("service", T.StringType()),
-    T.StructField("found", T.BooleanType()),
-    T.StructField("buf_id", T.ArrayType(T.LongType())), T.StructField("buf_ts", T.ArrayType(T.LongType())),
-    T.StructField("buf_kind", T.ArrayType(T.StringType())), T.StructField("buf_service", T.ArrayType(T.StringType()))])
+    T.StructField("found", T.BooleanType())])
+_SLICE = T.StructType([T.StructField("slice", T.LongType())])
+_PENDING = T.StructType([
+    T.StructField("event_id", T.ArrayType(T.LongType())), T.StructField("ts", T.ArrayType(T.LongType())),
+    T.StructField("kind", T.ArrayType(T.StringType())), T.StructField("service", T.ArrayType(T.StringType()))])
 
 
 def _meter_ordered(ev: pd.DataFrame, state: dict, period: str):
@@ -306,66 +312,76 @@ def _meter_ordered(ev: pd.DataFrame, state: dict, period: str):
     return codes, bal, start
 
 
-def _meter_event_time_fn(period: str):
-    def run(key, pdfs, state):
-        user = key[0]
-        if state.exists:
-            period_us, reset_us, balance, service, found, b_id, b_ts, b_kind, b_service = state.get
-        else:
-            period_us = reset_us = balance = service = found = None
-            b_id, b_ts, b_kind, b_service = [], [], [], []
-        frames = [p for p in pdfs if len(p)]
-        buf = pd.DataFrame({"event_id": pd.Series(b_id or [], dtype="int64"),
-                            "ts": pd.to_datetime(pd.Series(b_ts or [], dtype="int64") * 1000),
-                            "kind": pd.Series(b_kind or [], dtype="object"),
-                            "service": pd.Series(b_service or [], dtype="object")})
-        if frames:
-            new = pd.concat(frames, ignore_index=True)
-            if found is None:  # the user as the static table has it, once
-                found = bool(pd.notna(new["_found"].iloc[0]))
-                service = None if pd.isna(new["_tier0"].iloc[0]) else new["_tier0"].iloc[0]
-                balance = None if pd.isna(new["_init"].iloc[0]) else int(new["_init"].iloc[0])
-            buf = pd.concat([buf, new[["event_id", "ts", "kind", "service"]]], ignore_index=True)
-        if len(buf) == 0:
-            return
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        ts_us = pd.to_datetime(buf["ts"]).astype("int64").to_numpy() // 1000
-        final = buf[ts_us <= wm_us].sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
-        pend = buf[ts_us > wm_us]
-        out = None
-        if len(final) and not found:
-            out = pd.DataFrame({"event_id": final["event_id"].astype("int64"), "username": user,
-                                "kind": final["kind"], "period_start": pd.NaT,
-                                "response_code": 404, "balance": None})
-        elif len(final):
-            st = {"period": period_us, "reset": reset_us, "balance": balance, "service": service}
-            codes, bal, start = _meter_ordered(final, st, period)
-            period_us, reset_us, balance, service = (st[k] for k in ("period", "reset", "balance", "service"))
-            ps = pd.Series(pd.to_datetime(np.where(start >= 0, start, 0) * 1000))
-            out = pd.DataFrame({"event_id": final["event_id"].astype("int64"), "username": user,
-                                "kind": final["kind"], "period_start": ps.where(start >= 0, pd.NaT),
-                                "response_code": codes, "balance": bal})
-        p_us = pd.to_datetime(pend["ts"]).astype("int64").to_numpy() // 1000
-        if not found and not len(pend):
-            state.remove()  # nothing to remember about a name without a user
-        else:
-            state.update((period_us, reset_us, balance, service, found, pend["event_id"].astype("int64").tolist(),
-                          p_us.tolist(), pend["kind"].tolist(),
-                          [None if pd.isna(x) else x for x in pend["service"].tolist()]))
-            if len(pend):  # flush when the watermark passes the oldest pending event
-                state.setTimeoutTimestamp(max(int(p_us.min() // 1000), state.getCurrentWatermarkMs() + 1))
-        if out is not None:
-            yield out
-
-    return run
+class Meter(StatefulProcessor):
+    """One user's metering.  Events wait in slices of event time, each with a timer at its
+    end; when the watermark passes a slice, its events are metered in order, and the slice
+    is forgotten.  A task holds one Arrow batch of input or one slice at a time, however
+    many events of the user a micro-batch or the allowed lateness holds; a user's state is
+    its balance and tier and the slices that the watermark has not passed."""
+
+    def __init__(self, period: str, slice_us: int = SLICE_US):
+        self.period, self.slice_us = period, slice_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.user = handle.getValueState("user", _USER)
+        self.pending = handle.getMapState("pending", _SLICE, _PENDING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            if not len(pdf):
+                continue
+            if not self.user.exists():  # the user as the static table has it, once
+                first = pdf.iloc[0]
+                self.user.update((None, None, None if pd.isna(first["balance0"]) else int(first["balance0"]),
+                                  None if pd.isna(first["tier0"]) else first["tier0"], bool(pd.notna(first["found"]))))
+            us = pd.to_datetime(pdf["ts"]).to_numpy().astype("datetime64[us]").astype("int64")
+            for k, own in pdf.assign(us=us).groupby(us // self.slice_us):
+                at = (int(k),)
+                if self.pending.containsKey(at):
+                    held = [list(x) for x in self.pending.getValue(at)]
+                else:
+                    held = [[], [], [], []]
+                    self.handle.registerTimer(-(-((int(k) + 1) * self.slice_us) // 1000))
+                service = [None if pd.isna(x) else x for x in own["service"]]
+                new = (own["event_id"].tolist(), own["us"].tolist(), own["kind"].tolist(), service)
+                self.pending.updateValue(at, tuple(a + b for a, b in zip(held, new, strict=True)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for k in sorted(x[0] for x in self.pending.keys()):  # timers fire in order; a slice is never overtaken
+            if (k + 1) * self.slice_us > passed:
+                break
+            event_id, ts, kind, service = self.pending.getValue((k,))
+            self.pending.removeKey((k,))
+            ev = pd.DataFrame({"event_id": event_id, "ts": pd.to_datetime(np.array(ts, "int64"), unit="us"),
+                               "kind": pd.Series(kind, dtype="object"), "service": pd.Series(service, dtype="object")})
+            yield self._metered(key[0], ev.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True))
+        if not self.user.get()[4] and not any(True for _ in self.pending.keys()):
+            self.user.clear()  # nothing to remember about a name without a user
+
+    def _metered(self, name, ev: pd.DataFrame) -> pd.DataFrame:
+        period_us, reset_us, balance, service, found = self.user.get()
+        out = pd.DataFrame({"event_id": ev["event_id"].astype("int64"), "username": name, "kind": ev["kind"]})
+        if not found:
+            return out.assign(period_start=pd.NaT, response_code=404, balance=None)
+        state = {"period": period_us, "reset": reset_us, "balance": balance, "service": service}
+        codes, bal, start = _meter_ordered(ev, state, self.period)
+        self.user.update((state["period"], state["reset"], state["balance"], state["service"], True))
+        ps = pd.Series(pd.to_datetime(np.where(start >= 0, start, 0), unit="us"))
+        return out.assign(period_start=ps.where(start >= 0, pd.NaT), response_code=codes, balance=bal)
+
+    def close(self) -> None:
+        pass
 
 
 def meter_stream_event_time(events_stream: DataFrame, users: DataFrame, period: str = "hour",
-                            lateness: str = "1 hour") -> DataFrame:
+                            lateness: str = "1 hour", slice_us: int = SLICE_US) -> DataFrame:
     """Streaming metering in event-time order (T3 with late data).
 
     Events wait in per-user state until the watermark (max event time minus
-    ``lateness``) passes them, then are metered in (ts, event_id) order, so
+    ``lateness``) passes their slice, then are metered in (ts, event_id) order, so
     every emitted result equals the batch metering whatever the arrival
     order within ``lateness``.  Events later than that are dropped by the
     watermark; the newest ``lateness`` of the stream stays pending.  Kept per
@@ -373,12 +389,12 @@ def meter_stream_event_time(events_stream: DataFrame, users: DataFrame, period:
     is pending; names without a user keep nothing.
     """
     ship_package(events_stream.sparkSession)  # workers import this module
-    u = users.select("username", F.col("service").alias("_tier0"),
-                     F.col("calls_remaining").cast("long").alias("_init"), F.lit(True).alias("_found"))
+    # (The frames that a processor gets lose names that begin with an underscore.)
+    u = users.select("username", F.col("service").alias("tier0"),
+                     F.col("calls_remaining").cast("long").alias("balance0"), F.lit(True).alias("found"))
     ev = events_stream if "service" in events_stream.columns else events_stream.withColumn(
         "service", F.lit(None).cast("string"))
-    j = (ev.join(u, "username", "left")
-         .withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", lateness))
-    return j.groupBy("username").applyInPandasWithState(
-        _meter_event_time_fn(period), METER_OUT, METER_STATE_ET, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    j = (ev.select("username", "event_id", "ts", "kind", "service").join(u, "username", "left")
+         .withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", lateness))
+    return j.groupBy("username").transformWithStateInPandas(
+        Meter(period, slice_us), METER_OUT, "append", "EventTime")
