@@ -734,3 +734,63 @@ def test_bursts_are_metered_alike(spark):
     assert {r["response_code"] for r in got.where("username is null").collect()} == {404}
     last = got.where("username = 'hot'").orderBy(F.desc("ts"), F.desc("event_id")).first()
     assert last["calls_remaining"] == 4 + 3 * 15 + 997 * 10
+
+
+# ------------------------------------------------- completion, publication
+def test_completion_failures_are_rows(spark):
+    from triagekit.operators import prompts
+    df = spark.createDataFrame([(i, f"p{i}", "x") for i in range(40)] + [(99, None, "x")], "id long, prompt string, reply string")
+
+    class Client:
+        def __init__(self):
+            self.calls = {}
+
+        def __call__(self, texts):
+            if len(texts) > 1 and "p7" in texts:
+                return [""]  # too few replies: as good as a failure
+            for t in texts:
+                self.calls[t] = self.calls.get(t, 0) + 1
+                if t == "p3" or (t == "p5" and self.calls[t] < 3):
+                    raise TimeoutError("slow")
+            return [None if t == "p9" else f" {t} " for t in texts]
+
+    out = prompts.complete(df.coalesce(1), Client, batch_size=8, attempts=4)
+    assert out.columns == ["id", "prompt", "reply", "error", "calls"]
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == 41
+    assert got[3]["reply"] is None and got[3]["error"] == "TimeoutError: slow" and got[3]["calls"] == 4
+    assert got[5]["reply"] == "p5" and got[5]["error"] is None
+    assert got[7]["reply"] == "p7" and got[9]["reply"] is None and got[9]["error"] is None
+    assert got[20]["reply"] == "p20" and got[20]["calls"] == 1 and got[99]["reply"] == ""
+    assert prompts.complete(df.limit(0), Client).count() == 0
+
+
+def test_publish_tree_twice(spark, tmp_dir):
+    import os
+
+    from triagekit.sources.files import publish_tree
+    want = {}
+    for key in ("index.html", "a/b c/x.json", "a/empty.txt", "deep/er/é.bin"):
+        path = os.path.join(tmp_dir, "site", key)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        want[key] = b"" if "empty" in key else os.urandom(1000) + key.encode()
+        with open(path, "wb") as f:
+            f.write(want[key])
+    target = os.path.join(tmp_dir, "out")
+    for _ in range(2):
+        done = publish_tree(spark, os.path.join(tmp_dir, "site"), target).collect()
+        assert sorted((r["key"], r["n_bytes"]) for r in done) == sorted((k, len(v)) for k, v in want.items())
+    found = {os.path.relpath(os.path.join(d, n), target): open(os.path.join(d, n), "rb").read()
+             for d, _, names in os.walk(target) for n in names if not n.endswith(".crc")}
+    assert found == want
+    with pytest.raises(FileNotFoundError):
+        publish_tree(spark, os.path.join(tmp_dir, "nothing"), target)
+
+
+def test_result_store_reads_one_run(spark, tmp_dir):
+    ext = quality.dq_extract(fx.issues_fx(spark, SF_SMALL))
+    for day in (1, 2):
+        quality.store_results(quality.with_run_name(quality.run_suite(ext), dt.datetime(2024, 1, day)), f"{tmp_dir}/store")
+    one = quality.read_results(spark, f"{tmp_dir}/store", "20240101-000000")
+    assert one.count() == 13 and quality.read_results(spark, f"{tmp_dir}/store").count() == 26
+    assert "PartitionFilters: [isnotnull(run_name" in one._jdf.queryExecution().executedPlan().toString()

@@ -165,3 +165,9 @@ def with_run_name(results: DataFrame, run_time: dt.datetime | None = None) -> Da
 def store_results(results: DataFrame, path: str) -> None:
     """Append a validation run to the result store (Parquet, by run name)."""
     results.write.mode("append").partitionBy("run_name").parquet(path)
+
+
+def read_results(spark, path: str, run_name: str | None = None) -> DataFrame:
+    """The result store; with ``run_name`` only that run's folder is read."""
+    stored = spark.read.schema(T.StructType([*RESULT_SCHEMA.fields, T.StructField("run_name", T.StringType())])).parquet(path)
+    return stored if run_name is None else stored.where(F.col("run_name") == run_name)

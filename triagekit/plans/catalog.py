@@ -688,3 +688,115 @@ def q_stream_requests_by_user_date(spark, base):
         "maxFilesPerTrigger", max(1, parts)).parquet(f"{src}/arrived=*")
     jobs.updates_sink(jobs.requests_per_user_day(stream, "30 days"), root, _scratch(spark, "stream"))
     return jobs.read_updates(spark, root, ["username", "date"])
+
+
+@register("stream_metering")
+def q_stream_metering(spark, base):
+    """Calls and top-ups metered as a stream; a last event far ahead lets all others pass."""
+    from ..streaming import jobs
+    ev, src, out = fx.metered_events_fx(spark, base, True), _scratch(spark, "events"), _scratch(spark, "metered")
+    ev.write.parquet(f"{src}/1")
+    last = ev.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("username"),
+                              F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), "kind", "service")
+    last.write.parquet(f"{src}/2")
+    files = len(spark.read.parquet(f"{src}/1").inputFiles())
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files).parquet(f"{src}/*")
+    # As in the batch key: weekly periods.  Late by up to the whole stream, as one file may hold it.
+    metered = jobs.meter_stream_event_time(stream, fx.users_fx(spark, base), period="week", lateness="60 days",
+                                           slice_us=86_400_000_000)
+    jobs.append_sink(metered, out, _scratch(spark, "stream"))
+    return spark.read.schema(jobs.METER_OUT).parquet(out).select(
+        "event_id", "username", "kind", "response_code", "balance")
+
+
+# ---------------------------------------------------- completion, publication
+class EchoClient:
+    """A completion client with planted failures: a prompt whose length is 3 modulo 11
+    fails once, one whose length is 5 modulo 13 always."""
+
+    def __init__(self):
+        self.asked = set()
+
+    def __call__(self, texts):
+        for t in texts:
+            if len(t) % 13 == 5 or (len(t) % 11 == 3 and t not in self.asked):
+                self.asked.add(t)
+                raise RuntimeError(f"no reply to {len(t)} characters")
+        return [f"  echo of {len(t)}: {t[:8]}\n" for t in texts]
+
+
+@register("completions")
+def q_completions(spark, base):
+    """Summaries of open issues by a client that fails now and then, and their log rows."""
+    from ..operators.prompts import complete, completion_activity, summary_prompt
+    iss = fx.issues_fx(spark, base).where(F.col("state") == "open")
+    done = complete(iss.select("id", summary_prompt(F.col("body")).alias("prompt")), EchoClient)
+    return completion_activity(done, "get_issue_summary", "Generated summary for issue").select(
+        "id", "reply", "response_code", "description")
+
+
+@register("published_reports")
+def q_published_reports(spark, base):
+    """The suite's reports below nested folders, published twice; what the target holds."""
+    from ..operators.quality import dq_extract, run_suite
+    from ..sources.files import publish_tree
+    site, target = _scratch(spark, "site"), _scratch(spark, "published")
+    results = run_suite(dq_extract(fx.issues_fx(spark, base)))
+    kinds = results.withColumn("kind", F.when(F.col("column").isNull(), "table").otherwise("column"))
+    kinds.write.partitionBy("kind", "expectation_type").json(f"{site}/validations/2024")
+    for _ in range(2):
+        n = publish_tree(spark, site, target).count()
+    keys = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(target)
+    back = spark.read.option("recursiveFileLookup", True).schema("column string, success boolean").json(target)
+    place = F.regexp_extract(F.col("_metadata.file_path"), "/(validations/.*)/[^/]*$", 1)
+    found = back.select(place.alias("folder"), "column", "success")
+    return found.withColumn("every_file_once", F.lit(n) == keys.count())
+
+
+@register("quality_store")
+def q_quality_store(spark, base):
+    """Two runs appended to the result store, one of them read back."""
+    import datetime as dt
+
+    from ..operators.quality import dq_extract, read_results, run_suite, store_results, with_run_name
+    path, ext = _scratch(spark, "results"), dq_extract(fx.issues_fx(spark, base))
+    for day, part in ((1, ext.limit(0)), (2, ext)):
+        store_results(with_run_name(run_suite(part), dt.datetime(2024, 1, day)), path)
+    return read_results(spark, path, "20240102-000000").select(
+        "expectation_type", "column", "success", "element_count", "unexpected_count", "run_name")
+
+
+@register("activity_records")
+def q_activity_records(spark, base):
+    """The activity log written as JSON records and parsed back with its schema."""
+    from ..operators.activity import activity_from_json, activity_json
+    logs, path = fx.logs_fx(spark, base), _scratch(spark, "records")
+    activity_json(logs).write.text(path)
+    return activity_from_json(spark.read.text(path).withColumnRenamed("value", "record"), logs.schema)
+
+
+@register("application_tables")
+def q_application_tables(spark, base):
+    """The user table made if absent, new users appended, made again: nothing is lost."""
+    from ..operators.users import inserted_users, signup
+    from ..schemas import APP_USER
+    from ..sources.files import append_rows, ensure_table
+    path = _scratch(spark, "users")
+    ensure_table(spark, path, APP_USER)
+    forms = fx.signups_fx(spark, base)
+    new = inserted_users(signup(fx.users_fx(spark, base).limit(0), forms), "salt:")
+    append_rows(new.select(*APP_USER.names), path)
+    return ensure_table(spark, path, APP_USER).select("username", "service", "calls_remaining", "password")
+
+
+@register("call_metrics_empty")
+def q_call_metrics_empty(spark, base):
+    """Metrics of a log without rows: one row of zeros."""
+    from ..operators.activity import call_metrics
+    return call_metrics(fx.logs_fx(spark, base).where(F.col("username").isNull()), AS_OF)
+
+
+@register("comments_json_text")
+def q_comments_json_text(spark, base):
+    """The JSON text that is stored for an issue's comments."""
+    return _flat(spark, base).select("id", F.to_json("comments").alias("comments_json"))

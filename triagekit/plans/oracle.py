@@ -569,3 +569,40 @@ SELECT d.doc_id, CAST(coalesce(max(p.n), 0) AS BIGINT) AS n_chunks,
   string_agg(CAST(CAST(coalesce(p.x, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY g.j) AS vector
 FROM documents d CROSS JOIN (SELECT unnest(range(16)) AS j) g LEFT JOIN pooled p ON p.doc_id = d.doc_id AND p.j = g.j
 GROUP BY d.doc_id"""
+
+ORACLE["stream_metering"] = "SELECT event_id, username, kind, response_code, balance FROM (" + ORACLE["quota_topup"] + ")"
+
+# ---------------------------------------------------- completion, publication
+ORACLE["completions"] = "WITH p AS (" + ORACLE["summary_prompts"] + """),
+n AS (SELECT id, prompt, length(prompt) AS n FROM p)
+SELECT id, CASE WHEN n % 13 <> 5 THEN trim('echo of ' || n || ': ' || left(prompt, 8)) END AS reply,
+  CASE WHEN n % 13 = 5 THEN 502 ELSE 200 END AS response_code,
+  CASE WHEN n % 13 = 5 THEN 'RuntimeError: no reply to ' || n || ' characters'
+    ELSE 'Generated summary for issue' END AS description
+FROM n"""
+
+ORACLE["published_reports"] = """
+SELECT 'validations/2024/kind=' || CASE WHEN "column" IS NULL THEN 'table' ELSE 'column' END
+  || '/expectation_type=' || expectation_type AS folder, "column", success, true AS every_file_once
+FROM (""" + ORACLE["dq_suite"] + ")"
+
+ORACLE["quality_store"] = """SELECT expectation_type, "column", success, element_count, unexpected_count,
+  '20240102-000000' AS run_name FROM (""" + ORACLE["dq_suite"] + ")"
+
+ORACLE["activity_records"] = with_(LOGS_FX) + "SELECT * FROM logs_fx"
+
+ORACLE["application_tables"] = with_(_SIGNUPS_FX) + """,
+ok AS (
+  SELECT * FROM signups_fx
+  WHERE username <> '' AND regexp_full_match(password, '[a-zA-Z0-9]{8,}') AND regexp_full_match(credit_card, '[0-9]{12}')
+  QUALIFY row_number() OVER (PARTITION BY username ORDER BY ordinal) = 1)
+SELECT username, service, CASE service WHEN 'Free - (0$)' THEN 10 WHEN 'Gold - (50$)' THEN 15 ELSE 20 END AS calls_remaining,
+  sha256('salt:' || password) AS password
+FROM ok"""
+
+ORACLE["call_metrics_empty"] = ORACLE["call_metrics"].replace("FROM logs_fx)", "FROM logs_fx WHERE username IS NULL)")
+
+ORACLE["comments_json_text"] = with_(ISSUES_FX, _COMMENTS) + """
+SELECT i.id, '{' || coalesce(string_agg(to_json(comment_key) || ':' || to_json(com.body), ','
+    ORDER BY CAST(split_part(comment_key, ' ', 2) AS BIGINT)), '') || '}' AS comments_json
+FROM issues_fx i LEFT JOIN com ON com.id = i.id GROUP BY i.id"""

@@ -5,10 +5,16 @@ Paths are Hadoop paths: local, HDFS or object stores all work the same way.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -65,6 +71,49 @@ def publish_reports(reports: dict[str, DataFrame], target: str) -> list[str]:
     return paths
 
 
+def _open_target(target: str):
+    """(file system, base path) of a target URI, as tasks reach it."""
+    from pyarrow import fs
+    if "://" not in target and not target.startswith("file:"):
+        return fs.LocalFileSystem(), target
+    system, path = fs.FileSystem.from_uri(target)
+    return system, path
+
+
+def publish_tree(spark: SparkSession, source: str, target: str, open_target=_open_target) -> DataFrame:
+    """Copy every file below ``source`` to ``target`` under its relative path: (key, n_bytes).
+
+    Spark lists and reads the files, one row a file, wherever they are stored; tasks write
+    them through ``open_target`` (pyarrow's file system of the target's scheme; any other
+    pair of a file system and a base path will do).  A file is written beside its place and
+    moved there, so a task that runs again, or a second publication, leaves whole files
+    alone; files that are gone from the source stay at the target.
+    """
+    ship_package(spark)  # workers import this module
+    fs, p = _fs(spark, source)
+    if not fs.exists(p):
+        raise FileNotFoundError(source)
+    root = fs.resolvePath(p).toUri().getPath().rstrip("/")
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+             .select(F.substring_index(F.col("path"), root + "/", -1).alias("key"), "content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_target(target)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, content = batch.column("key")[i].as_py(), batch.column("content")[i].as_buffer()
+                place = f"{base.rstrip('/')}/{key}"
+                folder, _, name = place.rpartition("/")
+                system.create_dir(folder, recursive=True)
+                aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(aside) as out:
+                    out.write(content)
+                system.move(aside, place)
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([content.size], pa.int64())], ["key", "n_bytes"])
+
+    return files.mapInArrow(run, "key string, n_bytes long")
+
+
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Create an empty Parquet table with ``schema`` if absent; return the table."""
     fs, p = _fs(spark, path)

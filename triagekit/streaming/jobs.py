@@ -217,6 +217,14 @@ def requests_per_user_day(logs_stream: DataFrame, lateness: str = "1 day") -> Da
             .select("username", F.to_date(F.col("w.start")).alias("date"), "count"))
 
 
+def append_sink(stream: DataFrame, path: str, checkpoint: str):
+    """Run a streaming frame to completion into a Parquet folder (exactly once)."""
+    q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start(path))
+    q.awaitTermination()
+    return q
+
+
 def updates_sink(stream: DataFrame, root: str, checkpoint: str):
     """Run a streaming aggregate to completion, keeping what each micro-batch changed.
 
