@@ -49,14 +49,19 @@ def _bytes(*ranges) -> np.ndarray:
     return t
 
 
-_LETTER = _bytes(range(65, 91), range(97, 123))
-_POINT = _bytes(b".,;:!?")
-_BLANK = _bytes(b" \t\n\r")
+#: Kinds of a byte, one bit each.
+_LETTER, _POINT, _BLANK, _SPACE, _MAYBE, _LEAD, _HIGH, _FEED = (np.uint8(1 << i) for i in range(8))
+_KIND = np.zeros(256, np.uint8)
+_KIND[_bytes(range(65, 91), range(97, 123))] |= _LETTER
+_KIND[_bytes(b".,;:!?")] |= _POINT
+_KIND[_bytes(b" \t\n\r")] |= _BLANK
 #: ASCII bytes that some notion of white space includes, and last bytes of white space
 #: beyond ASCII (after a lead byte other than C3-DF).
-_SPACE = _bytes(range(0x09, 0x0E), range(0x1C, 0x21))
-_MAYBE = _SPACE | _bytes(range(0x80, 0x8B), b"\x9f\xa0\xa8\xa9\xaf")
-_LEAD = _bytes(range(0xC3, 0xE0))
+_KIND[_bytes(range(0x09, 0x0E), range(0x1C, 0x21))] |= _SPACE | _MAYBE
+_KIND[_bytes(range(0x80, 0x8B), b"\x9f\xa0\xa8\xa9\xaf")] |= _MAYBE
+_KIND[_bytes(range(0xC3, 0xE0))] |= _LEAD
+_KIND[0x80:] |= _HIGH
+_KIND[0x0A] |= _FEED
 
 
 def _byte_chars() -> dict[int, str]:
@@ -80,17 +85,15 @@ def piece_starts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     if n > 1:
-        prev, cur = flat[:-1], flat[1:]
-        lead = np.zeros(n - 1, bool)
-        lead[1:] = _LEAD[flat[:-2]]
-        solid = ~_MAYBE[prev] | (lead & (prev >= 0x80))
-        inner = solid & _BLANK[cur]
-        letter = _LETTER[cur]
-        inner |= (_LETTER[prev] & _POINT[cur]) | (_POINT[prev] & letter)
-        single = np.zeros(n - 1, bool)
-        single[1:] = (flat[:-2] < 0x80) & ~_SPACE[flat[:-2]]
-        inner |= letter & (prev == 10) & single
-        cut[1:n] |= inner
+        kind = _KIND[flat]
+        letter, point, high = (kind & k != 0 for k in (_LETTER, _POINT, _HIGH))
+        solid = kind[:-1] & _MAYBE == 0
+        solid[1:] |= (kind[:-2] & _LEAD != 0) & high[1:-1]
+        solid &= kind[1:] & _BLANK != 0
+        solid |= letter[:-1] & point[1:]
+        solid |= point[:-1] & letter[1:]
+        solid[1:] |= letter[2:] & (kind[1:-1] & _FEED != 0) & (kind[:-2] & (_HIGH | _SPACE) == 0)
+        cut[1:n] |= solid
     return np.flatnonzero(cut[:n])
 
 
@@ -204,9 +207,10 @@ def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = None, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows, flat, offsets in rounds(batch, "text", IMAGE_BYTES):
+            for rows, _, _ in rounds(batch, "text", IMAGE_BYTES):
                 encoder = encoder or Encoder(path)
-                ids, lengths = encoder.encode(flat, offsets)
+                parts = [encoder.encode(flat, offsets) for _, flat, offsets in rounds(rows, "text")]
+                ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
                 doc = rows.column("doc_id")
                 data = encode(ids, doc.fill_null(0).to_numpy(zero_copy_only=False),
                               doc.is_null().to_numpy(zero_copy_only=False), lengths)
@@ -224,7 +228,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     Returns the files: part, seq, n_ids, data.  Null ids come first; rows of one id
     are ordered by a hash of their text; a null or empty text is its end id alone.
     """
-    bound_batches(docs.sparkSession, 4000, 8 * IMAGE_BYTES)  # several whole images a batch
+    bound_batches(docs.sparkSession, 4000, 4 * IMAGE_BYTES)  # several whole images a batch
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
     d = d.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(
