@@ -7,9 +7,13 @@ pairs of a bucket:
 
 1. Every member of a bucket is compared with the bucket's smallest member.  Confirmed
    links are joined into components.
-2. Only buckets that still hold several components are compared further: their members
-   outside the smallest member's component with all members, in pairs of blocks; a
-   task leaves out pairs that are already connected.
+2. Only buckets that still hold several components are compared further.  As long as
+   their pairs outnumber their members by far, members outside the smallest member's
+   component are compared with one member of it and with one of each other, others in each
+   turn, and components are joined again: linear work that connects most of a large group
+   of copies that drift apart.
+3. What is still apart is compared exhaustively: the outsiders with all members, in pairs
+   of blocks; a task leaves out pairs that are already connected.
 
 After that every candidate pair is either connected or was compared, so the components
 are those of all confirmed candidate pairs.  op3 links from 0.85 up: with 24 bands of 5
@@ -40,8 +44,12 @@ PERCENT = 85
 BANDS, ROWS = 24, 5
 #: The pipeline's stage: a similarity of 0.8 or more.
 STAGE_PERCENT, STAGE_BANDS = 80, 40
-#: Members of one block of a bucket in the second round.
-BLOCK = 256
+#: Members of one block of a bucket in the last round.
+BLOCK = 512
+#: Turns of linear work at most; the rows of the last round, as a multiple of the members
+#: of all buckets, that are worth another turn; and what a turn must leave of them to be
+#: followed by another.
+TURNS, WORTH, PROGRESS = 6, 0.5, 0.6
 
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +183,26 @@ def _confirm_blocks(percent: int):
     return run
 
 
+def _apart(members: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(members with their roots, and whether that is not their hub's; buckets that still
+    hold several components, with one member of the hub's and one outsider, by ``turn``)."""
+    m = members.join(roots, F.col("set_id") == F.col("node"), "left").select(
+        "key", "set_id", "hub", F.coalesce("root", "set_id").alias("root"))
+    hub_root = m.where("set_id = hub").select("key", F.col("root").alias("hub_root"))
+    m = shared_table(m.join(hub_root, "key").withColumn("outsider", F.col("root") != F.col("hub_root")), "rooted")
+    lot = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), "set_id", "root")
+    state = m.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("who"),
+        F.sum(F.col("outsider").cast("int")).alias("out"),
+        F.min(F.when(~F.col("outsider"), lot)).alias("near"), F.min(F.when(F.col("outsider"), lot)).alias("far"))
+    # Two members were compared already; buckets with the same members count once.
+    state = state.where("out > 0 and n > 2").groupBy("who", "n").agg(
+        F.min(F.struct("key", "out", "near", "far")).alias("one")).select(
+        "one.key", "n", "one.out", F.col("one.near.set_id").alias("near"), "one.far",
+        F.ceil(F.col("one.out") / BLOCK).cast("int").alias("ob"), F.ceil(F.col("n") / BLOCK).cast("int").alias("mb"))
+    return m, shared_table(state, "apart")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """Per row: doc_id, t, u (names of the text), n_shingles, set_id, root (one set of the
@@ -211,29 +239,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if texts.count() > wanted.count():  # repeated rows
         texts = shared_table(texts.dropDuplicates(["set_id"]), "texts")
 
-    pairs = (stars.join(texts.select(F.col("set_id").alias("u"), "text"), "u")
-             .join(texts.select(F.col("set_id").alias("v"), F.col("text").alias("hub_text")), "v")
-             .select("u", "v", "text", "hub_text"))
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(texts.select(F.col("set_id").alias("u"), "text"), "u")
+                .join(texts.select(F.col("set_id").alias("v"), F.col("text").alias("hub_text")), "v")
+                .select("u", "v", "text", "hub_text"))
     # Texts under one id are one document.
     per_id = filled.where("doc_id is not null").groupBy("doc_id").agg(
         F.min("set_id").alias("v"), F.max("set_id").alias("top")).where("v <> top").select("doc_id", "v")
     one_id = filled.join(per_id, "doc_id").select(F.col("set_id").alias("u"), "v").where("u <> v")
-    links = pairs.mapInArrow(_confirm(percent), "u long, v long").unionByName(one_id).distinct()
+    links = with_texts(stars).mapInArrow(_confirm(percent), "u long, v long").unionByName(one_id).distinct()
     links = shared_table(links, "stars")
     roots = shared_table(components(links), "roots")
 
-    # Second round: buckets in which the first left pairs that it did not compare.
-    m = members.join(roots, F.col("set_id") == F.col("node"), "left").select(
-        "key", "set_id", "hub", F.coalesce("root", "set_id").alias("root"))
-    hub_root = m.where("set_id = hub").select("key", F.col("root").alias("hub_root"))
-    m = shared_table(m.join(hub_root, "key").withColumn("outsider", F.col("root") != F.col("hub_root")), "rooted")
-    state = m.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("who"),
-        F.sum(F.col("outsider").cast("int")).alias("out"))
-    # Two members were compared already; buckets with the same members count once.
-    state = state.where("out > 0 and n > 2").groupBy("who", "n").agg(
-        F.min(F.struct("key", "out")).alias("one")).select(
-        "one.key", F.ceil(F.col("one.out") / BLOCK).cast("int").alias("ob"), F.ceil(F.col("n") / BLOCK).cast("int").alias("mb"))
+    # Buckets in which pairs are left that were not compared.
+    total, before = members.count(), None
+    for turn in range(TURNS + 1):
+        m, state = _apart(members, roots, turn)
+        rows = state.agg(F.sum(F.col("n") * F.col("ob") + F.col("out") * F.col("mb"))).first()[0] or 0
+        if turn == TURNS or rows <= WORTH * total or (before is not None and rows > PROGRESS * before):
+            break
+        before = rows
+        outside = m.where("outsider").join(state.select("key", "near", "far"), "key")
+        turn_pairs = outside.select(F.col("set_id").alias("u"), F.col("near").alias("v")).unionByName(
+            outside.where(F.col("root") != F.col("far.root")).select(F.col("set_id").alias("u"), F.col("far.set_id").alias("v")))
+        found = shared_table(with_texts(turn_pairs.distinct()).mapInArrow(_confirm(percent), "u long, v long"), "turn")
+        if not found.limit(1).count():
+            break
+        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = shared_table(components(known.unionByName(found)), "roots")
     m = m.join(state, "key")
     place = F.xxhash64("set_id", F.lit(7))
     rows = m.select("key", "set_id", "root", F.lit(False).alias("outsider"),
