@@ -447,7 +447,7 @@ def test_knn_cells_small_blocks_equal_brute_force(spark):
     q = emb.where("pk < 60").select(F.col("pk").alias("query_id"), F.col("embeddings").alias("embedding"))
     brute = knn.knn_l2(emb, q, 12)
     cells = knn_l2_cells(emb, q, 12, centroids=label_centroids(emb, "label"),
-                         member_block=7, query_block=5)
+                         max_block_bytes=20_000)
     a = sorted(tuple(r) for r in brute.select("query_id", "pk", "distance", "rank").collect())
     b = sorted(tuple(r) for r in cells.select("query_id", "pk", "distance", "rank").collect())
     assert a == b and len(a) == 60 * 12

@@ -9,9 +9,10 @@ broadcast): with ``R_c`` the largest distance of a member of cell ``c`` to
 its centroid, no member of ``c`` is closer to ``q`` than
 ``max(0, |q - c| - R_c)``.  Pass 1 probes each query's nearest cells until
 they hold ``k`` vectors and takes the k-th distance ``U`` as an upper bound;
-pass 2 probes every cell whose lower bound is ≤ ``U``.  Scoring is a block
-join keyed by (cell, member block, query block), so every group is bounded
-however hot a cell is, and the result equals the brute-force top-k.
+pass 2 probes every cell whose lower bound is ≤ ``U``.  The vectors are never
+moved or copied for it: blocks of queries go to them in turn, a matrix product
+filters the pairs, and what may be among the nearest is scored exactly, so the
+result equals the brute-force top-k.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage, ship_package, written
 
 DEFAULT_NLIST = 128
 _EPS = 1e-9
+#: Pairs that a task scores at once, and (query, cell) probes of one block of queries.
+_PAIRS, _PROBES = 1 << 20, 8 << 20
 
 
 def label_centroids(vectors: DataFrame, label_col: str, vec_col: str = "embeddings") -> DataFrame:
@@ -184,31 +187,62 @@ def _probe_fn(bc, k: int, qid_col: str, qvec_col: str, first_pass: bool):
     return run
 
 
-def _block_topk_fn(k: int, qvec_col: str):
-    """cogroup body: top-k per query of one (query block × member block)."""
-    from .knn import _select_topk
-
-    def run(qpdf: pd.DataFrame, mpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                              "pk": pd.Series([], dtype="int64"),
-                              "distance": pd.Series([], dtype="float64")})
-        if len(qpdf) == 0 or len(mpdf) == 0:
-            return empty
-        q = np.stack(qpdf[qvec_col].to_numpy()).astype(np.float64)
-        v = np.stack(mpdf["_v"].to_numpy()).astype(np.float64)
-        dist = np.zeros((len(q), len(v)))
-        for j in range(q.shape[1]):  # left fold over dims, as the SQL form
-            diff = q[:, j:j + 1] - v[None, :, j]
-            dist += diff * diff
-        bound = qpdf["_bound"].to_numpy(np.float64)
-        dist[dist > bound[:, None]] = np.inf
-        pks = np.broadcast_to(mpdf["pk"].to_numpy(np.int64), dist.shape)
-        best_d, best_p = _select_topk(dist, pks, k)
-        rows, cols = np.nonzero((best_p >= 0) & np.isfinite(best_d))
-        if len(rows) == 0:
-            return empty
-        return pd.DataFrame({"query_id": qpdf["query_id"].to_numpy(np.int64)[rows],
-                             "pk": best_p[rows, cols], "distance": best_d[rows, cols]})
+def _cell_topk_fn(bc, k: int):
+    """mapInPandas body: top-k of a block of queries over one task's members, in place.
+
+    A member meets only the queries that probe its cell.  A matrix product gives all
+    distances of a (cell, query) block up to rounding; pairs that may lie within a query's
+    bound, or within the k-th distance found so far, are scored again exactly, by the same
+    left fold over dimensions as the SQL form.
+    """
+    def run(batches):
+        qids, qmat, bound, by_cell = bc.value
+        q_norm = (qmat * qmat).sum(1)
+        limit = bound.copy()
+        pool = [np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)]  # query, distance, pk
+        waiting, size = [], 0
+
+        def compact() -> None:
+            nonlocal pool, waiting, size
+            qi, d, pk = (np.concatenate(x) for x in zip(pool, *waiting, strict=True))
+            order = np.lexsort((pk, d, qi))
+            qi, d, pk = qi[order], d[order], pk[order]
+            first = np.searchsorted(qi, np.arange(len(qids)))
+            place = np.arange(len(qi)) - first[qi]
+            last = place == k - 1
+            limit[qi[last]] = np.minimum(limit[qi[last]], d[last])
+            pool, waiting, size = [x[place < k] for x in (qi, d, pk)], [], 0
+
+        for pdf in batches:
+            pdf = pdf[pdf["_v"].notna()].sort_values("cell", kind="stable")
+            if not len(pdf) or not len(qids):
+                continue
+            vecs = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
+            v_norm = (vecs * vecs).sum(1)
+            pks, cell = pdf["pk"].to_numpy(np.int64), pdf["cell"].to_numpy()
+            edge = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1, append=cell[-1] + 1))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                mine = by_cell.get(int(cell[lo]))
+                if mine is None:
+                    continue
+                step = max(1, _PAIRS // (hi - lo))
+                for a in range(0, len(mine), step):
+                    idx = mine[a:a + step]
+                    near = q_norm[idx, None] + v_norm[None, lo:hi] - 2.0 * (qmat[idx] @ vecs[lo:hi].T)
+                    slack = _EPS * (q_norm[idx, None] + v_norm[None, lo:hi] + 1.0)
+                    rows, cols = np.nonzero(near <= limit[idx, None] + slack)
+                    qi, cols = idx[rows], cols + lo
+                    d = np.zeros(len(qi))
+                    for j in range(qmat.shape[1]):  # left fold over dims, as the SQL form
+                        diff = qmat[qi, j] - vecs[cols, j]
+                        d += diff * diff
+                    keep = d <= limit[qi]
+                    waiting.append((qi[keep], d[keep], pks[cols[keep]]))
+                    size += int(keep.sum())
+                    if size > max(_PAIRS, 2 * len(pool[0])):
+                        compact()
+        compact() if waiting else None
+        yield pd.DataFrame({"query_id": qids[pool[0]], "pk": pool[2], "distance": pool[1]})
 
     return run
 
@@ -216,21 +250,22 @@ def _block_topk_fn(k: int, qvec_col: str):
 def knn_l2_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centroids: DataFrame | None = None,
                  pk_col: str = "pk", vec_col: str = "embeddings", query_id_col: str = "query_id",
                  query_vec_col: str = "embedding", squared: bool = True,
-                 nlist: int = DEFAULT_NLIST, member_block: int = 8192,
-                 query_block: int = 1024, assigned: DataFrame | None = None) -> DataFrame:
-    """Exact top-k per query via IVF cells; no broadcast of the query batch.
-
-    Same output as :func:`triagekit.operators.knn.knn_l2`.  Scoring is a
-    block join: a cell's members are split into blocks of at most
-    ``member_block`` rows and the queries probing it into blocks of at most
-    ``query_block``; each (cell, member block, query block) group computes
-    its distances in numpy and emits only the top-k per query, so no group
-    grows with the data and no pair becomes a row.  ``assigned`` (with its
-    ``centroids``) is a stored index, see :func:`search_index`.
+                 nlist: int = DEFAULT_NLIST, assigned: DataFrame | None = None,
+                 max_block_bytes: int = 64 << 20) -> DataFrame:
+    """Exact top-k per query via IVF cells, for query batches of any size.
+
+    Same output as :func:`triagekit.operators.knn.knn_l2`.  The vectors stay where they
+    are; queries go to them in blocks of bounded size (their vectors, their k best pairs
+    and their probes), one after the other, each block's result written before the next.
+    Per block the queries are scored against their nearest cells first, until these hold k
+    vectors; the k-th distance bounds the search, and a second pass scores the cells that
+    the triangle inequality does not rule out.  Only top-k rows per query and task are
+    shuffled.  ``assigned`` (with its ``centroids``) is a stored index, see
+    :func:`search_index`.
     """
-    from .knn import check_queries
+    from .knn import DEFAULT_MAX_HEAP_BYTES, check_queries
     spark = vectors.sparkSession
-    check_queries(queries, query_id_col, query_vec_col)
+    total, dim = check_queries(queries, query_id_col, query_vec_col)
     if centroids is None:
         centroids = kmeans_centroids(vectors, nlist, vec_col)
     cells, cmat = _centroid_matrix(centroids)  # bounded by nlist × dim
@@ -242,42 +277,43 @@ def knn_l2_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centroids: D
     counts = np.array([stats.get(int(c), (0, 0.0))[0] for c in cells], dtype=np.int64)
     radii = np.array([stats.get(int(c), (0, 0.0))[1] for c in cells], dtype=np.float64)
     bc = spark.sparkContext.broadcast((cells, cmat, counts, radii))
-    probe_schema = T.StructType([T.StructField("query_id", T.LongType()),
-                                 T.StructField("cell", T.IntegerType())])
-    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("_qv"))
-    nb = F.broadcast(cell_stats.select("cell", F.ceil(F.col("n") / F.lit(member_block)).cast("int").alias("_nb")))
-    members = (assigned.select("cell", F.col(pk_col).alias("pk"), F.col(vec_col).alias("_v"))
-               .join(nb, "cell")
-               .withColumn("_mb", F.pmod(F.xxhash64("pk"), F.col("_nb")).cast("int")))
-    hit_schema = "query_id long, pk long, distance double"
+    members = assigned.select("cell", F.col(pk_col).alias("pk"), F.col(vec_col).alias("_v"))
     w = Window.partitionBy("query_id").orderBy("distance", "pk")
-
-    def scored(probes: DataFrame, bounds: DataFrame) -> DataFrame:
-        nq = F.broadcast(probes.groupBy("cell").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(query_block)).cast("int").alias("_nq")))
-        p = (probes.join(nq, "cell").join(nb, "cell")
-             .withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"))
-             .withColumn("_mb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-             .join(bounds, "query_id"))
-        m = (members.join(nq, "cell")
-             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))))
-        keys = ["cell", "_mb", "_qb"]
-        part = (p.select(*keys, "query_id", "_qv", "_bound").groupBy(*keys)
-                .cogroup(m.select(*keys, "pk", "_v").groupBy(*keys))
-                .applyInPandas(_block_topk_fn(k, "_qv"), hit_schema))
+    per_block = max(1, min(DEFAULT_MAX_HEAP_BYTES // (16 * k), max_block_bytes // (8 * max(dim, 1)),
+                           _PROBES // max(len(cells), 1)))
+    blocks = max(1, -(-total // per_block))
+    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("_qv")).where("_qv is not null")
+    probe_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("cell", T.IntegerType())])
+
+    def scored(qids, qmat, bound, probes: DataFrame) -> DataFrame:
+        p = probes.toPandas()  # at most ``_PROBES`` rows
+        row = pd.Series(np.arange(len(qids)), index=qids).reindex(p["query_id"]).to_numpy(np.int64)
+        by_cell = {int(c): row[i] for c, i in p.groupby("cell").indices.items()}
+        sent = spark.sparkContext.broadcast((qids, qmat, bound, by_cell))
+        part = members.mapInPandas(_cell_topk_fn(sent, k), "query_id long, pk long, distance double")
         return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    unbounded = q.select("query_id", "_qv", F.lit(float("inf")).alias("_bound"))
-    p1 = q.select("query_id", F.col("_qv").alias("embedding")).mapInPandas(
-        _probe_fn(bc, k, "query_id", "embedding", True), probe_schema)
-    first = scored(p1, unbounded)
-    kth = first.groupBy("query_id").agg(F.max("distance").alias("_kth"), F.count(F.lit(1)).alias("_n"))
-    qb = q.join(kth, "query_id", "left").select(
-        "query_id", "_qv",
-        F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(float("inf"))).alias("_bound"))
-    p2 = qb.select("query_id", F.col("_qv").alias("embedding"), "_bound").mapInPandas(
-        _probe_fn(bc, k, "query_id", "embedding", False), probe_schema)
-    out = scored(p2, qb)
+    def search(block: DataFrame) -> DataFrame:
+        own = block.toPandas()  # one block of queries, Arrow transfer
+        qids = own["query_id"].to_numpy(np.int64)
+        qmat = np.stack(own["_qv"].to_numpy()).astype(np.float64) if len(own) else np.empty((0, dim))
+        p1 = block.mapInPandas(_probe_fn(bc, k, "query_id", "_qv", True), probe_schema)
+        kth = scored(qids, qmat, np.full(len(qids), np.inf), p1).groupBy("query_id").agg(
+            F.max("distance").alias("kth"), F.count(F.lit(1)).alias("n"))
+        found = {r["query_id"]: r["kth"] for r in kth.collect() if r["n"] >= k}  # a row a query of the block
+        bound = np.array([found.get(int(i), np.inf) for i in qids])
+        bounded = spark.createDataFrame(own.assign(_bound=bound)) if len(own) else block.withColumn("_bound", F.lit(0.0))
+        p2 = bounded.mapInPandas(_probe_fn(bc, k, "query_id", "_qv", False), probe_schema)
+        return scored(qids, qmat, bound, p2)
+
+    if blocks == 1:
+        out = search(q)
+    else:
+        number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        done = [written(search(q.where(number == b)), "knn") for b in range(blocks)]
+        out = done[0]
+        for more in done[1:]:
+            out = out.unionByName(more)
     if not squared:
         out = out.withColumn("distance", F.sqrt("distance"))
     return out.withColumnRenamed("query_id", query_id_col) if query_id_col != "query_id" else out
