@@ -10,30 +10,31 @@ The trees of all languages are stored jointly: sorted contexts and windows of ea
 length with one cost per language, already resolved through all escapes.  A text is
 scored from its distinct windows and their counts.
 
-Training reads a bounded sample of the labelled documents: of each language at most
-``DOCS`` texts, picked by a hash of the id, and of each of those ``BYTES`` characters.
+Every label gets a model, from a bounded sample of its documents: at most ``DOCS`` whole
+texts, picked by a hash of the id.  Tasks count the windows of those texts and Spark adds
+the counts, so no text reaches the driver.  Trees of ``LANG_BLOCK`` languages are stored
+together.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import FOLD, bound_batches, rounds
+from .common import FOLD, bound_batches, rounds, shared_table
 
 ORDER = 3
 DOCS = 300
-BYTES = 20_000
-#: Languages that get a model: the most frequent ones of the training labels.
-MAX_LANGS = 200
+#: Languages whose trees share one table of contexts.
+LANG_BLOCK = 32
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(flat: np.ndarray, width: int) -> np.ndarray:
@@ -49,18 +50,16 @@ def windows(flat: np.ndarray, width: int) -> np.ndarray:
 class ContextTrees:
     """Frozen PPM models of several languages."""
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
-        self.langs, self.order = sorted(texts), order
+    def __init__(self, counts: dict[str, list[tuple[np.ndarray, np.ndarray]]], order: int = ORDER):
+        """``counts``: per language and order its windows, ascending, and how often each is found."""
+        self.langs, self.order = sorted(counts), order
         n_lang = len(self.langs)
         self.keys: list[np.ndarray] = []      # per order: windows seen in any language
         self.costs: list[np.ndarray] = []     # bits of the last byte, per language
         self.contexts: list[np.ndarray] = []  # per order: contexts seen in any language
         self.escapes: list[np.ndarray] = []   # bits of leaving the context
         for k in range(order + 1):
-            seen = []
-            for lang in self.langs:
-                w = [windows(np.frombuffer(t, np.uint8), k + 1) for t in texts[lang]]
-                seen.append(np.unique(np.concatenate(w) if w else np.zeros(0, np.uint32), return_counts=True))
+            seen = [counts[lang][k] for lang in self.langs]
             keys = np.unique(np.concatenate([s[0] for s in seen]))
             contexts = np.unique(keys >> np.uint32(8))
             escapes = np.zeros((len(contexts), n_lang))
@@ -104,11 +103,33 @@ class ContextTrees:
         return n @ self._cost(w, self.order)
 
 
+def count_windows(texts: list[np.ndarray], order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order the windows of some texts and their counts."""
+    return [np.unique(np.concatenate([windows(t, k + 1) for t in texts]) if texts else np.zeros(0, np.uint32),
+                      return_counts=True) for k in range(order + 1)]
+
+
 def _fold(flat: np.ndarray) -> np.ndarray:
     return FOLD[flat]
 
 
-def _predict(trees: ContextTrees | None):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of each language in a round of texts: (lang, k, w, n)."""
+    for batch in batches:
+        for rows, flat, offsets in rounds(batch, "text"):
+            flat, own = _fold(flat), {}
+            for i, lang in enumerate(rows.column("lang").to_pylist()):
+                own.setdefault(lang, []).append(flat[offsets[i]:offsets[i + 1]])
+            for lang, texts in own.items():
+                for k, (w, n) in enumerate(count_windows(texts)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(w), pa.string()), pa.array(np.full(len(w), k, np.int32)),
+                         pa.array(w.astype(np.int64)), pa.array(n)], ["lang", "k", "w", "n"])
+
+
+def _predict(blocks: list[ContextTrees]):
+    langs = [x for trees in blocks for x in trees.langs]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, flat, offsets in rounds(batch, "text"):
@@ -116,13 +137,14 @@ def _predict(trees: ContextTrees | None):
                 texts = rows.column("text")
                 for i in range(rows.num_rows):
                     text = texts[i].as_py()
-                    if trees is None or not trees.langs or not _LETTER.search(text or ""):
+                    if not langs or not _LETTER.search(text or ""):
                         lang.append(UNKNOWN)
                         score.append(0.0)
                         continue
-                    bits = trees.bits(flat[offsets[i]:offsets[i + 1]])
+                    own = flat[offsets[i]:offsets[i + 1]]
+                    bits = np.concatenate([trees.bits(own) for trees in blocks])
                     best = int(bits.argmin())
-                    lang.append(trees.langs[best])
+                    lang.append(langs[best])
                     # Posterior of the best language with equal priors.
                     score.append(float(1.0 / np.exp2(-np.minimum(bits - bits[best], 1000.0)).sum()))
                 yield pa.RecordBatch.from_arrays(
@@ -136,24 +158,33 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, per_lang: int = DOCS, max_bytes: int = BYTES) -> ContextTrees | None:
-    """Models from a bounded sample: ``per_lang`` texts a language, ``max_bytes`` of each."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count()
-              .orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
-        return None
+def train(docs: DataFrame, per_lang: int = DOCS) -> list[ContextTrees]:
+    """Models of all labels, in blocks of languages, from at most ``per_lang`` texts each."""
+    known = docs.select("doc_id", "lang", "text").where(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    totals = shared_table(known.groupBy("lang").agg(F.count(F.lit(1)).alias("total")), "langs")  # a row a language
     # By hash of the id: a share that holds twice the wanted number, then the first of it.
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 2.0 * per_lang / n)])
     h = F.xxhash64(F.lit("langid"), "doc_id")
-    picked = (known.where(F.pmod(h, F.lit(1 << 32)) < F.element_at(share, F.col("lang")) * float(1 << 32))
-              .groupBy("lang", h.alias("h")).agg(F.min(F.substring("text", 1, max_bytes)).alias("text")))
+    share = F.pmod(h, F.lit(1 << 32)) * F.col("total") < 2.0 * per_lang * (1 << 32)
+    picked = (known.join(F.broadcast(totals), "lang").where(share)
+              .groupBy("lang", h.alias("h")).agg(F.min("text").alias("text")))
     n = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    texts: dict[str, list[bytes]] = {x: [] for x in counts}
-    # At most MAX_LANGS * per_lang * max_bytes characters.
-    for r in picked.withColumn("n", n).where(F.col("n") <= per_lang).select("lang", "text").collect():
-        texts[r.lang].append(_fold(np.frombuffer(r.text.encode(), np.uint8)).tobytes())
-    return ContextTrees(texts)
+    texts = picked.withColumn("n", n).where(F.col("n") <= per_lang).select("lang", "text")
+    counted = texts.mapInArrow(_count, "lang string, k int, w long, n long").groupBy("lang", "k", "w").agg(
+        F.sum("n").alias("n"))
+    # The models themselves: windows of up to four bytes.
+    table = counted.orderBy("lang", "k", "w").toArrow()
+    lang, k = table.column("lang").to_pylist(), table.column("k").to_numpy()
+    w, n = table.column("w").to_numpy().astype(np.uint32), table.column("n").to_numpy()
+    names = sorted({r.lang for r in totals.select("lang").collect()})
+    code = {x: i for i, x in enumerate(names)}
+    at = np.fromiter((code[x] for x in lang), np.int64, len(lang)) * (ORDER + 1) + k
+    order = np.argsort(at, kind="stable")  # by language and order; windows stay ascending
+    at, w, n = at[order], w[order], n[order]
+    edge = np.searchsorted(at, np.arange(len(names) * (ORDER + 1) + 1))
+    counts = {x: [(w[edge[j]:edge[j + 1]], n[edge[j]:edge[j + 1]]) for j in range(i * (ORDER + 1), (i + 1) * (ORDER + 1))]
+              for i, x in enumerate(names)}
+    return [ContextTrees({x: counts[x] for x in names[i:i + LANG_BLOCK]}) for i in range(0, len(names), LANG_BLOCK)]
 
 
 def identify(docs: DataFrame) -> DataFrame:
