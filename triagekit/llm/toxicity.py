@@ -27,7 +27,7 @@ from .common import FOLD, bound_batches, mix64, rounds, shared_table, span_hashe
 from .langid import held_out
 from .textstats import PUNCT, UPPER, per_text
 
-TOXIC, CLEAN, CHARS = 2000, 8000, 20_000
+TOXIC, CLEAN = 2000, 8000
 STEMS = (4, 5, 6)
 MIN_ODDS = 3.0     # natural log of how much likelier in toxic documents
 MAX_LEXICON = 5000
@@ -168,7 +168,7 @@ def text_features(docs: DataFrame, lexicon: Lexicon, carried: list[str]) -> Data
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> DataFrame:
-    """(text, toxic, weight, fold): at most ``toxic`` + ``clean`` rows, texts cut at ``CHARS``."""
+    """(text, toxic, weight, fold): at most ``toxic`` + ``clean`` rows, whole texts."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
@@ -181,7 +181,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clea
     weight = total / F.least(total, most)
     picked = picked.select("doc_id", "toxic", weight.alias("weight"), (F.pmod("h", F.lit(10)) < 3).cast("int").alias("fold"))
     # At most toxic + clean ids, so the broadcast is bounded.
-    d = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, CHARS).alias("text"))
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.join(F.broadcast(shared_table(picked, "sample-ids")), "doc_id")
     return shared_table(d.groupBy("doc_id", "toxic", "weight", "fold").agg(F.min("text").alias("text")), "sample")
 
