@@ -37,8 +37,9 @@ BLOCK_WORDS = 4096
 COLOURS = 1024
 #: Documents per cell of a tape's running sum.
 CELL_ROWS = 50_000
-#: Prime above any block count, so that ``i -> (i * PRIME + c) mod n`` permutes.
-PRIME = 2_147_483_647
+#: Primes above any block count, so that ``i -> (i * p + c) mod n`` permutes; the first one
+#: that is neither 1 nor -1 modulo n is taken (for n of 1, 2, 3, 4 and 6 there is none).
+PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587)
 SEED = "mix-1"
 
 
@@ -175,7 +176,7 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, size=None, id_col: str
     words = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     wanted = s.agg(F.sum(words)).first()[0] or 0
-    block = max(BLOCK_WORDS, -(-wanted // (1 << 30)))  # keeps block numbers below PRIME
+    block = max(BLOCK_WORDS, -(-wanted // (1 << 30)))  # keeps block numbers below the primes
     s = (s.withColumn("epochs", epochs)
          .withColumn("part", words - F.col("epochs") * F.col("source_size"))
          .withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
@@ -199,9 +200,16 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, size=None, id_col: str
     start = F.col("upto") - F.col("size")
     cut = F.least(F.greatest(F.col("part") - start, F.lit(0).cast("long")), F.col("size"))
 
+    # A permutation of the colour's blocks: a prime that moves them, and where it begins.
+    n = F.greatest(F.col("colour_quota"), F.lit(1).cast("long"))
+    factor = F.lit(PRIMES[-1])
+    for prime in PRIMES[-2::-1]:
+        factor = F.when((F.lit(prime) % n).isin(F.lit(0), F.lit(1), n - 1), factor).otherwise(F.lit(prime))
+    offset = F.pmod(F.xxhash64(F.lit(SEED), F.lit("offset"), F.col("rank") % COLOURS), n)
+
     def piece(e):
         index = F.col("base") + e * F.col("blocks") + F.floor(start / block).cast("long")
-        rank = F.pmod(index * F.lit(PRIME), F.greatest(F.col("colour_quota"), F.lit(1).cast("long")))
+        rank = F.pmod(index * factor + offset, n)
         return F.struct(
             e.cast("int").alias("epoch"), F.when(e < F.col("epochs"), F.col("size")).otherwise(cut).alias("words"),
             F.size(F.filter("ends", lambda x: x <= rank)).alias("shard"),
@@ -228,9 +236,12 @@ def mix_rows(docs: DataFrame) -> DataFrame:
 
     The one document per source that the target cuts is taken whole if at least half
     of it lies inside, else left out.  Rows lie in files by shard, in local shuffle order.
+    Null, empty and blank texts are in no mix; repeated rows count each; an empty table
+    stays empty; columns may have any name.
     """
-    cols = docs.columns
-    p = mix_documents(docs).withColumn("__piece", F.explode("mix.pieces"))
-    p = p.where(F.col("__piece.words") * 2 >= F.col("mix.size"))
-    return (p.repartition(F.col("__piece.shard"), F.pmod("__piece.order", F.lit(64)))
-            .sortWithinPartitions("__piece.shard", "__piece.order").select(*[F.col(f"`{c}`") for c in cols]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", "source",
+                       word_count(F.col("text")).alias("size"))
+    p = mix_documents(rows, size=F.col("size")).select("own", "mix.size", F.explode("mix.pieces").alias("piece"))
+    p = p.where(F.col("piece.words") * 2 >= F.col("size"))
+    return (p.repartition(F.col("piece.shard"), F.pmod("piece.order", F.lit(64)))
+            .sortWithinPartitions("piece.shard", "piece.order").select(*[F.col(f"own.`{c}`").alias(c) for c in docs.columns]))
