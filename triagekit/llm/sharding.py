@@ -100,23 +100,24 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, vnodes: int = 128, id_c
     The key is the id and the checksum of the text, so rows of one id with
     different texts spread too; nulls hash like any value; repeated rows are
     interchangeable and each gets a slot of its own.  An empty table gives an empty
-    result.  Input columns with the result's names are replaced.
+    result.  Input columns with the result's names are replaced; others may have any name.
     """
     spark = docs.sparkSession
     cols = [c for c in docs.columns if c not in (shard_col, slot_col)]
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    d = docs.select(*[F.col(f"`{c}`") for c in cols]).withColumn("__crc", crc).withColumn(
-        "__h", F.xxhash64(F.lit("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__crc"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(f"`{id_col}`").alias("__id"),
+                    crc.alias("__crc"))
+    d = d.withColumn("__h", F.xxhash64(F.lit("key"), F.coalesce(F.col("__id").cast("string"), F.lit("")), "__crc"))
     cell = F.shiftrightunsigned("__h", 64 - CELL_BITS).cast("int")
     d = d.withColumn("__cell", cell)
     counts = {r["__cell"]: r["count"] for r in d.groupBy("__cell").count().collect()}  # at most CELLS rows
     plan = place(counts, ring_owners(spark, n_shards, vnodes), n_shards)
     moves = spark.createDataFrame(plan, "__c int, __lo long, __hi long, __shard int, __first long")
-    rank = F.row_number().over(Window.partitionBy("__cell").orderBy("__h", F.col(id_col), "__crc")) - 1
+    rank = F.row_number().over(Window.partitionBy("__cell").orderBy("__h", "__id", "__crc")) - 1
     placed = d.withColumn("__rank", rank.cast("long")).join(
         F.broadcast(moves), (F.col("__cell") == F.col("__c")) & (F.col("__rank") >= F.col("__lo"))
         & (F.col("__rank") < F.col("__hi")))
-    return placed.select(*[F.col(f"`{c}`") for c in cols], F.col("__shard").alias(shard_col),
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in cols], F.col("__shard").alias(shard_col),
                          (F.col("__first") + F.col("__rank") - F.col("__lo")).alias(slot_col))
 
 
