@@ -301,7 +301,12 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              percent: int = STAGE_PERCENT, bands: int = STAGE_BANDS) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, and every row without words."""
+    """``docs`` with one row of each group of near-duplicates, and every row without words.
+
+    Null, empty and blank texts all stay; repeated rows are one document; of ties the
+    smallest id stays, of a group without ids one text; an empty table stays empty; columns
+    may have any name.
+    """
     d = near_duplicates(docs, id_col, text_col, percent, bands).where("set_id is not null")
     name = [F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("u").alias("__u")]
     # Rows without an id are told apart by their texts; of a component without any id one text stays.
@@ -312,14 +317,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     zero = F.lit(0).cast("long")
     dropped = d.where("doc_id <> component_id").select(name[0], zero.alias("__t"), zero.alias("__u")).distinct()
     dropped = shared_table(dropped.unionByName(gone.select(F.lit(None).cast("long").alias("__id"), *name[1:])), "dropped")
-    wordy = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    ident = F.col(id_col)
-    t, u = (F.when(ident.isNull(), c).otherwise(zero) for c in text_key(F.col(text_col)))
-    rest = docs.join(maybe_broadcast(dropped), wordy & ident.eqNullSafe(F.col("__id")) & (t == F.col("__t"))
+    text, ident, wordy = F.col(f"row.`{text_col}`"), F.col("ident"), F.col("wordy")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("ident"),
+                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("wordy"))
+    t, u = (F.when(ident.isNull(), c).otherwise(zero) for c in text_key(text))
+    rest = rows.join(maybe_broadcast(dropped), wordy & ident.eqNullSafe(F.col("__id")) & (t == F.col("__t"))
                      & (u == F.col("__u")), "left_anti")
-    if docs.where(wordy).groupBy(ident).count().where("count > 1").limit(1).count():
+    if rows.where(wordy).groupBy("ident").count().where("count > 1").limit(1).count():
         # Rows of one id are one document: of a kept one the row with the smallest text stays.
-        w = Window.partitionBy(ident, wordy, F.when(ident.isNull() | ~wordy, F.col(text_col))).orderBy(
-            F.col(text_col).asc_nulls_last())
-        rest = rest.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | ~wordy).drop("__n")
-    return rest
+        w = Window.partitionBy("ident", "wordy", F.when(ident.isNull() | ~wordy, text)).orderBy(text.asc_nulls_last())
+        rest = rest.withColumn("n", F.row_number().over(w)).where((F.col("n") == 1) | ~wordy)
+    return rest.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

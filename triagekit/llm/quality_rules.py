@@ -217,10 +217,17 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows; rows are matched by what the verdict depends on."""
+    """``docs`` without the rejected rows; rows are matched by what the verdict depends on.
+
+    Null, empty, blank and short texts go; null languages and sources are groups of their
+    own; repeated rows share a verdict; an empty table stays empty; columns may have any
+    name.
+    """
     key = [F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("lang", "source", "text")]),
            F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
     d = docs.select("lang", "source", "text", key[0].alias("__k"), key[1].alias("__c"))
     stats = shared_table(text_statistics(d, ["lang", "source", "__k", "__c"]), "stats")
     bad = shared_table(judge(stats).where("not kept").select("__k", "__c").distinct(), "rejected")
-    return docs.join(maybe_broadcast(bad), (key[0] == F.col("__k")) & (key[1] == F.col("__c")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key[0].alias("k"), key[1].alias("c"))
+    kept = rows.join(maybe_broadcast(bad), (F.col("k") == F.col("__k")) & (F.col("c") == F.col("__c")), "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
