@@ -360,7 +360,8 @@ def test_language_edges(spark):
 
 def test_context_trees_code_lengths():
     """Costs of all bytes after any context sum to at most one in probability."""
-    t = langid.ContextTrees({"a": [b"abracadabra", b"a"], "b": [b"banana", b""]}, order=2)
+    t = langid.ContextTrees({x: langid.count_windows([np.frombuffer(y, np.uint8) for y in z], 2) for x, z in (
+        ("a", [b"abracadabra", b"a"]), ("b", [b"banana", b""]))}, order=2)
     for context in (b"ab", b"an", b"zz", b"ra"):
         p = sum(2.0 ** -(t._cost(np.array([(context[0] << 16) | (context[1] << 8) | c], np.uint32), 2)[0]) for c in range(256))
         assert (p <= 1 + 1e-9).all()
