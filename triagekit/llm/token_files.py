@@ -29,8 +29,10 @@ from .pfor import Image, encode
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Pieces a task remembers (some 60 bytes each); beyond it forgets all and starts again.
-CACHE = 500_000
+#: Pieces a worker remembers (some 60 bytes each); beyond it forgets all and starts again.
+CACHE = 1_500_000
+#: Pieces learned since the last merge into the large table.
+RECENT = 100_000
 #: Pieces handed to the tokenizer at once, each as a text of its own.
 GROUP = 4096
 #: Settings of a tokenizer whose pre-tokenizer keeps a run of letters, with one space before
@@ -97,6 +99,22 @@ def piece_starts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
+class _Growing:
+    """An array that is added to at its end; its room doubles."""
+
+    def __init__(self, *first: int, kind=np.int64):
+        self.room, self.n = np.zeros(1 << 16, kind), 0
+        self.add(np.array(first, kind))
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            room = np.zeros(max(self.n + len(more), 2 * len(self.room)), self.room.dtype)
+            room[:self.n] = self.room[:self.n]
+            self.room = room
+        self.room[self.n:self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Encoder:
     """Token ids of texts; pieces already seen come from a bounded memory."""
 
@@ -115,29 +133,45 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # of the pieces known, in order
-        self.piece = np.zeros(0, np.int64)    # and their numbers
-        self.data, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # piece k is data[at[k]:at[k + 1]]
-        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # and has ids[first[k]:first[k + 1]]
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tables = [none, none]  # hashes in order and the pieces' numbers: most pieces, and the last ones
+        self.data, self.at = _Growing(kind=np.uint8), _Growing(0)  # piece k is data[at[k]:at[k + 1]]
+        self.ids, self.first = _Growing(kind=np.uint32), _Growing(0)  # and has ids[first[k]:first[k + 1]]
 
     def _find(self, hashes: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Number of each piece, -1 if unknown; the bytes are compared, not only the hashes."""
-        out = np.full(len(hashes), -1, np.int64)
-        if not len(self.hashes):
-            return out
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        known = self.piece[at]
-        size = np.diff(offsets)
-        same = np.flatnonzero((self.hashes[at] == hashes) & (self.at[known + 1] - self.at[known] == size) & (size > 0))
-        if len(same):
-            n = size[same]
-            border = np.cumsum(n) - n
-            step = np.arange(int(n.sum())) - np.repeat(border, n)
-            differ = flat[step + np.repeat(offsets[same], n)] != self.data[step + np.repeat(self.at[known[same]], n)]
-            same = same[~np.logical_or.reduceat(differ, border)]
-            out[same] = known[same]
+        out, size = np.full(len(hashes), -1, np.int64), np.diff(offsets)
+        starts, data = self.at.room, self.data.room
+        for keys, pieces in self.tables:
+            if not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            known = pieces[at]
+            same = np.flatnonzero((keys[at] == hashes) & (starts[known + 1] - starts[known] == size) & (size > 0))
+            if len(same):
+                n = size[same]
+                border = np.cumsum(n) - n
+                step = np.arange(int(n.sum())) - np.repeat(border, n)
+                differ = flat[step + np.repeat(offsets[same], n)] != data[step + np.repeat(starts[known[same]], n)]
+                same = same[~np.logical_or.reduceat(differ, border)]
+                out[same] = known[same]
         return out
 
+    def _remember(self, hashes: np.ndarray, number: np.ndarray) -> None:
+        """Of pieces with one hash the first is found again."""
+        def merged(one, two):
+            keys, pieces = (np.concatenate(x) for x in zip(one, two, strict=True))
+            order = np.argsort(keys, kind="stable")  # two runs in order: linear
+            keys, pieces = keys[order], pieces[order]
+            new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+            return keys[new], pieces[new]
+        order = np.argsort(hashes, kind="stable")
+        recent = merged(self.tables[1], (hashes[order], number[order]))
+        if len(recent[0]) > RECENT:
+            self.tables = [merged(self.tables[0], recent), (hashes[:0], number[:0])]
+        else:
+            self.tables[1] = recent
+
     def _letters(self, text: str) -> list[int] | None:
         """Ids of a run of letters, a space before it or not; None for any other piece."""
         space = text[:1] == " "
@@ -163,14 +197,12 @@ class Encoder:
                 lists[i] = e.ids
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        number = len(self.at) - 1 + np.arange(len(texts))
-        self.at = np.concatenate([self.at, self.at[-1] + offsets[1:]])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.data, self.ids = np.concatenate([self.data, flat]), np.concatenate([self.ids, ids])
-        # Of pieces with one hash, known ones included, one is found again.
-        every, every_piece = np.concatenate([self.hashes, hashes]), np.concatenate([self.piece, number])
-        self.hashes, at = np.unique(every, return_index=True)
-        self.piece = every_piece[at]
+        number = self.at.n - 1 + np.arange(len(texts))
+        self.at.add(self.at.room[self.at.n - 1] + offsets[1:])
+        self.first.add(self.first.room[self.first.n - 1] + np.cumsum(sizes))
+        self.data.add(flat)
+        self.ids.add(ids)
+        self._remember(hashes, number)
         return number
 
     def encode(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +210,7 @@ class Encoder:
         texts = len(offsets) - 1
         starts = piece_starts(flat, offsets)
         starts = starts[starts < len(flat)]
-        if len(self.at) > CACHE:
+        if self.at.n > CACHE:
             self.forget()
         cuts = np.append(starts, len(flat))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [
@@ -191,25 +223,31 @@ class Encoder:
         if len(new):
             number[new] = self._learn(kinds.take(pa.array(new)), hashes[new])
         index = number[pieces.indices.to_numpy(zero_copy_only=False)]
-        size = self.first[index + 1] - self.first[index]
+        first = self.first.room
+        size = first[index + 1] - first[index]
         upto = np.concatenate([[0], np.cumsum(size)])
         border = upto[np.searchsorted(starts, offsets)]  # ids before each text
         total = int(upto[-1])
-        shift = np.repeat(self.first[index] - upto[:-1], size)
-        ids = self.ids[np.arange(total) + shift]
+        shift = np.repeat(first[index] - upto[:-1], size)
+        ids = self.ids.room[np.arange(total) + shift]
         out = np.full(total + texts, END_ID, np.uint32)
         owner = np.repeat(np.arange(texts), np.diff(border))
         out[np.arange(total) + owner] = ids
         return out, np.diff(border) + 1
 
 
+#: Of this worker: the tasks that it runs one after the other share what it remembers.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = None, TaskContext.get().partitionId(), 0
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows, _, _ in rounds(batch, "text", IMAGE_BYTES):
-                encoder = encoder or Encoder(path)
-                parts = [encoder.encode(flat, offsets) for _, flat, offsets in rounds(rows, "text")]
+                if path not in _ENCODERS:
+                    _ENCODERS[path] = Encoder(path)
+                parts = [_ENCODERS[path].encode(flat, offsets) for _, flat, offsets in rounds(rows, "text")]
                 ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
                 doc = rows.column("doc_id")
                 data = encode(ids, doc.fill_null(0).to_numpy(zero_copy_only=False),
