@@ -96,6 +96,13 @@ def publish_tree(spark: SparkSession, source: str, target: str, open_target=_ope
     root = fs.resolvePath(p).toUri().getPath().rstrip("/")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
              .select(F.substring_index(F.col("path"), root + "/", -1).alias("key"), "content"))
+    # Spark's scans leave out files without a byte: those come from the listing.
+    listed, empty = fs.listFiles(p, True), []
+    while listed.hasNext():
+        one = listed.next()
+        if one.getLen() == 0:
+            empty.append((one.getPath().toUri().getPath().removeprefix(root + "/"), bytearray()))
+    files = files.unionByName(spark.createDataFrame(empty, files.schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = open_target(target)
