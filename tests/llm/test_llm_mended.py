@@ -139,9 +139,12 @@ def test_blocks_are_moved_for_every_number_of_them(spark):
         assert sorted(image) == list(range(n)) and image != [(i + 5) % n for i in range(n)]
 
 
-def test_groups_of_drifting_copies(spark):
-    """Copies that drift apart: several turns and the exhaustive round find all links."""
+@pytest.mark.parametrize("worth", [near_dedup.WORTH, 0])
+def test_groups_of_drifting_copies(spark, monkeypatch, worth):
+    """Copies that drift apart: linear turns (from the first pair on, if worth is 0) and the
+    exhaustive round find all links."""
     from fixtures import near_components
+    monkeypatch.setattr(near_dedup, "WORTH", worth)
     rng = random.Random(3)
     base = [f"w{rng.randrange(5000)}" for _ in range(200)]
     rows = []

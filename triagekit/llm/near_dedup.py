@@ -49,7 +49,7 @@ BLOCK = 512
 #: Turns of linear work at most; the rows of the last round, as a multiple of the members
 #: of all buckets, that are worth another turn; and what a turn must leave of them to be
 #: followed by another.
-TURNS, WORTH, PROGRESS = 6, 0.5, 0.6
+TURNS, WORTH, PROGRESS = 6, 8, 0.6
 
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +203,18 @@ def _apart(members: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame,
     return m, shared_table(state, "apart")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links: components of the roots alone are joined."""
+    a = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
+    b = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+    between = links.join(a, "u", "left").join(b, "v", "left").select(
+        F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).where("u <> v").distinct()
+    joined = shared_table(components(shared_table(between, "between")), "joined")
+    moved = roots.join(joined.select(F.col("node").alias("old"), F.col("root").alias("new")), F.col("root") == F.col("old"), "left")
+    alone = joined.join(roots.select("node"), "node", "left_anti")
+    return shared_table(moved.select("node", F.coalesce("new", "root").alias("root")).unionByName(alone), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """Per row: doc_id, t, u (names of the text), n_shingles, set_id, root (one set of the
@@ -265,8 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = shared_table(with_texts(turn_pairs.distinct()).mapInArrow(_confirm(percent), "u long, v long"), "turn")
         if not found.limit(1).count():
             break
-        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = shared_table(components(known.unionByName(found)), "roots")
+        roots = _joined(roots, found)
     m = m.join(state, "key")
     place = F.xxhash64("set_id", F.lit(7))
     rows = m.select("key", "set_id", "root", F.lit(False).alias("outsider"),
@@ -279,8 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = rest.sortWithinPartitions("key", "i", "j").mapInArrow(_confirm_blocks(percent), "u long, v long").distinct()
     more = shared_table(more, "blocks")
     if more.limit(1).count():
-        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = shared_table(components(known.unionByName(more)), "roots")
+        roots = _joined(roots, more)
 
     s = sets.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "rep", F.coalesce("root", "set_id").alias("root"))
