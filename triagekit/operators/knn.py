@@ -1,16 +1,15 @@
 """Exact L2 nearest-neighbour search: top-k vectors per query.
 
-Plan shape (broadcast path)::
+Plan shape::
 
-    vectors scan ─ mapInPandas(partial top-k per query, per task)
-                 ─ Exchange hashpartitioning(query_id)
-                 ─ Window row_number ≤ k  (final top-k per query)
+    queries ─ packed by block ┐
+                              ├ Exchange (block) ─ mapInArrow (top-k per query, final)
+    vectors ─ packed, × blocks┘
 
-The corpus is never shuffled; only ``tasks × queries × k`` candidate rows
-cross the network.  The query batch is broadcast only after its size has
-been measured against ``max_query_bytes``; larger batches take the
-cell-pruned path in :mod:`triagekit.operators.ivf`, which joins on cell ids
-instead of shipping the batch.
+A block of queries is one task's, and all vectors pass it, see :mod:`.blocks`.  The corpus
+crosses the network once a block; of candidates only the final ``queries × k`` rows leave a
+task.  Query batches over ``max_query_bytes`` take the cell-pruned path in
+:mod:`triagekit.operators.ivf`, which sends a block only the cells that may serve it.
 
 Distances are squared L2 by default (what an L2 vector index reports) and
 are accumulated dimension by dimension in double, the same left fold as
@@ -19,21 +18,17 @@ the SQL form :func:`l2_distance`, so both give bit-identical values.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import SCAN_SPLIT, input_bytes, ship_package, spread
+from ..session import ship_package, spread, written
+from .blocks import PAIR_BYTES, block_count, pack, search
 
 DEFAULT_MAX_QUERY_BYTES = 64 << 20
-# Above tasks × queries × k candidate rows, search in two passes (see knn_l2).
+# Above queries × k best pairs, search in two passes (see knn_l2).
 DEFAULT_MAX_CANDIDATE_ROWS = 20_000_000
-#: (distance, id) pairs a task keeps for all queries of a block.
+#: (distance, id) pairs a task holds for all queries of a block, while it sorts them.
 DEFAULT_MAX_HEAP_BYTES = 128 << 20
-# Cap on the query×vector distance block held in memory by one task.
-_BLOCK_ELEMS = 4_000_000
 
 
 def l2_distance(a: Column | str, b: Column | str, squared: bool = True) -> Column:
@@ -62,78 +57,6 @@ def check_queries(queries: DataFrame, id_col: str, vec_col: str) -> tuple[int, i
     return int(row["n"]), int(row["dim"] or 0)
 
 
-def _select_topk(d: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row keep the k smallest (distance, pk) pairs; ties broken by pk."""
-    nq, m = d.shape
-    if m > k:
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1:k]
-        keep = d <= kth
-    else:
-        keep = np.ones_like(d, dtype=bool)
-    rows, cols = np.nonzero(keep)
-    dd, pp = d[rows, cols], p[rows, cols]
-    order = np.lexsort((pp, dd, rows))
-    rows, dd, pp = rows[order], dd[order], pp[order]
-    # position of each kept element inside its row
-    starts = np.searchsorted(rows, np.arange(nq))
-    pos = np.arange(len(rows)) - starts[rows]
-    sel = pos < k
-    rows, dd, pp, pos = rows[sel], dd[sel], pp[sel], pos[sel]
-    width = min(k, m)
-    out_d = np.full((nq, width), np.inf)
-    out_p = np.full((nq, width), -1, dtype=np.int64)
-    out_d[rows, pos] = dd
-    out_p[rows, pos] = pp
-    return out_d, out_p
-
-
-def _partial_topk_fn(bc, k: int, pk_col: str, vec_col: str, bounded: bool = False):
-    """mapInPandas body: running top-k per query over one task's vectors.
-
-    With ``bounded`` the broadcast also carries a per-query upper bound on the
-    global k-th distance, and only candidates within it are kept.
-    """
-
-    def run(batches):
-        if bounded:
-            qids, qmat, bound = bc.value
-        else:
-            (qids, qmat), bound = bc.value, None
-        nq, dim = qmat.shape
-        best_d = np.empty((nq, 0))
-        best_p = np.empty((nq, 0), dtype=np.int64)
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if len(pdf) == 0 or nq == 0:
-                continue
-            vecs = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            if vecs.shape[1] != dim:
-                raise ValueError(f"vector dim {vecs.shape[1]} != query dim {dim}")
-            pks = pdf[pk_col].to_numpy(np.int64)
-            step = max(1, _BLOCK_ELEMS // nq)
-            for s in range(0, len(pks), step):
-                vb, pb = vecs[s:s + step], pks[s:s + step]
-                dist = np.zeros((nq, len(pb)))
-                for j in range(dim):  # left fold over dims, as the SQL form
-                    diff = qmat[:, j:j + 1] - vb[None, :, j]
-                    dist += diff * diff
-                if bound is not None:
-                    dist[dist > bound[:, None]] = np.inf
-                cand_d = np.concatenate([best_d, dist], axis=1)
-                cand_p = np.concatenate([best_p, np.broadcast_to(pb, (nq, len(pb)))], axis=1)
-                best_d, best_p = _select_topk(cand_d, cand_p, k)
-        if best_d.shape[1] == 0:
-            return
-        rows, cols = np.nonzero((best_p >= 0) & np.isfinite(best_d))
-        yield pd.DataFrame({
-            "query_id": qids[rows],
-            "pk": best_p[rows, cols],
-            "distance": best_d[rows, cols],
-        })
-
-    return run
-
-
 def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
            pk_col: str = "pk", vec_col: str = "embeddings",
            query_id_col: str = "query_id", query_vec_col: str = "embedding",
@@ -146,63 +69,33 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, *,
     Returns ``(query_id, pk, distance, rank)``; ``rank`` starts at 1.
     Exact: every vector is scored against every query of the batch.
 
-    One pass ships up to ``tasks × queries × k`` candidates to the final
-    top-k.  When that exceeds ``max_candidate_rows`` the search takes two
-    passes: each task first sends only its ``m ≈ 2k / tasks`` smallest
-    distances per query; the k-th smallest of their union is an upper bound
-    on the true k-th distance (it is k real distances), and the second pass
-    keeps only candidates within that bound — about k per query in total.
-
-    A task keeps ``queries × k`` (distance, id) pairs; a batch that needs more than
-    ``max_heap_bytes`` for them is searched in blocks of queries, each a scan of the
-    corpus of its own.
+    A task holds a block of queries, whose best pairs take up to ``max_heap_bytes``, and
+    every packed chunk of the corpus is sent to every block; what leaves a task is final.
+    A batch of more than ``max_candidate_rows`` best pairs is searched in two passes: the
+    first scores every eighth chunk, and the k-th distance found there (it is k real
+    distances) bounds what the second, over all chunks, keeps.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    spark = vectors.sparkSession
-    ship_package(spark)  # workers import this module
+    ship_package(vectors.sparkSession)  # workers import this module
     n, dim = check_queries(queries, query_id_col, query_vec_col)
     if n * max(dim, 1) * 8 > max_query_bytes:
-        from .ivf import knn_l2_cells  # bounded-memory path for big batches
+        from .ivf import knn_l2_cells  # a batch so large may be worth an index
         return knn_l2_cells(vectors, queries, k, pk_col=pk_col, vec_col=vec_col,
                             query_id_col=query_id_col, query_vec_col=query_vec_col,
                             squared=squared)
-    # Size is proven bounded above, so shipping the batch to every task is safe.
-    pdf = (queries.select(F.col(query_id_col).alias("q"), F.col(query_vec_col).alias("v"))
-           .where(F.col("v").isNotNull()).toPandas())  # Arrow transfer
-    qids = pdf["q"].to_numpy(np.int64)
-    qmat = (np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf)
-            else np.empty((0, dim)))
-    schema = T.StructType([
-        T.StructField("query_id", T.LongType()),
-        T.StructField("pk", T.LongType()),
-        T.StructField("distance", T.DoubleType()),
-    ])
-    corpus = spread(vectors.select(pk_col, vec_col))
-    # By statistics, not by running the plan: it only chooses between one and two passes.
-    tasks = max(spark.sparkContext.defaultParallelism, input_bytes(corpus) // SCAN_SPLIT)
-    w = Window.partitionBy("query_id").orderBy("distance", "pk")
-
-    def search(qids, qmat):
-        bc = spark.sparkContext.broadcast((qids, qmat))
-        if tasks * len(qids) * k <= max_candidate_rows:
-            return corpus.mapInPandas(_partial_topk_fn(bc, k, pk_col, vec_col), schema)
-        m = min(k, -(-2 * k // tasks) + 4)
-        firsts = corpus.mapInPandas(_partial_topk_fn(bc, m, pk_col, vec_col), schema)
-        kth = (firsts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-               .groupBy("query_id").agg(F.max("distance").alias("_u"), F.count(F.lit(1)).alias("_n")))
-        # One value per query: bounded by the (already bounded) query batch.
-        u = {r["query_id"]: (r["_u"] if r["_n"] >= k else np.inf) for r in kth.collect()}
-        bound = np.array([u.get(int(q), np.inf) for q in qids], dtype=np.float64)
-        bc2 = spark.sparkContext.broadcast((qids, qmat, bound))
-        return corpus.mapInPandas(_partial_topk_fn(bc2, k, pk_col, vec_col, bounded=True), schema)
-
-    step = max(1, max_heap_bytes // (16 * k))
-    partial = search(qids[:step], qmat[:step])
-    for lo in range(step, len(qids), step):
-        partial = partial.unionByName(search(qids[lo:lo + step], qmat[lo:lo + step]))
-    out = (partial.withColumn("rank", F.row_number().over(w))
-           .where(F.col("rank") <= k))
+    blocks = block_count(n, max_heap_bytes // (PAIR_BYTES * k), vectors.sparkSession.sparkContext.defaultParallelism)
+    q = queries.select(F.pmod(F.xxhash64(query_id_col), F.lit(blocks)).cast("int").alias("part"),
+                       F.col(query_id_col).cast("long").alias("id"), F.col(query_vec_col).alias("vec"))
+    q = pack(q, dim)
+    corpus = spread(vectors.select(F.lit(0).alias("part"), F.col(pk_col).cast("long").alias("id"), F.col(vec_col).alias("vec")))
+    corpus = pack(corpus if dim else corpus.where(F.size("vec") == 0), dim)  # dim 0: no query has a value
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    if n * k > max_candidate_rows:
+        # The chunk's own bytes choose it: the same in every run.
+        some = corpus.where(F.pmod(F.xxhash64("ids"), F.lit(8)) == 0)
+        q = written(search(q, some.select(every, F.lit(0).alias("cell"), "ids", "mat"), blocks, k, dim, first_pass=True), "bounds")
+    out = search(q, corpus.select(every, F.lit(0).alias("cell"), "ids", "mat"), blocks, k, dim)
     if not squared:
         out = out.withColumn("distance", F.sqrt("distance"))
     return out.withColumnRenamed("query_id", query_id_col) if query_id_col != "query_id" else out
