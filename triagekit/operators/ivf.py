@@ -4,31 +4,31 @@ Cells: each vector is assigned to its nearest centroid.  The index is a
 Parquet table partitioned by cell.  Centroids are few (``nlist``), so
 shipping them to tasks is bounded by ``nlist × dim`` whatever the corpus.
 
-Exact cell-pruned search (the path for query batches too large to
-broadcast): with ``R_c`` the largest distance of a member of cell ``c`` to
+Exact cell-pruned search (the path for very large query batches): with ``R_c`` the largest distance of a member of cell ``c`` to
 its centroid, no member of ``c`` is closer to ``q`` than
 ``max(0, |q - c| - R_c)``.  Pass 1 probes each query's nearest cells until
 they hold ``k`` vectors and takes the k-th distance ``U`` as an upper bound;
-pass 2 probes every cell whose lower bound is ≤ ``U``.  The vectors are never
-moved or copied for it: blocks of queries go to them in turn, a matrix product
-filters the pairs, and what may be among the nearest is scored exactly, so the
-result equals the brute-force top-k.
+pass 2 probes every cell whose lower bound is ≤ ``U``.  A task holds a block
+of queries, and the packed members of the cells it probes pass by (see
+:mod:`.blocks`); the result equals the brute-force top-k.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, ship_package, written
+from ..session import ship_package, spread, written
+from .blocks import PAIR_BYTES, block_count, pack, search, unpacked
 
 DEFAULT_NLIST = 128
 _EPS = 1e-9
-#: Pairs that a task scores at once, and (query, cell) probes of one block of queries.
-_PAIRS, _PROBES = 1 << 20, 8 << 20
+#: (query, cell) distances of one block of queries.
+_PROBES = 8 << 20
 
 
 def label_centroids(vectors: DataFrame, label_col: str, vec_col: str = "embeddings") -> DataFrame:
@@ -157,94 +157,53 @@ def misplaced(spark, path: str) -> DataFrame:
         F.coalesce(F.sum((F.col("cell") != F.col("_now")).cast("long")), F.lit(0)).alias("n_misplaced"))
 
 
-def _probe_fn(bc, k: int, qid_col: str, qvec_col: str, first_pass: bool):
+def _first_probes(bc, k: int, dim: int):
+    """mapInArrow body over packed queries: per block the cells nearest to a query of it,
+    until these hold ``k`` vectors."""
     def run(batches):
-        ids, mat, counts, radii = bc.value
-        for pdf in batches:
-            pdf = pdf[pdf[qvec_col].notna()]
-            if len(pdf) == 0:
-                continue
-            q = np.stack(pdf[qvec_col].to_numpy()).astype(np.float64)
-            dc = np.sqrt(_sq_dist_to(mat, q))  # (nq, ncells) plain distances
-            out_q, out_c = [], []
-            if first_pass:
-                order = np.argsort(dc, axis=1, kind="stable")
-                for i in range(len(pdf)):
-                    cum = np.cumsum(counts[order[i]])
-                    stop = int(np.searchsorted(cum, k)) + 1  # cells until >= k vectors
-                    sel = order[i][:stop]
-                    out_q.extend([pdf[qid_col].iloc[i]] * len(sel))
-                    out_c.extend(ids[sel].tolist())
-            else:
-                bound = pdf["_bound"].to_numpy(np.float64)  # squared k-th distance or inf
-                lb = np.maximum(dc - radii[None, :], 0.0)
-                lim = np.sqrt(bound) * (1 + _EPS) + _EPS
-                rows, cols = np.nonzero(lb <= lim[:, None])
-                out_q = pdf[qid_col].to_numpy()[rows].tolist()
-                out_c = ids[cols].tolist()
-            yield pd.DataFrame({qid_col: np.asarray(out_q, dtype=np.int64),
-                                "cell": np.asarray(out_c, dtype=np.int32)})
+        ids, mat, counts, _ = bc.value
+        for batch in batches:
+            for part, q, m in zip(*(batch.column(c) for c in ("part", "ids", "mat")), strict=True):
+                order = np.argsort(_sq_dist_to(mat, unpacked(q.as_py(), m.as_py(), dim)[1]), axis=1, kind="stable")
+                held = np.cumsum(counts[order], axis=1)
+                near = np.unique(order[held - counts[order] < k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), part.as_py(), np.int32)),
+                                                  pa.array(ids[near].astype(np.int32))], ["block", "cell"])
     return run
 
 
-def _cell_topk_fn(bc, k: int):
-    """mapInPandas body: top-k of a block of queries over one task's members, in place.
+def _may_serve(dist: np.ndarray, radius: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Whether a cell at plain distance ``dist`` may hold a vector within a squared ``bound``."""
+    return np.maximum(dist - radius, 0.0) <= np.sqrt(bound) * (1 + _EPS) + _EPS
 
-    A member meets only the queries that probe its cell.  A matrix product gives all
-    distances of a (cell, query) block up to rounding; pairs that may lie within a query's
-    bound, or within the k-th distance found so far, are scored again exactly, by the same
-    left fold over dimensions as the SQL form.
-    """
+
+def _next_probes(bc, dim: int):
+    """mapInArrow body over packed queries with bounds: per block the cells that the triangle
+    inequality does not rule out for all its queries."""
     def run(batches):
-        qids, qmat, bound, by_cell = bc.value
-        q_norm = (qmat * qmat).sum(1)
-        limit = bound.copy()
-        pool = [np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)]  # query, distance, pk
-        waiting, size = [], 0
-
-        def compact() -> None:
-            nonlocal pool, waiting, size
-            qi, d, pk = (np.concatenate(x) for x in zip(pool, *waiting, strict=True))
-            order = np.lexsort((pk, d, qi))
-            qi, d, pk = qi[order], d[order], pk[order]
-            first = np.searchsorted(qi, np.arange(len(qids)))
-            place = np.arange(len(qi)) - first[qi]
-            last = place == k - 1
-            limit[qi[last]] = np.minimum(limit[qi[last]], d[last])
-            pool, waiting, size = [x[place < k] for x in (qi, d, pk)], [], 0
+        ids, mat, counts, radii = bc.value
+        for batch in batches:
+            for part, q, m, b in zip(*(batch.column(c) for c in ("part", "ids", "mat", "bound")), strict=True):
+                dist = np.sqrt(_sq_dist_to(mat, unpacked(q.as_py(), m.as_py(), dim)[1]))
+                may = _may_serve(dist, radii[None, :], np.frombuffer(b.as_py())[:, None]).any(0) & (counts > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(may.sum()), part.as_py(), np.int32)),
+                                                  pa.array(ids[may].astype(np.int32))], ["block", "cell"])
+    return run
 
-        for pdf in batches:
-            pdf = pdf[pdf["_v"].notna()].sort_values("cell", kind="stable")
-            if not len(pdf) or not len(qids):
-                continue
-            vecs = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-            v_norm = (vecs * vecs).sum(1)
-            pks, cell = pdf["pk"].to_numpy(np.int64), pdf["cell"].to_numpy()
-            edge = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1, append=cell[-1] + 1))
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                mine = by_cell.get(int(cell[lo]))
-                if mine is None:
-                    continue
-                step = max(1, _PAIRS // (hi - lo))
-                for a in range(0, len(mine), step):
-                    idx = mine[a:a + step]
-                    near = q_norm[idx, None] + v_norm[None, lo:hi] - 2.0 * (qmat[idx] @ vecs[lo:hi].T)
-                    slack = _EPS * (q_norm[idx, None] + v_norm[None, lo:hi] + 1.0)
-                    rows, cols = np.nonzero(near <= limit[idx, None] + slack)
-                    qi, cols = idx[rows], cols + lo
-                    d = np.zeros(len(qi))
-                    for j in range(qmat.shape[1]):  # left fold over dims, as the SQL form
-                        diff = qmat[qi, j] - vecs[cols, j]
-                        d += diff * diff
-                    keep = d <= limit[qi]
-                    waiting.append((qi[keep], d[keep], pks[cols[keep]]))
-                    size += int(keep.sum())
-                    if size > max(_PAIRS, 2 * len(pool[0])):
-                        compact()
-        compact() if waiting else None
-        yield pd.DataFrame({"query_id": qids[pool[0]], "pk": pool[2], "distance": pool[1]})
 
-    return run
+def _prune(bc):
+    """Per block: the queries that a cell may still serve; None for all."""
+    def built(qmat):
+        ids, mat, _, radii = bc.value
+        dist = np.sqrt(_sq_dist_to(mat, qmat)).T.copy()  # (cells, queries)
+        place = {int(c): i for i, c in enumerate(ids)}
+
+        def may(cell, limit):
+            i = place[cell]
+            rows = np.flatnonzero(_may_serve(dist[i], radii[i], limit))
+            return None if len(rows) == len(limit) else rows
+        return may
+    return built
 
 
 def knn_l2_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centroids: DataFrame | None = None,
@@ -254,14 +213,13 @@ def knn_l2_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centroids: D
                  max_block_bytes: int = 64 << 20) -> DataFrame:
     """Exact top-k per query via IVF cells, for query batches of any size.
 
-    Same output as :func:`triagekit.operators.knn.knn_l2`.  The vectors stay where they
-    are; queries go to them in blocks of bounded size (their vectors, their k best pairs
-    and their probes), one after the other, each block's result written before the next.
-    Per block the queries are scored against their nearest cells first, until these hold k
-    vectors; the k-th distance bounds the search, and a second pass scores the cells that
-    the triangle inequality does not rule out.  Only top-k rows per query and task are
-    shuffled.  ``assigned`` (with its ``centroids``) is a stored index, see
-    :func:`search_index`.
+    Same output as :func:`triagekit.operators.knn.knn_l2`.  Queries of near cells make a
+    block of bounded size (their vectors, their k best pairs and their distances to the
+    cells), one task's.  The cells nearest to its queries, until these hold k vectors, are
+    sent to a block first; the k-th distance found bounds each query, and a second pass
+    sends the block the cells that the triangle inequality does not rule out for all its
+    queries, and scores each for those it may serve.  Only final rows leave a task.
+    ``assigned`` (with its ``centroids``) is a stored index, see :func:`search_index`.
     """
     from .knn import DEFAULT_MAX_HEAP_BYTES, check_queries
     spark = vectors.sparkSession
@@ -270,50 +228,42 @@ def knn_l2_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centroids: D
         centroids = kmeans_centroids(vectors, nlist, vec_col)
     cells, cmat = _centroid_matrix(centroids)  # bounded by nlist × dim
     if assigned is None:
-        assigned = cut_lineage(assign_cells(vectors, (cells, cmat), pk_col, vec_col))
+        assigned = written(assign_cells(spread(vectors), (cells, cmat), pk_col, vec_col), "cells")
     cell_stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r"))
     # One row per cell: bounded by nlist.
     stats = {r["cell"]: (r["n"], r["r"]) for r in cell_stats.collect()}
     counts = np.array([stats.get(int(c), (0, 0.0))[0] for c in cells], dtype=np.int64)
-    radii = np.array([stats.get(int(c), (0, 0.0))[1] for c in cells], dtype=np.float64)
+    radii = np.nan_to_num([stats.get(int(c), (0, 0.0))[1] for c in cells], nan=np.inf, posinf=np.inf)
     bc = spark.sparkContext.broadcast((cells, cmat, counts, radii))
-    members = assigned.select("cell", F.col(pk_col).alias("pk"), F.col(vec_col).alias("_v"))
-    w = Window.partitionBy("query_id").orderBy("distance", "pk")
-    per_block = max(1, min(DEFAULT_MAX_HEAP_BYTES // (16 * k), max_block_bytes // (8 * max(dim, 1)),
-                           _PROBES // max(len(cells), 1)))
-    blocks = max(1, -(-total // per_block))
-    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("_qv")).where("_qv is not null")
-    probe_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("cell", T.IntegerType())])
-
-    def scored(qids, qmat, bound, probes: DataFrame) -> DataFrame:
-        p = probes.toPandas()  # at most ``_PROBES`` rows
-        row = pd.Series(np.arange(len(qids)), index=qids).reindex(p["query_id"]).to_numpy(np.int64)
-        by_cell = {int(c): row[i] for c, i in p.groupby("cell").indices.items()}
-        sent = spark.sparkContext.broadcast((qids, qmat, bound, by_cell))
-        part = members.mapInPandas(_cell_topk_fn(sent, k), "query_id long, pk long, distance double")
-        return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    def search(block: DataFrame) -> DataFrame:
-        own = block.toPandas()  # one block of queries, Arrow transfer
-        qids = own["query_id"].to_numpy(np.int64)
-        qmat = np.stack(own["_qv"].to_numpy()).astype(np.float64) if len(own) else np.empty((0, dim))
-        p1 = block.mapInPandas(_probe_fn(bc, k, "query_id", "_qv", True), probe_schema)
-        kth = scored(qids, qmat, np.full(len(qids), np.inf), p1).groupBy("query_id").agg(
-            F.max("distance").alias("kth"), F.count(F.lit(1)).alias("n"))
-        found = {r["query_id"]: r["kth"] for r in kth.collect() if r["n"] >= k}  # a row a query of the block
-        bound = np.array([found.get(int(i), np.inf) for i in qids])
-        bounded = spark.createDataFrame(own.assign(_bound=bound)) if len(own) else block.withColumn("_bound", F.lit(0.0))
-        p2 = bounded.mapInPandas(_probe_fn(bc, k, "query_id", "_qv", False), probe_schema)
-        return scored(qids, qmat, bound, p2)
-
-    if blocks == 1:
-        out = search(q)
+    per_block = min(DEFAULT_MAX_HEAP_BYTES // (PAIR_BYTES * k), max_block_bytes // (8 * max(dim, 1)),
+                    _PROBES // max(len(cells), 1))
+    blocks = block_count(total, per_block, spark.sparkContext.defaultParallelism)
+    asked = spread(queries.select(F.col(query_id_col).cast("long").alias("id"), F.col(query_vec_col).alias("vec")))
+    if dim:  # dim 0: no query has a value
+        asked = written(assign_cells(asked, (cells, cmat), "id", "vec").drop("radius"), "queries")
     else:
-        number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        done = [written(search(q.where(number == b)), "knn") for b in range(blocks)]
-        out = done[0]
-        for more in done[1:]:
-            out = out.unionByName(more)
+        asked = asked.limit(0).withColumn("cell", F.lit(0))
+    # A cell's queries stand together; blocks are runs of that order.  One row per cell.
+    own = sorted((r["cell"], r["count"]) for r in asked.groupBy("cell").count().collect())
+    start = np.cumsum([0, *(n for _, n in own)]).tolist()
+    size = max(1, -(-start[-1] // blocks))
+    begin = spark.createDataFrame([(int(c), int(a), int(n)) for (c, n), a in zip(own, start, strict=False)],
+                                  "cell int, _a long, _n long")
+    part = ((F.col("_a") + F.pmod(F.xxhash64("id"), F.col("_n"))) / F.lit(size)).cast("int")
+    q = pack(asked.join(F.broadcast(begin), "cell").select(part.alias("part"), "id", "vec"), dim)
+    members = assigned.select(F.col("cell").alias("part"), F.col(pk_col).cast("long").alias("id"),
+                              F.col(vec_col).alias("vec")).sortWithinPartitions("part")
+    chunks = pack(members, dim) if dim else pack(members.limit(0), dim)
+
+    def sent(probes: DataFrame) -> DataFrame:
+        # A row a cell, with at most all blocks.
+        to = probes.groupBy("cell").agg(F.collect_set("block").alias("to"))
+        j = chunks.join(F.broadcast(to), chunks["part"] == to["cell"])
+        return j.select(F.explode("to").alias("block"), "cell", "ids", "mat")
+
+    pairs = "block int, cell int"
+    bounded = written(search(q, sent(q.mapInArrow(_first_probes(bc, k, dim), pairs)), blocks, k, dim, first_pass=True), "bounds")
+    out = search(bounded, sent(bounded.mapInArrow(_next_probes(bc, dim), pairs)), blocks, k, dim, prune=_prune(bc))
     if not squared:
         out = out.withColumn("distance", F.sqrt("distance"))
     return out.withColumnRenamed("query_id", query_id_col) if query_id_col != "query_id" else out
