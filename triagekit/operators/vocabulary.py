@@ -4,8 +4,9 @@ A document is tokenised once, into one array that is written to the shared folde
 vocabulary counts each token once a document.  Encoding goes document by document: the
 most frequent part of the vocabulary, bounded in bytes, travels to the tasks, which
 replace the tokens of whole Arrow batches by array lookups.  Tokens beyond that bound are
-few per document: their distinct (document, token) pairs meet the rest of the vocabulary
-in a join, and the ids found are merged back inside the document's row.
+few per document: each stands in the ids as the negative number of its kind in the document,
+the distinct (document, token) pairs meet the rest of the vocabulary in a join, and the ids
+found take the numbers' places inside the document's row.
 """
 
 from __future__ import annotations
@@ -77,7 +78,12 @@ def _encode(vocabulary, complete: bool):
             rare = []
             for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
                 miss = np.flatnonzero(got[a:b] < 0) if not complete else ()
-                rare.append(pc.unique(flat.slice(a, b - a).take(pa.array(miss))).to_pylist() if len(miss) else [])
+                if not len(miss):
+                    rare.append([])
+                    continue
+                kinds = flat.slice(a, b - a).take(pa.array(miss)).dictionary_encode()
+                got[a + miss] = -1 - kinds.indices.to_numpy(zero_copy_only=False)
+                rare.append(kinds.dictionary.to_pylist())
             if complete:
                 got = np.where(got < 0, UNK_ID, got)
             yield pa.RecordBatch.from_arrays(
@@ -86,28 +92,12 @@ def _encode(vocabulary, complete: bool):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of rare tokens put where the first lookup left -1."""
-    for batch in batches:
-        ids = batch.column("token_ids")
-        got = ids.flatten().to_numpy(zero_copy_only=False).copy()
-        border = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
-        tokens = batch.column("tokens").flatten()
-        for i, pairs in enumerate(batch.column("found").to_pylist()):
-            a, b = int(border[i]), int(border[i + 1])
-            miss = np.flatnonzero(got[a:b] < 0)
-            if len(miss):
-                known = {p["token"]: p["token_id"] for p in pairs or []}
-                got[a + miss] = [known.get(t, UNK_ID) for t in tokens.slice(a, b - a).take(pa.array(miss)).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.ListArray.from_arrays(border.astype(np.int32), pa.array(got))], ["id", "token_ids"])
-
-
 def encode_arrays(arrays: DataFrame, vocab: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, token_ids) per row of :func:`token_arrays`, in token order; unknown tokens are UNK.
 
     Documents stay where they are as long as the vocabulary is within ``max_bytes``;
-    beyond it only (row, distinct rare token) pairs are shuffled.
+    beyond it only (row, distinct rare token) pairs, and the ids of the rows that hold such
+    tokens, are shuffled.
     """
     spark: SparkSession = arrays.sparkSession
     ship_package(spark)  # workers import this module
@@ -123,10 +113,14 @@ def encode_arrays(arrays: DataFrame, vocab: DataFrame, max_bytes: int = BROADCAS
         return first.select("id", "token_ids")
     first = written(first, "frequent")
     rest = vocab.where(F.col("n_docs") < least).select("token", "token_id")
-    rare = first.select("row", F.explode("rare").alias("token")).join(rest, "token").groupBy("row").agg(
-        F.collect_list(F.struct("token", "token_id")).alias("found"))
-    j = first.drop("rare").join(rare, "row", "left").join(arrays.select("row", "tokens"), "row")
-    return j.select("id", "token_ids", "tokens", "found").mapInArrow(_merge, f"id {kind}, token_ids array<long>")
+    asked = first.select("row", F.posexplode("rare").alias("place", "token"))
+    found = asked.join(rest, "token", "left").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        "place", F.coalesce("token_id", F.lit(UNK_ID).cast("long")).alias("token_id")))), lambda p: p["token_id"]).alias("found"))
+    some = F.size("rare") > 0
+    # Only rows with a rare token meet their ids; the tokens themselves are not moved again.
+    mended = first.where(some).select("row", "id", "token_ids").join(found, "row").select("id", F.transform(
+        "token_ids", lambda t: F.when(t < 0, F.element_at("found", (-t).cast("int"))).otherwise(t)).alias("token_ids"))
+    return first.where(~some).select("id", "token_ids").unionByName(mended)
 
 
 def encoded_rows(encoded: DataFrame) -> DataFrame:
