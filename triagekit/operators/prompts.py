@@ -90,9 +90,9 @@ def complete(prompts: DataFrame, client_factory: Callable[[], Client], prompt_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
         for batch in batches:
-            texts, found = batch.column("prompt").to_pylist(), []
-            for i in range(0, len(texts), batch_size):
-                found += _ask(client, texts[i:i + batch_size], attempts, pause)
+            texts, found = batch.column("prompt"), []
+            for i in range(0, len(texts), batch_size):  # one call's texts at a time
+                found += _ask(client, texts.slice(i, batch_size).to_pylist(), attempts, pause)
             replies = [None if r is None else str(r).strip() for r, _, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(replies, pa.string()), pa.array([e for _, e, _ in found], pa.string()),

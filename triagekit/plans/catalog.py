@@ -715,13 +715,15 @@ class EchoClient:
     fails once, one whose length is 5 modulo 13 always."""
 
     def __init__(self):
-        self.asked = set()
+        self.asked = set()  # failed once and not yet asked again
 
     def __call__(self, texts):
         for t in texts:
             if len(t) % 13 == 5 or (len(t) % 11 == 3 and t not in self.asked):
-                self.asked.add(t)
+                if len(t) % 13 != 5:
+                    self.asked.add(t)
                 raise RuntimeError(f"no reply to {len(t)} characters")
+        self.asked.difference_update(texts)
         return [f"  echo of {len(t)}: {t[:8]}\n" for t in texts]
 
 
