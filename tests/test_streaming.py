@@ -209,3 +209,32 @@ def test_stream_metering_of_a_hot_user(spark, tmp_dir):
     state = spark.read.format("statestore").option("path", os.path.join(tmp_dir, "ck")).option(
         "stateVarName", "pending").load()
     assert state.count() == 1  # the one slice that is pending
+
+
+def test_stream_metering_holds_users_by_bucket(spark, tmp_dir):
+    """State is kept per bucket of users, not per user: events of many users, of names
+    without a user and without a name, in two arrivals, give the batch result."""
+    import datetime as dt
+    tiers = ["Free - (0$)", "Gold - (50$)", "Platinum - (100$)", "Other", None]
+    rows = [(i, None if i % 97 == 0 else f"ghost{i % 7}" if i % 31 == 0 else f"u{i % 150}",
+             dt.datetime(2024, 1, 1 + i * 13 % 20, i % 24), "topup" if i % 5 == 0 else "call",
+             tiers[i % 3] if i % 5 == 0 else None) for i in range(1500)]
+    end = (5000, "end", dt.datetime(2025, 1, 1), "call", None)  # moves the watermark
+    schema = "event_id long, username string, ts timestamp_ntz, kind string, service string"
+    ev = spark.createDataFrame(rows, schema)
+    users = spark.createDataFrame([(f"u{i}", tiers[i % 5], i % 4 if i % 9 else None) for i in range(150)],
+                                  "username string, service string, calls_remaining int")
+    src = os.path.join(tmp_dir, "events")
+    for b in range(2):
+        ev.where(F.col("event_id") % 2 == b).coalesce(1).write.parquet(os.path.join(src, f"a{b}"))
+    spark.createDataFrame([end], schema).coalesce(1).write.parquet(os.path.join(src, "b"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    out = jobs.meter_stream_event_time(stream, users, period="week", lateness="60 days", slice_us=86_400_000_000, buckets=4)
+    jobs.memory_sink(out, "t3_buckets", os.path.join(tmp_dir, "ck"))
+    columns = ["event_id", "username", "kind", "period_start", "response_code", "balance"]
+    key = lambda r: r["event_id"]
+    got = sorted(spark.table("t3_buckets").select(columns).collect(), key=key)
+    want = sorted(quota.meter_calls(ev, users, period="week").select(columns).collect(), key=key)
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    state = spark.read.format("statestore").option("path", os.path.join(tmp_dir, "ck")).option("stateVarName", "bucket").load()
+    assert 0 < state.count() <= 4

@@ -702,8 +702,9 @@ def q_stream_metering(spark, base):
     files = len(spark.read.parquet(f"{src}/1").inputFiles())
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files).parquet(f"{src}/*")
     # As in the batch key: weekly periods.  Late by up to the whole stream, as one file may hold it.
-    metered = jobs.meter_stream_event_time(stream, fx.users_fx(spark, base), period="week", lateness="60 days",
-                                           slice_us=30 * 86_400_000_000)
+    users = fx.users_fx(spark, base)
+    metered = jobs.meter_stream_event_time(stream, users, period="week", lateness="60 days",
+                                           slice_us=30 * 86_400_000_000, buckets=max(64, users.count() // 2000))
     jobs.append_sink(metered, out, _scratch(spark, "stream"))
     return spark.read.schema(jobs.METER_OUT).parquet(out).select(
         "event_id", "username", "kind", "response_code", "balance")

@@ -5,9 +5,9 @@ T1  incremental issue ingest: landed JSON pages → flatten → upsert into the
     manifest commits both (foreachBatch, idempotent per epoch).
 T2  requests per user and day: event-time windows with a watermark, kept in a table by
     their updates.
-T3  quota metering: per-user state (balance, tier, pending events by slices of event
-    time) with a timer a slice; inside a slice the clipped running balance is evaluated
-    in closed form with numpy, not row by row.
+T3  quota metering: state per bucket of users (balances, tiers, pending events by slices
+    of event time) with a timer a slice; inside a slice the clipped running balances are
+    evaluated in closed form with numpy, not row by row.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,16 +256,17 @@ METER_OUT = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("period_start", T.TimestampNTZType()),
     T.StructField("response_code", T.IntegerType()), T.StructField("balance", T.LongType())])
 
-_PERIOD_US = {"hour": 3_600_000_000, "day": 86_400_000_000}
+_DAY_US = 86_400_000_000
+_PERIOD_US = {"hour": 3_600_000_000, "day": _DAY_US}
+_NO_TIME = np.iinfo(np.int64).min
 
 
-def _period_start_us(ts: pd.Series, period: str) -> np.ndarray:
-    t = pd.to_datetime(ts)
-    if period == "week":
-        return (t.dt.normalize() - pd.to_timedelta(t.dt.weekday, unit="D")).astype("int64").to_numpy() // 1000
-    step = _PERIOD_US[period]
-    us = t.astype("int64").to_numpy() // 1000
-    return us - us % step
+def _period_start_us(us: np.ndarray, period: str) -> np.ndarray:
+    us = np.where(us == _NO_TIME, us // 1000, us)  # far below every time, and no overflow
+    if period == "week":  # from Monday; day 0 was a Thursday
+        day = us // _DAY_US
+        return (day - (day + 3) % 7) * _DAY_US
+    return us - us % _PERIOD_US[period]
 
 
 def memory_sink(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
@@ -276,120 +278,154 @@ def memory_sink(df: DataFrame, name: str, checkpoint: str, mode: str = "append")
 
 
 # ------------------------------------------------- T3, event-time ordered
-#: Event time of one slice of a user's pending events: what a task holds at once.
+#: Event time of one slice of a bucket's pending events: what a task holds at once.
 SLICE_US = 60_000_000
-_USER = T.StructType([
-    T.StructField("period_us", T.LongType()), T.StructField("reset_us", T.LongType()),
-    T.StructField("balance", T.LongType()), T.StructField("service", T.StringType()),
-    T.StructField("found", T.BooleanType())])
-_SLICE = T.StructType([T.StructField("slice", T.LongType())])
-_PENDING = T.StructType([
-    T.StructField("event_id", T.ArrayType(T.LongType())), T.StructField("ts", T.ArrayType(T.LongType())),
-    T.StructField("kind", T.ArrayType(T.StringType())), T.StructField("service", T.ArrayType(T.StringType()))])
-
-
-def _meter_ordered(ev: pd.DataFrame, state: dict, period: str):
-    """Meter time-ordered events of one user from ``state`` (period, reset, balance,
-    service), which it moves on.  Calls between two top-ups or resets are one segment."""
+#: Buckets that users are dealt into by name; a stream's number stays as long as its checkpoint.
+METER_BUCKETS = 1024
+_BUCKET = T.StructType([T.StructField("parts", T.LongType()), T.StructField("users", T.BinaryType())])
+_PART = T.StructType([T.StructField("slice", T.LongType()), T.StructField("part", T.LongType())])
+_PENDING = T.StructType([T.StructField("events", T.BinaryType())])
+_USERS = pa.schema([("username", pa.string()), ("period", pa.int64()), ("reset", pa.int64()), ("balance", pa.int64()),
+                    ("service", pa.string())])
+_EVENTS = pa.schema([("event_id", pa.int64()), ("username", pa.string()), ("us", pa.int64()), ("kind", pa.string()),
+                     ("service", pa.string()), ("found", pa.bool_())])
+
+
+def _to_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _meter_ordered(user: np.ndarray, us: np.ndarray, topup: np.ndarray, service: list, states: list[list], period: str):
+    """Meter events ordered by user and time from ``states`` (period, reset, balance,
+    service of each user), which it moves on.  Calls of one user between two top-ups or
+    resets are one segment."""
     allow = dict(TIER_ALLOWANCE)
-    periods = _period_start_us(ev["ts"], period)
-    topup = (ev["kind"] == "topup").to_numpy()
-    cut = np.ones(len(ev) + 1, bool)
-    cut[1:-1] = (np.diff(periods) != 0) | topup[1:] | topup[:-1]
-    codes = np.full(len(ev), 200, dtype=np.int32)
-    bal = np.empty(len(ev), dtype=np.int64)
-    start = np.full(len(ev), -1, dtype=np.int64)
+    periods = _period_start_us(us, period)
+    cut = np.ones(len(us) + 1, bool)
+    cut[1:-1] = (np.diff(user) != 0) | (np.diff(periods) != 0) | topup[1:] | topup[:-1]
     edges = np.flatnonzero(cut)
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if state["period"] != periods[lo]:
-            state["period"] = int(periods[lo])
-            if state["service"] in allow:  # the reset sets the allowance of the tier in force
-                state["balance"], state["reset"] = allow[state["service"]], int(periods[lo])
-        b = max(int(state["balance"] or 0), 0)
-        if topup[lo]:
-            bought = ev["service"].iloc[lo]
-            state["service"] = None if pd.isna(bought) else bought
-            bal[lo] = b = b + allow.get(state["service"], 0)
-        else:
-            n = np.arange(1, hi - lo + 1)
-            codes[lo:hi] = np.where(n > b, 403, 200)
-            bal[lo:hi] = np.maximum(b - n, 0)
-            b = int(bal[hi - 1])
-        start[lo:hi] = -1 if state["reset"] is None else state["reset"]
-        state["balance"] = b
-    return codes, bal, start
+    lows, length = edges[:-1], np.diff(edges)
+    before, reset = np.empty(len(lows), np.int64), np.empty(len(lows), np.int64)
+    for i, (lo, n, u, p, bought) in enumerate(zip(lows.tolist(), length.tolist(), user[lows].tolist(),
+                                                  periods[lows].tolist(), topup[lows].tolist(), strict=True)):
+        state = states[u]
+        if state[0] != p:
+            state[0] = p
+            if state[3] in allow:  # the reset sets the allowance of the tier in force
+                state[2], state[1] = allow[state[3]], p
+        b = max(state[2] or 0, 0)
+        if bought:
+            state[3] = service[lo]
+            b += allow.get(state[3], 0)
+        before[i], reset[i] = b, -1 if state[1] is None else state[1]
+        state[2] = b if bought else max(b - n, 0)
+    call = np.where(topup, 0, np.arange(len(us)) - np.repeat(lows, length) + 1)  # number in its segment
+    before = np.repeat(before, length)
+    return np.where(call > before, 403, 200).astype(np.int32), np.maximum(before - call, 0), np.repeat(reset, length)
 
 
 class Meter(StatefulProcessor):
-    """One user's metering.  Events wait in slices of event time, each with a timer at its
-    end; when the watermark passes a slice, its events are metered in order, and the slice
-    is forgotten.  A task holds one Arrow batch of input or one slice at a time, however
-    many events of the user a micro-batch or the allowed lateness holds; a user's state is
-    its balance and tier and the slices that the watermark has not passed."""
+    """Metering of one bucket of users.  Events wait in slices of event time, each with a
+    timer at its end; when the watermark passes a slice, its events are metered in order,
+    and the slice is forgotten.  A task holds one Arrow batch of input or one slice of a
+    bucket at a time, however many events a micro-batch or the allowed lateness holds.  The
+    state of a bucket is the balance and tier of its users and the slices that the watermark
+    has not passed, in parts as they arrived; so calls to the state, which cost far more than
+    the metering, are as many as buckets and slices, not as users."""
 
     def __init__(self, period: str, slice_us: int = SLICE_US):
         self.period, self.slice_us = period, slice_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.user = handle.getValueState("user", _USER)
-        self.pending = handle.getMapState("pending", _SLICE, _PENDING)
+        self.bucket = handle.getValueState("bucket", _BUCKET)
+        self.pending = handle.getMapState("pending", _PART, _PENDING)
+
+    def _read(self) -> tuple[int, dict[str, list]]:
+        """(parts so far, name -> [period, reset, balance, service]) of the bucket."""
+        if not self.bucket.exists():
+            return 0, {}
+        parts, users = self.bucket.get()
+        name, *columns = (c.to_pylist() for c in _from_bytes(users).columns)
+        return parts, dict(zip(name, map(list, zip(*columns, strict=True)), strict=True))
+
+    def _write(self, parts: int, users: dict[str, list]) -> None:
+        columns = [list(users), *([u[i] for u in users.values()] for i in range(4))]
+        self.bucket.update((parts, _to_bytes(pa.table([pa.array(c, f.type) for c, f in zip(columns, _USERS, strict=True)],
+                                                      schema=_USERS))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts, users = self._read()
         for pdf in rows:
             if not len(pdf):
                 continue
-            if not self.user.exists():  # the user as the static table has it, once
-                first = pdf.iloc[0]
-                self.user.update((None, None, None if pd.isna(first["balance0"]) else int(first["balance0"]),
-                                  None if pd.isna(first["tier0"]) else first["tier0"], bool(pd.notna(first["found"]))))
+            # A user as the static table has it, once; of a name without a user nothing is kept.
+            known = pdf[pdf["found"].notna()].drop_duplicates("username")
+            for name, tier, balance in zip(known["username"], known["tier0"], known["balance0"], strict=True):
+                if name not in users:
+                    users[name] = [None, None, None if pd.isna(balance) else int(balance), None if pd.isna(tier) else tier]
             us = pd.to_datetime(pdf["ts"]).to_numpy().astype("datetime64[us]").astype("int64")
-            for k, own in pdf.assign(us=us).groupby(us // self.slice_us):
-                at = (int(k),)
-                if self.pending.containsKey(at):
-                    held = [list(x) for x in self.pending.getValue(at)]
-                else:
-                    held = [[], [], [], []]
-                    self.handle.registerTimer(-(-((int(k) + 1) * self.slice_us) // 1000))
-                service = [None if pd.isna(x) else x for x in own["service"]]
-                new = (own["event_id"].tolist(), own["us"].tolist(), own["kind"].tolist(), service)
-                self.pending.updateValue(at, tuple(a + b for a, b in zip(held, new, strict=True)))
+            events = pa.Table.from_pandas(pdf.assign(us=us, found=pdf["username"].isin(users.keys())), schema=_EVENTS,
+                                          preserve_index=False).replace_schema_metadata()
+            number = us // self.slice_us
+            for k in np.unique(number).tolist():
+                self.handle.registerTimer(-(-((k + 1) * self.slice_us) // 1000))
+                self.pending.updateValue((k, parts), (_to_bytes(events.filter(pa.array(number == k))),))
+                parts += 1
+        self._write(parts, users)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for k in sorted(x[0] for x in self.pending.keys()):  # timers fire in order; a slice is never overtaken
-            if (k + 1) * self.slice_us > passed:
-                break
-            event_id, ts, kind, service = self.pending.getValue((k,))
-            self.pending.removeKey((k,))
-            ev = pd.DataFrame({"event_id": event_id, "ts": pd.to_datetime(np.array(ts, "int64"), unit="us"),
-                               "kind": pd.Series(kind, dtype="object"), "service": pd.Series(service, dtype="object")})
-            yield self._metered(key[0], ev.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True))
-        if not self.user.get()[4] and not any(True for _ in self.pending.keys()):
-            self.user.clear()  # nothing to remember about a name without a user
-
-    def _metered(self, name, ev: pd.DataFrame) -> pd.DataFrame:
-        period_us, reset_us, balance, service, found = self.user.get()
-        out = pd.DataFrame({"event_id": ev["event_id"].astype("int64"), "username": name, "kind": ev["kind"]})
-        if not found:
-            return out.assign(period_start=pd.NaT, response_code=404, balance=None)
-        state = {"period": period_us, "reset": reset_us, "balance": balance, "service": service}
-        codes, bal, start = _meter_ordered(ev, state, self.period)
-        self.user.update((state["period"], state["reset"], state["balance"], state["service"], True))
-        ps = pd.Series(pd.to_datetime(np.where(start >= 0, start, 0), unit="us"))
-        return out.assign(period_start=ps.where(start >= 0, pd.NaT), response_code=codes, balance=bal)
+        due: dict[int, list[int]] = {}
+        for k, part in self.pending.keys():
+            if (k + 1) * self.slice_us <= passed:
+                due.setdefault(k, []).append(part)
+        if not due:
+            return
+        parts, users = self._read()
+        for k in sorted(due):  # timers fire in order; a slice is never overtaken
+            held = pa.concat_tables([_from_bytes(self.pending.getValue((k, part))[0]) for part in sorted(due[k])])
+            yield self._metered(held.to_pandas(), users)
+            for part in due[k]:
+                self.pending.removeKey((k, part))
+        self._write(parts, users)
+
+    def _metered(self, ev: pd.DataFrame, users: dict[str, list]) -> pd.DataFrame:
+        out = ev[["event_id", "username", "kind"]].assign(period_start=pd.NaT, response_code=404, balance=None)
+        own = ev[ev["found"]]
+        code, names = pd.factorize(own["username"])
+        us = own["us"].to_numpy()
+        order = np.lexsort((own["event_id"].to_numpy(), us, code))  # stable: as they arrived
+        service = [None if pd.isna(x) else x for x in own["service"].to_numpy()[order]]
+        codes, balance, start = _meter_ordered(code[order], us[order], (own["kind"] == "topup").to_numpy()[order], service,
+                                               [users[n] for n in names], self.period)
+        start = pd.Series(pd.to_datetime(np.where(start >= 0, start, 0), unit="us")).where(start >= 0, pd.NaT)
+        metered = own.iloc[order][["event_id", "username", "kind"]].reset_index(drop=True).assign(
+            period_start=start, response_code=codes, balance=balance)
+        other = out[~ev["found"]]
+        return metered if not len(other) else other if not len(own) else pd.concat(
+            [metered.astype({"balance": "object"}), other], ignore_index=True)
 
     def close(self) -> None:
         pass
 
 
 def meter_stream_event_time(events_stream: DataFrame, users: DataFrame, period: str = "hour",
-                            lateness: str = "1 hour", slice_us: int = SLICE_US) -> DataFrame:
+                            lateness: str = "1 hour", slice_us: int = SLICE_US,
+                            buckets: int = METER_BUCKETS) -> DataFrame:
     """Streaming metering in event-time order (T3 with late data).
 
-    Events wait in per-user state until the watermark (max event time minus
-    ``lateness``) passes their slice, then are metered in (ts, event_id) order, so
+    Users are dealt into ``buckets`` by name, a state each; the number must stay the same
+    as long as the stream's checkpoint.  Events wait there until the watermark (max event
+    time minus ``lateness``) passes their slice, then are metered in (ts, event_id) order, so
     every emitted result equals the batch metering whatever the arrival
     order within ``lateness``.  Events later than that are dropped by the
     watermark; the newest ``lateness`` of the stream stays pending.  Kept per
@@ -403,6 +439,7 @@ def meter_stream_event_time(events_stream: DataFrame, users: DataFrame, period:
     ev = events_stream if "service" in events_stream.columns else events_stream.withColumn(
         "service", F.lit(None).cast("string"))
     j = (ev.select("username", "event_id", "ts", "kind", "service").join(u, "username", "left")
+         .withColumn("bucket", F.pmod(F.xxhash64("username"), F.lit(buckets)).cast("int"))
          .withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", lateness))
-    return j.groupBy("username").transformWithStateInPandas(
+    return j.groupBy("bucket").transformWithStateInPandas(
         Meter(period, slice_us), METER_OUT, "append", "EventTime")
