@@ -853,3 +853,18 @@ def test_completion_client_remembers_only_what_is_asked_again():
     got = [r for i in range(0, len(texts), 32) for r in _ask(client, texts[i:i + 32], 3, 0.0)]
     assert [r is None for r, _, _ in got] == [len(t) % 13 == 5 for t in texts]
     assert not client.asked
+
+
+def test_stored_files_counts_files_without_a_byte(spark, tmp_dir):
+    import os
+
+    from triagekit.sources.files import publish_tree, stored_files
+    site, target = os.path.join(tmp_dir, "site"), os.path.join(tmp_dir, "target")
+    os.makedirs(os.path.join(site, "a", "b"))
+    for name, text in (("_SUCCESS", ""), ("a/x.json", "{}"), ("a/b/y.json", "{}")):
+        with open(os.path.join(site, name), "w") as f:
+            f.write(text)
+    for _ in range(2):
+        publish_tree(spark, site, target).count()
+    assert os.path.exists(os.path.join(target, "_SUCCESS"))
+    assert stored_files(spark, target) == 3

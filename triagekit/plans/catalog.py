@@ -742,18 +742,17 @@ def q_completions(spark, base):
 def q_published_reports(spark, base):
     """The suite's reports below nested folders, published twice; what the target holds."""
     from ..operators.quality import dq_extract, run_suite
-    from ..sources.files import publish_tree
+    from ..sources.files import publish_tree, stored_files
     site, target = _scratch(spark, "site"), _scratch(spark, "published")
     results = run_suite(dq_extract(fx.issues_fx(spark, base)))
     kinds = results.withColumn("kind", F.when(F.col("column").isNull(), "table").otherwise("column"))
     kinds.write.partitionBy("kind", "expectation_type").json(f"{site}/validations/2024")
     for _ in range(2):
         n = publish_tree(spark, site, target).count()
-    keys = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(target)
     back = spark.read.option("recursiveFileLookup", True).schema("column string, success boolean").json(target)
     place = F.regexp_extract(F.col("_metadata.file_path"), "/(validations/.*)/[^/]*$", 1)
     found = back.select(place.alias("folder"), "column", "success")
-    return found.withColumn("every_file_once", F.lit(n) == keys.count())
+    return found.withColumn("every_file_once", F.lit(n == stored_files(spark, target)))
 
 
 @register("quality_store")
