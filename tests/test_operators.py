@@ -868,3 +868,25 @@ def test_stored_files_counts_files_without_a_byte(spark, tmp_dir):
         publish_tree(spark, site, target).count()
     assert os.path.exists(os.path.join(target, "_SUCCESS"))
     assert stored_files(spark, target) == 3
+
+
+def test_prompts_do_not_shuffle_the_bodies(spark, tmp_dir):
+    from triagekit.operators.prompts import solution_prompt
+    from triagekit.plans.catalog import REGISTRY
+    # Every document is open (a multiple of three), so no query has a closed match.
+    docs = [(i, f"title {i}\nbody {i}", "en", "src") for i in range(0, 60, 3)] + [
+        (0, "a second text", "en", "src"), (None, "no id", "en", "src"), (9, None, "en", "src")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_dir}/documents.parquet")
+    emb = [(i, [float(i), 1.0]) for i in range(15)]
+    spark.createDataFrame(emb, "vec_id long, embedding array<float>").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = REGISTRY["prompts_rendered"](spark, tmp_dir)
+        text = spark.createDataFrame([(i, t) for i, t, *_ in docs if i is not None and i < 15], "query_id long, body string")
+        expected = text.select("query_id", solution_prompt(F.col("body")).alias("prompt")).collect()
+        assert sorted(out.collect()) == sorted(expected)
+        plan = _plan(out)
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import vocabulary
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, maybe_broadcast
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 
@@ -530,6 +530,7 @@ def q_prompts_rendered(spark, base):
     from ..operators.similarity import unmatched_queries
     q = fx.search_queries_fx(spark, base).select("query_id")
     un = unmatched_queries(q, _matches(spark, base, threshold=SERVICE_THRESHOLD))
+    un = maybe_broadcast(un, materialize=True)  # so that bodies are scanned, not shuffled
     body = fx.issues_fx(spark, base).select(F.col("id").alias("query_id"), "body")
     return un.join(body, "query_id").select("query_id", solution_prompt(F.col("body")).alias("prompt"))
 
